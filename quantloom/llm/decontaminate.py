@@ -121,6 +121,14 @@ def _hits_udf(shard: Shard, window: int):
     return F.pandas_udf(run, HITS).asNondeterministic()
 
 
+def _touched_udf(shard: Shard, window: int):
+    def run(texts: pd.Series) -> pd.Series:
+        automaton = automaton_of(shard, window)
+        return pd.Series([bool(scan(automaton, t)[1]) for t in texts], dtype=bool)
+
+    return F.pandas_udf(run, "boolean").asNondeterministic()
+
+
 def benchmark_shards(benchmark: DataFrame, item: str = "item_id", text: str = "text", shard_chars: int = SHARD_CHARS) -> list[Shard]:
     """Broadcast lists of (item_id, text); each is collected by itself, its size checked before."""
     spark = benchmark.sparkSession
@@ -166,12 +174,7 @@ def drop_contaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDO
     ship_package(docs.sparkSession)
     clean = docs
     for shard in benchmark_shards(benchmark, shard_chars=shard_chars):
-
-        def touched(texts: pd.Series, shard=shard) -> pd.Series:
-            automaton = automaton_of(shard, window)
-            return pd.Series([bool(scan(automaton, t)[1]) for t in texts], dtype=bool)
-
-        clean = clean.where(~F.pandas_udf(touched, "boolean")(F.col("text").cast("string")))
+        clean = clean.where(~_touched_udf(shard, window)(F.col("text").cast("string")))
     return clean
 
 

@@ -7,13 +7,40 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quantloom.llm import bpe, chat, decontaminate, token_file
+from quantloom.llm import bpe, chat, decontaminate, neardup, ordinal, pii, quality_rules, token_file, toxicity, url_reputation
+from quantloom.session import written
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_url_reputation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages")
+    return url_reputation.judge_pages(pages, url_reputation.labelled_pages(pages, table(spark, sf_dir, "labels")))
+
+
+def op3_ordinal_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return ordinal.score(docs, ordinal.fit(docs, table(spark, sf_dir, "labels")))
+
+
+def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return toxicity.score(docs, toxicity.fit(docs, table(spark, sf_dir, "labels")))
+
+
+def op2_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    made = pii.pseudonymise(table(spark, sf_dir, "documents"))
+    return made.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("_pii.n_found").cast("long").alias("n_found"), F.col("_pii.n_replaced").cast("long").alias("n_replaced"), "text")
+
+
+def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    feats = written(quality_rules.features(table(spark, sf_dir, "documents")), "features")
+    cutoffs = quality_rules.fit(feats, table(spark, sf_dir, "labels"))
+    return quality_rules.judge(feats, cutoffs).select("doc_id", *quality_rules.COUNTS, "base_failed", "kept")
+
+
 def op4_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_digests(table(spark, sf_dir, "documents"))
 
@@ -34,14 +61,24 @@ def op8_token_file(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_file.read_documents(token_file.write_token_files(table(spark, sf_dir, "documents")))
 
 
+def op9_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op10_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.read_back(chat.format_conversations(chat.with_probe(table(spark, sf_dir, "conversations"))))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_url_reputation": op1_url_reputation,
+    "op2_pii": op2_pii,
+    "op3_ordinal_quality": op3_ordinal_quality,
     "op4_bpe": op4_bpe,
+    "op5_quality_rules": op5_quality_rules,
     "op6_decontaminate": op6_decontaminate,
     "op8_token_file": op8_token_file,
+    "op7_toxicity": op7_toxicity,
+    "op9_near_duplicates": op9_near_duplicates,
     "op10_chat": op10_chat,
 }
 
