@@ -104,6 +104,8 @@ def features(docs: DataFrame, keep: list[Column] | None = None) -> DataFrame:
         *plain,
         F.sort_array(F.transform(F.filter("_sorted", lambda x, i: same(x, i - 1) | same(x, i + 1)), lambda x: x["i"])).alias("_starts"),
     )
+    # The row number keeps filters on the counts above this point: pushed down, they would repeat the
+    # nested array functions once per reference.
     gaps = F.transform("_starts", lambda p, j: F.when(j == 0, F.lit(WINDOW)).otherwise(F.least(F.lit(WINDOW), p - F.get(F.col("_starts"), j - 1))))
     return found.select(
         F.col("_doc").alias("doc_id"),
@@ -112,7 +114,8 @@ def features(docs: DataFrame, keep: list[Column] | None = None) -> DataFrame:
         F.col("_n").cast("long").alias("n_words"),
         *plain,
         F.coalesce(F.aggregate(gaps, F.lit(0), lambda a, g: a + g), F.lit(0)).cast("long").alias("n_repeat_words"),
-    )
+        F.monotonically_increasing_id().alias("_at"),
+    ).where("_at >= 0").drop("_at")
 
 
 def base_failed() -> Column:
