@@ -76,36 +76,32 @@ class PieceEncoder:
         self.cache: dict[str, bytes] = {}
         self.cache_entries = cache_entries
 
-    def ask(self, pieces: list[str]) -> None:
-        if len(self.cache) + len(pieces) > self.cache_entries:
-            self.cache.clear()
-        for piece, e in zip(pieces, self.library.encode_batch_fast(pieces, add_special_tokens=False)):
-            self.cache[piece] = np.array(e.ids, self.item).tobytes()
-
     def encode(self, texts: list[str | None]) -> list[bytes]:
         out = []
         for text in texts:
             pieces = text.replace("\n", " ").split(" ") if text else []
             packed = list(map(self.cache.get, pieces))
             if None in packed:
-                out.append(self.missing(pieces))
-            else:
-                out.append(b"".join(packed))
+                self.fill(pieces, packed)
+            out.append(b"".join(packed))
         return out
 
-    def missing(self, pieces: list[str]) -> bytes:
-        cut = [[p] if p in self.cache else self.runs(p.lower()) if self.plain(p) and "<|" not in p else [p] for p in pieces]
-        unknown = list({r for runs in cut for r in runs if r not in self.cache})
-        if len(unknown) > self.cache_entries // 4:  # a very long text: not through the cache
-            return b"".join(np.array(e.ids, self.item).tobytes() for e in self.library.encode_batch_fast([" ".join(pieces)], add_special_tokens=False))
-        self.ask(unknown)
-        if any(r not in self.cache for runs in cut for r in runs):  # the cache was emptied just now
-            self.ask(list({r for runs in cut for r in runs if r not in self.cache}))
-        whole = [b"".join([self.cache[r] for r in runs]) for runs in cut]
-        for p, ids in zip(pieces, whole):
-            if len(self.cache) < self.cache_entries and len(p) <= 64:
-                self.cache[p] = ids
-        return b"".join(whole)
+    def fill(self, pieces: list[str], packed: list[bytes | None]) -> None:
+        """Put the ids of the pieces that the cache did not have."""
+        at = [i for i, ids in enumerate(packed) if ids is None]
+        cut = {p: self.runs(p.lower()) if self.plain(p) and "<|" not in p else [p] for p in {pieces[i] for i in at}}
+        known = {r: self.cache.get(r) for runs in cut.values() for r in runs}
+        unknown = [r for r, ids in known.items() if ids is None]
+        for r, e in zip(unknown, self.library.encode_batch_fast(unknown, add_special_tokens=False)):
+            known[r] = np.array(e.ids, self.item).tobytes()
+        whole = {p: b"".join([known[r] for r in runs]) for p, runs in cut.items()}
+        for i in at:
+            packed[i] = whole[pieces[i]]
+        if len(self.cache) + len(unknown) + len(whole) > self.cache_entries:
+            self.cache.clear()
+        for new in ({r: known[r] for r in unknown}, whole):
+            if len(self.cache) + len(new) <= self.cache_entries:
+                self.cache.update((p, ids) for p, ids in new.items() if len(p) <= 64)
 
 
 def encoder(path: str) -> PieceEncoder:
