@@ -6,25 +6,28 @@ after; ties keep the order of the universe. Only :func:`limit_deltas` looks at a
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-D = Window.partitionBy("ts")
-NAN = float("nan")
+from quantloom.session import ship_package
+
+def _date():
+    return Window.partitionBy("ts")
 
 
 def _best(descending: bool = True):
-    return D.orderBy(F.desc("score") if descending else F.asc("score"), "universe_idx")
+    return _date().orderBy(F.desc("score") if descending else F.asc("score"), "universe_idx")
 
 
 def scored(scores: DataFrame, universe: DataFrame | None = None, score: str = "score") -> DataFrame:
     """Scores without nulls and NaN; without a universe, symbols are ordered by name."""
     rows = scores.select("ts", "symbol", F.col(score).cast("double").alias("score")).where(F.col("score").isNotNull() & ~F.isnan("score"))
     if universe is None:
-        return rows.withColumn("universe_idx", F.row_number().over(D.orderBy("symbol")) - 1)
+        return rows.withColumn("universe_idx", F.row_number().over(_date().orderBy("symbol")) - 1)
     return rows.join(universe, "symbol")
 
 
@@ -41,24 +44,24 @@ def filter_bottom_n(s: DataFrame, n: int) -> DataFrame:
 
 
 def filter_quantile(s: DataFrame, pct: float, side: str = "top") -> DataFrame:
-    n = F.greatest(F.lit(1), F.floor(F.count("*").over(D) * pct + 0.5))
+    n = F.greatest(F.lit(1), F.floor(F.count("*").over(_date()) * pct + 0.5))
     return s.withColumn("_n", n).withColumn("_rn", F.row_number().over(_best(side == "top"))).where("_rn <= _n").drop("_rn", "_n")
 
 
 def norm_min_max(s: DataFrame, lo: float = 0.0, hi: float = 1.0) -> DataFrame:
-    low, high = F.min("score").over(D), F.max("score").over(D)
+    low, high = F.min("score").over(_date()), F.max("score").over(_date())
     return s.withColumn("score", F.when(low == high, F.lit((lo + hi) / 2)).otherwise(lo + (F.col("score") - low) / F.when(low != high, high - low) * (hi - lo)))
 
 
 def norm_z_score(s: DataFrame) -> DataFrame:
     """Population z-scores; unchanged without deviation."""
-    sd = F.stddev_pop("score").over(D)
-    return s.withColumn("score", F.when(sd == 0, F.col("score")).otherwise((F.col("score") - F.avg("score").over(D)) / F.when(sd != 0, sd)))
+    sd = F.stddev_pop("score").over(_date())
+    return s.withColumn("score", F.when(sd == 0, F.col("score")).otherwise((F.col("score") - F.avg("score").over(_date())) / F.when(sd != 0, sd)))
 
 
 def norm_rank(s: DataFrame) -> DataFrame:
     """Ranks from 0 to 1, ties in order; 0 for a single symbol."""
-    n = F.count("*").over(D)
+    n = F.count("*").over(_date())
     return s.withColumn("score", F.when(n == 1, F.lit(0.0)).otherwise((F.row_number().over(_best(False)) - 1) / F.when(n > 1, n - 1)))
 
 
@@ -67,18 +70,18 @@ def _weights(s: DataFrame, weight) -> DataFrame:
 
 
 def basket_equal(s: DataFrame) -> DataFrame:
-    return _weights(s, 1 / F.count("*").over(D))
+    return _weights(s, 1 / F.count("*").over(_date()))
 
 
 def basket_proportional(s: DataFrame) -> DataFrame:
     """Scores over their sum; dates without a positive sum have no basket."""
-    total = F.sum("score").over(D)
+    total = F.sum("score").over(_date())
     return _weights(s.withColumn("_sum", total).where("_sum > 0"), F.col("score") / F.col("_sum")).drop("_sum")
 
 
 def basket_rank(s: DataFrame) -> DataFrame:
     """Linear weights by rank: the best of n has n shares, the last 1."""
-    n = F.count("*").over(D)
+    n = F.count("*").over(_date())
     return _weights(s, (n - F.row_number().over(_best()) + 1) / (n * (n + 1) / 2))
 
 
@@ -88,11 +91,11 @@ def cap_weight(w: DataFrame, maximum: float) -> DataFrame:
 
     In closed form: with weights in descending order, k of them are capped for the smallest k at which
     the rest, scaled to what is left, stays within the maximum."""
-    by_weight = D.orderBy(F.desc("weight"), "universe_idx")
-    rows = w.withColumn("_k", F.row_number().over(by_weight) - 1).withColumn("_sum", F.sum("weight").over(D)).withColumn("_rest", F.sum("weight").over(by_weight.rowsBetween(0, Window.unboundedFollowing)))
+    by_weight = _date().orderBy(F.desc("weight"), "universe_idx")
+    rows = w.withColumn("_k", F.row_number().over(by_weight) - 1).withColumn("_sum", F.sum("weight").over(_date())).withColumn("_rest", F.sum("weight").over(by_weight.rowsBetween(0, Window.unboundedFollowing)))
     scale = (F.col("_sum") - F.col("_k") * maximum) / F.when(F.col("_rest") > 0, F.col("_rest"))
     fits = F.when(scale * F.col("weight") <= maximum + 1e-15, F.struct(F.col("_k"), scale.alias("c")))
-    found = rows.withColumn("_c", F.min(fits).over(D)["c"])
+    found = rows.withColumn("_c", F.min(fits).over(_date())["c"])
     capped = F.when(F.col("_sum") <= 0, F.col("weight")).when(F.col("_c").isNull(), F.when(F.col("weight") > 0, F.least(F.lit(float(maximum)), F.col("weight") * 0 + maximum)).otherwise(F.lit(0.0))).otherwise(F.least(F.lit(float(maximum)), F.col("_c") * F.col("weight")))
     return found.withColumn("weight", capped).drop("_k", "_sum", "_rest", "_c")
 
@@ -101,20 +104,26 @@ def limit_deltas(w: DataFrame, max_delta: float) -> DataFrame:
     """No weight moves by more than ``max_delta`` from the basket of the date before, which starts empty;
     weights that reach 0 leave.
 
-    A symbol's limited weight depends on its own limited weight before, over all dates with a basket: a
-    clamped walk, computed per symbol over its (at most once per date) targets in order."""
+    A symbol's limited weight depends on its own limited weight before, over all dates with a basket, so
+    each symbol is a stream of its targets in order, with one number of state."""
+    ship_package(w.sparkSession)
     dates = w.select("ts").distinct()
     symbols = w.groupBy("symbol").agg(F.min("ts").alias("_first"), F.first("universe_idx").alias("universe_idx"))
     grid = dates.join(symbols, F.col("ts") >= F.col("_first")).join(w.select("ts", "symbol", "weight"), ["ts", "symbol"], "left")
-    path = grid.groupBy("symbol", "universe_idx").agg(F.sort_array(F.collect_list(F.struct("ts", F.coalesce("weight", F.lit(0.0)).alias("t")))).alias("_path"))
-    start = F.struct(F.lit(0.0).alias("w"), F.expr("cast(array() as array<struct<ts:timestamp,weight:double>>)").alias("out"))
-
-    def step(acc, x):
-        moved = F.greatest(F.lit(0.0), F.greatest(acc["w"] - max_delta, F.least(acc["w"] + max_delta, x["t"])))
-        return F.struct(moved.alias("w"), F.concat(acc["out"], F.array(F.struct(x["ts"].cast("timestamp").alias("ts"), moved.alias("weight")))).alias("out"))
-
-    walked = path.select("symbol", "universe_idx", F.explode(F.aggregate("_path", start, step, lambda acc: acc["out"])).alias("_o"))
-    return walked.select(F.col("_o.ts").alias("ts"), "symbol", "universe_idx", F.col("_o.weight").alias("weight")).where("weight > 0")
+    rows = grid.select("ts", "symbol", "universe_idx", F.coalesce("weight", F.lit(0.0)).alias("weight")).repartition("symbol").sortWithinPartitions("symbol", "ts")
+
+    def walk(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        symbol, held = None, 0.0
+        for pdf in batches:
+            out = []
+            for s, target in zip(pdf["symbol"], pdf["weight"]):
+                if s != symbol:
+                    symbol, held = s, 0.0
+                held = max(0.0, min(held + max_delta, max(held - max_delta, target)))
+                out.append(held)
+            yield pdf.assign(weight=out)
+
+    return rows.mapInPandas(walk, rows.schema).where("weight > 0")
 
 
 #: kind: (function, parameters with the check that each must pass)
