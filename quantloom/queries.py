@@ -117,7 +117,7 @@ ops("core_arithmetic", [
     ("modulo", "Mod", ["n_sub", "n_k2"], {}), ("pow", "Pow", ["volume", "n_k2"], {}), ("least", "Min", ["close", "open"], {}), ("most", "Max", ["close", "open"], {}),
     ("clamped", "Clamp", ["close", "volume", "high"], {}), ("lerped", "Lerp", ["low", "high", "n_k2"], {}), ("place", "InvLerp", ["n_k0", "turnover", "close"], {}),
     ("far", "RelDist", ["n_add", "open"], {}), ("sums", "SumOf", ["open", "high", "low"], {}), ("prod", "ProdOf", ["volume", "n_k2", "volume"], {}), ("mean", "AvgOf", ["open", "high", "low"], {}), ("lowest", "MinOf", ["open", "n_k2", "low"], {}), ("highest", "MaxOf", ["open", "close", "low"], {}),
-], [{"k2": "2.5::DOUBLE", "k0": "0::DOUBLE", "add": "close + open", "sub": "close - open", "mul": "close * 2.5::DOUBLE", "div": "close / volume", "least": "least(close, open)", "most": "greatest(close, open)", "clamped": "greatest(volume, least(high, close))", "lerped": "low + 2.5::DOUBLE * (high - low)", "place": "close / turnover", "sums": "open + high + low", "mean": "(open + high + low) / 3", "lowest": "least(open, 2.5::DOUBLE, low)", "highest": "greatest(open, close, low)", "pow": "pow(volume, 2.5::DOUBLE)", "prod": "volume * 2.5::DOUBLE * volume", "far": "abs(close) / (abs(open) + 2.220446049250313e-16)"}, {"modulo": "fmod(sub, 2.5::DOUBLE)"}])
+], [{"k2": "2.5::DOUBLE", "k0": "0::DOUBLE", "add": "close + open", "sub": "close - open", "mul": "close * 2.5::DOUBLE", "div": "close / volume", "least": "least(close, open)", "most": "greatest(close, open)", "clamped": "greatest(volume, least(high, close))", "lerped": "low + 2.5::DOUBLE * (high - low)", "place": "close / turnover", "sums": "open + high + low", "mean": "(open + high + low) / 3", "lowest": "least(open, 2.5::DOUBLE, low)", "highest": "greatest(open, close, low)", "pow": "pow(volume, 2.5::DOUBLE)", "prod": "volume * 2.5::DOUBLE * volume", "far": "abs(close) / (abs(open) + 2.220446049250313e-16)"}, {"modulo": "sub - 2.5::DOUBLE * trunc(sub / 2.5::DOUBLE)"}])
 
 ops("core_unary", [
     ("d", "Sub", ["close", "open"], {}), ("k", "Const", [], {"value": 0.001}), ("small", "Mul", ["close", "n_k"], {}),
