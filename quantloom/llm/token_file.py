@@ -37,7 +37,7 @@ END_ID = 2
 #: Raw bytes after which a frame is closed.
 FRAME_BYTES = 256 * 1024
 #: Entries of a worker's cache of encoded pieces; it is emptied when full.
-CACHE_ENTRIES = 900_000
+CACHE_ENTRIES = 1_500_000
 
 #: Fixed values of the zstd seekable format.
 SKIPPABLE_INDEX, SKIPPABLE_SEEK, SEEK_FOOTER, CHECKSUM_FLAG = 0x184D2A5D, 0x184D2A5E, 0x8F92EAB1, 0x80
