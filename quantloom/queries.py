@@ -13,7 +13,7 @@ from quantloom.functions import series as fs
 from quantloom.plans import portfolio as pf
 from quantloom.plans.backtest import Costs, Options, equity, run_backtest
 from quantloom.plans.graph import compile_graph
-from quantloom.sources.bars import adjustment_snapshots, bars_from_events, bars_from_lineitem, daily_bars, resample, universe_frame, with_adjustment
+from quantloom.sources.bars import bars_from_events, bars_from_lineitem, daily_bars, resample, universe_frame, with_adjustment
 
 DIGITS, SHIFT = 4, 3.7e-7
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -168,7 +168,6 @@ ops("rolling_ew", [("v", "RollingVarEW", ["close"], {"alpha": 0.15}, "mean", "va
 
 # Online
 
-_RET = [("n_ret", "Sub", ["close", "open"])]
 ops("online_average", [("mean", "CMA", ["close"], {}), ("smooth", "EMA", ["close"], {"period": 12}), ("slow", "EMA", ["close"], {"alpha": 0.03})], [{"mean": f"avg(close) {UPTO}", "smooth": e("close", 12), "slow": ema("close", "0.03")}])
 ops("online_metrics", [("ret", "Sub", ["close", "open"], {}), ("down", "RunningDownStats", ["n_ret"], {}, "mean", "stddev"), ("sharpe", "RunningSharpe", ["n_ret"], {}), ("sortino", "RunningSortino", ["n_ret"], {}), ("wins", "RunningWinRate", ["n_ret"], {}), ("payoff", "RunningGainLoss", ["n_ret"], {}), ("expected", "RunningExpectancy", ["n_ret"], {}), ("factor", "RunningProfitFactor", ["n_ret"], {})],
     [{"ret": "close - open"}, {"n": f"count(*) {UPTO}", "m": f"avg(ret) {UPTO}", "sd": f"stddev_samp(ret) {UPTO}", "nl": f"count(*) FILTER (WHERE ret < 0) {UPTO}", "ng": f"count(*) FILTER (WHERE ret > 0) {UPTO}", "sg": f"coalesce(sum(ret) FILTER (WHERE ret > 0) {UPTO}, 0)", "sl": f"coalesce(sum(ret) FILTER (WHERE ret < 0) {UPTO}, 0)", "dm": f"avg(ret) FILTER (WHERE ret < 0) {UPTO}", "ds": f"stddev_samp(ret) FILTER (WHERE ret < 0) {UPTO}"},
