@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quantloom.llm import hashed_text as ht
-from quantloom.session import ship_package
+from quantloom.session import ship_package, written
 
 #: Fixed word list: terms for groups of people, swapped within each row.
 IDENTITY_TERMS = (
@@ -41,7 +41,9 @@ IDENTITY_TERMS = (
     ("mujeres", "hombres"),
 )
 PREDICT_AT = 0.7
-STEPS, L1, COUNTERFACTUAL = 250, 4e-4, 1.0
+STEPS, L1, COUNTERFACTUAL = 150, 4e-4, 1.0
+#: Training texts in which a feature must occur to have a weight.
+LEAST_TEXTS = 5
 
 
 @dataclass
@@ -92,6 +94,10 @@ def swap_matrix(changes: list[tuple[set[int], set[int]]]) -> tuple[np.ndarray, n
 def fit_rows(starts, index, value, y, changes, steps: int = STEPS) -> ToxicityModel:
     if not len(y) or y.min() == y.max():
         return ToxicityModel(-30.0 if not len(y) or y.max() == 0 else 30.0)
+    often = np.bincount(index, minlength=ht.SIZE) >= LEAST_TEXTS
+    mask = often[index]
+    starts = np.concatenate([[0], np.cumsum(mask)])[starts]
+    index, value = index[mask], value[mask]
     weight = np.where(y == 1, len(y) / (2.0 * max(1, (y == 1).sum())), len(y) / (2.0 * (y == 0).sum())) ** 0.5
     weight /= weight.sum()
     d = swap_matrix(changes)
@@ -120,7 +126,7 @@ def fit_rows(starts, index, value, y, changes, steps: int = STEPS) -> ToxicityMo
 
 
 def fit(docs: DataFrame, labels: DataFrame, rows: int = ht.SAMPLE_ROWS) -> ToxicityModel:
-    sampled = ht.sample(docs, labels, rows, F.col("toxic").cast("int"), ~held_out(F.col("doc_id")))
+    sampled = written(ht.sample(docs, labels, rows, F.col("toxic").cast("int"), ~held_out(F.col("doc_id"))), "sample")
     buckets = ht.Remembered(word_buckets)
     data = ht.collected(sampled, lambda text: features(text, buckets), 2 * rows)
     terms = [t for row in IDENTITY_TERMS for t in row]
