@@ -98,7 +98,7 @@ def fit_rows(starts, index, value, y, changes, steps: int = STEPS) -> ToxicityMo
     mask = often[index]
     starts = np.concatenate([[0], np.cumsum(mask)])[starts]
     index, value = index[mask], value[mask]
-    weight = np.where(y == 1, len(y) / (2.0 * max(1, (y == 1).sum())), len(y) / (2.0 * (y == 0).sum())) ** 0.5
+    weight = np.where(y == 1, len(y) / (2.0 * max(1, (y == 1).sum())), len(y) / (2.0 * (y == 0).sum()))
     weight /= weight.sum()
     d = swap_matrix(changes)
     n_changes = max(1, len(d[0]) - 1)
