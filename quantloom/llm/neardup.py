@@ -6,11 +6,14 @@ words between white space, counted) is at least 0.8; classes are the connected d
 1. One pass over the texts makes the signature's band keys, a 16-bit print of each of its coordinates,
    and a digest. Texts with the same digest are copies: they stand for their smallest doc_id from here on.
 2. Documents that share a band key meet in a bucket. Small buckets compare all their members; larger
-   ones compare every member with the smallest. Candidates whose prints agree far less than linked texts
-   do (four standard deviations) go; the texts of the others are cut into cells and checked exactly.
-3. Members of larger buckets that are apart from their head's class are compared with further members,
-   drawn by hash from the bucket and from those apart, in up to two rounds. So no bucket makes more than
-   a fixed number of pairs per member, however large it is.
+   ones compare every member with the smallest, where labels do not yet agree. Candidates whose prints
+   agree far less than linked texts do (four standard deviations) go; the texts of the others are cut
+   into cells and checked exactly.
+3. Members of larger buckets that still hold several labels are joined by a prefix filter: with cells in
+   one order, rare ones first, linked texts of n and m cells have a common cell before place n - c and
+   m - c, where c is the least number of common cells that the threshold allows. Pairs with the same label
+   are left out, as they cannot change a class. So each pair of a bucket is checked, ruled out by the
+   filter or known to be in one class, however large the bucket is.
 
 Classes come from minimum labels, which each step moves; each step is a written table.
 
@@ -22,6 +25,7 @@ are not looked at; empty tables give empty tables.
 from __future__ import annotations
 
 import hashlib
+import math
 from itertools import count
 
 import numpy as np
@@ -35,9 +39,8 @@ from quantloom.session import ship_package, written
 THRESHOLD = 0.8
 #: Buckets up to this size compare all pairs.
 SMALL = 8
-#: Further members of a bucket, and of its rest, that those apart from the head's class are compared
-#: with in each round, and rounds.
-DRAWS, MAX_ROUNDS = 3, 2
+#: Slots of the table of cell counts, which orders cells by rarity (collisions cost time only).
+COUNT_SLOTS = 1 << 20
 #: Steps of labels along edges before they also jump.
 PLAIN_STEPS = 4
 
@@ -112,56 +115,102 @@ def _alike(n_a: Column, n_b: Column, threshold: float) -> Column:
     return F.least(n_a, n_b) >= F.greatest(n_a, n_b) * F.lit(threshold - 1e-9)
 
 
-def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, text: str = "text") -> DataFrame:
-    """doc_id, class_id (smallest doc_id of the class), n_links (of the document's text, checked pairs)
-    and kept (whether it is the one that stays), one row per input row."""
+def _prefixes(docs: DataFrame, ids: DataFrame, threshold: float, text: str) -> DataFrame:
+    """(id, n, at, cell): the cells of these documents that can be the first common one of a linked pair."""
+    spark = docs.sparkSession
+
+    def cells(texts: pd.Series) -> pd.Series:
+        return pd.Series([dart.cells(dart.normalised(t)).view("i8") for t in texts])
+
+    texts = docs.select(F.col("doc_id").cast("long").alias("id"), F.col(text).cast("string").alias("text")).join(ids.hint("merge"), "id", "left_semi")
+    cut = written(texts.select("id", F.pandas_udf(cells, "array<long>").asNondeterministic()("text").alias("cells")), "all_cells")
+    slots = cut.select(F.explode("cells").alias("cell")).groupBy(F.col("cell").bitwiseAND(COUNT_SLOTS - 1).alias("slot")).count().toArrow()
+    counts = np.zeros(COUNT_SLOTS, "i8")
+    counts[slots["slot"].to_numpy()] = slots["count"].to_numpy()
+    shared = spark.sparkContext.broadcast(counts)
+
+    def prefix(values: pd.Series) -> pd.Series:
+        out = []
+        for v in values:
+            c = np.asarray(v, "i8")
+            order = np.lexsort((c, shared.value[c & (COUNT_SLOTS - 1)]))
+            out.append(c[order[: len(c) - math.ceil(threshold * len(c) - 1e-6) + 1]])
+        return pd.Series(out)
+
+    made = cut.where(F.size("cells") > 0).select("id", F.size("cells").alias("n"), F.pandas_udf(prefix, "array<long>").asNondeterministic()("cells").alias("prefix"))
+    return made.select("id", "n", F.posexplode("prefix").alias("at", "cell"))
+
+
+def _rest_pairs(docs: DataFrame, mixed: DataFrame, threshold: float, text: str) -> DataFrame:
+    """Pairs (a, b) of different labels among (id, label) that may be linked: all that are, and few others."""
+    rows = written(_prefixes(docs, mixed.select("id"), threshold, text).join(mixed, "id"), "prefixes")
+    labels = rows.groupBy("cell", "label").count().groupBy("cell").agg(F.max_by("label", F.struct("count", "label")).alias("main"), F.count("*").alias("n_labels"))
+    rows = written(rows.join(labels.where("n_labels > 1").select("cell", "main"), "cell"), "shared_cells")
+    common = lambda n: F.ceil(F.lit(threshold / (1 + threshold)) * n - 1e-6)
+    # The shorter text needs a shorter prefix; rows of a cell's commonest label do not meet each other.
+    short = rows.where(F.col("at") <= F.col("n") - common(F.col("n") * 2)).select("cell", *[F.col(c).alias(f"{c}_a") for c in ("id", "n", "at", "label", "main")])
+    long = rows.select("cell", *[F.col(c).alias(f"{c}_b") for c in ("id", "n", "at", "label", "main")])
+
+    def met(x: DataFrame, y: DataFrame) -> DataFrame:
+        least = common(F.col("n_a") + F.col("n_b"))
+        ordered = (F.col("n_a") < F.col("n_b")) | ((F.col("n_a") == F.col("n_b")) & (F.col("id_a") < F.col("id_b")))
+        fits = (F.col("at_a") <= F.col("n_a") - least) & (F.col("at_b") <= F.col("n_b") - least)
+        both = x.join(y, (x["cell"] == y["cell"]) & (F.col("label_a") != F.col("label_b")) & ordered & _alike(F.col("n_a"), F.col("n_b"), threshold) & fits)
+        return both.select(F.least("id_a", "id_b").alias("a"), F.greatest("id_a", "id_b").alias("b"))
+
+    return met(short.where("label_a <> main_a"), long).union(met(short.where("label_a = main_a"), long.where("label_b <> main_b"))).distinct()
+
+
+def classes_and_links(docs: DataFrame, threshold: float = THRESHOLD, text: str = "text") -> tuple[DataFrame, DataFrame]:
+    """The rows of ``near_duplicates`` and the verified pairs (a, b, similarity) of texts, each under its
+    smallest doc_id. The pairs span every class; they are not all the links within it."""
     signed = written(signatures(docs, text), "signed")
     groups = signed.where("digest is not null and doc_id is not null").groupBy("digest").agg(F.min("doc_id").alias("rep"), F.count("*").alias("n")).where("n > 1")
     copies = written(signed.select("doc_id", "digest").join(groups, "digest").where("doc_id <> rep").select("doc_id", "rep").distinct(), "copies")
 
     single = signed.where("digest is not null and doc_id is not null").join(copies, "doc_id", "left_anti")
     banded = single.select(F.col("doc_id").alias("id"), F.col("n_cells").alias("n_id"), F.explode("keys").alias("key"))
-    draws = [F.min_by("id", F.xxhash64("id", "key", F.lit(j))) for j in range(DRAWS * MAX_ROUNDS)]
-    buckets = banded.groupBy("key").agg(F.count("*").alias("size"), F.min("id").alias("head"), *[d.alias(f"draw{j}") for j, d in enumerate(draws)]).where("size > 1")
-    buckets = written(buckets, "buckets")
-    members = written(banded.join(buckets.select("key", "size", "head"), "key"), "members")
+    buckets = written(banded.groupBy("key").agg(F.count("*").alias("size"), F.min("id").alias("head")).where("size > 1"), "buckets")
+    members = written(banded.join(buckets, "key"), "members")
 
     few = members.where(F.col("size") <= SMALL).select("key", "id", "n_id")
     other = few.select("key", F.col("id").alias("b"), F.col("n_id").alias("n_b"))
     within = few.withColumnsRenamed({"id": "a", "n_id": "n_a"}).join(other, "key").where("a < b").where(_alike(F.col("n_a"), F.col("n_b"), threshold)).select("a", "b")
-    large = members.where(F.col("size") > SMALL).where("id <> head").select("key", "id", "head")
-    star = large.select(F.col("head").alias("a"), F.col("id").alias("b"))
-    tried = written(within.union(star).distinct(), "pairs")
+    large = members.where(F.col("size") > SMALL).select("key", "id", "head")
+    stars = written(large.where("id <> head").select(F.col("head").alias("a"), F.col("id").alias("b")).distinct(), "stars")
+
+    def apart(pairs: DataFrame, labels: DataFrame) -> DataFrame:
+        both = pairs.join(labels.withColumnsRenamed({"id": "a", "label": "label_a"}), "a", "left").join(labels.withColumnsRenamed({"id": "b", "label": "label_b"}), "b", "left")
+        return both.where(F.coalesce("label_a", "a") != F.coalesce("label_b", "b")).select("a", "b")
+
+    # Every member with the smallest of its heads first, then with heads of other labels.
+    tried = written(within.union(stars.groupBy("b").agg(F.min("a").alias("a")).select("a", "b")).distinct(), "pairs")
     links = written(checked(tried, signed, docs, threshold, text), "links")
     labels = components(links)
+    more = written(apart(stars.join(tried, ["a", "b"], "left_anti"), labels), "more_pairs")
+    if not more.isEmpty():
+        tried, links = tried.union(more), links.union(written(checked(more, signed, docs, threshold, text), "more_links"))
+        labels = components(links)
 
-    # Members of large buckets that are not linked with the head.
-    failed = tried.join(links.select("a", "b"), ["a", "b"], "left_anti")
-    outside = written(large.join(failed.withColumnsRenamed({"a": "head", "b": "id"}), ["head", "id"]), "outside")
-    for round_ in range(MAX_ROUNDS):
-        head_label = labels.select(F.col("id").alias("head"), F.col("label").alias("main"))
-        apart = outside.join(labels, "id", "left").join(head_label, "head", "left").select("key", "id", F.coalesce("label", "id").alias("label")).where(F.col("label") != F.coalesce("main", "head"))
-        apart = written(apart, f"apart{round_}")
-        if apart.isEmpty():
-            break
-        rest = apart.groupBy("key").agg(*[F.min_by("id", F.xxhash64("id", "key", F.lit(100 + round_ * DRAWS + j))).alias(f"rest{j}") for j in range(DRAWS)])
-        drawn = buckets.select("key", *[f"draw{j}" for j in range(round_ * DRAWS, (round_ + 1) * DRAWS)]).join(rest, "key")
-        meet = apart.join(drawn, "key").select("id", "label", F.explode(F.array_distinct(F.array(*[c for c in drawn.columns if c != "key"]))).alias("other"))
-        other_label = labels.select(F.col("id").alias("other"), F.col("label").alias("other_label"))
-        pairs = meet.where("other <> id").distinct().join(other_label, "other", "left").where(F.col("label") != F.coalesce("other_label", "other"))
-        pairs = pairs.select(F.least("id", "other").alias("a"), F.greatest("id", "other").alias("b")).distinct().join(tried, ["a", "b"], "left_anti")
-        pairs = written(pairs, f"pairs{round_}")
-        more = written(checked(pairs, signed, docs, threshold, text), f"links{round_}")
-        if more.isEmpty():
-            break
-        tried, links = tried.union(pairs), links.union(more)
+    labelled = written(large.join(labels, "id", "left").select("key", "id", F.coalesce("label", "id").alias("label")), "labelled")
+    several = labelled.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low <> high").select("key")
+    mixed = written(labelled.join(several, "key").select("id", "label").distinct(), "mixed")
+    if not mixed.isEmpty():
+        rest = written(_rest_pairs(docs, mixed, threshold, text).join(tried, ["a", "b"], "left_anti"), "rest_pairs")
+        links = links.union(written(checked(rest, signed, docs, threshold, text), "rest_links"))
         labels = components(links)
 
-    degree = links.select("a").union(links.select("b")).groupBy(F.col("a").alias("text_id")).agg(F.count("*").alias("n_links"))
     named = signed.select("doc_id").join(copies, "doc_id", "left").select("doc_id", F.coalesce("rep", "doc_id").alias("text_id"))
-    with_class = named.join(labels.withColumnRenamed("id", "text_id").join(degree, "text_id", "left"), "text_id", "left")
     class_id = F.coalesce("label", "text_id")
-    return with_class.select("doc_id", class_id.alias("class_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.coalesce(F.col("doc_id") == class_id, F.lit(True)).alias("kept"))
+    degree = links.select("a").union(links.select("b")).groupBy(F.col("a").alias("text_id")).agg(F.count("*").alias("n_links"))
+    classes = named.join(labels.withColumnRenamed("id", "text_id").join(degree, "text_id", "left"), "text_id", "left").select("doc_id", class_id.alias("class_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.coalesce(F.col("doc_id") == class_id, F.lit(True)).alias("kept"))
+    return classes, links
+
+
+def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, text: str = "text") -> DataFrame:
+    """doc_id, class_id (smallest doc_id of the class), n_links (of verified pairs) and kept (whether it is the one that stays), one row
+    per input row."""
+    return classes_and_links(docs, threshold, text)[0]
 
 
 def keep_one(docs: DataFrame, threshold: float = THRESHOLD, text: str = "text") -> DataFrame:

@@ -463,6 +463,19 @@ def test_near_duplicates_odd_rows(odd):
     assert sorted((x.doc_id for x in neardup.keep_one(odd).collect()), key=str) == sorted([0, 1, 2, 3, 4, 5, None, 8], key=str)
 
 
+def test_near_duplicates_of_large_buckets_equal_brute_force(spark):
+    # Texts of one template, about 0.73 alike; pairs with words of their own are about 0.82 alike.
+    r = random.Random(5)
+    base, texts = [f"t{i}" for i in range(300)], []
+    for _ in range(150):
+        first = edited(r, base, 2).split()
+        texts += [edited(r, first, 3), edited(r, first, 3)]
+    r.shuffle(texts)
+    wanted = brute_classes(texts)
+    assert len(set(wanted.values())) > 100 and sum(c != i for i, c in wanted.items()) > 60
+    assert {x.doc_id: x.class_id for x in neardup.near_duplicates(docs_of(spark, texts)).collect()} == wanted
+
+
 # Registration
 
 
