@@ -202,13 +202,12 @@ def classes_and_links(docs: DataFrame, threshold: float = THRESHOLD, text: str =
 
     named = signed.select("doc_id").join(copies, "doc_id", "left").select("doc_id", F.coalesce("rep", "doc_id").alias("text_id"))
     class_id = F.coalesce("label", "text_id")
-    degree = links.select("a").union(links.select("b")).groupBy(F.col("a").alias("text_id")).agg(F.count("*").alias("n_links"))
-    classes = named.join(labels.withColumnRenamed("id", "text_id").join(degree, "text_id", "left"), "text_id", "left").select("doc_id", class_id.alias("class_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.coalesce(F.col("doc_id") == class_id, F.lit(True)).alias("kept"))
+    classes = named.join(labels.withColumnRenamed("id", "text_id"), "text_id", "left").select("doc_id", class_id.alias("class_id"), F.coalesce(F.col("doc_id") == class_id, F.lit(True)).alias("kept"))
     return classes, links
 
 
 def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, text: str = "text") -> DataFrame:
-    """doc_id, class_id (smallest doc_id of the class), n_links (of verified pairs) and kept (whether it is the one that stays), one row
+    """doc_id, class_id (smallest doc_id of the class) and kept (whether it is the one that stays), one row
     per input row."""
     return classes_and_links(docs, threshold, text)[0]
 

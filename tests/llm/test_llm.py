@@ -476,6 +476,21 @@ def test_near_duplicates_of_large_buckets_equal_brute_force(spark):
     assert {x.doc_id: x.class_id for x in neardup.near_duplicates(docs_of(spark, texts)).collect()} == wanted
 
 
+def test_near_duplicate_links_are_verified_and_span_the_classes(spark):
+    r = random.Random(6)
+    base = [f"w{i}" for i in range(200)]
+    texts = [edited(r, base, 2) for _ in range(40)]
+    rows, links = neardup.classes_and_links(docs_of(spark, texts))
+    assert rows.columns == ["doc_id", "class_id", "kept"]
+    bags, found = [brute_shingles(t) for t in texts], links.collect()
+    for x in found:
+        assert abs(x.similarity - sum((bags[x.a] & bags[x.b]).values()) / sum((bags[x.a] | bags[x.b]).values())) < 1e-12 and x.similarity >= 0.8
+    reached = {0}
+    while more := {i for x in found if (x.a in reached) != (x.b in reached) for i in (x.a, x.b)} - reached:
+        reached |= more
+    assert reached == {i for i, c in brute_classes(texts).items() if c == 0}
+
+
 # Registration
 
 
