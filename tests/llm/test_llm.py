@@ -396,6 +396,18 @@ def test_toxicity_held_out_and_counterfactual(spark, odd, empty, no_labels):
     assert {x.predicted for x in toxicity.score(odd, blank).collect()} == {0} and toxicity.score(empty, blank).count() == 0
 
 
+def test_toxicity_fit_balances_its_residuals():
+    r = np.random.default_rng(3)
+    y = (np.arange(900) % 6 == 0).astype("i8")
+    rows = [np.unique(np.concatenate([r.integers(0, 300, 40), r.integers(300, 330, 2) if t and r.random() < 0.9 else r.integers(0, 300, 2)])) for t in y]
+    starts, index = np.concatenate([[0], np.cumsum([len(x) for x in rows])]), np.concatenate(rows).astype("i4")
+    model = toxicity.fit_rows(starts, index, np.ones(len(index), "f4"), y, [])
+    score = np.array([model.intercept + sum(model.weights.get(int(i), 0.0) for i in x) for x in rows])
+    weight = np.where(y == 1, 0.5 / (y == 1).sum(), 0.5 / (y == 0).sum())
+    g = weight * (1 / (1 + np.exp(-score)) - y)
+    assert abs(g.sum()) < 2e-4  # 0 where the intercept is at its best
+
+
 # Near duplicates
 
 
