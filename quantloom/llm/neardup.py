@@ -3,30 +3,35 @@
 Two documents are linked if the weighted Jaccard similarity of their five-word shingles (lower case,
 words between white space, counted) is at least 0.8; classes are the connected documents.
 
-1. One pass over the texts makes the signature's band keys, a 16-bit print of each of its coordinates,
-   and a digest. Texts with the same digest are copies: they stand for their smallest doc_id from here on.
-2. Documents that share a band key meet in a bucket. Small buckets compare all their members; larger
-   ones compare every member with the smallest, where labels do not yet agree. Candidates whose prints
-   agree far less than linked texts do (four standard deviations) go; the texts of the others are cut
-   into cells and checked exactly.
-3. Members of larger buckets that still hold several labels are joined by a prefix filter: with cells in
+1. One pass over the texts numbers the rows and makes the signature's band keys, a 16-bit print of each
+   of its coordinates, and a digest of the words. Rows of one digest are one text, named by its smallest
+   row number. Row numbers, not doc_ids, are the keys of all later steps, so that different texts under
+   one doc_id stay apart.
+2. Texts that share a band key meet in a bucket. First every text is checked with one of its buckets'
+   smallest members only, which already joins large groups of near copies at a pair a member.
+3. Where a bucket still holds several classes, its members are checked with its smallest one, and in
+   small buckets with each other, unless they are in one class by now.
+4. Members of larger buckets that still hold several classes are joined by a prefix filter: with cells in
    one order, rare ones first, linked texts of n and m cells have a common cell before place n - c and
-   m - c, where c is the least number of common cells that the threshold allows. Pairs with the same label
-   are left out, as they cannot change a class. So each pair of a bucket is checked, ruled out by the
-   filter or known to be in one class, however large the bucket is.
+   m - c, where c is the least number of common cells that the threshold allows.
 
-Classes come from minimum labels, which each step moves; each step is a written table.
+So each pair of a bucket is checked, ruled out by an exact filter, or known to be in one class, however
+large the bucket is. Checks are exact; before them go pairs whose prints agree ``deviations`` standard
+deviations less often than those of linked texts (``deviations=None`` checks every pair).
+
+The class of a text is found by contraction: texts point to their smallest neighbour, pointers are
+followed to their ends, and links between ends are what the next turn works on.
 
 Edge cases: documents without words (null, empty, white space) are never linked; fewer than five words
-are one shingle; repeated rows of a doc_id share a class; a null doc_id has a null class; other columns
-are not looked at; empty tables give empty tables.
+are one shingle; texts of any length are taken whole; repeated rows share a class and one of them stays;
+different texts under one doc_id are judged apart; a null doc_id comes after all others, and a class of
+null ids only has a null class_id; other columns are not looked at; empty tables give empty tables.
 """
 
 from __future__ import annotations
 
 import hashlib
 import math
-from itertools import count
 
 import numpy as np
 import pandas as pd
@@ -37,16 +42,19 @@ from quantloom.llm import dartminhash as dart
 from quantloom.session import ship_package, written
 
 THRESHOLD = 0.8
-#: Buckets up to this size compare all pairs.
+#: Standard deviations that the agreement of prints may lie below the threshold.
+DEVIATIONS = 4.0
+#: Buckets up to this size compare all pairs of different classes; larger ones take the prefix filter.
 SMALL = 8
 #: Slots of the table of cell counts, which orders cells by rarity (collisions cost time only).
 COUNT_SLOTS = 1 << 20
-#: Steps of labels along edges before they also jump.
-PLAIN_STEPS = 4
+#: A null doc_id in the order of ids.
+LAST = (1 << 63) - 1
 
 
-def signatures(docs: DataFrame, text: str = "text") -> DataFrame:
-    """doc_id, digest, n_cells, keys (one per band) and prints (16 bits per coordinate, packed)."""
+def signatures(docs: DataFrame, text: str = "text", columns: list[str] | None = None) -> DataFrame:
+    """row, doc_id, doc (a struct of ``columns``; the text alone by default), digest, n_cells, keys (one
+    per band) and prints (16 bits per coordinate, packed). Write it before using row numbers twice."""
     ship_package(docs.sparkSession)
 
     def run(texts: pd.Series) -> pd.DataFrame:
@@ -62,69 +70,100 @@ def signatures(docs: DataFrame, text: str = "text") -> DataFrame:
         return pd.DataFrame(rows, columns=["digest", "n_cells", "keys", "prints"])
 
     made = F.pandas_udf(run, "digest binary, n_cells int, keys array<long>, prints binary").asNondeterministic()
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), made(F.col(text).cast("string")).alias("made")).select("doc_id", "made.*")
+    kept = F.struct(*[F.col(f"`{c}`") for c in columns or [text]])
+    rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("long").alias("doc_id"), kept.alias("doc"))
+    return rows.select("row", "doc_id", "doc", made(F.col("doc").getField(text).cast("string")).alias("made")).select("row", "doc_id", "doc", "made.*")
+
+
+def _same_texts(signed: DataFrame) -> DataFrame:
+    """(row, id) of all rows whose text occurs more than once; id is its smallest row.
+
+    A text can hold any share of the rows, so its rows are dealt over salts before they are looked up."""
+    salts = int(signed.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = signed.where("digest is not null").select("row", "digest", F.pmod(F.xxhash64("row"), F.lit(salts)).cast("int").alias("salt"))
+    parts = written(dealt.groupBy("digest", "salt").agg(F.min("row").alias("low"), F.count("*").alias("n")), "parts")
+    several = written(parts.groupBy("digest").agg(F.min("low").alias("id"), F.sum("n").alias("n")).where("n > 1").select("digest", "id"), "several")
+    spread = written(parts.select("digest", "salt").join(several, "digest"), "spread")
+    return dealt.join(spread, ["digest", "salt"]).select("row", "id")
+
+
+def _alike(n_a: Column, n_b: Column, threshold: float) -> Column:
+    """Sizes that a similarity of the threshold allows."""
+    return F.least(n_a, n_b) >= F.greatest(n_a, n_b) * F.lit(threshold - 1e-9)
 
 
-def checked(pairs: DataFrame, signed: DataFrame, docs: DataFrame, threshold: float, text: str) -> DataFrame:
-    """The pairs (a, b) whose similarity reaches the threshold, with it."""
-    least = threshold - 4 * (threshold * (1 - threshold) / dart.COORDINATES) ** 0.5
+def checked(pairs: DataFrame, prints: DataFrame, cut: DataFrame, threshold: float, deviations: float | None) -> DataFrame:
+    """The pairs (a, b, ...) whose similarity reaches the threshold, with it. ``prints`` has (id, n,
+    prints), ``cut`` (id, cells)."""
 
     def agreement(a: pd.Series, b: pd.Series) -> pd.Series:
         return pd.Series([float(np.mean(np.frombuffer(x, "<u2") == np.frombuffer(y, "<u2"))) for x, y in zip(a, b)], dtype="float64")
 
-    def cells(texts: pd.Series) -> pd.Series:
-        return pd.Series([dart.cells(dart.normalised(t)).tobytes() for t in texts])
-
     def similarity(a: pd.Series, b: pd.Series) -> pd.Series:
-        return pd.Series([dart.similarity(np.frombuffer(x, "u8"), np.frombuffer(y, "u8")) for x, y in zip(a, b)], dtype="float64")
+        return pd.Series([dart.similarity(np.asarray(x, "i8"), np.asarray(y, "i8")) for x, y in zip(a, b)], dtype="float64")
 
-    def measured(some: DataFrame, values: DataFrame, what, measure) -> DataFrame:
-        side = lambda name: values.select(F.col("doc_id").alias(name), F.col(what).alias(f"value_{name}"))
-        both = some.join(side("a"), "a").join(side("b"), "b")
-        return both.select("a", "b", F.pandas_udf(measure, "double").asNondeterministic()("value_a", "value_b").alias("similarity"))
+    def both(some: DataFrame, values: DataFrame) -> DataFrame:
+        side = lambda end: values.select(*[F.col(c).alias(end if c == "id" else f"{c}_{end}") for c in values.columns])
+        return some.join(side("a"), "a").join(side("b"), "b")
 
-    likely = written(measured(pairs, signed.where("prints is not null"), "prints", agreement).where(F.col("similarity") >= least).select("a", "b").distinct(), "likely")
-    # The number of likely documents has no bound, so they are never broadcast.
-    ids = likely.select(F.col("a").alias("doc_id")).union(likely.select("b")).distinct()
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(text).cast("string").alias("text")).join(ids.hint("merge"), "doc_id", "left_semi")
-    cut = written(texts.select("doc_id", F.pandas_udf(cells, "binary").asNondeterministic()("text").alias("cells")), "cells")
-    return measured(likely, cut, "cells", similarity).where(F.col("similarity") >= threshold)
+    likely = both(pairs, prints).where(_alike(F.col("n_a"), F.col("n_b"), threshold))
+    if deviations is not None:
+        least = threshold - deviations * (threshold * (1 - threshold) / dart.COORDINATES) ** 0.5
+        likely = likely.where(F.pandas_udf(agreement, "double").asNondeterministic()("prints_a", "prints_b") >= least)
+    likely = written(likely.select(*pairs.columns), "likely")
+    measured = both(likely, cut).select(*pairs.columns, F.pandas_udf(similarity, "double").asNondeterministic()("cells_a", "cells_b").alias("similarity"))
+    return written(measured.where(F.col("similarity") >= threshold), "links")
 
 
 def components(edges: DataFrame) -> DataFrame:
     """(id, label) for every end of an edge (a, b): the smallest id that is connected with it.
 
-    Labels move along edges; where that has not ended after a few steps, they also jump to their label's
-    label, so long chains take a logarithmic number of steps."""
-    both = written(edges.select("a", "b").union(edges.select(F.col("b"), F.col("a"))), "edges")
-    labels = written(both.groupBy(F.col("a").alias("id")).agg(F.least(F.min("b"), F.first("a")).alias("label")), "labels")
-    for step in count(1):
-        near = both.join(labels.withColumnRenamed("id", "b"), "b").groupBy(F.col("a").alias("id")).agg(F.min("label").alias("near"))
-        moved = labels.join(near, "id").select("id", F.col("label").alias("was"), F.least("label", "near").alias("to"))
-        if step > PLAIN_STEPS:
-            jump = labels.select(F.col("id").alias("to"), F.col("label").alias("further"))
-            moved = moved.join(jump, "to").select("id", "was", F.least("to", "further").alias("to"))
-        moved = written(moved, "labels")
-        labels = moved.select("id", F.col("to").alias("label"))
-        if moved.where("was <> to").isEmpty():
+    A turn leaves one node of each neighbourhood's minimum, at most half of those with an edge."""
+    labels = None
+    while True:
+        low = edges.select("a", "b").union(edges.select("b", "a")).groupBy("a").agg(F.min("b").alias("low"))
+        parents = written(low.select(F.col("a").alias("id"), F.least("a", "low").alias("to")), "parents")
+        while True:
+            up = parents.select(F.col("id").alias("to"), F.col("to").alias("further"))
+            jumped = written(parents.join(up, "to").select("id", F.col("further").alias("to"), (F.col("to") != F.col("further")).alias("moved")), "parents")
+            parents = jumped.select("id", "to")
+            if jumped.where("moved").isEmpty():
+                break
+        labels = parents.withColumnRenamed("to", "label") if labels is None else relabelled(labels, parents.withColumnRenamed("to", "label"))
+        end = lambda c: parents.select(F.col("id").alias(c), F.col("to").alias(f"root_{c}"))
+        edges = written(edges.join(end("a"), "a").join(end("b"), "b").where("root_a <> root_b").select(F.col("root_a").alias("a"), F.col("root_b").alias("b")).distinct(), "edges")
+        if edges.isEmpty():
             return labels
 
 
-def _alike(n_a: Column, n_b: Column, threshold: float) -> Column:
-    """Sizes that a similarity of the threshold allows."""
-    return F.least(n_a, n_b) >= F.greatest(n_a, n_b) * F.lit(threshold - 1e-9)
+def relabelled(labels: DataFrame, more: DataFrame) -> DataFrame:
+    """Labels (id, label) after the labels themselves, and ids without one, got new ones in ``more``."""
+    moved = labels.join(more.select(F.col("id").alias("label"), F.col("label").alias("to")), "label", "left").select("id", F.coalesce("to", "label").alias("label"))
+    return written(moved.union(more.join(labels.select("id"), "id", "left_anti").select("id", "label")), "labels")
 
 
-def _prefixes(docs: DataFrame, ids: DataFrame, threshold: float, text: str) -> DataFrame:
-    """(id, n, at, cell): the cells of these documents that can be the first common one of a linked pair."""
-    spark = docs.sparkSession
+def _mixed(members: DataFrame, labels: DataFrame) -> DataFrame:
+    """The members of buckets that hold several classes, with their label and that of the bucket's head."""
+    labelled = written(members.join(labels, "id", "left").withColumn("label", F.coalesce("label", "id")), "labelled")
+    found = labelled.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.max(F.when(F.col("id") == F.col("head"), F.col("label"))).alias("head_label"))
+    return written(labelled.join(written(found.where("low <> high").select("key", "head_label"), "keys"), "key"), "mixed")
+
+
+def _bucket_pairs(mixed: DataFrame, threshold: float) -> DataFrame:
+    """Pairs (a, b) with labels of their own: of large buckets head and member, of small ones all."""
+    heads = mixed.where((F.col("size") > SMALL) & (F.col("label") != F.col("head_label"))).select(F.col("head").alias("a"), F.col("id").alias("b"), F.col("head_label").alias("label_a"), F.col("label").alias("label_b"))
+    few = mixed.where(F.col("size") <= SMALL)
+    end = lambda c: few.select("key", F.col("id").alias(c), F.col("n").alias(f"n_{c}"), F.col("label").alias(f"label_{c}"))
+    within = end("a").join(end("b"), "key").where((F.col("a") < F.col("b")) & (F.col("label_a") != F.col("label_b")) & _alike(F.col("n_a"), F.col("n_b"), threshold))
+    return heads.union(within.select("a", "b", "label_a", "label_b")).distinct()
 
-    def cells(texts: pd.Series) -> pd.Series:
-        return pd.Series([dart.cells(dart.normalised(t)).view("i8") for t in texts])
 
-    texts = docs.select(F.col("doc_id").cast("long").alias("id"), F.col(text).cast("string").alias("text")).join(ids.hint("merge"), "id", "left_semi")
-    cut = written(texts.select("id", F.pandas_udf(cells, "array<long>").asNondeterministic()("text").alias("cells")), "all_cells")
-    slots = cut.select(F.explode("cells").alias("cell")).groupBy(F.col("cell").bitwiseAND(COUNT_SLOTS - 1).alias("slot")).count().toArrow()
+def _prefixes(cut: DataFrame, ids: DataFrame, threshold: float) -> DataFrame:
+    """(id, n, at, cell): the cells of these texts that can be the first common one of a linked pair."""
+    spark = cut.sparkSession
+    some = written(cut.join(ids, "id", "left_semi"), "some_cells")
+    # at most COUNT_SLOTS numbers, whatever the input
+    slots = some.select(F.explode("cells").alias("cell")).groupBy(F.col("cell").bitwiseAND(COUNT_SLOTS - 1).alias("slot")).count().toArrow()
     counts = np.zeros(COUNT_SLOTS, "i8")
     counts[slots["slot"].to_numpy()] = slots["count"].to_numpy()
     shared = spark.sparkContext.broadcast(counts)
@@ -137,15 +176,15 @@ def _prefixes(docs: DataFrame, ids: DataFrame, threshold: float, text: str) -> D
             out.append(c[order[: len(c) - math.ceil(threshold * len(c) - 1e-6) + 1]])
         return pd.Series(out)
 
-    made = cut.where(F.size("cells") > 0).select("id", F.size("cells").alias("n"), F.pandas_udf(prefix, "array<long>").asNondeterministic()("cells").alias("prefix"))
+    made = some.select("id", F.size("cells").alias("n"), F.pandas_udf(prefix, "array<long>").asNondeterministic()("cells").alias("prefix"))
     return made.select("id", "n", F.posexplode("prefix").alias("at", "cell"))
 
 
-def _rest_pairs(docs: DataFrame, mixed: DataFrame, threshold: float, text: str) -> DataFrame:
+def _rest_pairs(cut: DataFrame, mixed: DataFrame, threshold: float) -> DataFrame:
     """Pairs (a, b) of different labels among (id, label) that may be linked: all that are, and few others."""
-    rows = written(_prefixes(docs, mixed.select("id"), threshold, text).join(mixed, "id"), "prefixes")
+    rows = written(_prefixes(cut, mixed.select("id"), threshold).join(mixed, "id"), "prefixes")
     labels = rows.groupBy("cell", "label").count().groupBy("cell").agg(F.max_by("label", F.struct("count", "label")).alias("main"), F.count("*").alias("n_labels"))
-    rows = written(rows.join(labels.where("n_labels > 1").select("cell", "main"), "cell"), "shared_cells")
+    rows = written(rows.join(written(labels.where("n_labels > 1").select("cell", "main"), "mains"), "cell"), "shared_cells")
     common = lambda n: F.ceil(F.lit(threshold / (1 + threshold)) * n - 1e-6)
     # The shorter text needs a shorter prefix; rows of a cell's commonest label do not meet each other.
     short = rows.where(F.col("at") <= F.col("n") - common(F.col("n") * 2)).select("cell", *[F.col(c).alias(f"{c}_a") for c in ("id", "n", "at", "label", "main")])
@@ -156,68 +195,80 @@ def _rest_pairs(docs: DataFrame, mixed: DataFrame, threshold: float, text: str)
         ordered = (F.col("n_a") < F.col("n_b")) | ((F.col("n_a") == F.col("n_b")) & (F.col("id_a") < F.col("id_b")))
         fits = (F.col("at_a") <= F.col("n_a") - least) & (F.col("at_b") <= F.col("n_b") - least)
         both = x.join(y, (x["cell"] == y["cell"]) & (F.col("label_a") != F.col("label_b")) & ordered & _alike(F.col("n_a"), F.col("n_b"), threshold) & fits)
-        return both.select(F.least("id_a", "id_b").alias("a"), F.greatest("id_a", "id_b").alias("b"))
+        turned = F.col("id_a") > F.col("id_b")
+        swap = lambda x, y: F.when(turned, F.col(y)).otherwise(F.col(x))
+        return both.select(swap("id_a", "id_b").alias("a"), swap("id_b", "id_a").alias("b"), swap("label_a", "label_b").alias("label_a"), swap("label_b", "label_a").alias("label_b"))
 
     return met(short.where("label_a <> main_a"), long).union(met(short.where("label_a = main_a"), long.where("label_b <> main_b"))).distinct()
 
 
-def classes_and_links(docs: DataFrame, threshold: float = THRESHOLD, text: str = "text") -> tuple[DataFrame, DataFrame]:
-    """The rows of ``near_duplicates`` and the verified pairs (a, b, similarity) of texts, each under its
-    smallest doc_id. The pairs span every class; they are not all the links within it."""
-    signed = written(signatures(docs, text), "signed")
-    groups = signed.where("digest is not null and doc_id is not null").groupBy("digest").agg(F.min("doc_id").alias("rep"), F.count("*").alias("n")).where("n > 1")
-    copies = written(signed.select("doc_id", "digest").join(groups, "digest").where("doc_id <> rep").select("doc_id", "rep").distinct(), "copies")
-
-    single = signed.where("digest is not null and doc_id is not null").join(copies, "doc_id", "left_anti")
-    banded = single.select(F.col("doc_id").alias("id"), F.col("n_cells").alias("n_id"), F.explode("keys").alias("key"))
+def _classes(signed: DataFrame, threshold: float, text: str, deviations: float | None) -> tuple[DataFrame, DataFrame]:
+    """(row, doc_id, class_id, kept) of every row, and the verified pairs (a, b, similarity) of texts."""
+    same = written(_same_texts(signed), "same")
+    single = signed.where("digest is not null").join(same.where("row <> id").select("row"), "row", "left_anti")
+    banded = single.select(F.col("row").alias("id"), F.col("n_cells").alias("n"), F.explode("keys").alias("key"))
     buckets = written(banded.groupBy("key").agg(F.count("*").alias("size"), F.min("id").alias("head")).where("size > 1"), "buckets")
     members = written(banded.join(buckets, "key"), "members")
+    nodes = written(members.select("id").distinct(), "nodes")
+
+    def cells(texts: pd.Series) -> pd.Series:
+        return pd.Series([dart.cells(dart.normalised(t)).view("i8") for t in texts])
+
+    # The number of texts with a partner has no bound, so they are never broadcast.
+    partners = signed.select(F.col("row").alias("id"), F.col("doc").getField(text).cast("string").alias("text")).join(nodes.hint("merge"), "id", "left_semi")
+    cut = written(partners.select("id", F.pandas_udf(cells, "array<long>").asNondeterministic()("text").alias("cells")), "cells")
+    prints = written(signed.select(F.col("row").alias("id"), F.col("n_cells").alias("n"), "prints").join(nodes.hint("merge"), "id", "left_semi"), "prints")
+
+    tried = written(members.where("id <> head").groupBy(F.col("id").alias("b")).agg(F.min("head").alias("a")).select("a", "b"), "pairs")
+    links = checked(tried, prints, cut, threshold, deviations)
+    labels, found = components(links), [links]
+
+    def search(pairs: DataFrame) -> None:
+        nonlocal labels, tried
+        pairs = written(pairs.join(tried, ["a", "b"], "left_anti"), "pairs")
+        if pairs.isEmpty():
+            return
+        more = checked(pairs, prints, cut, threshold, deviations)
+        labels, tried = relabelled(labels, components(more.select(F.col("label_a").alias("a"), F.col("label_b").alias("b")))), tried.union(pairs.select("a", "b"))
+        found.append(more)
+
+    mixed = _mixed(members, labels)
+    search(_bucket_pairs(mixed, threshold))
+    large = mixed.where(F.col("size") > SMALL).select("key", "id", "n", "size", "head")
+    if not large.isEmpty():
+        rest = written(_mixed(large, labels).select("id", "label").distinct(), "rest")
+        if not rest.isEmpty():
+            search(_rest_pairs(cut, rest, threshold))
+
+    placed = signed.select("row", "doc_id").join(same, "row", "left").withColumn("id", F.coalesce("id", "row")).join(labels, "id", "left")
+    placed = written(placed.select("row", "doc_id", F.coalesce("label", "id").alias("label")), "placed")
+    order = F.coalesce("doc_id", F.lit(LAST))
+    names = written(placed.groupBy("label").agg(F.min("doc_id").alias("class_id"), F.min_by("row", order).alias("stays")), "names")
+    classes = placed.join(names, "label").select("row", "doc_id", "class_id", (F.col("row") == F.col("stays")).alias("kept"))
+    spanning = found[0].select("a", "b", "similarity")
+    for more in found[1:]:
+        spanning = spanning.union(more.select("a", "b", "similarity"))
+    return classes, spanning
+
+
+def classes_and_links(docs: DataFrame, threshold: float = THRESHOLD, text: str = "text", deviations: float | None = DEVIATIONS) -> tuple[DataFrame, DataFrame]:
+    """The rows of :func:`near_duplicates` and the verified pairs of texts (a, b: the doc_id of one row of
+    each; similarity). The pairs span every class; they are not all the links within it."""
+    signed = written(signatures(docs, text), "signed")
+    classes, links = _classes(signed, threshold, text, deviations)
+    end = lambda c: signed.select(F.col("row").alias(c), F.col("doc_id").alias(f"doc_{c}"))
+    named = links.join(end("a"), "a").join(end("b"), "b").select(F.col("doc_a").alias("a"), F.col("doc_b").alias("b"), "similarity")
+    return classes.drop("row"), named
 
-    few = members.where(F.col("size") <= SMALL).select("key", "id", "n_id")
-    other = few.select("key", F.col("id").alias("b"), F.col("n_id").alias("n_b"))
-    within = few.withColumnsRenamed({"id": "a", "n_id": "n_a"}).join(other, "key").where("a < b").where(_alike(F.col("n_a"), F.col("n_b"), threshold)).select("a", "b")
-    large = members.where(F.col("size") > SMALL).select("key", "id", "head")
-    stars = written(large.where("id <> head").select(F.col("head").alias("a"), F.col("id").alias("b")).distinct(), "stars")
-
-    def apart(pairs: DataFrame, labels: DataFrame) -> DataFrame:
-        both = pairs.join(labels.withColumnsRenamed({"id": "a", "label": "label_a"}), "a", "left").join(labels.withColumnsRenamed({"id": "b", "label": "label_b"}), "b", "left")
-        return both.where(F.coalesce("label_a", "a") != F.coalesce("label_b", "b")).select("a", "b")
-
-    # Every member with the smallest of its heads first, then with heads of other labels.
-    tried = written(within.union(stars.groupBy("b").agg(F.min("a").alias("a")).select("a", "b")).distinct(), "pairs")
-    links = written(checked(tried, signed, docs, threshold, text), "links")
-    labels = components(links)
-    more = written(apart(stars.join(tried, ["a", "b"], "left_anti"), labels), "more_pairs")
-    if not more.isEmpty():
-        tried, links = tried.union(more), links.union(written(checked(more, signed, docs, threshold, text), "more_links"))
-        labels = components(links)
-
-    labelled = written(large.join(labels, "id", "left").select("key", "id", F.coalesce("label", "id").alias("label")), "labelled")
-    several = labelled.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low <> high").select("key")
-    mixed = written(labelled.join(several, "key").select("id", "label").distinct(), "mixed")
-    if not mixed.isEmpty():
-        rest = written(_rest_pairs(docs, mixed, threshold, text).join(tried, ["a", "b"], "left_anti"), "rest_pairs")
-        links = links.union(written(checked(rest, signed, docs, threshold, text), "rest_links"))
-        labels = components(links)
-
-    named = signed.select("doc_id").join(copies, "doc_id", "left").select("doc_id", F.coalesce("rep", "doc_id").alias("text_id"))
-    class_id = F.coalesce("label", "text_id")
-    classes = named.join(labels.withColumnRenamed("id", "text_id"), "text_id", "left").select("doc_id", class_id.alias("class_id"), F.coalesce(F.col("doc_id") == class_id, F.lit(True)).alias("kept"))
-    return classes, links
-
-
-def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, text: str = "text") -> DataFrame:
-    """doc_id, class_id (smallest doc_id of the class) and kept (whether it is the one that stays), one row
+
+def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, text: str = "text", deviations: float | None = DEVIATIONS) -> DataFrame:
+    """doc_id, class_id (smallest doc_id of the class) and kept (whether it is the row that stays), one row
     per input row."""
-    return classes_and_links(docs, threshold, text)[0]
-
-
-def keep_one(docs: DataFrame, threshold: float = THRESHOLD, text: str = "text") -> DataFrame:
-    """One document of each class (its smallest doc_id), with all columns; one row of each doc_id."""
-    gone = written(near_duplicates(docs, threshold, text).where("not kept").select(F.col("doc_id").alias("_gone")).distinct(), "gone")
-    left = docs.join(gone, F.col("doc_id").cast("long") == F.col("_gone"), "left_anti")
-    repeated = written(docs.where("doc_id is not null").groupBy(F.col("doc_id").alias("_id")).count().where("count > 1").select("_id"), "repeated")
-    if repeated.isEmpty():
-        return left
-    again = left.join(repeated, F.col("doc_id") == F.col("_id"), "left_semi").dropDuplicates(["doc_id"])
-    return left.join(repeated, F.col("doc_id") == F.col("_id"), "left_anti").unionByName(again)
+    return _classes(written(signatures(docs, text), "signed"), threshold, text, deviations)[0].drop("row")
+
+
+def keep_one(docs: DataFrame, threshold: float = THRESHOLD, text: str = "text", deviations: float | None = DEVIATIONS) -> DataFrame:
+    """One row of each class (of its smallest doc_id), with all columns."""
+    signed = written(signatures(docs, text, docs.columns), "signed")
+    gone = written(_classes(signed, threshold, text, deviations)[0].where("not kept").select("row"), "gone")
+    return signed.select("row", "doc").join(gone, "row", "left_anti").select(*[F.col("doc").getField(c).alias(c) for c in docs.columns])

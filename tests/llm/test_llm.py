@@ -471,10 +471,38 @@ def test_near_duplicates_equal_brute_force(spark, empty):
 def test_near_duplicates_odd_rows(odd):
     rows = neardup.near_duplicates(odd).collect()
     assert len(rows) == odd.count()
-    assert {x.class_id for x in rows if x.doc_id in (5, 6)} == {5}
+    assert {x.class_id for x in rows if x.doc_id in (5, 6)} == {5} and sum(x.kept for x in rows) == 8
     assert sorted((x.doc_id for x in neardup.keep_one(odd).collect()), key=str) == sorted([0, 1, 2, 3, 4, 5, None, 8], key=str)
 
 
+def test_near_duplicates_of_repeated_ids_and_rows(spark):
+    r = random.Random(21)
+    a, b = ([f"{k}{r.randrange(10**6)}" for _ in range(60)] for k in "ab")
+    texts = [(1, " ".join(a)), (2, " ".join(b)), (5, " ".join(a)), (5, " ".join(b)), (6, edited(r, b, 1)), (6, edited(r, b, 1)), (9, "alone here"), (9, "quite another text"), (None, " ".join(a)), (None, "no id"), (None, "no id"), (7, None), (7, None)]
+    docs = docs_of(spark, [t for _, t in texts], [i for i, _ in texts])
+    rows = neardup.near_duplicates(docs).collect()
+    assert sorted((x.doc_id, x.class_id) for x in rows if x.doc_id is not None) == [(1, 1), (2, 2), (5, 1), (5, 2), (6, 2), (6, 2), (7, 7), (7, 7), (9, 9), (9, 9)]
+    assert sorted(str(x.class_id) for x in rows if x.doc_id is None) == ["1", "None", "None"]
+    stay = [(x.doc_id, x.text) for x in neardup.keep_one(docs).collect()]
+    assert sorted(stay, key=str) == sorted([texts[0], texts[1], *texts[6:8], texts[9], *texts[11:]], key=str)
+    clash = docs.select("doc_id", "text", *[F.lit(1).alias(c) for c in ("row", "doc", "id", "a", "b", "key", "digest", "keys", "_gone", "_id", "kept", "class_id")])
+    assert neardup.keep_one(clash).columns == clash.columns and neardup.keep_one(clash).count() == len(stay)
+    assert neardup.near_duplicates(clash).count() == len(texts)
+
+
+def test_components_of_chains_stars_and_repeats(spark):
+    r = random.Random(2)
+    order = list(range(200))
+    chain = list(zip(range(300), range(1, 301)))
+    r.shuffle(order)
+    mixed = [(1000 + x, 1000 + y) for x, y in zip(order, order[1:])]
+    star = [(5000, 5000 + i) for i in range(1, 90)] * 2
+    edges = chain + mixed + star + [(9000, 9001)]
+    got = {x.id: x.label for x in neardup.components(spark.createDataFrame(edges, "a long, b long")).collect()}
+    assert got == {**{i: 0 for i in range(301)}, **{1000 + i: 1000 for i in range(200)}, **{5000 + i: 5000 for i in range(90)}, 9000: 9000, 9001: 9000}
+    assert neardup.components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
 def test_near_duplicates_of_large_buckets_equal_brute_force(spark):
     # Texts of one template, about 0.73 alike; pairs with words of their own are about 0.82 alike.
     r = random.Random(5)
@@ -486,6 +514,7 @@ def test_near_duplicates_of_large_buckets_equal_brute_force(spark):
     wanted = brute_classes(texts)
     assert len(set(wanted.values())) > 100 and sum(c != i for i, c in wanted.items()) > 60
     assert {x.doc_id: x.class_id for x in neardup.near_duplicates(docs_of(spark, texts)).collect()} == wanted
+    assert {x.doc_id: x.class_id for x in neardup.near_duplicates(docs_of(spark, texts), deviations=None).collect()} == wanted
 
 
 def test_near_duplicate_links_are_verified_and_span_the_classes(spark):
