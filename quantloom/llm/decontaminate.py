@@ -6,10 +6,12 @@ automaton holds the windows as byte strings framed by spaces, so that a match is
 the places of the spaces map it back to words and to offsets in the original text.
 
 The windows are collected and broadcast in shards of at most ``SHARD_CHARS`` of item text. One shard
-is the rule; a benchmark beyond it is scanned shard by shard and the hits of a document are merged.
+is the rule; with more, every row is scanned by each of them, one shard after the other, and what they
+find is merged by row number, which a row has once in each shard.
 
-Edge cases: null and empty text have no words; items without words have no window; equal windows of
-several items count for each; repeated documents are each judged; other columns are not looked at.
+Edge cases: null and empty text have no words; texts of any length are scanned whole; items without words
+have no window; equal windows of several items count for each; repeated documents are each judged; other
+columns are not looked at; an empty benchmark finds nothing; empty tables give empty tables.
 """
 
 from __future__ import annotations
@@ -23,10 +25,10 @@ import ahocorasick
 import numpy as np
 import pandas as pd
 from pyspark.broadcast import Broadcast
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quantloom.session import ship_package
+from quantloom.session import ship_package, written
 
 WINDOW = 10
 #: Characters of item text whose windows one automaton holds (about 60 times as many bytes).
@@ -139,46 +141,58 @@ def benchmark_shards(benchmark: DataFrame, item: str = "item_id", text: str = "t
     return [Shard(uuid.uuid4().hex, spark.sparkContext.broadcast([tuple(r) for r in shard(k).collect()])) for k in range(n)]
 
 
+def _union(ranges: Column) -> Column:
+    """An array of ranges of words, merged where they overlap or touch."""
+    empty = F.array().cast("array<struct<first:int,last:int>>")
+
+    def add(done: Column, x: Column) -> Column:
+        end = F.element_at(done, -1)
+        longer = F.struct(end["first"].alias("first"), F.greatest(end["last"], x["last"]).alias("last"))
+        return F.when((F.size(done) > 0) & (x["first"] <= F.try_element_at(done, F.lit(-1))["last"] + 1), F.concat(F.slice(done, F.lit(1), F.size(done) - 1), F.array(longer))).otherwise(F.concat(done, F.array(x)))
+
+    return F.aggregate(F.array_sort(ranges), empty, add)
+
+
 def find_passages(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, shard_chars: int = SHARD_CHARS) -> DataFrame:
-    """doc_id, n_words, n_hit, items, ranges (of words) and spans (of characters) for every document."""
+    """doc_id, n_words, n_hit, items, ranges (of words) and spans (of characters) for every document.
+
+    The spans of several shards are not merged: they are all spans that one of them found."""
     ship_package(docs.sparkSession)
     shards = benchmark_shards(benchmark, shard_chars=shard_chars)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    scanned = [rows.select("doc_id", *([F.xxhash64("text").alias("same")] if len(shards) > 1 else []), _hits_udf(s, window)("text").alias("hit")) for s in shards]
-    if len(scanned) == 1:
-        return scanned[0].select("doc_id", "hit.*")
-
-    def union_ranges(many: pd.Series) -> pd.Series:
-        return many.map(lambda xs: merged(sorted((int(r["first"]), int(r["last"])) for x in xs for r in x)))
-
-    every = scanned[0]
-    for more in scanned[1:]:
-        every = every.unionByName(more)
-    joined = every.groupBy("doc_id", "same").agg(
-        (F.count("*") / len(shards)).cast("int").alias("copies"),
-        F.max("hit.n_words").alias("n_words"),
-        F.array_sort(F.array_distinct(F.flatten(F.collect_list("hit.items")))).alias("items"),
-        F.collect_list("hit.ranges").alias("all_ranges"),
-        F.array_sort(F.array_distinct(F.flatten(F.collect_list("hit.spans")))).alias("spans"),
-    )
-    ranges = F.pandas_udf(union_ranges, "array<struct<first:int,last:int>>").asNondeterministic()
-    return (
-        joined.withColumn("ranges", ranges("all_ranges"))
-        .withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies"))))
-        .select("doc_id", "n_words", F.aggregate("ranges", F.lit(0).cast("long"), lambda a, r: a + r["last"] - r["first"] + 1).alias("n_hit"), "items", "ranges", "spans")
+    if len(shards) == 1:
+        return rows.select("doc_id", _hits_udf(shards[0], window)("text").alias("hit")).select("doc_id", "hit.*")
+    rows = written(rows.withColumn("row", F.monotonically_increasing_id()), "rows")
+    every = None
+    for shard in shards:
+        found = rows.select("row", "doc_id", _hits_udf(shard, window)("text").alias("hit")).select("row", "doc_id", "hit.*")
+        # the first shard names every row, the others only those they hit; a table each, so that one
+        # automaton at a time is in a worker
+        found = written(found if every is None else found.where("n_hit > 0"), "hits")
+        every = found if every is None else every.unionByName(found)
+    joined = every.groupBy("row").agg(
+        F.max("doc_id").alias("doc_id"),
+        F.max("n_words").alias("n_words"),
+        F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"),
+        F.flatten(F.collect_list("ranges")).alias("all_ranges"),
+        F.array_sort(F.array_distinct(F.flatten(F.collect_list("spans")))).alias("spans"),
     )
+    merged_rows = joined.withColumn("ranges", _union(F.col("all_ranges")))
+    n_hit = F.aggregate("ranges", F.lit(0).cast("long"), lambda a, r: a + r["last"] - r["first"] + 1)
+    return merged_rows.select("doc_id", "n_words", n_hit.alias("n_hit"), "items", "ranges", "spans")
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, shard_chars: int = SHARD_CHARS) -> DataFrame:
     """The documents without any benchmark window, with all their columns."""
     ship_package(docs.sparkSession)
+    shards = benchmark_shards(benchmark, shard_chars=shard_chars)
     clean = docs
-    for shard in benchmark_shards(benchmark, shard_chars=shard_chars):
-        clean = clean.where(~_touched_udf(shard, window)(F.col("text").cast("string")))
-    return clean
+    for shard in shards[:-1]:
+        clean = written(clean.where(~_touched_udf(shard, window)(F.col("text").cast("string"))), "clean")
+    return clean.where(~_touched_udf(shards[-1], window)(F.col("text").cast("string")))
 
 
-def item_digest(items):
+def item_digest(items) -> Column:
     """Lower-case hex SHA-256 of the sorted, comma-joined item ids."""
     return F.sha2(F.array_join(F.array_sort(items), ","), 256)
 

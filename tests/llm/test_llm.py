@@ -166,6 +166,9 @@ def test_decontaminate_equals_brute_force(spark, odd, shard_chars):
     spans = {x.doc_id: x.spans for x in found.collect()}
     rare = texts.index("a rare, thing")
     assert [texts[rare][s.start : s.stop] for s in spans[rare]] == ["rare"]
+    assert all(x.n_hit == sum(g["last"] - g["first"] + 1 for g in x.ranges) for x in found.collect())
+    repeated = decontaminate.find_passages(docs_of(spark, texts[:5] * 3, [1, 2, None, 4, 5] * 3), benchmark, shard_chars=shard_chars)
+    assert Counter((x.n_words, x.n_hit, *x["items"]) for x in repeated.collect()) == Counter((n, h, *i) for n, h, i in (brute_hits(t, items) for t in texts[:5] * 3))
     kept = decontaminate.drop_contaminated(docs_of(spark, texts), benchmark, shard_chars=shard_chars)
     assert {x.doc_id for x in kept.collect()} == {i for i, g in got.items() if not g[1]} and kept.columns == odd.columns
 
