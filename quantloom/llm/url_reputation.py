@@ -3,19 +3,27 @@
 Labelled pages are bad or not. A host's bad rate has a beta prior around the posterior mean of its
 registered domain, that one around its suffix, and the suffix around the whole corpus; the strength of
 each prior is the method-of-moments estimate of the beta-binomial over all its children. A host is
-blocked if its rate exceeds ``MAX_BAD`` with posterior probability ``CONFIDENCE``, so hosts with few
-labels are judged by their domain, and unknown ones allowed unless their domain or suffix is bad.
+blocked if its rate exceeds ``LIFT`` times the corpus's rate with posterior probability ``CONFIDENCE``, so
+hosts with few labels are judged by their domain, and unknown ones allowed unless their domain or suffix
+is bad. Where outcomes do not depend on hosts the strengths reach their bound and no host stands out.
 
 Counts are aggregated by host before anything is joined; the tables above it are aggregates of that one.
+Pages find their host's row in a written table, so that Spark can broadcast it or split a host with a
+large share of the pages.
+
+Registered domains are the last two labels but under ``suffixes``, a list to extend: under a suffix that
+it lacks, such as a hosting platform's, all sites count as one domain and share its prior.
 
 Edge cases: null urls and urls without ``://`` have empty host and path and belong to the empty host;
-a page without label or with a null label counts for nothing; repeated pages are each judged; other
-columns are not looked at; without labels the prior mean is one half at strength 1.
+urls of any length are taken whole; a page without label or with a null label counts for nothing;
+repeated pages are each judged, and each counts if it is labelled; other columns are not looked at;
+without labels the corpus's rate is one half and nothing is blocked; empty tables give empty tables.
 """
 
 from __future__ import annotations
 
 import math
+from collections.abc import Sequence
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -23,7 +31,10 @@ from pyspark.sql import functions as F
 
 from quantloom.session import ship_package, written
 
-MAX_BAD, CONFIDENCE = 0.5, 0.95
+#: How many times the corpus's bad rate a host's rate must exceed, with what posterior probability.
+LIFT, CONFIDENCE = 1.25, 0.9
+#: The bound where that is more.
+HIGHEST_BOUND = 0.95
 #: Bounds of the correlation of outcomes within a parent, and so of prior strengths (1 / rho - 1).
 RHO = (0.001, 0.5)
 #: Suffixes of two labels under which domains are registered (a fixed, extensible list).
@@ -42,9 +53,9 @@ def host_and_path(url: Column) -> tuple[Column, Column]:
     return F.translate(host, UPPER, LOWER), path
 
 
-def suffix_and_domain(host: Column) -> tuple[Column, Column]:
+def suffix_and_domain(host: Column, suffixes: Sequence[str] = TWO_LABEL_SUFFIXES) -> tuple[Column, Column]:
     two = F.substring_index(host, ".", -2)
-    long = two.isin(*TWO_LABEL_SUFFIXES)
+    long = two.isin(*suffixes)
     suffix = F.when(long, two).otherwise(F.substring_index(host, ".", -1))
     return suffix, F.when(long, F.substring_index(host, ".", -3)).otherwise(two)
 
@@ -89,13 +100,14 @@ def _strength(children: DataFrame, mean: str) -> DataFrame:
     return children.agg((1 / bounded - 1).alias("strength"))
 
 
-def host_reputation(labelled: DataFrame, hosts: DataFrame, max_bad: float = MAX_BAD) -> DataFrame:
-    """host, posterior a and b, and p_bad = P(rate > max_bad), for every row of ``hosts`` (host).
+def host_reputation(labelled: DataFrame, hosts: DataFrame, lift: float = LIFT, suffixes: Sequence[str] = TWO_LABEL_SUFFIXES) -> DataFrame:
+    """host, n_labelled, posterior a and b, bound = ``lift`` times the corpus's rate, and p_bad = P(rate >
+    bound), for every row of ``hosts`` (host).
 
     ``labelled`` has a row per labelled page: host, bad (0 or 1).
     """
     ship_package(labelled.sparkSession)
-    suffix, domain = suffix_and_domain(F.col("host"))
+    suffix, domain = suffix_and_domain(F.col("host"), suffixes)
     per_host = labelled.where("host is not null and bad is not null").groupBy("host").agg(F.count("*").alias("n"), F.sum(F.col("bad").cast("long")).alias("bad"))
     per_host = written(per_host.select("host", domain.alias("domain"), suffix.alias("suffix"), "n", "bad"), "hosts")
     per_domain = written(per_host.groupBy("domain", "suffix").agg(F.sum("n").alias("n"), F.sum("bad").alias("bad")), "domains")
@@ -111,21 +123,23 @@ def host_reputation(labelled: DataFrame, hosts: DataFrame, max_bad: float = MAX_
     domains = domains.select("domain", mean("suffix_mean", k_domain).alias("domain_mean"))
     k_host = _strength(per_host.join(domains, "domain"), "domain_mean").first()["strength"]
 
+    bound = min(HIGHEST_BOUND, lift * top)
+
     def tail(a: pd.Series, b: pd.Series) -> pd.Series:
-        return pd.Series([exceeds(x, y, max_bad) for x, y in zip(a, b)], dtype="float64")
+        return pd.Series([exceeds(x, y, bound) for x, y in zip(a, b)], dtype="float64")
 
     known = hosts.select("host", domain.alias("domain"), suffix.alias("suffix")).join(suffixes, "suffix", "left").join(domains, "domain", "left").join(per_host.select("host", "n", "bad"), "host", "left")
     prior = F.coalesce("domain_mean", "suffix_mean", F.lit(top))
     n, bad = F.coalesce("n", F.lit(0)), F.coalesce("bad", F.lit(0))
-    posterior = known.select("host", n.alias("n_labelled"), (F.lit(k_host) * prior + bad).alias("a"), (F.lit(k_host) * (1 - prior) + n - bad).alias("b"))
+    posterior = known.select("host", n.alias("n_labelled"), (F.lit(k_host) * prior + bad).alias("a"), (F.lit(k_host) * (1 - prior) + n - bad).alias("b"), F.lit(bound).alias("bound"))
     return posterior.withColumn("p_bad", F.pandas_udf(tail, "double").asNondeterministic()("a", "b"))
 
 
-def judge_pages(pages: DataFrame, labelled: DataFrame, rules=RULES, max_bad: float = MAX_BAD, confidence: float = CONFIDENCE) -> DataFrame:
+def judge_pages(pages: DataFrame, labelled: DataFrame, rules=RULES, lift: float = LIFT, confidence: float = CONFIDENCE, suffixes: Sequence[str] = TWO_LABEL_SUFFIXES) -> DataFrame:
     """page_id, host, path, rule, verdict, p_bad of every page."""
     host, path = host_and_path(F.col("url").cast("string"))
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), host.alias("host"), path.alias("path"))
-    reputation = written(host_reputation(labelled, rows.select("host").distinct(), max_bad).select("host", "p_bad"), "reputation")
+    reputation = written(host_reputation(labelled, rows.select("host").distinct(), lift, suffixes).select("host", "p_bad"), "reputation")
     rule, says = matched_rule(F.col("host"), F.col("path"), rules)
     method = F.when(F.col("p_bad") >= confidence, F.lit("block")).otherwise(F.lit("allow"))
     return rows.join(reputation, "host", "left").select("page_id", "host", "path", rule.alias("rule"), F.coalesce(says, method).alias("verdict"), "p_bad")
