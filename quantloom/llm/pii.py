@@ -5,58 +5,76 @@ keyed permutation within the format, so equal values stay equal across documents
 different. Text around the values does not change, nor does its length.
 
 * payment card: 13 to 19 digits, grouped by blanks or dashes or not, with a right Luhn digit; all
-  digits but the last are permuted and the last made right again;
+  digits but the last are permuted and the last made right again. Of a longer row of digit groups every
+  run of groups that is a card is replaced, the longest from the left, so an expiry date, a check code
+  or another number beside a card does not hide it;
 * phone: North American, with area code and exchange from 200; both ranges are kept;
 * IPv4 address: four numbers up to 255, written without leading zeros, each of which keeps its width;
-* date: yyyy-mm-dd, dd.mm.yyyy or mm/dd/yyyy (dd/mm/yyyy where only that is a date) of 1800 to 2199,
-  permuted over the 146,097 days of that Gregorian cycle;
+* date: yyyy-mm-dd (a time may follow), dd.mm.yyyy or mm/dd/yyyy (dd/mm/yyyy where only that is a date)
+  of 1800 to 2199, permuted over the 146,097 days of that Gregorian cycle;
 * social security number: ddd-dd-dddd with a possible area, group and serial;
-* e-mail address: letters and digits of the local part, each within its class;
-* secret: hexadecimal strings of 32 or more digits, quoted after a name and an equals sign or colon.
+* e-mail address: letters and digits of the local part, each within its class; the domain stays;
+* secret: hexadecimal strings of 32 or more digits in one case, quoted after a name and an equals sign
+  or colon.
 
-Numbers that fail their validation stay as they are.
+Numbers that fail their validation stay as they are. Not covered: IBAN, IPv6, names, addresses.
 
-Edge cases: null text stays null; empty text stays empty; repeated documents change alike; other
-columns are not looked at.
+The key is an argument, and reaches the tasks by a scalar subquery, so that no plan or log shows it.
+
+Edge cases: null text stays null; empty text stays empty; texts of any length are taken whole; repeated
+documents change alike; other columns are not looked at, whatever their names; empty tables stay empty.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import secrets
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: A pseudonymisation key for tests; production passes its own.
-DEFAULT_KEY = "quantloom-test-key"
+#: The setting that holds the key of registered queries and the pipeline.
+KEY_SETTING = "quantloom.pii.key"
 ROUNDS = 8
 
 #: Fixed patterns, by kind: what must stand before, the value, what must not or must stand after it.
 PATTERNS = {
     "email": (r"(?<![A-Za-z0-9._%+-])", r"[A-Za-z0-9][A-Za-z0-9._%+-]{0,63}@[A-Za-z0-9](?:[A-Za-z0-9-]{0,62}\.)+[A-Za-z]{2,24}", ""),
-    "secret": (r"(?<=[=:]\s?[\"'])", r"[0-9a-f]{32,128}", r"(?=[\"'])"),
-    "iso_date": (r"(?<![\w.-])", r"\d{4}-\d{2}-\d{2}", r"(?![\w-])"),
+    "secret": (r"(?<=[=:]\s?[\"'])", r"(?:[0-9a-f]{32,128}|[0-9A-F]{32,128})", r"(?=[\"'])"),
+    "iso_date": (r"(?<![\w.-])", r"\d{4}-\d{2}-\d{2}", r"(?:(?![\w-])|(?=T\d{2}:\d{2}))"),
     "dot_date": (r"(?<![\w.-])", r"\d{2}\.\d{2}\.\d{4}", r"(?![\w-])"),
     "slash_date": (r"(?<![\w/-])", r"\d{2}/\d{2}/\d{4}", r"(?![\w/-])"),
     "ssn": (r"(?<![\w-])", r"\d{3}-\d{2}-\d{4}", r"(?![\w-])"),
     "ipv4": (r"(?<![\w.])", r"(?:\d{1,3}\.){3}\d{1,3}", r"(?!\w|\.\d)"),
     "phone": (r"(?<![\w-])", r"(?:\+1[ .-]?)?(?:\([2-9]\d{2}\) ?|[2-9]\d{2}[ .-])[2-9]\d{2}[ .-]\d{4}", r"(?![\w-])"),
-    "card": (r"(?<![\w-])", r"\d(?:[ -]?\d){12,18}", r"(?![\w-])"),
+    "card": (r"(?<![\w-])", r"\d(?:[ -]?\d){12,60}", r"(?![\w-])"),
 }
 ANY = "|".join(before + value + after for before, value, after in PATTERNS.values())
+#: What every value of any pattern holds; texts without it are not searched.
+NEEDED = r"@|\d\D{0,4}\d\D{0,4}\d|[0-9a-fA-F]{32}"
 
 #: Days of 1800 to 2199, as the product of two radices, and the first of them.
 DAYS, DAY_RADICES, FIRST_DAY = 146_097, (189, 773), "1800-01-01"
 
 
-def _prf(key: str, kind: str, round_: Column | int, value: Column) -> Column:
+_own_keys: dict[str, str] = {}
+
+
+def configured_key(spark: SparkSession) -> str:
+    """The key in the session's ``quantloom.pii.key``; where that is unset, a random one for the
+    application, so that pseudonyms agree within it and can't be undone after it."""
+    return spark.conf.get(KEY_SETTING, None) or _own_keys.setdefault(spark.sparkContext.applicationId, secrets.token_hex(32))
+
+
+def _prf(key: Column, kind: str, round_: Column | int, value: Column) -> Column:
     """64 hexadecimal digits from the key, the format, the round and the other half."""
-    return F.sha2(F.concat(F.lit(f"{key}|{kind}|"), F.lit(round_).cast("string") if isinstance(round_, int) else round_.cast("string"), F.lit("|"), value), 256)
+    return F.sha2(F.concat(key, F.lit(f"|{kind}|"), F.lit(round_).cast("string") if isinstance(round_, int) else round_.cast("string"), F.lit("|"), value), 256)
 
 
 def _number(hex_digits: Column, modulus: Column) -> Column:
     return F.conv(F.substring(hex_digits, 1, 14), 16, 10).cast("long") % modulus
 
 
-def permute_pair(key: str, kind: str, left: Column, right: Column, radix_left: Column | int, radix_right: Column | int) -> Column:
+def permute_pair(key: Column, kind: str, left: Column, right: Column, radix_left: Column | int, radix_right: Column | int) -> Column:
     """A keyed permutation of pairs of numbers below the two radices: struct<l, r>."""
     radix_left, radix_right = (F.lit(r).cast("long") if isinstance(r, int) else r for r in (radix_left, radix_right))
 
@@ -88,7 +106,7 @@ def _shifted(half: Column, stream: Column, hexadecimal: bool) -> Column:
     return F.when(half == "", half).otherwise(F.array_join(F.transform(F.split(half, ""), move), ""))
 
 
-def permute_string(key: str, kind: str, value: Column, hexadecimal: bool = False) -> Column:
+def permute_string(key: Column, kind: str, value: Column, hexadecimal: bool = False) -> Column:
     """A keyed permutation of strings that keeps the class of every character and the places of others."""
     cut = F.floor(F.length(value) / 2).cast("int")
     start = F.struct(F.substring(value, F.lit(1), cut).alias("l"), F.substring(value, cut + 1, F.length(value)).alias("r"))
@@ -113,11 +131,31 @@ def _luhn_sum(digits: Column, doubled_from_right: int) -> Column:
     return F.aggregate(indexed, F.lit(0), lambda a, x: a + x)
 
 
-def _card(key: str, value: Column) -> Column:
+def _is_card(digits: Column) -> Column:
+    return F.length(digits).between(13, 19) & (_luhn_sum(digits, 1) % 10 == 0) & ~digits.rlike(r"^(\d)\1*$")
+
+
+def _card_digits(key: Column, digits: Column) -> Column:
+    body = permute_string(key, "card", F.substring(digits, F.lit(1), F.length(digits) - 1))
+    return F.concat(body, ((10 - _luhn_sum(body, 0) % 10) % 10).cast("string"))
+
+
+def _card(key: Column, value: Column) -> Column:
+    """The value with every run of digit groups that is a card replaced; null if there is none."""
+    groups = F.split(value, "[ -]")
+    run = lambda i, n: F.array_join(F.slice(groups, i + 1, n), "")
+
+    def step(acc: Column, i: Column) -> Column:
+        lengths = F.filter(F.sequence(F.size(groups) - i, F.lit(1), F.lit(-1)), lambda n: _is_card(run(i, n)))
+        n = F.coalesce(F.get(lengths, F.lit(0)), F.lit(0))
+        moved = F.struct(F.concat(acc["digits"], F.when(n > 0, _card_digits(key, run(i, n))).otherwise(run(i, F.lit(1)))).alias("digits"), (i + F.greatest(n, F.lit(1))).alias("next"), (acc["cards"] + (n > 0).cast("int")).alias("cards"))
+        return F.when(i < acc["next"], acc).otherwise(moved)
+
+    start = F.struct(F.lit("").alias("digits"), F.lit(0).alias("next"), F.lit(0).alias("cards"))
+    folded = F.aggregate(F.sequence(F.lit(0), F.size(groups) - 1), start, step, lambda acc: F.when(acc["cards"] > 0, acc["digits"]))
     digits = _digits(value)
-    body = F.substring(permute_string(key, "card", F.substring(digits, F.lit(1), F.length(digits) - 1)), F.lit(1), F.lit(30))
-    check = (10 - _luhn_sum(body, 0) % 10) % 10
-    return F.when((_luhn_sum(digits, 1) % 10 == 0) & ~digits.rlike(r"^(\d)\1*$"), _fill(value, F.concat(body, check.cast("string"))))
+    made = F.when(_is_card(digits), _card_digits(key, digits)).when(F.size(groups) > 1, folded)
+    return F.when(made.isNotNull(), _fill(value, made))
 
 
 def _fill(value: Column, digits: Column) -> Column:
@@ -126,7 +164,7 @@ def _fill(value: Column, digits: Column) -> Column:
     return F.array_join(F.transform(F.split(value, ""), lambda c, i: F.when(c.between("0", "9"), F.substring(digits, count_before(i) + 1, F.lit(1))).otherwise(c)), "")
 
 
-def _phone(key: str, value: Column) -> Column:
+def _phone(key: Column, value: Column) -> Column:
     digits = F.right(_digits(value), F.lit(10))
     area, rest = F.substring(digits, 1, 3).cast("long") - 200, (F.substring(digits, 4, 3).cast("long") - 200) * 10_000 + F.substring(digits, 7, 4).cast("long")
     made = permute_pair(key, "phone", area, rest, 800, 8_000_000)
@@ -134,7 +172,7 @@ def _phone(key: str, value: Column) -> Column:
     return _fill(value, F.concat(F.when(F.length(_digits(value)) == 11, F.lit("1")).otherwise(F.lit("")), *national))
 
 
-def _ipv4(key: str, value: Column) -> Column:
+def _ipv4(key: Column, value: Column) -> Column:
     valid = F.forall(F.split(value, r"\."), lambda x: (x.cast("int") <= 255) & ((x == "0") | ~x.startswith("0")))
     least = lambda i: F.element_at(F.array(F.lit(0), F.lit(10), F.lit(100)), F.length(F.split(value, r"\.")[i])).cast("long")
     count = lambda i: F.element_at(F.array(F.lit(10), F.lit(90), F.lit(156)), F.length(F.split(value, r"\.")[i])).cast("long")
@@ -144,7 +182,7 @@ def _ipv4(key: str, value: Column) -> Column:
     return F.when(valid, F.concat(part(made["l"], 0), F.lit("."), part(made["r"], 2)))
 
 
-def _date(key: str, value: Column, *formats: str) -> Column:
+def _date(key: Column, value: Column, *formats: str) -> Column:
     """The first format under which the value is a day of the range; all formats share one permutation."""
     out = F.lit(None).cast("string")
     for f in reversed(formats):
@@ -156,7 +194,7 @@ def _date(key: str, value: Column, *formats: str) -> Column:
     return out
 
 
-def _ssn(key: str, value: Column) -> Column:
+def _ssn(key: Column, value: Column) -> Column:
     """Areas 1 to 665 and 667 to 899, groups 1 to 99, serials 1 to 9999."""
     area, group, serial = F.substring(value, 1, 3).cast("long"), F.substring(value, 5, 2).cast("long"), F.substring(value, 8, 4).cast("long")
     place = F.when(area > 666, area - 2).otherwise(area - 1)
@@ -167,14 +205,16 @@ def _ssn(key: str, value: Column) -> Column:
     return F.when(valid, F.concat_ws("-", *parts))
 
 
-def _email(key: str, value: Column) -> Column:
+def _email(key: Column, value: Column) -> Column:
     local = F.substring_index(value, "@", 1)
     return F.concat(permute_string(key, "email", local), F.lit("@"), F.substring_index(value, "@", -1))
 
 
-def pseudonym(key: str, value: Column) -> Column:
+def pseudonym(key: Column | str, value: Column) -> Column:
     """The pseudonym of one candidate; null where it fails its validation."""
+    key = F.lit(key) if isinstance(key, str) else key
     full = lambda kind: value.rlike(f"^(?:{PATTERNS[kind][1]})$")
+    secret = permute_string(key, "secret", F.lower(value), hexadecimal=True)
     return (
         F.when(value.contains("@"), _email(key, value))
         .when(full("iso_date"), _date(key, value, "yyyy-MM-dd"))
@@ -184,23 +224,29 @@ def pseudonym(key: str, value: Column) -> Column:
         .when(full("ipv4"), _ipv4(key, value))
         .when(full("phone"), _phone(key, value))
         .when(full("card"), _card(key, value))
-        .when(value.rlike("^[0-9a-f]{32,128}$"), permute_string(key, "secret", value, hexadecimal=True))
+        .when(full("secret"), F.when(value.rlike("[A-F]"), F.upper(secret)).otherwise(secret))
     )
 
 
-def pseudonymise(docs: DataFrame, key: str = DEFAULT_KEY, text: str = "text") -> DataFrame:
-    """All columns of ``docs`` with the text replaced, and struct ``_pii`` of n_found and n_replaced."""
-    source = F.col(text).cast("string")
-    has = F.coalesce(source.rlike(r"@|\d\D{0,4}\d\D{0,4}\d"), F.lit(False))
-    found = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), source.alias("_text"), F.when(has, F.regexp_extract_all(source, F.lit(f"({ANY})"), F.lit(1))).alias("_found"))
-    made = found.select("_row", "_text", "_found", F.when(F.size("_found") > 0, F.transform("_found", lambda v: F.struct(v.alias("old"), pseudonym(key, v).alias("new")))).alias("_made"))
-    pieces = F.split("_text", ANY, -1)
-    joined = F.array_join(F.zip_with(pieces, "_made", lambda p, m: F.concat(p, F.coalesce(m["new"], m["old"], F.lit("")))), "")
-    new_text = F.when(F.size("_found") > 0, joined).otherwise(F.col("_text"))
-    out = made.select("_row", new_text.alias("_text"), F.struct(F.coalesce(F.when(F.size("_found") >= 0, F.size("_found")), F.lit(0)).alias("n_found"), F.coalesce(F.size(F.filter("_made", lambda m: m["new"].isNotNull())), F.lit(0)).alias("n_replaced")).alias("_pii"))
-    return out.select(*[F.col("_text").alias(c) if c == text else F.col("_row").getField(c).alias(c) for c in docs.columns], "_pii")
+def pseudonymise(docs: DataFrame, key: str, text: str = "text") -> DataFrame:
+    """doc (a struct of all columns as they were), text (with pseudonyms), n_found and n_replaced."""
+    spark = docs.sparkSession
+    source = F.col("doc").getField(text).cast("string")
+    has = F.coalesce(source.rlike(NEEDED), F.lit(False))
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc"))
+    secret_key = spark.createDataFrame([(key,)], "key string").scalar()
+    found = rows.select("doc", source.alias("source"), secret_key.alias("key"), F.when(has, F.regexp_extract_all(source, F.lit(f"({ANY})"), F.lit(1))).alias("found"))
+    made = found.select("doc", "source", "found", F.when(F.size("found") > 0, F.transform("found", lambda v: F.struct(v.alias("old"), pseudonym(F.col("key"), v).alias("new")))).alias("made"))
+    pieces = F.split("source", ANY, -1)
+    joined = F.array_join(F.zip_with(pieces, "made", lambda p, m: F.concat(p, F.coalesce(m["new"], m["old"], F.lit("")))), "")
+    return made.select(
+        "doc",
+        F.when(F.size("found") > 0, joined).otherwise(F.col("source")).alias("text"),
+        F.coalesce(F.when(F.size("found") >= 0, F.size("found")), F.lit(0)).alias("n_found"),
+        F.coalesce(F.size(F.filter("made", lambda m: m["new"].isNotNull())), F.lit(0)).alias("n_replaced"),
+    )
 
 
-def redact(docs: DataFrame, key: str = DEFAULT_KEY) -> DataFrame:
+def redact(docs: DataFrame, key: str, text: str = "text") -> DataFrame:
     """The columns of ``docs``, with pseudonyms in the text."""
-    return pseudonymise(docs, key).select(*[F.col(f"`{c}`") for c in docs.columns])
+    return pseudonymise(docs, key, text).select(*[F.col("text").alias(c) if c == text else F.col("doc").getField(c).alias(c) for c in docs.columns])

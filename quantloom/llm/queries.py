@@ -31,14 +31,14 @@ def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
-    made = pii.pseudonymise(table(spark, sf_dir, "documents"))
-    return made.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("_pii.n_found").cast("long").alias("n_found"), F.col("_pii.n_replaced").cast("long").alias("n_replaced"), "text")
+    made = pii.pseudonymise(table(spark, sf_dir, "documents"), pii.configured_key(spark))
+    return made.select(F.col("doc.doc_id").cast("long").alias("doc_id"), F.col("n_found").cast("long").alias("n_found"), F.col("n_replaced").cast("long").alias("n_replaced"), "text")
 
 
 def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     feats = written(quality_rules.features(table(spark, sf_dir, "documents")), "features")
-    cutoffs = quality_rules.fit(feats, table(spark, sf_dir, "labels"))
-    return quality_rules.judge(feats, cutoffs).select("doc_id", *quality_rules.COUNTS, "base_failed", "kept")
+    steps = quality_rules.fit(feats, table(spark, sf_dir, "labels"))
+    return quality_rules.judge(feats, steps).select("doc_id", *quality_rules.COUNTS, "base_failed", "kept")
 
 
 def op4_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
