@@ -1,17 +1,19 @@
 """Quality rules with risk-controlled cutoffs, in DataFrame functions alone.
 
 Fixed base rules reject very short and self-repeating texts. The further rules each compare one score
-of a text with a cutoff. Cutoffs are learned from a labelled holdout, per stratum (language): for each
-rule and candidate cutoff the good documents that it would reject are counted, and the exact binomial
-tail tests that the true share of rejected good documents is at most ``alpha / number of rules``. As
-that share falls with the cutoff, candidates are tested in fixed sequence from the most lenient, which
-needs no correction; over strata and rules the level is ``delta / (strata * rules)`` (Bonferroni). So
-with probability 1 - delta every stratum loses at most ``alpha`` of its good documents to all rules
-together. A stratum with too few labels to prove that gets no cutoff, and no rejections beyond the base.
+of a text with a cutoff. A rule set is one step of ``LADDERS``, with a cutoff for every rule, and rejects
+what any rule rejects; steps go from lenient to strict. Per stratum (language) a labelled holdout decides
+how far to go: for each step the good documents that its rule set would reject are counted, and the exact
+binomial tail tests whether the true share of rejected good documents can be above ``alpha``. Steps are
+tested in fixed sequence from the most lenient until one is not proven, which needs no correction; over
+strata the level is ``delta / strata`` (Bonferroni). So with probability 1 - delta every stratum loses at
+most ``alpha`` of its good documents to the learned rules. A stratum with too few labels to prove the
+first step (about 180 good ones for alpha 0.02 and four strata) has no rejections beyond the base.
 
 Edge cases: null text has no words and fails the base; a null language is a stratum; documents without
-label are judged by the cutoffs of their stratum; of several labels of a document the best counts; a
-null label counts as none; repeated documents are each judged; other columns are not looked at.
+label are judged by the step of their stratum; of several labels of a document the best counts; a null
+label counts as none; repeated documents are each judged, and each counts if it is labelled; texts of any
+length are taken whole, in one row; other columns are not looked at; empty tables give empty tables.
 """
 
 from __future__ import annotations
@@ -28,10 +30,17 @@ MIN_WORDS = 10
 MAX_REPEAT_PERCENT = 20
 WINDOW = 5
 #: Share of good documents of a stratum that the learned rules may reject, and the risk of exceeding it.
-ALPHA, DELTA = 0.05, 0.1
-#: Candidate cutoffs, the same for every rule; a rule rejects scores above its cutoff.
-CUTOFFS = (0.01, 0.02, 0.03, 0.05, 0.08, 0.1, 0.15, 0.2, 0.25, 0.3, 0.4, 0.5, 0.6, 0.8)
-#: Beyond so many strata the table of cutoffs is joined without a broadcast.
+ALPHA, DELTA = 0.02, 0.1
+#: Cutoffs by rule, a step each, from lenient to strict; a rule rejects scores above its cutoff.
+LADDERS = {
+    "symbols": (0.3, 0.2, 0.15, 0.1, 0.08, 0.06, 0.05, 0.04, 0.03, 0.02, 0.015, 0.01),
+    "dup_lines": (0.8, 0.7, 0.6, 0.55, 0.5, 0.45, 0.4, 0.35, 0.3, 0.25, 0.2, 0.15),
+    "repeats": (0.2, 0.2, 0.19, 0.19, 0.18, 0.18, 0.17, 0.16, 0.15, 0.13, 0.11, 0.09),
+    "upper": (0.6, 0.5, 0.45, 0.4, 0.35, 0.3, 0.28, 0.25, 0.22, 0.2, 0.18, 0.15),
+    "bangs": (0.1, 0.08, 0.07, 0.06, 0.05, 0.04, 0.03, 0.02, 0.015, 0.01, 0.008, 0.006),
+}
+STEPS = 12
+#: Beyond so many strata the table of steps is joined without a broadcast.
 MAX_BROADCAST_STRATA = 10_000
 
 COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
@@ -122,38 +131,36 @@ def base_failed() -> Column:
     return (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT_PERCENT * F.col("n_words"))
 
 
-def fit(feats: DataFrame, labels: DataFrame, alpha: float = ALPHA, delta: float = DELTA) -> DataFrame:
-    """Cutoffs: stratum, n_good, and one nullable column ``cut_<rule>`` each."""
-    names = list(rules())
-    best = labels.where("doc_id is not null and quality is not null").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max(F.col("quality").cast("int")).alias("quality"))
-    good = feats.join(best.where("quality >= 1").select("doc_id"), "doc_id").where(~base_failed())
-    scored = good.select("stratum", *[s.alias(f"score_{r}") for r, s in rules().items()])
-    rejected = lambda r: F.array(*[F.sum((F.col(f"score_{r}") > c).cast("long")) for c in CUTOFFS])
-    per_stratum = scored.groupBy("stratum").agg(F.count("*").alias("n_good"), *[rejected(r).alias(f"k_{r}") for r in names])
-    per_stratum = written(per_stratum, "strata")
-    level = F.lit(delta / len(names)) / F.greatest(F.lit(1), F.lit(per_stratum.count()))
-    cutoffs = F.array(*map(F.lit, CUTOFFS))
-
-    def smallest(r: str) -> Column:
-        proven = F.filter(F.arrays_zip(cutoffs.alias("c"), F.col(f"k_{r}").alias("k")), lambda x: lower_tail(x["k"], F.col("n_good"), alpha / len(names)) <= level)
-        return F.array_min(F.transform(proven, lambda x: x["c"])).alias(f"cut_{r}")
+def rejecting_step() -> Column:
+    """The first step, from 1, whose rule set rejects a text; null if none does."""
+    scores = rules()
+    return F.least(*[F.coalesce(*[F.when(scores[r] > c, F.lit(k + 1)) for k, c in enumerate(cuts)], F.lit(STEPS + 1)) for r, cuts in LADDERS.items()])
 
-    return written(per_stratum.select("stratum", "n_good", *[smallest(r) for r in names]), "cutoffs")
 
-
-def judge(feats: DataFrame, cutoffs: DataFrame) -> DataFrame:
-    """The features with base_failed and kept; the cutoffs are broadcast after their number is checked."""
-    small = cutoffs.drop("n_good")
+def fit(feats: DataFrame, labels: DataFrame, alpha: float = ALPHA, delta: float = DELTA) -> DataFrame:
+    """Steps: stratum, n_good, n_rejected (of those, by the step) and step (0: no rule set is proven)."""
+    best = labels.where("doc_id is not null and quality is not null").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max(F.col("quality").cast("int")).alias("quality"))
+    good = feats.where(~base_failed()).select("doc_id", "stratum", rejecting_step().alias("step")).join(best.where("quality >= 1").select("doc_id"), "doc_id")
+    rejected = F.array(*[F.sum((F.col("step") <= k).cast("long")) for k in range(1, STEPS + 1)])
+    per_stratum = written(good.groupBy("stratum").agg(F.count("*").alias("n_good"), rejected.alias("rejected")), "strata")
+    level = delta / max(1, per_stratum.count())
+    # What a step rejects, the next ones reject too, so the proven steps are the first ones.
+    proven = F.size(F.filter("rejected", lambda k: lower_tail(k, F.col("n_good"), alpha) <= F.lit(level)))
+    taken = per_stratum.select("stratum", "n_good", "rejected", proven.alias("step"))
+    return written(taken.select("stratum", "n_good", F.when(F.col("step") > 0, F.get("rejected", F.col("step") - 1)).otherwise(F.lit(0)).alias("n_rejected"), "step"), "steps")
+
+
+def judge(feats: DataFrame, steps: DataFrame) -> DataFrame:
+    """The features with base_failed and kept; the steps are broadcast after their number is checked."""
+    small = steps.select("stratum", "step")
     small = F.broadcast(small) if small.count() <= MAX_BROADCAST_STRATA else small
-    over = F.lit(False)
-    for r, score in rules().items():
-        over = over | F.coalesce(score > F.col(f"cut_{r}"), F.lit(False))
-    return feats.join(small, "stratum", "left").withColumn("base_failed", base_failed()).withColumn("kept", ~F.col("base_failed") & ~over)
+    over = rejecting_step() <= F.coalesce("step", F.lit(0))
+    return feats.join(small, "stratum", "left").withColumn("base_failed", base_failed()).withColumn("kept", ~F.col("base_failed") & ~over).drop("step")
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, alpha: float = ALPHA, delta: float = DELTA) -> DataFrame:
-    """The documents that pass all rules, with all their columns; scores are computed in two passes,
-    so that texts are never shuffled."""
-    cutoffs = fit(features(docs), labels, alpha, delta)
-    judged = judge(features(docs, keep=[F.struct(*[F.col(f"`{c}`") for c in docs.columns])]), cutoffs)
-    return judged.where("kept").select("_keep0.*")
+    """The documents that pass all rules, with all their columns. Documents and their features are written
+    once, as computing the features takes far longer than a second read; texts are never shuffled."""
+    feats = written(features(docs, keep=[F.struct(*[F.col(f"`{c}`") for c in docs.columns])]), "features")
+    judged = judge(feats, fit(feats.drop("_keep0"), labels, alpha, delta))
+    return judged.where("kept").select(*[F.col("_keep0").getField(c).alias(c) for c in docs.columns])

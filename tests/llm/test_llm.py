@@ -246,21 +246,73 @@ def test_binomial_tail_is_exact(spark):
             assert r.t == pytest.approx(exact if r.k < r.n * p else 1.0, rel=1e-11)
 
 
-def test_quality_cutoffs_hold_risk_and_keep_clean_rows(spark, odd, no_labels):
+def exact_step(steps, alpha, delta, strata):
+    """The strictest proven step for the rejecting steps of a stratum's good documents, by fractions."""
+    n, q, taken = len(steps), Fraction(str(alpha)), 0
+    for k in range(1, quality_rules.STEPS + 1):
+        r = sum(s <= k for s in steps)
+        tail = sum(comb(n, i) * q**i * (1 - q) ** (n - i) for i in range(r + 1)) if r < n * q else 1
+        if tail > Fraction(str(delta)) / strata:
+            break
+        taken = k
+    return taken
+
+
+def test_quality_steps_equal_brute_force_over_strata(spark):
+    r = random.Random(31)
+    texts, langs = [], []
+    for lang, n, share in (("en", 400, 0.01), ("de", 260, 0.0), ("fr", 300, 0.06), ("es", 40, 0.0)):
+        for _ in range(n):
+            words = [f"w{r.randrange(9999)}" for _ in range(40)]
+            if r.random() < share * 2:
+                for k in range(r.choice([1, 2, 4, 8])):
+                    words[k] = "$" * r.choice([2, 4, 9])
+            if r.random() < share:
+                words[20] = "W" * r.choice([9, 60, 200])
+            texts.append(" ".join(words)), langs.append(lang)
+    docs = spark.createDataFrame([(i, t, lang) for i, (t, lang) in enumerate(zip(texts, langs))], "doc_id long, text string, lang string")
+    labels = spark.createDataFrame([(i, int(i % 5 > 0), 0) for i in range(len(texts))], "doc_id long, quality int, toxic int")
+    feats = written(quality_rules.features(docs), "f")
+    per = {}
+    for i, (t, lang) in enumerate(zip(texts, langs)):
+        n, chars, symbols, dup, repeat = brute_counts(t)
+        scores = {"symbols": symbols / chars, "dup_lines": dup / len([x for x in t.split("\n") if x.strip()]), "repeats": repeat / n, "upper": sum(c.isupper() for c in t) / chars, "bangs": t.count("!") / chars}
+        if i % 5 and 100 * repeat <= 20 * n:
+            per.setdefault(lang, []).append(min(next((k + 1 for k, c in enumerate(cuts) if scores[rule] > c), 99) for rule, cuts in quality_rules.LADDERS.items()))
+    for alpha, delta in ((0.02, 0.1), (0.05, 0.1), (0.3, 0.01)):
+        got = {x.stratum: (x.n_good, x.n_rejected, x.step) for x in quality_rules.fit(feats, labels, alpha, delta).collect()}
+        want = {k: exact_step(v, alpha, delta, 4) for k, v in per.items()}
+        assert got == {k: (len(v), sum(s <= want[k] for s in v), want[k]) for k, v in per.items()}
+        assert alpha > 0.02 or (want["de"] == quality_rules.STEPS and want["es"] == 0)
+
+
+def test_quality_steps_keep_their_promise():
+    """Over random holdouts the true loss of the chosen step exceeds alpha no more often than promised."""
+    r = np.random.default_rng(7)
+    loss = np.cumsum([0.002, 0.003, 0.005, 0.008, 0.01, 0.015, 0.02, 0.03, 0.04, 0.05, 0.06, 0.07])  # of good documents, by step
+    broken = 0
+    for _ in range(300):
+        u = r.random(300)
+        steps = [int(np.searchsorted(loss, x)) + 1 for x in u]
+        taken = exact_step(steps, 0.05, 0.1, 1)
+        broken += taken > 0 and loss[taken - 1] > 0.05
+    assert broken / 300 < 0.1 + 0.03
+
+
+def test_quality_steps_hold_risk_and_keep_clean_rows(spark, odd, no_labels):
     r = random.Random(2)
     clean = [" ".join(f"w{r.randrange(9999)}" for _ in range(60)) for _ in range(700)]
     junk = [" ".join(f"w{r.randrange(9999)}$$$" for _ in range(60)) for _ in range(100)]
     docs = docs_of(spark, clean + junk).withColumn("lang", F.lit("en"))
     labels = spark.createDataFrame([(i, int(i < 700), None) for i in range(800)] + [(None, 1, 0), (3, 0, 0), (5, None, 0)], "doc_id long, quality int, toxic int")
     feats = written(quality_rules.features(docs), "f")
-    cutoffs = quality_rules.fit(feats, labels, alpha=0.1)
-    (row,) = cutoffs.collect()
-    # smallest cutoff whose exact tail stays below delta / rules, by hand: no clean row has symbols
-    assert row.n_good == 700 and row.cut_symbols == 0.01
-    kept = {x.doc_id for x in quality_rules.judge(feats, cutoffs).where("kept").collect()}
+    steps = quality_rules.fit(feats, labels)
+    (row,) = steps.collect()
+    assert (row.n_good, row.n_rejected, row.step) == (700, 0, quality_rules.STEPS)
+    kept = {x.doc_id for x in quality_rules.judge(feats, steps).where("kept").collect()}
     assert kept == set(range(700))
-    few = quality_rules.fit(feats, labels.where("doc_id < 20"), alpha=0.1).first()
-    assert few.cut_symbols is None  # too few labels to prove anything
+    assert quality_rules.fit(feats, labels.where("doc_id < 20")).first().step == 0  # too few labels to prove anything
+    assert {x.doc_id for x in quality_rules.keep_good(docs, labels).collect()} == kept
     stage = quality_rules.keep_good(odd, no_labels)
     assert stage.columns == odd.columns and {x.doc_id for x in stage.collect()} == {5, 6}
 
@@ -282,7 +334,7 @@ def cards(n):
 
 
 def replaced(spark, texts):
-    return [r.text for r in pii.redact(docs_of(spark, texts)).orderBy("doc_id").collect()]
+    return [r.text for r in pii.redact(docs_of(spark, texts), "a key").orderBy("doc_id").collect()]
 
 
 def test_pii_values_are_permuted_within_their_formats(spark):
@@ -303,9 +355,83 @@ def test_pii_values_are_permuted_within_their_formats(spark):
 def test_pii_leaves_other_numbers_and_odd_rows(spark, odd, empty):
     same = ["9870157079875996", "2024-02-30", "300.1.1.1", "1.2.3.4.5", "000-12-3456", "12345678901234567890123", "v1.2.3", "1111111111111111", "call 555-3824", "x4111111111111111"]
     assert replaced(spark, same) == same
-    out = pii.redact(odd)
+    out = pii.redact(odd, "a key")
     assert out.columns == odd.columns and sorted(map(str, out.collect())) == sorted(map(str, odd.collect()))
-    assert pii.redact(empty).count() == 0
+    assert pii.redact(empty, "a key").count() == 0
+
+
+def feistel(key, kind, left, right, radix_left, radix_right):
+    """The permutation of pairs of numbers, by hand."""
+    for i in range(pii.ROUNDS):
+        f = lambda half: int(hashlib.sha256(f"{key}|{kind}|{i}|{half}".encode()).hexdigest()[:14], 16)
+        left, right = ((left + f(right)) % radix_left, right) if i % 2 == 0 else (left, (right + f(left)) % radix_right)
+    return left, right
+
+
+def feistel_string(key, kind, value, move):
+    left, right = value[: len(value) // 2], value[len(value) // 2 :]
+    for i in range(pii.ROUNDS):
+        stream = lambda half: hashlib.sha256(f"{key}|{kind}|{i}|{len(value)}:{half}".encode()).hexdigest()
+        shift = lambda text, s: "".join(move(c, int(s[(j % 16) * 4 : (j % 16) * 4 + 4], 16)) for j, c in enumerate(text))
+        left, right = (shift(left, stream(right)), right) if i % 2 == 0 else (left, shift(right, stream(left)))
+    return left + right
+
+
+def by_class(c, by):
+    for first, n in (("0", 10), ("a", 26), ("A", 26)):
+        if first <= c < chr(ord(first) + n):
+            return chr((ord(c) - ord(first) + by) % n + ord(first))
+    return c
+
+
+def brute_pseudonym(key, value):
+    from datetime import date, timedelta
+
+    if "@" in value:
+        local, domain = value.split("@")
+        return feistel_string(key, "email", local, by_class) + "@" + domain
+    if re.fullmatch(r"\d{4}-\d\d-\d\d", value):
+        at = (date.fromisoformat(value) - date(1800, 1, 1)).days
+        a, b = feistel(key, "date", at // 773, at % 773, 189, 773)
+        return str(date(1800, 1, 1) + timedelta(a * 773 + b))
+    if re.fullmatch(r"\d{3}-\d\d-\d{4}", value):
+        area, group, serial = map(int, value.split("-"))
+        a, b = feistel(key, "ssn", area - (2 if area > 666 else 1), (group - 1) * 9999 + serial - 1, 898, 99 * 9999)
+        return f"{a + (2 if a >= 665 else 1):03d}-{b // 9999 + 1:02d}-{b % 9999 + 1:04d}"
+    if re.fullmatch(r"(\d+\.){3}\d+", value):
+        low, count = lambda x: (0, 10, 100)[len(x) - 1], lambda x: (10, 90, 156)[len(x) - 1]
+        p = value.split(".")
+        n = [int(x) - low(x) for x in p]
+        a, b = feistel(key, "ipv4", n[0] * count(p[1]) + n[1], n[2] * count(p[3]) + n[3], count(p[0]) * count(p[1]), count(p[2]) * count(p[3]))
+        return ".".join(str(v + low(x)) for v, x in zip((*divmod(a, count(p[1])), *divmod(b, count(p[3]))), p))
+    if re.fullmatch(r"\d{3}-\d{3}-\d{4}", value):
+        a, b = feistel(key, "phone", int(value[:3]) - 200, (int(value[4:7]) - 200) * 10_000 + int(value[8:]), 800, 8_000_000)
+        return f"{a + 200}-{(b + 2_000_000) // 10_000}-{(b + 2_000_000) % 10_000:04d}"
+    if re.fullmatch(r"\d{13,19}", value):
+        body = feistel_string(key, "card", value[:-1], by_class)
+        return next(body + c for c in "0123456789" if luhn(body + c))
+    return feistel_string(key, "secret", value, lambda c, by: f"{(int(c, 16) + by) % 16:x}")
+
+
+def test_pii_permutations_equal_brute_force(spark):
+    values = [*cards(8), "2024-02-29", "1999-12-31", "078-05-1120", "899-99-9999", "233.7.171.25", "10.0.0.1", "212-555-0100", "999-999-9999", "Hein.19@mail5.example.com", "deadbeef" * 5]
+    made = spark.createDataFrame([(v,) for v in values], "v string").select("v", pii.pseudonym("some key", F.col("v")).alias("p"))
+    assert {r.v: r.p for r in made.collect()} == {v: brute_pseudonym("some key", v) for v in values}
+
+
+def test_pii_finds_values_beside_others(spark):
+    card, other = "4111 1111 1111 1111", "5500-0000-0000-0004"
+    texts = [f"card {card} 12/27", f"{card} 123", f"order 12 {card}", f"1234 {card}", f"{card} {other} 99", "at 2024-01-05T10:00:00Z", f'key = "{"deadbeef" * 4}"', f'key = "{"DEADBEEF" * 4}"', f'key = "0123{"deadbeef" * 4}"']
+    alone = replaced(spark, [card, other, "2024-01-05"])
+    new = replaced(spark, texts)
+    assert new[:6] == [texts[0].replace(card, alone[0]), texts[1].replace(card, alone[0]), texts[2].replace(card, alone[0]), texts[3].replace(card, alone[0]), texts[4].replace(card, alone[0]).replace(other, alone[1]), texts[5].replace("2024-01-05", alone[2])]
+    assert alone[0] != card and luhn(alone[0].replace(" ", "")) and luhn(alone[1].replace("-", ""))
+    assert all(a != b and len(a) == len(b) for a, b in zip(new[6:], texts[6:])) and re.fullmatch(r'key = "[0-9A-F]{32}"', new[7])
+    made = pii.pseudonymise(docs_of(spark, texts), "a key")
+    assert {r.doc.doc_id: (r.n_found, r.n_replaced) for r in made.collect()} == {**{i: (1, 1) for i in range(len(texts))}}
+    assert "a key" not in made._jdf.queryExecution().toString()
+    clash = spark.createDataFrame([(1, card, 2, 3, 4, 5)], "doc_id long, text string, _pii int, _row int, found int, key int")
+    assert pii.redact(clash, "a key").first()[2:] == (2, 3, 4, 5) and pii.redact(clash, "a key").columns == clash.columns
 
 
 def test_pii_permutations_are_bijective(spark):
@@ -313,7 +439,7 @@ def test_pii_permutations_are_bijective(spark):
     made = days.select("v", pii.pseudonym("k", F.col("v")).alias("p"))
     assert made.select("p").distinct().count() == days.count() and made.where("p is null or to_date(p) is null").isEmpty()
     two = spark.range(100).select(F.format_string("%02d", "id").alias("v"))
-    assert two.select(pii.permute_string("k", "t", F.col("v")).alias("p")).distinct().count() == 100
+    assert two.select(pii.permute_string(F.lit("k"), "t", F.col("v")).alias("p")).distinct().count() == 100
     areas = spark.range(1, 900).where("id <> 666").select(F.format_string("%03d-45-6789", "id").alias("v"))
     assert areas.select(pii.pseudonym("k", F.col("v")).alias("p")).distinct().count() == 898
     ips = spark.range(256).select(F.concat(F.lit("10.7.200."), F.col("id").cast("string")).alias("v"))
@@ -343,7 +469,60 @@ def test_reputation_shrinks_to_domain_and_suffix(spark):
     labelled = spark.createDataFrame(rows, "host string, bad int")
     hosts = spark.createDataFrame([("a.bad.com",), ("new.bad.com",), ("b.good.org",), ("x.other.de",)], "host string")
     p = {r.host: r.p_bad for r in url_reputation.host_reputation(labelled, hosts).collect()}
-    assert p["a.bad.com"] > 0.99 and p["new.bad.com"] > 0.9 and p["b.good.org"] < url_reputation.CONFIDENCE
+    assert p["a.bad.com"] > 0.99 and p["new.bad.com"] > url_reputation.CONFIDENCE and p["b.good.org"] < url_reputation.CONFIDENCE
+
+
+def brute_posteriors(labelled, lift):
+    """Posterior (a, b) of every labelled host, prior means and strengths by plain loops; and the bound."""
+    up = lambda h: h.rsplit(".", 2)[-2:]
+    counts = [Counter(), Counter(), Counter()], [Counter(), Counter(), Counter()]
+    for h, bad in labelled:
+        for level, name in enumerate((h, ".".join(up(h)), up(h)[-1])):
+            counts[0][level][name] += 1
+            counts[1][level][name] += bad
+    (n_h, n_d, n_s), (b_h, b_d, b_s) = counts
+    top = (sum(b_s.values()) + 0.5) / (sum(n_s.values()) + 1)
+
+    def strength(n, b, mean):
+        v = {k: mean(k) * (1 - mean(k)) for k in n}
+        rho = (sum(n[k] * (b[k] / n[k] - mean(k)) ** 2 for k in n) - sum(v.values())) / sum(v[k] * (n[k] - 1) for k in n)
+        return 1 / min(0.5, max(0.001, rho)) - 1
+
+    shrunk = lambda k, prior, n, b: (k * prior + b) / (k + n)
+    k_s = strength(n_s, b_s, lambda s: top)
+    m_s = {s: shrunk(k_s, top, n_s[s], b_s[s]) for s in n_s}
+    k_d = strength(n_d, b_d, lambda d: m_s[d.split(".")[-1]])
+    m_d = {d: shrunk(k_d, m_s[d.split(".")[-1]], n_d[d], b_d[d]) for d in n_d}
+    dom = lambda h: ".".join(up(h))
+    k_h = strength(n_h, b_h, lambda h: m_d[dom(h)])
+    return {h: (k_h * m_d[dom(h)] + b_h[h], k_h * (1 - m_d[dom(h)]) + n_h[h] - b_h[h]) for h in n_h}, min(0.95, lift * top)
+
+
+def test_reputation_equals_brute_force_and_blocks_planted_hosts(spark, no_labels):
+    r = random.Random(17)
+    bad_hosts = {"www.pills.net", "casino.shady.com", "new.shady.com"}
+    pages, labels = [], []
+    for i in range(3000):
+        host = r.choice(["a.one.com", "b.one.com", "c.two.org", "www.three.de", "x.shady.com", "casino.shady.com", "www.pills.net", "d.four.org"])
+        pages.append((i, f"https://{host}/en/{i}", "h"))
+        if i % 2:
+            labels.append((i, int(r.random() > (0.7 if host in bad_hosts or "shady" in host else 0.1)), 0))
+    pages += [(9000, "http://new.shady.com/x", "h"), (9001, "http://new.one.com/" + "y" * 50_000, "h"), (9001, "http://new.one.com/", "h"), (9002, None, "h")]
+    pages = spark.createDataFrame(pages, "page_id long, url string, host string")
+    labels = spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
+    labelled = written(url_reputation.labelled_pages(pages, labels), "labelled")
+    wanted, bound = brute_posteriors([tuple(x) for x in labelled.collect()], url_reputation.LIFT)
+    got = url_reputation.host_reputation(labelled, labelled.select("host").distinct()).collect()
+    assert {x.host for x in got} == set(wanted)
+    for x in got:
+        assert (x.a, x.b, x.bound) == pytest.approx((*wanted[x.host], bound), rel=1e-9)
+        assert x.p_bad == pytest.approx(url_reputation.exceeds(*wanted[x.host], bound), abs=1e-9)
+    judged = url_reputation.judge_pages(pages, labelled, rules=()).collect()
+    assert len(judged) == 3004
+    for x in judged:
+        assert (x.verdict == "block") == ("shady" in x.host or "pills" in x.host) == (x.p_bad >= url_reputation.CONFIDENCE)
+    assert url_reputation.judge_pages(pages.limit(0), labelled).count() == 0
+    assert {x.verdict for x in url_reputation.judge_pages(pages, url_reputation.labelled_pages(pages, no_labels), rules=()).collect()} == {"allow"}
 
 
 def test_beta_tail_by_quadrature():
