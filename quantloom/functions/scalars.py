@@ -69,7 +69,7 @@ def _polynomial(coefficients: tuple[float, ...], x: Column) -> Column:
 
 
 def inv_normal_cdf(p: Column) -> Column:
-    """Quantile of the standard normal distribution, to about nine digits; outside 0..1 NaN."""
+    """Quantile of the standard normal distribution, to about nine digits; NaN at 0 and 1 and beyond."""
     q, inside = p - 0.5, (p > 0) & (p < 1)
     r = q * q
     central = _polynomial(CENTRAL_TOP, r) * q / _polynomial(CENTRAL_BOTTOM, r)
@@ -79,9 +79,7 @@ def inv_normal_cdf(p: Column) -> Column:
         return _polynomial(TAIL_TOP, t) / _polynomial(TAIL_BOTTOM, t)
 
     return (
-        F.when(p == 0, F.lit(-math.inf))
-        .when(p == 1, F.lit(math.inf))
-        .when(~inside, F.lit(NAN))
+        F.when(~inside, F.lit(NAN))
         .when(p < TAIL_BELOW, tail(p))
         .when(p > 1 - TAIL_BELOW, -tail(1 - p))
         .otherwise(central)

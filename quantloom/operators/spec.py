@@ -94,19 +94,26 @@ class Frame:
         self.df, self.symbol, self.ts = df, symbol, ts
         self._n = 0
         self.valid: Column | None = None
-        self._rows: dict[str, Column] = {}
+        self._names: dict[str, str] = {}
 
-    def add(self, expr: Column, name: str | None = None) -> Column:
+    def add(self, expr: Column) -> Column:
         """The expression as a column of the frame."""
-        self._n += 1
-        name = name or f"_c{self._n}"
-        self.df = self.df.withColumn(name, expr)
-        return F.col(name)
+        return self.add_many([expr])[0]
 
     def add_many(self, exprs: list[Column]) -> list[Column]:
-        names = [f"_c{self._n + 1 + i}" for i in range(len(exprs))]
-        self._n += len(exprs)
-        self.df = self.df.withColumns(dict(zip(names, exprs)))
+        """The expressions as columns. One that the frame has already, under whichever operator, is the
+        column it was then: expressions print in full, and the frame's columns never change."""
+        names, new = [], {}
+        for expr in exprs:
+            text = str(expr)
+            if text not in self._names:
+                self._n += 1
+                name = f"_c{self._n}"
+                self._names[text], new[name] = name, expr
+                self._names[str(F.col(name))] = name
+            names.append(self._names[text])
+        if new:
+            self.df = self.df.withColumns(new)
         return [F.col(n) for n in names]
 
     def over(self) -> WindowSpec:
@@ -145,8 +152,8 @@ class Frame:
 
         The recurrence is linear, so a value is a weighted sum over the rows up to it. Rows are cut
         into blocks that are short enough for weights relative to the block's start to be exact; a
-        block adds what the blocks before it carry over, of which the sixth has no weight left. All
-        is window sums: no state is kept outside the engine, and no row sees more than its block.
+        block adds what the five blocks before it carry over; what is left out weighs less than 1e-20, so
+        values are exact to rounding unless inputs that old were that much larger. All is window sums: no state is kept outside the engine, and no row sees more than its block.
         """
         alpha = float(alpha)
         if alpha >= 1:

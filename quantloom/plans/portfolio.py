@@ -15,6 +15,7 @@ from pyspark.sql.window import Window
 
 from quantloom.session import ship_package
 
+
 def _date():
     return Window.partitionBy("ts")
 
@@ -44,6 +45,8 @@ def filter_bottom_n(s: DataFrame, n: int) -> DataFrame:
 
 
 def filter_quantile(s: DataFrame, pct: float, side: str = "top") -> DataFrame:
+    if side not in ("top", "bottom"):
+        raise ValueError(f"side is top or bottom, not {side!r}")
     n = F.greatest(F.lit(1), F.floor(F.count("*").over(_date()) * pct + 0.5))
     return s.withColumn("_n", n).withColumn("_rn", F.row_number().over(_best(side == "top"))).where("_rn <= _n").drop("_rn", "_n")
 
@@ -105,25 +108,34 @@ def limit_deltas(w: DataFrame, max_delta: float) -> DataFrame:
     weights that reach 0 leave.
 
     A symbol's limited weight depends on its own limited weight before, over all dates with a basket, so
-    each symbol is a stream of its targets in order, with one number of state."""
+    each symbol is a stream of its targets in order, with one number of state. Dates are numbered, and
+    after its last target a symbol adds the dates on which its weight falls to 0, at most 1 / max_delta."""
     ship_package(w.sparkSession)
     dates = w.select("ts").distinct()
-    symbols = w.groupBy("symbol").agg(F.min("ts").alias("_first"), F.first("universe_idx").alias("universe_idx"))
-    grid = dates.join(symbols, F.col("ts") >= F.col("_first")).join(w.select("ts", "symbol", "weight"), ["ts", "symbol"], "left")
-    rows = grid.select("ts", "symbol", "universe_idx", F.coalesce("weight", F.lit(0.0)).alias("weight")).repartition("symbol").sortWithinPartitions("symbol", "ts")
+    # one row per date: this window has as many rows as there are dates, however many symbols
+    dates = dates.select("ts", (F.row_number().over(Window.orderBy("ts")) - 1).cast("long").alias("date_no"), F.count("*").over(Window.partitionBy()).alias("n_dates"))
+    following = F.lead("date_no").over(Window.partitionBy("symbol").orderBy("date_no"))
+    rows = w.select("ts", "symbol", "universe_idx", "weight").join(dates, "ts").select("symbol", "universe_idx", "date_no", "weight", F.coalesce(following, F.col("n_dates")).alias("until"))
+    rows = rows.repartition("symbol").sortWithinPartitions("symbol", "date_no")
 
     def walk(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         symbol, held = None, 0.0
         for pdf in batches:
             out = []
-            for s, target in zip(pdf["symbol"], pdf["weight"]):
+            for s, idx, no, target, until in zip(pdf["symbol"], pdf["universe_idx"], pdf["date_no"], pdf["weight"], pdf["until"]):
                 if s != symbol:
                     symbol, held = s, 0.0
                 held = max(0.0, min(held + max_delta, max(held - max_delta, target)))
-                out.append(held)
-            yield pdf.assign(weight=out)
+                out.append((s, idx, no, held))
+                for later in range(no + 1, until):
+                    if held <= 0:
+                        break
+                    held = max(0.0, held - max_delta)
+                    out.append((s, idx, later, held))
+            yield pd.DataFrame(out, columns=["symbol", "universe_idx", "date_no", "weight"])
 
-    return rows.mapInPandas(walk, rows.schema).where("weight > 0")
+    kept = rows.mapInPandas(walk, rows.select("symbol", "universe_idx", "date_no", "weight").schema)
+    return kept.where("weight > 0").join(dates.select("ts", "date_no"), "date_no").select("ts", "symbol", "universe_idx", "weight")
 
 
 #: kind: (function, parameters with the check that each must pass)
@@ -166,6 +178,8 @@ def validate_recipe(recipe: dict) -> list[str]:
             if kind not in known:
                 errors.append(f'{key}[{i}]: unknown kind "{kind}"')
                 continue
+            if params.get("side", "top") not in ("top", "bottom"):
+                errors.append(f"{key}[{i}].side: invalid")
             errors += [f"{key}[{i}].{name}: invalid" for name, ok in known[kind][1].items() if name not in params or not ok(params[name])]
     if _kind(recipe.get("basketCtor") or {})[0] not in BASKETS:
         errors.append("basketCtor: unknown kind")

@@ -11,11 +11,11 @@ from quantloom.functions import scalars
 from quantloom.functions.series import Series, exploded
 from quantloom.functions import series as fs
 from quantloom.plans import portfolio as pf
-from quantloom.plans.backtest import Costs, Options, equity, run_backtest
+from quantloom.plans.backtest import Costs, Options, commission, equity, run_backtest, slipped_price
 from quantloom.plans.graph import compile_graph
 from quantloom.sources.bars import bars_from_events, bars_from_lineitem, daily_bars, resample, universe_frame, with_adjustment
 
-DIGITS, SHIFT = 4, 3.7e-7
+DIGITS, SHIFT = 7, 3.7e-10
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
 
@@ -187,6 +187,19 @@ ops("trend_windows", [("aroon", "AROON", ["high", "low"], {"period": 10}, "up",
 ops("trend_directional", [("dm", "DM", ["high", "low"], {"period": 7}, "plus", "minus"), ("di", "DI", HLC, {"period": 7}, "plus", "minus"), ("dx", "DX", HLC, {"period": 7}), ("adx", "ADX", HLC, {"period": 7}), ("adxr", "ADXR", HLC, {"period": 7})],
     [{"rn": f"row_number() {BASE}", **_TR[0], "u": f"high - lag(high) {BASE}", "d": f"lag(low) {BASE} - low"}, {**_TR[1], "p": "CASE WHEN u IS NOT NULL THEN CASE WHEN u > d AND u > 0 THEN u ELSE 0 END END", "m": "CASE WHEN u IS NOT NULL THEN CASE WHEN d > u AND d > 0 THEN d ELSE 0 END END"}, {"dm_plus": wilder("p", 7), "dm_minus": wilder("m", 7), "atr": wilder("tr", 7)}, {"di_plus": "CASE WHEN atr <> 0 THEN 100 * dm_plus / atr END", "di_minus": "CASE WHEN atr <> 0 THEN 100 * dm_minus / atr END"}, {"dx": "CASE WHEN di_plus + di_minus = 0 THEN 0 ELSE 100 * abs(di_plus - di_minus) / (di_plus + di_minus) END"}, {"adx": wilder("dx", 7)}, {"adxr": f"(adx + lag(adx, 6) {BASE}) / 2"}])
 ops("trend_sar", [("stop", "SAR", ["high", "low"], {})], None)
+#: The stop bar by bar: with the trend's side, its extreme, the pace, and the ranges of two bars before.
+ORACLE_SQL["trend_sar"] = f"""WITH RECURSIVE b AS ({BARS_SQL}), r AS (SELECT symbol, ts, high, low, row_number() {BASE} AS n FROM b),
+s AS (
+  SELECT symbol, ts, n, low AS stop, high AS extreme, 0.02::DOUBLE AS pace, TRUE AS rising, [high] AS highs, [low] AS lows FROM r WHERE n = 1
+  UNION ALL
+  SELECT symbol, ts, n,
+    CASE WHEN turned THEN CASE WHEN rising THEN greatest(extreme, high) ELSE least(extreme, low) END WHEN rising THEN least(moved, list_min(lows)) ELSE greatest(moved, list_max(highs)) END,
+    CASE WHEN turned THEN CASE WHEN rising THEN low ELSE high END WHEN rising THEN greatest(extreme, high) ELSE least(extreme, low) END,
+    CASE WHEN turned THEN 0.02::DOUBLE WHEN CASE WHEN rising THEN high > extreme ELSE low < extreme END THEN least(pace + 0.02::DOUBLE, 0.2::DOUBLE) ELSE pace END,
+    rising <> turned, [highs[-1], high], [lows[-1], low]
+  FROM (SELECT *, CASE WHEN rising THEN low < moved ELSE high > moved END AS turned FROM (
+    SELECT r.symbol, r.ts, r.n, r.high, r.low, s.extreme, s.pace, s.rising, s.highs, s.lows, s.stop + s.pace * (s.extreme - s.stop) AS moved FROM s JOIN r ON r.symbol = s.symbol AND r.n = s.n + 1)))
+SELECT symbol, CAST(epoch(ts) AS BIGINT) AS ts, {shown('stop')} AS stop FROM s"""
 ops("momentum_windows", [("bop", "BOP", OHLC, {}), ("mom", "MOM", ["close"], {}), ("roc", "ROC", ["close"], {}), ("rocr", "ROCR", ["close"], {}), ("cmo", "CMO", ["close"], {"period": 10}), ("wad", "WAD", HLC, {}), ("rvi", "RVI", OHLC, {"period": 6}, "rvi", "signal")],
     [{"pc": lag("close"), "c10": lag("close", 10), "c12": lag("close", 12), "a": sma("close - open", 6), "b": sma("high - low", 6)}, {"bop": "CASE WHEN high = low THEN 0 ELSE (close - open) / (high - low) END", "mom": "close - c10", "roc": "CASE WHEN c12 = 0 THEN 0 ELSE 100 * (close - c12) / c12 END", "rocr": "CASE WHEN c12 = 0 THEN 1 ELSE close / c12 END", "up": "greatest(close - pc, 0) + 0 * pc", "dn": "greatest(pc - close, 0) + 0 * pc", "wd": "CASE WHEN close > pc THEN close - least(pc, low) WHEN close < pc THEN close - greatest(pc, high) WHEN pc IS NOT NULL THEN 0 END", "rv": "CASE WHEN b = 0 THEN 0 ELSE a / b END"},
      {"su": roll("sum(up)", "up", 10), "sd": roll("sum(dn)", "dn", 10), "wad": f"CASE WHEN wd IS NOT NULL THEN sum(wd) {UPTO} END", "rvi_signal": sma("rv", 4)}, {"cmo": "CASE WHEN su + sd = 0 THEN 0 ELSE 100 * (su - sd) / (su + sd) END", "rvi_rvi": "CASE WHEN rvi_signal IS NOT NULL THEN rv END"}])
@@ -203,9 +216,9 @@ ops("volatility_windows", [("vol", "Volatility", ["close"], {"period": 10}), ("t
 ops("volatility_smoothed", [("cvi", "CVI", ["high", "low"], {}), ("mass", "MASS", ["high", "low"], {}), ("atr", "ATR", HLC, {}), ("natr", "NATR", HLC, {})],
     [{**_TR[0], "r": "high - low"}, {**_TR[1], "e10": e("r", 10), "e9": e("r", 9)}, {"b": lag("e10", 10), "ee": e("e9", 9), "atr": wilder("tr", 14)}, {"cvi": "CASE WHEN b = 0 THEN 0 ELSE 100 * (e10 - b) / b END", "q": "CASE WHEN ee = 0 THEN 0 ELSE e9 / ee END", "natr": "CASE WHEN close <> 0 THEN 100 * atr / close END"}, {"mass": roll("sum(q)", "q", 25)}])
 _FLOW = "CASE WHEN high = low THEN 0 ELSE ((close - low) - (high - close)) / (high - low) * volume END"
-ops("volume_windows", [("ad", "AD", HLCV, {}), ("_nvi", "NVI", ["close", "volume"], {}), ("_pvi", "PVI", ["close", "volume"], {}), ("log_nvi", "Log", ["n__nvi"], {}), ("log_pvi", "Log", ["n__pvi"], {}), ("obv", "OBV", ["close", "volume"], {}), ("mfi", "MFI", HLCV, {}), ("emv", "EMV", ["high", "low", "turnover"], {}), ("mfx", "MarketFI", ["high", "low", "volume"], {}), ("cmf", "CMF", HLCV, {"period": 10}), ("vroc", "VROC", ["turnover"], {}), ("pvt", "PVT", ["close", "volume"], {})],
+ops("volume_windows", [("ad", "AD", HLCV, {}), ("_nvi", "NVI", ["close", "volume"], {}), ("_pvi", "PVI", ["close", "volume"], {}), ("log_nvi", "Log", ["n__nvi"], {}), ("log_pvi", "Log", ["n__pvi"], {}), ("obv", "OBV", ["close", "volume"], {}), ("mfi", "MFI", HLCV, {}), ("_emv", "EMV", ["high", "low", "turnover"], {}), ("_scale", "Const", [], {"value": 1e8}), ("emv", "Div", ["n__emv", "n__scale"], {}), ("mfx", "MarketFI", ["high", "low", "volume"], {}), ("cmf", "CMF", HLCV, {"period": 10}), ("vroc", "VROC", ["turnover"], {}), ("pvt", "PVT", ["close", "volume"], {})],
     [{"pc": lag("close"), "pv": lag("volume"), "t25": lag("turnover", 25), "tp": "(high + low + close) / 3", "fl": _FLOW, "mid": "(high + low) / 2"}, {"pt": lag("tp"), "pm": lag("mid"), "fn": "CASE WHEN volume < pv AND pc <> 0 THEN close / pc ELSE 1 END", "fp": "CASE WHEN volume > pv AND pc <> 0 THEN close / pc ELSE 1 END"}, {"up": "CASE WHEN pt IS NOT NULL THEN CASE WHEN tp >= pt THEN tp * volume ELSE 0 END END", "dn": "CASE WHEN pt IS NOT NULL THEN CASE WHEN tp < pt THEN tp * volume ELSE 0 END END"},
-     {"ad": f"sum(fl) {UPTO}", "log_nvi": f"ln(1000 * product(fn) {UPTO})", "log_pvi": f"ln(1000 * product(fp) {UPTO})", "obv": f"sum(coalesce(sign(close - pc) * volume, 0)) {UPTO}", "emv": "CASE WHEN pm IS NOT NULL THEN CASE WHEN turnover = 0 AND high = low THEN 'nan'::DOUBLE WHEN turnover = 0 OR high = low THEN 0 ELSE (mid - pm) / turnover * 1e8 * (high - low) END END", "mfx": "CASE WHEN volume = 0 THEN 0 ELSE (high - low) / volume END", "vroc": "CASE WHEN t25 = 0 THEN 0 ELSE 100 * (turnover - t25) / t25 END", "pvt": f"sum(coalesce(CASE WHEN pc <> 0 THEN (close - pc) / pc * volume END, 0)) {UPTO}", "su": roll("sum(up)", "up", 14), "sd": roll("sum(dn)", "dn", 14), "cf": roll("sum(fl)", "fl", 10), "cv": roll("sum(volume)", "volume", 10)}, {"mfi": "CASE WHEN sd = 0 THEN 100 ELSE 100 - 100 / (1 + su / sd) END", "cmf": "CASE WHEN cv <> 0 THEN cf / cv END"}])
+     {"ad": f"sum(fl) {UPTO}", "log_nvi": f"ln(1000 * product(fn) {UPTO})", "log_pvi": f"ln(1000 * product(fp) {UPTO})", "obv": f"sum(coalesce(sign(close - pc) * volume, 0)) {UPTO}", "emv": "CASE WHEN pm IS NOT NULL THEN CASE WHEN turnover = 0 AND high = low THEN 'nan'::DOUBLE WHEN turnover = 0 OR high = low THEN 0 ELSE (mid - pm) / turnover * (high - low) END END", "mfx": "CASE WHEN volume = 0 THEN 0 ELSE (high - low) / volume END", "vroc": "CASE WHEN t25 = 0 THEN 0 ELSE 100 * (turnover - t25) / t25 END", "pvt": f"sum(coalesce(CASE WHEN pc <> 0 THEN (close - pc) / pc * volume END, 0)) {UPTO}", "su": roll("sum(up)", "up", 14), "sd": roll("sum(dn)", "dn", 14), "cf": roll("sum(fl)", "fl", 10), "cv": roll("sum(volume)", "volume", 10)}, {"mfi": "CASE WHEN sd = 0 THEN 100 ELSE 100 - 100 / (1 + su / sd) END", "cmf": "CASE WHEN cv <> 0 THEN cf / cv END"}])
 ops("volume_smoothed", [("adosc", "ADOSC", HLCV, {}), ("cho", "CHO", HLCV, {}), ("vosc", "VOSC", ["volume"], {}), ("pvo", "PVO", ["turnover"], {}, "pvo", "signal", "histogram"), ("fi", "FI", ["close", "volume"], {}), ("kvo", "KVO", HLCV, {})],
     [{"pc": lag("close"), "fl": _FLOW, "lev": "high + low + close", "v5": e("volume", 5), "v10": e("volume", 10), "t12": e("turnover", 12), "t26": e("turnover", 26)}, {"line": f"sum(fl) {UPTO}", "vosc": "CASE WHEN v10 = 0 THEN 0 ELSE 100 * (v5 - v10) / v10 END", "pvo_pvo": "CASE WHEN t26 = 0 THEN 0 ELSE 100 * (t12 - t26) / t26 END", "fx": "coalesce((close - pc) * volume, 0)", "tn": f"nullif(sign(lev - lag(lev) {BASE}), 0)"}, {"adosc": f"({e('line', 3)}) - ({e('line', 10)})", "pvo_signal": e("pvo_pvo", 9), "fi": e("fx", 13), "td": f"coalesce(last_value(tn IGNORE NULLS) {UPTO}, 1)"}, {"cho": "adosc", "pvo_histogram": "pvo_pvo - pvo_signal", "fp": f"CASE WHEN td <> lag(td) {BASE} THEN 1 ELSE 0 END"}, {"seg": f"sum(fp) {UPTO}"}, {"cm": "sum(high - low) OVER (PARTITION BY symbol, seg ORDER BY ts ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)"}, {"vf": "CASE WHEN cm > 0 THEN 100 * volume * td * abs(2 * (high - low) / cm - 1) ELSE 0 END"}, {"kvo": f"({e('vf', 34)}) - ({e('vf', 55)})"}])
 
@@ -297,6 +310,38 @@ QUERIES["series_arrays"] = series_arrays
 ORACLE_SQL["series_arrays"] = f"WITH r AS (SELECT vec_id, unnest(embedding)::DOUBLE AS x, generate_subscripts(embedding, 1) - 1 AS i FROM embeddings) SELECT vec_id, round(avg(x) + {SHIFT}::DOUBLE, {DIGITS}) + 0.0::DOUBLE AS mean, round(stddev_samp(x) + {SHIFT}::DOUBLE, {DIGITS}) + 0.0::DOUBLE AS sd, CAST(arg_max(i, {{'x': x, 'i': -i}}) AS BIGINT) AS top, round(median(x) + {SHIFT}::DOUBLE, {DIGITS}) + 0.0::DOUBLE AS median FROM r GROUP BY vec_id"
 
 
+def series_gaps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Returns with every fifth one NaN, carried forward and filled; and the plain returns of the closes."""
+    s = returns_of(spark, sf_dir)
+    gappy = s.on(s.df.withColumn("gappy", F.when(F.col("idx") % 5 == 0, F.lit(float("nan"))).otherwise(F.col("ret"))), "gappy")
+    df = gappy.on(gappy.locf(), "gappy").coalesce(fill=-1.0)
+    df = s.on(df, "close").returns()
+    nulls = [F.when(~F.isnan(c), F.col(c)).alias(c) for c in ("locf", "returns")]
+    return rounded(df.select("symbol", "ts", "coalesce", *nulls))
+
+
+QUERIES["series_gaps"] = series_gaps
+ORACLE_SQL["series_gaps"] = f"""WITH r AS ({RETURNS_SQL}), g AS (SELECT *, CASE WHEN idx % 5 <> 0 THEN ret END AS gappy FROM r),
+x AS (SELECT symbol, ts, coalesce(gappy, -1.0::DOUBLE) AS filled, last_value(gappy IGNORE NULLS) OVER ({_O} ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS locf, close / lag(close) OVER ({_O}) - 1 AS returns FROM g)
+SELECT symbol, CAST(epoch(ts) AS BIGINT) AS ts, {shown('filled')} AS coalesce, {shown('locf')} AS locf, {shown('returns')} AS returns FROM x"""
+
+
+def execution_costs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Commission and slipped price of line items taken as orders against 5,000 units a day."""
+    x = spark.read.parquet(f"{sf_dir}/lineitem.parquet").where("l_quantity <> 0")
+    price, side = F.col("l_extendedprice") / F.col("l_quantity"), F.when(F.col("l_returnflag") == "R", F.lit("SELL")).otherwise(F.lit("BUY"))
+    costs = Costs(rate=0.0003, per_trade=0.5, minimum=5.0, maximum=12.0, fixed_bps=2.0, market_impact=0.4, max_slip_bps=30.0)
+    made = x.select("l_orderkey", "l_linenumber", "l_partkey", commission(price, F.col("l_quantity"), costs).alias("fee"), slipped_price(price, F.col("l_quantity"), F.lit(5000.0), side, costs).alias("price"))
+    return rounded(made)
+
+
+QUERIES["execution_costs"] = execution_costs
+ORACLE_SQL["execution_costs"] = f"""WITH x AS (SELECT *, l_extendedprice / l_quantity AS p FROM lineitem WHERE l_quantity <> 0),
+y AS (SELECT *, least(12.0::DOUBLE, greatest(5.0::DOUBLE, 0.0003::DOUBLE * l_extendedprice + 0.5::DOUBLE)) AS fee, least(30 / 1e4 * p, 2 / 1e4 * p + l_quantity / 5000 * 0.4::DOUBLE * p) AS slip FROM x),
+z AS (SELECT *, CASE WHEN l_returnflag = 'R' THEN p - slip ELSE p + slip END AS price FROM y)
+SELECT l_orderkey, CAST(l_linenumber AS BIGINT) AS l_linenumber, l_partkey, {shown('fee')} AS fee, {shown('price')} AS price FROM z"""
+
+
 def scalar_helpers(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = spark.read.parquet(f"{sf_dir}/part.parquet").where("p_partkey is not null")
     k, s, x = F.col("p_partkey"), F.col("p_size").cast("long"), F.col("p_retailprice") / 1000
@@ -341,7 +386,12 @@ _portfolio("risk_cap_weight", lambda s: pf.cap_weight(pf.basket_proportional(pf.
     c AS (SELECT *, CASE WHEN rest > 0 AND (t - k * {_CAP}) / rest * w <= {_CAP} + 1e-15 THEN k END AS fit FROM b), d AS (SELECT *, min(fit) OVER (PARTITION BY ts) AS f FROM c),
     g AS (SELECT *, max(CASE WHEN k = f THEN (t - k * {_CAP}) / rest END) OVER (PARTITION BY ts) AS scale FROM d)
     $ (SELECT ts, symbol, CASE WHEN f IS NULL THEN CASE WHEN w > 0 THEN {_CAP}::DOUBLE ELSE 0 END ELSE least({_CAP}::DOUBLE, scale * w) END AS weight FROM g)""")
-_portfolio("risk_limit_deltas", lambda s: pf.limit_deltas(pf.basket_rank(pf.filter_top_n(s, 3)), 0.2), "weight", None)
+_portfolio("risk_limit_deltas", lambda s: pf.limit_deltas(pf.basket_rank(pf.filter_top_n(s, 3)), 0.2), "weight",
+    f""", k AS (SELECT ts, symbol, (n - k + 1) / (n * (n + 1) / 2.0::DOUBLE) AS target FROM (SELECT *, count(*) OVER (PARTITION BY ts) AS n FROM (SELECT *, {_RANK.format('DESC')} AS k FROM s) WHERE k <= 3)),
+    d AS (SELECT DISTINCT ts FROM k), f AS (SELECT symbol, min(ts) AS first FROM k GROUP BY symbol),
+    g AS (SELECT f.symbol, list(d.ts ORDER BY d.ts) AS days, list([coalesce(k.target, 0.0::DOUBLE)] ORDER BY d.ts) AS targets FROM f JOIN d ON d.ts >= f.first LEFT JOIN k ON k.ts = d.ts AND k.symbol = f.symbol GROUP BY f.symbol),
+    h AS (SELECT symbol, days, list_reduce(targets, lambda a, x: list_append(a, greatest(0.0::DOUBLE, least(a[-1] + 0.2::DOUBLE, greatest(a[-1] - 0.2::DOUBLE, x[1])))), [0.0::DOUBLE])[2:] AS held FROM g)
+    $ (SELECT symbol, unnest(days) AS ts, unnest(held) AS weight FROM h) WHERE weight > 0""")
 _portfolio("recipe_default", pf.compile_recipe(None), "weight",
     f""", a AS (SELECT *, {_RANK.format('DESC')} AS k FROM s WHERE score >= 0), b AS (SELECT *, count(*) OVER (PARTITION BY ts) AS n FROM a WHERE k <= 20) $ (SELECT ts, symbol, least(0.1::DOUBLE, 1.0::DOUBLE / n) AS weight FROM b)""")
 

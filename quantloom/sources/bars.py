@@ -58,11 +58,12 @@ def with_adjustment(bars: DataFrame, factors: DataFrame | None) -> DataFrame:
 def adjustment_snapshots(bars: DataFrame, factors: DataFrame | None) -> DataFrame:
     """(ts, symbol, adj): the factors of all symbols known by each date on which any of them changed."""
     changed = with_adjustment(bars, factors).where("adj_changed").select("symbol", "ts", "adj")
-    dates = changed.select(F.col("ts").alias("at")).distinct()
-    nxt = F.lead("ts").over(Window.partitionBy("symbol").orderBy("ts"))
-    spans = changed.withColumn("until", nxt)
-    # a factor holds from its change to the next; dates with changes are few against bars
-    return spans.join(F.broadcast(dates), (F.col("at") >= F.col("ts")) & (F.col("until").isNull() | (F.col("at") < F.col("until")))).select(F.col("at").alias("ts"), "symbol", "adj")
+    dates = changed.select("ts").distinct()
+    # one row per date with a change; a factor holds from its change to the one before its next
+    numbered = dates.select("ts", F.row_number().over(Window.orderBy("ts")).alias("no"), F.count("*").over(Window.partitionBy()).alias("n"))
+    at = changed.join(numbered, "ts").withColumn("next", F.lead("no").over(Window.partitionBy("symbol").orderBy("no")))
+    held = at.select("symbol", "adj", F.explode(F.sequence("no", F.coalesce(F.col("next") - 1, F.col("n").cast("int")))).alias("no"))
+    return held.join(numbered.select("ts", "no"), "no").select("ts", "symbol", "adj")
 
 
 def complete_bars(bars: DataFrame) -> DataFrame:

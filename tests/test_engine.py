@@ -11,7 +11,7 @@ from quantloom.functions import scalars
 from quantloom.functions import series as fs
 from quantloom.plans import portfolio as pf
 from quantloom.plans.backtest import Costs, Options, equity, fills, positions, run_backtest, simulate
-from quantloom.sources.bars import adjustment_snapshots, daily_bars, date_text, market_open, universe_frame, universe_from_sql, with_adjustment
+from quantloom.sources.bars import adjustment_snapshots, daily_bars, date_text, market_open, random_universe, universe_frame, universe_from_sql, with_adjustment
 from quantloom.sources.catalog import describe_table, list_tables, markdown, query_sql
 from quantloom.streaming.incremental import bars_from_ticks, running_ema
 
@@ -153,6 +153,11 @@ def test_cap_equals_iteration(spark):
 def test_limit_deltas_and_recipes(spark):
     w = scores(spark, [(4, "a", 1.0, 0), (5, "a", 1.0, 0), (6, "b", 1.0, 1), (7, "b", 1.0, 1), (8, "b", 1.0, 1)]).withColumnRenamed("score", "weight")
     assert weights_of(pf.limit_deltas(w, 0.3)) == {(4, "a"): 0.3, (5, "a"): 0.6, (6, "a"): 0.3, (6, "b"): 0.3, (7, "b"): 0.6, (8, "b"): 0.9}
+    gaps = scores(spark, [(1, "a", 0.9, 0), (1, "b", 0.1, 1)] + [(d, "b", 1.0, 1) for d in range(2, 12)] + [(12, "a", 0.5, 0)]).withColumnRenamed("score", "weight")
+    got = weights_of(pf.limit_deltas(gaps, 0.25))
+    assert {k: v for k, v in got.items() if k[1] == "a"} == {(1, "a"): 0.25, (12, "a"): 0.25} and got[11, "b"] == 1.0 and got[12, "b"] == 0.75
+    with pytest.raises(ValueError):
+        pf.filter_quantile(scores(spark, [(1, "a", 0.9, 0)]), 0.5, "middle")
     assert pf.validate_recipe({"scoredTransforms": [{"kind": "filter_topN", "n": 0}, {"kind": "x"}], "basketCtor": "y", "riskControls": [{"kind": "risk_capWeight", "max": 2}]})
     with pytest.raises(ValueError):
         pf.compile_recipe({"basketCtor": "nope"})
@@ -182,6 +187,8 @@ def test_scalars(spark):
     ps = [1e-5, 0.01, 0.3, 0.5, 0.9, 0.999]
     got = spark.createDataFrame([(p,) for p in ps], "p double").select("p", scalars.inv_normal_cdf(F.col("p")).alias("z")).collect()
     assert all(r.z == pytest.approx(NormalDist().inv_cdf(r.p), rel=1e-6, abs=1e-8) for r in got)
+    ends = spark.createDataFrame([(0.0,), (1.0,), (-1.0,)], "p double").select(scalars.inv_normal_cdf(F.col("p")).alias("z")).collect()
+    assert all(math.isnan(r.z) for r in ends)
     r = spark.range(1).select(scalars.gcd(F.lit(48), F.lit(-18)).alias("g"), scalars.lcm(F.lit(4), F.lit(6)).alias("l"), scalars.lcm(F.lit(0), F.lit(6)).alias("z")).first()
     assert (r.g, r.l, r.z) == (6, 12, 0)
 
@@ -210,3 +217,9 @@ def test_running_ema_on_a_stream(spark, tmp_path):
     batch = compile_graph({"root": "bar", "nodes": [{"name": "e", "type": "EMA", "init": {"alpha": 0.2}, "inputs": ["bar.close"]}]}, bars, outputs=["e"])
     got = {(r.symbol, r.ts): r.ema0 for r in spark.table("made_ema").collect()}
     assert len(got) == 60 and all(got[r.symbol, r.ts] == pytest.approx(r.e) for r in batch.collect())
+
+
+def test_random_universe(spark, daily):
+    bars = daily_bars(daily)
+    assert {r.symbol for r in random_universe(bars, 5).collect()} == {"000001.SZ", "600000.SH"}
+    assert random_universe(bars, 1).collect() == random_universe(bars, 1).collect() and random_universe(bars, 2, min_bars=4).count() == 0
