@@ -10,7 +10,7 @@ Labels are learned from rows whose crc32(doc_id as text) mod 3 is not 1; the oth
 
 Edge cases: null and empty texts score by the intercept; null labels are left out; of several labels of
 a document the highest counts; without labels all score 0; other columns are never looked at; repeated
-documents are each scored.
+documents are each scored; texts of any length are scored whole; empty tables give empty tables.
 """
 
 from __future__ import annotations
@@ -91,7 +91,7 @@ def swap_matrix(changes: list[tuple[set[int], set[int]]]) -> tuple[np.ndarray, n
     return starts, np.array([i for i, _ in flat], "i4"), np.array([v for _, v in flat], "f4")
 
 
-def fit_rows(starts, index, value, y, changes, steps: int = STEPS) -> ToxicityModel:
+def fit_rows(starts, index, value, y, changes, steps: int = STEPS, counterfactual: float = COUNTERFACTUAL) -> ToxicityModel:
     if not len(y) or y.min() == y.max():
         return ToxicityModel(-30.0 if not len(y) or y.max() == 0 else 30.0)
     often = np.bincount(index, minlength=ht.SIZE) >= LEAST_TEXTS
@@ -108,7 +108,7 @@ def fit_rows(starts, index, value, y, changes, steps: int = STEPS) -> ToxicityMo
         v = ht.back(starts, index, value, weight * ht.dots(starts, index, value, v))
         v /= max(np.linalg.norm(v), 1e-12)
     top = 0.25 * float((weight * ht.dots(starts, index, value, v) ** 2).sum()) + 0.25
-    top += COUNTERFACTUAL * 2 * float(np.max(np.diff(d[0]), initial=0)) * float(np.bincount(d[1], minlength=1).max(initial=0)) / n_changes
+    top += counterfactual * 2 * float(np.max(np.diff(d[0]), initial=0)) * float(np.bincount(d[1], minlength=1).max(initial=0)) / n_changes
     w, b = np.zeros(ht.SIZE), float(np.log((y == 1).mean() / (y == 0).mean()))
     w_prev, b_prev, momentum = w, b, 1.0
     for _ in range(steps):
@@ -116,7 +116,7 @@ def fit_rows(starts, index, value, y, changes, steps: int = STEPS) -> ToxicityMo
         k = (momentum - 1) / following
         wz, bz, momentum = w + k * (w - w_prev), b + k * (b - b_prev), following
         g = weight * (0.5 * (1 + np.tanh(0.5 * (ht.dots(starts, index, value, wz) + bz))) - y)
-        grad = ht.back(starts, index, value, g) + ht.back(*d, 2 * COUNTERFACTUAL / n_changes * ht.dots(*d, wz))
+        grad = ht.back(starts, index, value, g) + ht.back(*d, 2 * counterfactual / n_changes * ht.dots(*d, wz))
         w_prev, b_prev = w, b
         w = wz - grad / top
         w = np.sign(w) * np.maximum(np.abs(w) - L1 / top, 0)
@@ -125,14 +125,25 @@ def fit_rows(starts, index, value, y, changes, steps: int = STEPS) -> ToxicityMo
     return ToxicityModel(b, dict(zip(kept.tolist(), w[kept].tolist())))
 
 
-def fit(docs: DataFrame, labels: DataFrame, rows: int = ht.SAMPLE_ROWS) -> ToxicityModel:
+def swaps(sampled: DataFrame, rows: int) -> list[tuple[set[int], set[int]]]:
+    """The changes of the sample's texts that name a group. They are made where the texts are: what comes
+    to the driver is bucket numbers, at most eight a term and one term list a text of a bounded sample."""
+
+    def run(texts: pd.Series) -> pd.Series:
+        return pd.Series([[[sorted(lost), sorted(gained)] for lost, gained in swapped(set(ht.letter_words(t)))] for t in texts])
+
+    made = F.pandas_udf(run, "array<array<array<int>>>").asNondeterministic()
+    terms = [t for row in IDENTITY_TERMS for t in row]
+    named = sampled.where(F.lower("text").rlike(rf"\b({'|'.join(terms)})\b"))
+    got = named.select("doc_id", made("text").alias("changes")).where(F.size("changes") > 0).orderBy("doc_id", "changes").limit(2 * rows).collect()
+    return [(set(lost), set(gained)) for r in got for lost, gained in r.changes]
+
+
+def fit(docs: DataFrame, labels: DataFrame, rows: int = ht.SAMPLE_ROWS, counterfactual: float = COUNTERFACTUAL) -> ToxicityModel:
     sampled = written(ht.sample(docs, labels, rows, F.col("toxic").cast("int"), ~held_out(F.col("doc_id"))), "sample")
     buckets = ht.Remembered(word_buckets)
     data = ht.collected(sampled, lambda text: features(text, buckets), 2 * rows)
-    terms = [t for row in IDENTITY_TERMS for t in row]
-    named = sampled.where(F.lower("text").rlike(rf"\b({'|'.join(terms)})\b")).select("text").limit(rows).collect()
-    changes = [c for r in named for c in swapped(set(ht.letter_words(r.text)))]
-    return fit_rows(*data, changes + neutral_swaps())
+    return fit_rows(*data, swaps(sampled, rows) + neutral_swaps(), counterfactual=counterfactual)
 
 
 def score(docs: DataFrame, model: ToxicityModel) -> DataFrame:
