@@ -10,7 +10,8 @@ per file) gives their order. A task names its file anew in every attempt and ret
 what a lost or repeated attempt left behind is never read.
 
 Edge cases: null and empty text have the end id alone; repeated doc_ids keep all their rows, ordered
-by text; a null doc_id comes first; other columns are not looked at; an empty table gives no file.
+by a hash of the text; a null doc_id comes first; texts of any length are taken whole; other columns are
+not looked at; an empty table gives no file.
 """
 
 from __future__ import annotations
@@ -222,7 +223,7 @@ def write_token_files(docs: DataFrame, folder: str | None = None, text: str = "t
             yield pd.DataFrame({"file_no": [no], "path": [name], "n_docs": [n_docs], "n_tokens": [writer.n_tokens]})
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
-    ordered = rows.withColumn("tie", F.xxhash64("text")).repartitionByRange("doc_id", "tie").sortWithinPartitions("doc_id", "text")
+    ordered = rows.withColumn("tie", F.xxhash64("text")).repartitionByRange("doc_id", "tie").sortWithinPartitions("doc_id", "tie", "text")
     return written(ordered.select(F.col("doc_id").cast("string").alias("key"), "text").mapInPandas(run, MANIFEST), "manifest")
 
 
