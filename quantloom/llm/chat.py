@@ -8,7 +8,8 @@ that it can be undone). The loss mask covers the text of assistant turns: its bo
 the segment lengths over the conversation.
 
 Turns are encoded one by one before the shuffle; then a conversation's turns stream in order through
-one task, without being held together.
+one task, without being held together: the digest of a whole conversation can't be made in parts. The
+result is a table whose rows say their place, so it can be written, split and read in any order.
 
 Edge cases: null role or text is empty; turns with the same number are ordered by role and text; a
 null conv_id is one conversation; a null turn comes first; other columns are not looked at.
@@ -83,8 +84,8 @@ def chat_codec(path: str) -> ChatCodec:
 
 
 def format_conversations(conversations: DataFrame, vocabulary: str | None = None) -> DataFrame:
-    """The formatted conversations, a row per turn in order within its partition: conv_key (conv_id as
-    text), part, ids (little-endian unsigned 32-bit), token_start, and the masked token range."""
+    """The formatted conversations, a row per turn: conv_key (conv_id as text), part (its place, from 0),
+    ids (little-endian unsigned 32-bit), token_start, and the masked token range."""
     spark = conversations.sparkSession
     ship_package(spark)
     path = vocabulary or default_vocabulary()
@@ -120,7 +121,9 @@ def format_conversations(conversations: DataFrame, vocabulary: str | None = None
 
 
 def read_back(formatted: DataFrame, vocabulary: str | None = None) -> DataFrame:
-    """Roles, texts and masked text of each conversation, from its ids and mask alone, as digests."""
+    """Roles, texts and masked text of each conversation, from its ids and mask alone, as digests. The
+    table's rows can come in any order: they are put into that of their parts."""
+    ship_package(formatted.sparkSession)
     path = vocabulary or default_vocabulary()
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -160,7 +163,8 @@ def read_back(formatted: DataFrame, vocabulary: str | None = None) -> DataFrame:
         if state is not None:
             yield pd.DataFrame([finished()], columns=["conv_key", "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars"])
 
-    out = formatted.mapInPandas(run, READ_BACK)
+    placed = formatted.repartition("conv_key").sortWithinPartitions("conv_key", "part")
+    out = placed.select("conv_key", "ids", "token_start", "loss_start", "loss_stop").mapInPandas(run, READ_BACK)
     return out.select(F.when(F.col("conv_key") != "", F.col("conv_key")).cast("long").alias("conv_id"), "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars")
 
 

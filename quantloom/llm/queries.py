@@ -66,7 +66,8 @@ def op9_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return chat.read_back(chat.format_conversations(chat.with_probe(table(spark, sf_dir, "conversations"))))
+    formatted = written(chat.format_conversations(chat.with_probe(table(spark, sf_dir, "conversations"))), "formatted")
+    return chat.read_back(formatted)
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
