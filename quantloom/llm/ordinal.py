@@ -9,7 +9,8 @@ Grades come from the labels: 0 for low quality, 1 for good but toxic, 2 for good
 
 Edge cases: null and empty texts have one feature of their own; null labels are left out; of several
 labels of a document the best grade counts; with no labels every grade is as likely; other columns are
-not looked at; repeated documents are each scored.
+not looked at; repeated documents are each scored; texts of any length are scored whole; empty tables
+give empty tables.
 """
 
 from __future__ import annotations

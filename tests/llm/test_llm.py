@@ -205,6 +205,11 @@ def test_chat_reads_back(spark):
         assert got[conv].turns_sha256 == hashlib.sha256("".join(f"{role}\n{t}\n" for *_, role, t in ts).encode()).hexdigest()
         assert (got[conv].loss_chars, got[conv].loss_sha256) == (len(loss), hashlib.sha256(loss.encode()).hexdigest())
         assert got[conv].formatted_chars == sum(len(chat.escape(role)) + len(chat.escape(t)) + sum(map(len, chat.CONTROLS)) + 1 for *_, role, t in ts)
+    shuffled = written(chat.format_conversations(chat.with_probe(table)).orderBy(F.rand(3)), "shuffled")
+    assert {r.conv_id: r for r in chat.read_back(shuffled).collect()} == got
+    long = [(1, k, "user" if k % 2 else "assistant", f"turn {k} " + "word " * (20_000 if k == 5 else 3)) for k in range(400)]
+    (one,) = chat.read_back(written(chat.format_conversations(spark.createDataFrame(long, "conv_id long, turn long, role string, text string")), "long")).collect()
+    assert one.n_turns == 400 and one.turns_sha256 == hashlib.sha256("".join(f"{role}\n{t}\n" for *_, role, t in long).encode()).hexdigest()
     none = spark.createDataFrame([], "conv_id long, turn long, role string, text string")
     assert chat.read_back(chat.format_conversations(none)).count() == 0
 
@@ -572,8 +577,16 @@ def test_toxicity_held_out_and_counterfactual(spark, odd, empty, no_labels):
     held = [i for i, g in got.items() if g.held_out]
     right = sum(got[i].predicted == toxic[i] for i in held) / len(held)
     assert right > 0.97
-    neutral = toxicity.score(docs_of(spark, ["the muslim family", "the christian family"]), model).orderBy("doc_id").collect()
-    assert abs(neutral[0].score - neutral[1].score) < 0.05 and neutral[0].predicted == 0
+    terms = toxicity.IDENTITY_TERMS[4]
+    sentences = docs_of(spark, [f"the {t} family had dinner" for t in terms] + [f"a {t} neighbour" for t in terms])
+    plain = toxicity.fit(docs, labels, counterfactual=0.0)
+    spread = {}
+    for name, m in (("with", model), ("without", plain)):
+        x = [r.score for r in toxicity.score(sentences, m).collect()]
+        spread[name] = max(x) - min(x), sum(v >= toxicity.PREDICT_AT for v in x)
+    # the penalty, not the L1 term, takes the weight from the name
+    assert spread["with"][0] < 0.05 and spread["with"][1] == 0
+    assert spread["without"][0] > 3 * spread["with"][0] + 0.05
     blank = toxicity.fit(odd, no_labels)
     assert {x.predicted for x in toxicity.score(odd, blank).collect()} == {0} and toxicity.score(empty, blank).count() == 0
 
@@ -590,6 +603,57 @@ def test_toxicity_fit_balances_its_residuals():
     assert abs(g.sum()) < 2e-4  # 0 where the intercept is at its best
 
 
+def toxicity_loss(w, b, x, y, swap, l1, penalty):
+    z = x @ w + b
+    weight = np.where(y == 1, 0.5 / (y == 1).sum(), 0.5 / (y == 0).sum())
+    return float((weight * (np.logaddexp(0, z) - y * z)).sum() + l1 * np.abs(w).sum() + penalty * ((swap @ w) ** 2).mean())
+
+
+def test_toxicity_fit_equals_plain_descent():
+    r = np.random.default_rng(12)
+    x = (r.random((300, 8)) < 0.4).astype("f8")
+    y = (r.random(300) < 1 / (1 + np.exp(2.0 - 2.5 * x[:, 0] - 1.5 * x[:, 1]))).astype("i8")
+    rows = [np.flatnonzero(v) for v in x]
+    changes = [({0}, {2}), ({1}, {3})]
+    swap = np.zeros((2, 8))
+    for k, (lost, gained) in enumerate(changes):
+        swap[k, list(lost)], swap[k, list(gained)] = -1, 1
+    starts, index = np.concatenate([[0], np.cumsum([len(v) for v in rows])]), np.concatenate(rows).astype("i4")
+    for penalty in (0.0, 1.0):
+        model = toxicity.fit_rows(starts, index, np.ones(len(index), "f4"), y, changes, steps=3000, counterfactual=penalty)
+        got = np.array([model.weights.get(i, 0.0) for i in range(8)])
+        w, b = np.zeros(8), 0.0  # proximal descent by small steps
+        weight = np.where(y == 1, 0.5 / (y == 1).sum(), 0.5 / (y == 0).sum())
+        for _ in range(20_000):
+            g = weight * (1 / (1 + np.exp(-(x @ w + b))) - y)
+            w = w - 0.05 * (x.T @ g + penalty * 2 * swap.T @ (swap @ w) / len(swap))
+            w, b = np.sign(w) * np.maximum(np.abs(w) - 0.05 * toxicity.L1, 0), b - 0.05 * g.sum()
+        args = (x, y, swap, toxicity.L1, penalty)
+        assert toxicity_loss(got, model.intercept, *args) == pytest.approx(toxicity_loss(w, b, *args), abs=1e-4)
+        assert np.abs(got - w).max() < 0.05
+
+
+def test_ordinal_fit_equals_plain_descent():
+    r = np.random.default_rng(4)
+    x = r.random((400, 4))
+    score = x @ np.array([3.0, -2.0, 0.0, 1.0]) + r.logistic(size=400)
+    y = (score > 0.5).astype("i8") + (score > 2.0)
+    starts, index = np.arange(401) * 4, np.tile(np.arange(4), 400).astype("i4")
+    model = ordinal.fit_rows(starts, index, x.ravel().astype("f4"), y, steps=2000)
+
+    def loss(w, t):
+        c = 1 / (1 + np.exp(-(np.array([-np.inf, *t, np.inf])[None, :] - (x @ w)[:, None])))
+        return -np.log(np.take_along_axis(np.diff(c), y[:, None], 1)).mean() + ordinal.RIDGE / 2 * (w @ w)
+
+    p = np.array([0.0, 0.0, 0.0, 0.0, 0.0, 1.0])  # descent by differences
+    value = lambda p: loss(p[:4], p[4:])
+    for _ in range(4000):
+        grad = np.array([(value(p + 1e-5 * e) - value(p - 1e-5 * e)) / 2e-5 for e in np.eye(6)])
+        p = p - 1.0 * grad
+    assert loss(model.weights[:4], model.thresholds) == pytest.approx(value(p), abs=2e-3)
+    assert np.abs(model.weights[:4] - p[:4]).max() < 0.3 and np.abs(model.thresholds - p[4:]).max() < 0.3
+
+
 # Near duplicates
 
 
