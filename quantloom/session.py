@@ -29,25 +29,41 @@ def ship_package(spark: SparkSession) -> None:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder in ``spark.checkpoint.dir``; only where that is unset (tests) a local one."""
+    """The folder in ``spark.checkpoint.dir``, or the one given to ``setCheckpointDir``. Where neither is
+    set, as in tests, a single machine gets a folder of its own; a cluster is refused, as its machines do
+    not see each other's."""
     sc = spark.sparkContext
-    base = sc.getConf().get("spark.checkpoint.dir", None)
+    base = sc.getConf().get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
     if base:
         return base.rstrip("/")
+    if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that all machines share")
     if sc.applicationId not in _own_shared:
         _own_shared[sc.applicationId] = "file://" + tempfile.mkdtemp(prefix="quantloom-shared-")
     return _own_shared[sc.applicationId]
 
 
+def _application_dir(spark: SparkSession) -> str:
+    return f"{shared_dir(spark)}/quantloom/{spark.sparkContext.applicationId}"
+
+
 def new_path(spark: SparkSession, tag: str) -> str:
-    """A fresh path below the shared folder."""
-    return f"{shared_dir(spark)}/quantloom/{uuid.uuid4().hex[:12]}-{tag}"
+    """A fresh path below the shared folder, in that of this application."""
+    return f"{_application_dir(spark)}/{uuid.uuid4().hex[:12]}-{tag}"
+
+
+def clear_written(spark: SparkSession) -> None:
+    """Delete all tables and files that this application has written below the shared folder. Call it when
+    no result is read any more."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(_application_dir(spark))
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def written(df: DataFrame, tag: str) -> DataFrame:
     """Cut lineage: write ``df`` as Parquet into the shared folder and read it again.
 
-    Unlike a cached or locally checkpointed frame the table outlives lost executors.
+    Unlike a cached or locally checkpointed frame the table outlives lost executors. It stays until
+    :func:`clear_written`.
     """
     spark = df.sparkSession
     path = new_path(spark, tag)

@@ -223,3 +223,31 @@ def test_random_universe(spark, daily):
     bars = daily_bars(daily)
     assert {r.symbol for r in random_universe(bars, 5).collect()} == {"000001.SZ", "600000.SH"}
     assert random_universe(bars, 1).collect() == random_universe(bars, 1).collect() and random_universe(bars, 2, min_bars=4).count() == 0
+
+
+def test_written_tables_can_be_cleared(spark):
+    from pathlib import Path
+
+    from quantloom.session import clear_written, shared_dir, written
+
+    table = written(spark.range(3).toDF("x"), "numbers")
+    assert table.count() == 3
+    folder = Path(shared_dir(spark).removeprefix("file://").removeprefix("file:")) / "quantloom" / spark.sparkContext.applicationId
+    assert any(p.name.endswith("-numbers") for p in folder.iterdir())
+    clear_written(spark)
+    assert not folder.exists()
+
+
+def test_a_cluster_needs_a_shared_folder(monkeypatch):
+    from quantloom import session
+
+    class Context:
+        master, applicationId = "spark://host:7077", "app"
+        getConf = staticmethod(lambda: {})
+        getCheckpointDir = staticmethod(lambda: None)
+
+    class Session:
+        sparkContext = Context()
+
+    with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
+        session.shared_dir(Session())
