@@ -13,7 +13,9 @@ words between white space, counted) is at least 0.8; classes are the connected d
    small buckets with each other, unless they are in one class by now.
 4. Members of larger buckets that still hold several classes are joined by a prefix filter: with cells in
    one order, rare ones first, linked texts of n and m cells have a common cell before place n - c and
-   m - c, where c is the least number of common cells that the threshold allows.
+   m - c, where c is the least number of common cells that the threshold allows. Before that, texts are
+   checked with one text of a cell's commonest class, the one with the fewest rare cells, as most of those
+   that are linked with any of the class are linked with it, and need not be joined with all of them.
 
 So each pair of a bucket is checked, ruled out by an exact filter, or known to be in one class, however
 large the bucket is. Checks are exact; before them go pairs whose prints agree ``deviations`` standard
@@ -46,6 +48,8 @@ THRESHOLD = 0.8
 DEVIATIONS = 4.0
 #: Buckets up to this size compare all pairs of different classes; larger ones take the prefix filter.
 SMALL = 8
+#: Turns of checks with middle texts before the full join of prefixes (they save time only).
+MIDDLE_TURNS = 2
 #: Slots of the table of cell counts, which orders cells by rarity (collisions cost time only).
 COUNT_SLOTS = 1 << 20
 #: A null doc_id in the order of ids.
@@ -180,11 +184,25 @@ def _prefixes(cut: DataFrame, ids: DataFrame, threshold: float) -> DataFrame:
     return made.select("id", "n", F.posexplode("prefix").alias("at", "cell"))
 
 
-def _rest_pairs(cut: DataFrame, mixed: DataFrame, threshold: float) -> DataFrame:
-    """Pairs (a, b) of different labels among (id, label) that may be linked: all that are, and few others."""
-    rows = written(_prefixes(cut, mixed.select("id"), threshold).join(mixed, "id"), "prefixes")
-    labels = rows.groupBy("cell", "label").count().groupBy("cell").agg(F.max_by("label", F.struct("count", "label")).alias("main"), F.count("*").alias("n_labels"))
-    rows = written(rows.join(written(labels.where("n_labels > 1").select("cell", "main"), "mains"), "cell"), "shared_cells")
+def _shared_cells(prefixes: DataFrame, labels: DataFrame) -> DataFrame:
+    """The rows of ``prefixes`` whose cell several classes have, with label, the label of the cell's
+    commonest class (main) and its text with the fewest cells before this one (middle)."""
+    rows = written(prefixes.join(labels, "id", "left").withColumn("label", F.coalesce("label", "id")), "prefixes")
+    per_label = rows.groupBy("cell", "label").agg(F.count("*").alias("count"), F.min_by("id", "at").alias("middle"))
+    mains = per_label.groupBy("cell").agg(F.max_by(F.struct("label", "middle"), F.struct("count", "label")).alias("top"), F.count("*").alias("n_labels")).where("n_labels > 1")
+    return written(rows.join(written(mains.select("cell", F.col("top.label").alias("main"), F.col("top.middle").alias("middle")), "mains"), "cell"), "shared_cells")
+
+
+def _middle_pairs(rows: DataFrame) -> DataFrame:
+    """Pairs (a, b) with their labels: each text with the middle one of the commonest class of its cells."""
+    others = rows.where("label <> main").select("id", "middle", "label", "main").distinct()
+    first = F.col("id") < F.col("middle")
+    end = lambda yes, no: F.when(first, F.col(yes)).otherwise(F.col(no))
+    return others.select(end("id", "middle").alias("a"), end("middle", "id").alias("b"), end("label", "main").alias("label_a"), end("main", "label").alias("label_b")).distinct()
+
+
+def _rest_pairs(rows: DataFrame, threshold: float) -> DataFrame:
+    """Pairs (a, b) of different labels that may be linked: all that are, and few others."""
     common = lambda n: F.ceil(F.lit(threshold / (1 + threshold)) * n - 1e-6)
     # The shorter text needs a shorter prefix; rows of a cell's commonest label do not meet each other.
     short = rows.where(F.col("at") <= F.col("n") - common(F.col("n") * 2)).select("cell", *[F.col(c).alias(f"{c}_a") for c in ("id", "n", "at", "label", "main")])
@@ -238,7 +256,10 @@ def _classes(signed: DataFrame, threshold: float, text: str, deviations: float |
     if not large.isEmpty():
         rest = written(_mixed(large, labels).select("id", "label").distinct(), "rest")
         if not rest.isEmpty():
-            search(_rest_pairs(cut, rest, threshold))
+            prefixes = written(_prefixes(cut, rest.select("id"), threshold), "prefixes")
+            for _ in range(MIDDLE_TURNS):
+                search(_middle_pairs(_shared_cells(prefixes, labels)))
+            search(_rest_pairs(_shared_cells(prefixes, labels), threshold))
 
     placed = signed.select("row", "doc_id").join(same, "row", "left").withColumn("id", F.coalesce("id", "row")).join(labels, "id", "left")
     placed = written(placed.select("row", "doc_id", F.coalesce("label", "id").alias("label")), "placed")
