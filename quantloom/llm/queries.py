@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quantloom.llm import bpe, chat, decontaminate, neardup, ordinal, pii, quality_rules, token_file, toxicity, url_reputation
+from quantloom.llm import bpe, chat, decontaminate, exponion, neardup, ordinal, pii, quality_rules, token_counts, token_file, toxicity, turn_repair, url_reputation
 from quantloom.session import written
 
 
@@ -70,6 +70,20 @@ def op10_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.read_back(formatted)
 
 
+def op11_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts.count_tokens(table(spark, sf_dir, "documents"))
+
+
+def op12_exponion(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = exponion.whole_vectors(table(spark, sf_dir, "embeddings"), dims=64, scale=64)
+    return exponion.with_totals(exponion.cluster(vectors, k=16, rounds=3, seed=1))
+
+
+def op13_turn_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    conversations = table(spark, sf_dir, "conversations")
+    return turn_repair.report(turn_repair.damage(conversations), conversations)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_url_reputation": op1_url_reputation,
     "op2_pii": op2_pii,
@@ -81,6 +95,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op7_toxicity": op7_toxicity,
     "op9_near_duplicates": op9_near_duplicates,
     "op10_chat": op10_chat,
+    "op11_token_counts": op11_token_counts,
+    "op12_exponion": op12_exponion,
+    "op13_turn_repair": op13_turn_repair,
 }
 
 ORACLE_SQL: dict[str, str] = {
@@ -119,3 +136,64 @@ SELECT conv_id, CAST(count(*) AS BIGINT) AS n_turns,
 FROM e GROUP BY conv_id
 """,
 }
+
+
+def _exponion_sql(rounds: int = 3, k: int = 16, dims: int = 64) -> str:
+    """The rounds one after the other, each vector against every centroid."""
+    distance = "list_sum(list_transform(list_zip(v.vec, c.vec), lambda p: (p[1] - p[2]) * (p[1] - p[2])))"
+    parts = [f"""WITH v AS (
+  SELECT row_number() OVER () AS rid, vec_id, list_transform(embedding, lambda x: CAST(floor(64 * CAST(x AS DOUBLE)) AS BIGINT)) AS vec FROM embeddings
+  WHERE len(embedding) = {dims} AND len(list_filter(embedding, lambda x: x IS NOT NULL AND isfinite(x))) = {dims}),
+c0 AS (SELECT row_number() OVER (ORDER BY h, vec) - 1 AS cluster, vec FROM (SELECT sha256('1:' || coalesce(CAST(vec_id AS VARCHAR), '')) AS h, vec FROM v) QUALIFY row_number() OVER (ORDER BY h, vec) <= {k})"""]
+    for i in range(rounds + 1):
+        parts.append(f"a{i} AS (SELECT v.rid, arg_min(c.cluster, struct_pack(d := {distance}, c := c.cluster)) AS cluster, CAST(min({distance}) AS BIGINT) AS distance FROM v CROSS JOIN c{i} c GROUP BY v.rid)")
+        if i < rounds:
+            parts.append(
+                f"m{i} AS (SELECT cluster, list((s - ((s % n) + n) % n) // n ORDER BY pos) AS vec FROM (SELECT cluster, pos, sum(x) AS s, count(*) AS n FROM (SELECT a.cluster, unnest(v.vec) AS x, generate_subscripts(v.vec, 1) AS pos FROM a{i} a JOIN v USING (rid)) GROUP BY cluster, pos) GROUP BY cluster), "
+                f"c{i + 1} AS (SELECT c.cluster, CAST(coalesce(m.vec, c.vec) AS BIGINT[]) AS vec FROM c{i} c LEFT JOIN m{i} m USING (cluster))"
+            )
+    return ",\n".join(parts) + f"""
+SELECT v.vec_id, CAST(a.cluster AS INTEGER) AS cluster, a.distance, CAST(sum(a.distance) OVER (PARTITION BY a.cluster) AS BIGINT) AS cluster_inertia, CAST(sum(a.distance) OVER () AS BIGINT) AS inertia, sha256(array_to_string(c.vec, ',')) AS centroid_sha256
+FROM a{rounds} a JOIN v USING (rid) JOIN c{rounds} c ON c.cluster = a.cluster"""
+
+
+ORACLE_SQL["op12_exponion"] = _exponion_sql()
+
+
+def _turn_repair_sql() -> str:
+    """Turn by turn, the best (cost, audit, turns) for each state: e nothing, s a system turn, u a user's turn
+    last, a an assistant's turn last."""
+    far, white = "{'c': 1000000000, 't': '', 'x': CAST([] AS VARCHAR[])}", r"\x20\x09-\x0D"
+    add = lambda state, cost, letter, line: f"{{'c': {state}.c + {cost}, 't': {state}.t || '{letter}', 'x': {f'list_append({state}.x, {line})' if line else f'{state}.x'}}}"
+    best = lambda *found: f"list_sort([{', '.join(found)}])[1]"
+
+    def to(state: str, initial: str, role: str) -> str:
+        keep, rerole = add(state, "tr", "K", "role || ':' || text"), add(state, "1 + tr", "R", f"'{role}:' || text")
+        return f"CASE WHEN fault IN (1, 2) THEN {far} WHEN initial = '{initial}' THEN {keep} ELSE {rerole} END"
+
+    insert = lambda state, role: add(state, 5, "I", f"'{role}:'")
+    return f"""WITH RECURSIVE c AS (
+  SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text, list_transform(string_split(coalesce(CAST(conv_id AS VARCHAR), ' ') || ':' || coalesce(CAST(turn AS VARCHAR), ' '), ''), lambda ch: CAST(ascii(ch) AS BIGINT)) AS bytes FROM conversations),
+k AS (SELECT *, xor(list_reduce(list_prepend(CAST(4294967295 AS BIGINT), bytes), lambda crc, b: list_reduce(list_prepend(xor(crc, b), list_resize(CAST([] AS BIGINT[]), 8, 3988292384)), lambda x, p: xor(x >> 1, (x & 1) * p))), CAST(4294967295 AS BIGINT)) % 20 AS kind FROM c),
+d AS (SELECT conv_id, turn, CASE WHEN kind = 4 THEN 'user' ELSE role END AS role, CASE kind WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text, unnest(range(CASE WHEN kind = 3 THEN 2 ELSE 1 END)) AS copy FROM k WHERE kind <> 0),
+n AS (SELECT *, left(role, 1) AS initial, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text, copy) AS n FROM d),
+f AS (SELECT *, CASE WHEN NOT regexp_matches(text, '[^{white}]') THEN 1 WHEN row_number() OVER (PARTITION BY conv_id, role, text ORDER BY n) > 1 THEN 2 WHEN regexp_matches(text, '[^{white}.!?][{white}]*\\z') THEN 3 ELSE 0 END AS fault,
+  n > 1 AND lag(initial) OVER (PARTITION BY conv_id ORDER BY n) || initial NOT IN ('su', 'ua', 'au') AS illegal FROM n),
+g AS (SELECT *, CASE WHEN fault = 3 THEN 5 ELSE 0 END AS tr FROM f),
+p AS (
+  SELECT conv_id, CAST(0 AS BIGINT) AS n, {{'c': 0, 't': '', 'x': CAST([] AS VARCHAR[])}} AS e, {far} AS s, {{'c': 5, 't': 'I', 'x': ['user:']}} AS u, {{'c': 10, 't': 'II', 'x': ['user:', 'assistant:']}} AS a FROM (SELECT DISTINCT conv_id FROM conversations)
+  UNION ALL
+  SELECT conv_id, n, e, s, u, {best('a', insert('u', 'assistant'))} FROM (
+    SELECT conv_id, n, e, s, {best('u', insert('e', 'user'), insert('s', 'user'), insert('a', 'user'))} AS u, a FROM (
+      SELECT p.conv_id, g.n, {add('p.e', 2, 'D', '')} AS e,
+        {best(add('p.s', 2, 'D', ''), f"CASE WHEN fault IN (1, 2) OR initial <> 's' THEN {far} ELSE {add('p.e', 'tr', 'K', "role || ':' || text")} END")} AS s,
+        {best(add('p.u', 2, 'D', ''), to('p.e', 'u', 'user'), to('p.s', 'u', 'user'), to('p.a', 'u', 'user'))} AS u,
+        {best(add('p.a', 2, 'D', ''), to('p.u', 'a', 'assistant'))} AS a
+      FROM p JOIN g ON g.conv_id IS NOT DISTINCT FROM p.conv_id AND g.n = p.n + 1))),
+z AS (SELECT conv_id, {best('e', 'a')} AS b FROM p QUALIFY row_number() OVER (PARTITION BY conv_id ORDER BY n DESC) = 1),
+q AS (SELECT conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, sum(CAST(fault = 1 AS INT)) AS blank, sum(CAST(fault = 2 AS INT)) AS duplicate, sum(CAST(fault = 3 AS INT)) AS truncated, sum(CAST(illegal AS INT)) AS illegal FROM g GROUP BY conv_id)
+SELECT z.conv_id, {', '.join(f'CAST(coalesce(q.{c}, 0) AS BIGINT) AS {c}' for c in ('gaps', 'blank', 'duplicate', 'truncated', 'illegal'))}, CAST(z.b.c AS BIGINT) AS cost, z.b.t AS audit, sha256(array_to_string(z.b.x, chr(10))) AS repaired_sha256
+FROM z LEFT JOIN q ON q.conv_id IS NOT DISTINCT FROM z.conv_id"""
+
+
+ORACLE_SQL["op13_turn_repair"] = _turn_repair_sql()
