@@ -15,7 +15,9 @@ different. Text around the values does not change, nor does its length.
 * social security number: ddd-dd-dddd with a possible area, group and serial;
 * e-mail address: letters and digits of the local part, each within its class; the domain stays;
 * secret: hexadecimal strings of 32 or more digits in one case, quoted after a name and an equals sign
-  or colon.
+  or colon; those of more than 128 are permuted in pieces of 64, each under its place and the piece before it.
+
+Rows of digit groups and secrets may be of any length.
 
 Numbers that fail their validation stay as they are. Not covered: IBAN, IPv6, names, addresses.
 
@@ -28,6 +30,7 @@ documents change alike; other columns are not looked at, whatever their names; e
 from __future__ import annotations
 
 import secrets
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -35,18 +38,21 @@ from pyspark.sql import functions as F
 #: The setting that holds the key of registered queries and the pipeline.
 KEY_SETTING = "quantloom.pii.key"
 ROUNDS = 8
+#: Digits of the longest card, groups of digits put together at a time, and digits of a long secret's pieces.
+MOST_CARD_DIGITS, CHUNK, SECRET_PIECE = 19, 64, 64
 
-#: Fixed patterns, by kind: what must stand before, the value, what must not or must stand after it.
+#: Fixed patterns, by kind: what must stand before, the value, what must not or must stand after it. No part
+#: without an upper bound makes Java's matcher recurse: such parts are single classes, or possessive.
 PATTERNS = {
-    "email": (r"(?<![A-Za-z0-9._%+-])", r"[A-Za-z0-9][A-Za-z0-9._%+-]{0,63}@[A-Za-z0-9](?:[A-Za-z0-9-]{0,62}\.)+[A-Za-z]{2,24}", ""),
-    "secret": (r"(?<=[=:]\s?[\"'])", r"(?:[0-9a-f]{32,128}|[0-9A-F]{32,128})", r"(?=[\"'])"),
+    "email": (r"(?<![A-Za-z0-9._%+-])", r"[A-Za-z0-9][A-Za-z0-9._%+-]{0,63}@[A-Za-z0-9][A-Za-z0-9.-]*\.[A-Za-z]{2,24}", ""),
+    "secret": (r"(?<=[=:]\s?[\"'])", r"(?:[0-9a-f]{32,}+|[0-9A-F]{32,}+)", r"(?=[\"'])"),
     "iso_date": (r"(?<![\w.-])", r"\d{4}-\d{2}-\d{2}", r"(?:(?![\w-])|(?=T\d{2}:\d{2}))"),
     "dot_date": (r"(?<![\w.-])", r"\d{2}\.\d{2}\.\d{4}", r"(?![\w-])"),
     "slash_date": (r"(?<![\w/-])", r"\d{2}/\d{2}/\d{4}", r"(?![\w/-])"),
     "ssn": (r"(?<![\w-])", r"\d{3}-\d{2}-\d{4}", r"(?![\w-])"),
     "ipv4": (r"(?<![\w.])", r"(?:\d{1,3}\.){3}\d{1,3}", r"(?!\w|\.\d)"),
     "phone": (r"(?<![\w-])", r"(?:\+1[ .-]?)?(?:\([2-9]\d{2}\) ?|[2-9]\d{2}[ .-])[2-9]\d{2}[ .-]\d{4}", r"(?![\w-])"),
-    "card": (r"(?<![\w-])", r"\d(?:[ -]?\d){12,60}", r"(?![\w-])"),
+    "card": (r"(?<![\w-])", r"(?=\d(?:[ -]?\d){12})\d++(?!\w)(?:[ -]\d++(?!\w))*+", ""),
 }
 ANY = "|".join(before + value + after for before, value, after in PATTERNS.values())
 #: What every value of any pattern holds; texts without it are not searched.
@@ -87,11 +93,24 @@ def permute_pair(key: Column, kind: str, left: Column, right: Column, radix_left
     return F.aggregate(F.sequence(F.lit(0), F.lit(ROUNDS - 1)), F.struct(left.cast("long").alias("l"), right.cast("long").alias("r")), step)
 
 
+def _bound(value: Column, make: Callable[[Column], Column]) -> Column:
+    """``make`` of a value that is worked out once, however often ``make`` reads it inside other functions."""
+    return F.transform(F.array(value), make)[0]
+
+
+def _streams(key: Column, kind: str, round_: Column, other: Column, length: Column) -> Column:
+    """Four hexadecimal digits for each of so many places, from the other half: blocks of 16 places with a
+    number each, so that no place's digits are those of another."""
+    blocks = F.sequence(F.lit(0), F.greatest(F.lit(0), F.floor((length - 1) / 16).cast("int")))
+    numbered = lambda b: F.when(b == 0, other).otherwise(F.concat(other, F.lit("|"), b.cast("string")))
+    return F.array_join(F.transform(blocks, lambda b: _prf(key, kind, round_, numbered(b))), "")
+
+
 def _shifted(half: Column, stream: Column, hexadecimal: bool) -> Column:
     """Every digit and letter of a string moved within its class by the stream; others stay."""
 
-    def move(c: Column, i: Column) -> Column:
-        by = F.conv(F.substring(stream, (i % 16) * 4 + 1, F.lit(4)), 16, 10).cast("int")
+    def move(c: Column, i: Column, digits: Column) -> Column:
+        by = F.conv(F.substring(digits, i * 4 + 1, F.lit(4)), 16, 10).cast("int")
         code = F.ascii(c)
         if hexadecimal:
             digit = F.conv(c, 16, 10).cast("int")
@@ -103,19 +122,21 @@ def _shifted(half: Column, stream: Column, hexadecimal: bool) -> Column:
             .otherwise(c)
         )
 
-    return F.when(half == "", half).otherwise(F.array_join(F.transform(F.split(half, ""), move), ""))
+    return F.when(half == "", half).otherwise(_bound(stream, lambda digits: F.array_join(F.transform(F.split(half, ""), lambda c, i: move(c, i, digits)), "")))
 
 
-def permute_string(key: Column, kind: str, value: Column, hexadecimal: bool = False) -> Column:
-    """A keyed permutation of strings that keeps the class of every character and the places of others."""
+def permute_string(key: Column, kind: str, value: Column, hexadecimal: bool = False, tweak: Column | None = None) -> Column:
+    """A keyed permutation of strings that keeps the class of every character and the places of others; one
+    for each ``tweak``."""
     cut = F.floor(F.length(value) / 2).cast("int")
     start = F.struct(F.substring(value, F.lit(1), cut).alias("l"), F.substring(value, cut + 1, F.length(value)).alias("r"))
 
     def step(acc: Column, i: Column) -> Column:
         even = i % 2 == 0
-        salt = F.concat(F.length(value).cast("string"), F.lit(":"))
-        left = F.when(even, _shifted(acc["l"], _prf(key, kind, i, F.concat(salt, acc["r"])), hexadecimal)).otherwise(acc["l"])
-        right = F.when(even, acc["r"]).otherwise(_shifted(acc["r"], _prf(key, kind, i, F.concat(salt, acc["l"])), hexadecimal))
+        salt = F.concat(F.length(value).cast("string"), F.lit(":"), *([] if tweak is None else [tweak, F.lit(":")]))
+        stream = lambda half, other: _streams(key, kind, i, F.concat(salt, other), F.length(half))
+        left = F.when(even, _shifted(acc["l"], stream(acc["l"], acc["r"]), hexadecimal)).otherwise(acc["l"])
+        right = F.when(even, acc["r"]).otherwise(_shifted(acc["r"], stream(acc["r"], acc["l"]), hexadecimal))
         return F.struct(left.alias("l"), right.alias("r"))
 
     return F.aggregate(F.sequence(F.lit(0), F.lit(ROUNDS - 1)), start, step, lambda acc: F.concat(acc["l"], acc["r"]))
@@ -132,7 +153,7 @@ def _luhn_sum(digits: Column, doubled_from_right: int) -> Column:
 
 
 def _is_card(digits: Column) -> Column:
-    return F.length(digits).between(13, 19) & (_luhn_sum(digits, 1) % 10 == 0) & ~digits.rlike(r"^(\d)\1*$")
+    return F.length(digits).between(13, MOST_CARD_DIGITS) & (_luhn_sum(digits, 1) % 10 == 0) & ~digits.rlike(r"^(\d)\1*$")
 
 
 def _card_digits(key: Column, digits: Column) -> Column:
@@ -142,20 +163,45 @@ def _card_digits(key: Column, digits: Column) -> Column:
 
 def _card(key: Column, value: Column) -> Column:
     """The value with every run of digit groups that is a card replaced; null if there is none."""
-    groups = F.split(value, "[ -]")
-    run = lambda i, n: F.array_join(F.slice(groups, i + 1, n), "")
+    digits = _digits(value)
+    one = F.when(_is_card(digits), _fill(value, _card_digits(key, digits)))
+    return F.coalesce(one, _bound(F.split(value, "(?<=[ -])"), lambda groups: _cards_of(key, groups)))
+
+
+def _cards_of(key: Column, groups: Column) -> Column:
+    """The groups (each with the separator after it) as one text, with the cards among them replaced: at each
+    group that no card has taken the longest run that is one. The text is put together in chunks, so that a
+    row of very many groups does not copy it for each of them."""
+    text = lambda i, n: F.array_join(F.slice(groups, i + 1, n), "")
+    plain = lambda t: F.regexp_replace(t, "[ -]", "")
 
     def step(acc: Column, i: Column) -> Column:
-        lengths = F.filter(F.sequence(F.size(groups) - i, F.lit(1), F.lit(-1)), lambda n: _is_card(run(i, n)))
-        n = F.coalesce(F.get(lengths, F.lit(0)), F.lit(0))
-        moved = F.struct(F.concat(acc["digits"], F.when(n > 0, _card_digits(key, run(i, n))).otherwise(run(i, F.lit(1)))).alias("digits"), (i + F.greatest(n, F.lit(1))).alias("next"), (acc["cards"] + (n > 0).cast("int")).alias("cards"))
-        return F.when(i < acc["next"], acc).otherwise(moved)
+        lengths = F.filter(F.sequence(F.least(F.size(groups) - i, F.lit(MOST_CARD_DIGITS)), F.lit(1), F.lit(-1)), lambda n: _is_card(plain(text(i, n))))
 
-    start = F.struct(F.lit("").alias("digits"), F.lit(0).alias("next"), F.lit(0).alias("cards"))
-    folded = F.aggregate(F.sequence(F.lit(0), F.size(groups) - 1), start, step, lambda acc: F.when(acc["cards"] > 0, acc["digits"]))
-    digits = _digits(value)
-    made = F.when(_is_card(digits), _card_digits(key, digits)).when(F.size(groups) > 1, folded)
-    return F.when(made.isNotNull(), _fill(value, made))
+        def moved(n: Column) -> Column:
+            piece = text(i, F.greatest(n, F.lit(1)))
+            new = F.when(n > 0, _fill(piece, _card_digits(key, plain(piece)))).otherwise(piece)
+            return F.struct(F.concat(acc["text"], new).alias("text"), (i + F.greatest(n, F.lit(1))).alias("next"), (acc["cards"] + (n > 0).cast("int")).alias("cards"))
+
+        return F.when(i < acc["next"], acc).otherwise(_bound(F.coalesce(F.get(lengths, F.lit(0)), F.lit(0)), moved))
+
+    def chunk(acc: Column, c: Column) -> Column:
+        places = F.sequence(c * CHUNK, F.least(c * CHUNK + CHUNK, F.size(groups)) - 1)
+        start = F.struct(F.lit("").alias("text"), acc["next"].alias("next"), acc["cards"].alias("cards"))
+        return _bound(F.aggregate(places, start, step), lambda part: F.struct(F.concat(acc["text"], part["text"]).alias("text"), part["next"].alias("next"), part["cards"].alias("cards")))
+
+    start = F.struct(F.lit("").alias("text"), F.lit(0).alias("next"), F.lit(0).alias("cards"))
+    chunks = F.sequence(F.lit(0), F.floor((F.size(groups) - 1) / CHUNK).cast("int"))
+    return F.aggregate(chunks, start, chunk, lambda acc: F.when(acc["cards"] > 0, acc["text"]))
+
+
+def _secret(key: Column, value: Column) -> Column:
+    """A hexadecimal string permuted; a long one in pieces, so that its cost is linear."""
+    pieces = F.sequence(F.lit(0), F.floor((F.length(value) - 1) / SECRET_PIECE).cast("int"))
+    piece = lambda j: F.substring(value, j * SECRET_PIECE + 1, F.lit(SECRET_PIECE))
+    before = lambda j: F.concat(j.cast("string"), F.lit("."), F.when(j > 0, piece(j - 1)).otherwise(F.lit("")))
+    long = F.array_join(F.transform(pieces, lambda j: permute_string(key, "secret", piece(j), True, before(j))), "")
+    return F.when(F.length(value) <= 2 * SECRET_PIECE, permute_string(key, "secret", value, True)).otherwise(long)
 
 
 def _fill(value: Column, digits: Column) -> Column:
@@ -214,7 +260,7 @@ def pseudonym(key: Column | str, value: Column) -> Column:
     """The pseudonym of one candidate; null where it fails its validation."""
     key = F.lit(key) if isinstance(key, str) else key
     full = lambda kind: value.rlike(f"^(?:{PATTERNS[kind][1]})$")
-    secret = permute_string(key, "secret", F.lower(value), hexadecimal=True)
+    secret = _secret(key, F.lower(value))
     return (
         F.when(value.contains("@"), _email(key, value))
         .when(full("iso_date"), _date(key, value, "yyyy-MM-dd"))

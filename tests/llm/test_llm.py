@@ -373,11 +373,12 @@ def feistel(key, kind, left, right, radix_left, radix_right):
     return left, right
 
 
-def feistel_string(key, kind, value, move):
+def feistel_string(key, kind, value, move, tweak=""):
     left, right = value[: len(value) // 2], value[len(value) // 2 :]
     for i in range(pii.ROUNDS):
-        stream = lambda half: hashlib.sha256(f"{key}|{kind}|{i}|{len(value)}:{half}".encode()).hexdigest()
-        shift = lambda text, s: "".join(move(c, int(s[(j % 16) * 4 : (j % 16) * 4 + 4], 16)) for j, c in enumerate(text))
+        block = lambda half, b: hashlib.sha256(f"{key}|{kind}|{i}|{len(value)}:{tweak}{half}{f'|{b}' if b else ''}".encode()).hexdigest()
+        stream = lambda half: "".join(block(half, b) for b in range(len(value) // 32 + 1))
+        shift = lambda text, s: "".join(move(c, int(s[j * 4 : j * 4 + 4], 16)) for j, c in enumerate(text))
         left, right = (shift(left, stream(right)), right) if i % 2 == 0 else (left, shift(right, stream(left)))
     return left + right
 
@@ -415,11 +416,15 @@ def brute_pseudonym(key, value):
     if re.fullmatch(r"\d{13,19}", value):
         body = feistel_string(key, "card", value[:-1], by_class)
         return next(body + c for c in "0123456789" if luhn(body + c))
-    return feistel_string(key, "secret", value, lambda c, by: f"{(int(c, 16) + by) % 16:x}")
+    by_digit = lambda c, by: f"{(int(c, 16) + by) % 16:x}"
+    if len(value) <= 128:
+        return feistel_string(key, "secret", value, by_digit)
+    pieces = [value[i : i + 64] for i in range(0, len(value), 64)]
+    return "".join(feistel_string(key, "secret", p, by_digit, f"{j}.{pieces[j - 1] if j else ''}:") for j, p in enumerate(pieces))
 
 
 def test_pii_permutations_equal_brute_force(spark):
-    values = [*cards(8), "2024-02-29", "1999-12-31", "078-05-1120", "899-99-9999", "233.7.171.25", "10.0.0.1", "212-555-0100", "999-999-9999", "Hein.19@mail5.example.com", "deadbeef" * 5]
+    values = [*cards(8), "2024-02-29", "1999-12-31", "078-05-1120", "899-99-9999", "233.7.171.25", "10.0.0.1", "212-555-0100", "999-999-9999", "Hein.19@mail5.example.com", "a.very.long.local.part.of.more.than.thirty.two.characters@x.org", "deadbeef" * 5, "0123456789abcdef" * 8, "0a1b2c3d" * 23]
     made = spark.createDataFrame([(v,) for v in values], "v string").select("v", pii.pseudonym("some key", F.col("v")).alias("p"))
     assert {r.v: r.p for r in made.collect()} == {v: brute_pseudonym("some key", v) for v in values}
 
@@ -439,6 +444,62 @@ def test_pii_finds_values_beside_others(spark):
     assert pii.redact(clash, "a key").first()[2:] == (2, 3, 4, 5) and pii.redact(clash, "a key").columns == clash.columns
 
 
+def brute_found(text):
+    """Cards and secrets of a text, by trying every run of groups and every quoted string."""
+    found = []
+    for row in re.finditer(r"(?<![\w-])\d+(?!\w)(?:[ -]\d+(?!\w))*", text):
+        groups = re.split(r"[ -]", row.group())
+        i = 0
+        while i < len(groups):
+            runs = [n for n in range(min(19, len(groups) - i), 0, -1) if 13 <= len("".join(groups[i : i + n])) <= 19 and luhn("".join(groups[i : i + n])) and len(set("".join(groups[i : i + n]))) > 1]
+            if runs:
+                found.append("".join(groups[i : i + runs[0]]))
+            i += runs[0] if runs else 1
+    return found
+
+
+def test_pii_finds_all_cards_of_long_rows(spark):
+    r = random.Random(31)
+    good = cards(12)
+    texts = ["1234 " * 12 + "4111 1111 1111 1111 x", "7 " * 500 + good[0] + " 9" * 500]
+    for _ in range(40):
+        parts = [r.choice([str(r.randrange(10 ** r.randrange(1, 8))), r.choice(good), "-".join(re.findall(".{1,4}", r.choice(good))), " ".join(re.findall(".{1,5}", r.choice(good)))]) for _ in range(r.randrange(1, 60))]
+        texts.append("row " + "".join(p + r.choice(" -") for p in parts) + r.choice(["", "x", "end"]))
+    made = {x.doc.doc_id: (x.text, x.n_replaced) for x in pii.pseudonymise(docs_of(spark, texts), "a key").collect()}
+    for i, text in enumerate(texts):
+        new, n = made[i]
+        was, now = brute_found(text), brute_found(new)
+        assert len(new) == len(text) and re.sub(r"\d", "", new) == re.sub(r"\d", "", text)
+        assert bool(was) == (new != text) and bool(was) == bool(n)
+        assert all(c not in re.sub(r"[ -]", "", new) or c in [brute_pseudonym("a key", w) for w in was] for c in was)
+        assert all(brute_pseudonym("a key", w) in re.sub(r"[ -]", "", new) for w in was), (text, was)
+
+
+def test_pii_hostile_texts(spark):
+    """Millions of characters that make a recursive matcher overflow its stack; values beside them are found."""
+    n, card = 2_000_000, "4111 1111 1111 1111"
+    bodies = ["a." * (n // 2), "7" * n, "deadbeef" * (n // 8), " " * n, "x@" + "a." * (n // 2), "x@" + "a-" * (n // 2), "1." * (n // 2), "12 34 " * 1_000, "'" * n, "1-" * 1_000, "2024-01-" * 2_000]
+    texts = [f"card {card}, {b} x" for b in bodies] + [f'key = "{"deadbeef" * 2_500}"', f'key = "{"d" * 129}"']
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(len(texts))
+    got = {x.doc_id: (x.size, x.card, x.end) for x in pii.redact(df, "a key").select("doc_id", F.length("text").alias("size"), F.substring("text", 6, 19).alias("card"), F.right("text", F.lit(40)).alias("end")).collect()}
+    assert all(got[i][0] == len(t) for i, t in enumerate(texts))
+    assert len({got[i][1] for i in range(len(bodies))}) == 1 and got[0][1] != card
+    assert all(got[i][2] != texts[i][-40:] for i in (len(bodies), len(bodies) + 1))
+
+
+def test_pii_streams_do_not_repeat(spark):
+    r = random.Random(3)
+    values = ["ab" * 64, "".join(r.choice("0123456789abcdef") for _ in range(64)), "ab" * 200]
+    made = {r.v: r.p for r in spark.createDataFrame([(v,) for v in values], "v string").select("v", pii.pseudonym("k", F.col("v")).alias("p")).collect()}
+    for v, p in made.items():
+        assert len(p) == len(v)
+        moved = [(int(b, 16) - int(a, 16)) % 16 for a, b in zip(v, p)]
+        half = len(v) // 2 if len(v) <= 128 else 32
+        for start in range(0, len(v) - half + 1, half):
+            part = moved[start : start + half]
+            assert sum(a == b for a, b in zip(part, part[16:])) < max(8, (half - 16) // 3)
+
+
 def test_pii_permutations_are_bijective(spark):
     days = spark.range(0, pii.DAYS, 7).select(F.date_format(F.date_add(F.lit("1800-01-01").cast("date"), F.col("id").cast("int")), "yyyy-MM-dd").alias("v"))
     made = days.select("v", pii.pseudonym("k", F.col("v")).alias("p"))
