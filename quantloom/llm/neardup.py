@@ -26,7 +26,8 @@ followed to their ends, and links between ends are what the next turn works on.
 
 Edge cases: documents without words (null, empty, white space) are never linked; fewer than five words
 are one shingle; texts of any length are taken whole; repeated rows share a class and one of them stays;
-different texts under one doc_id are judged apart; a null doc_id comes after all others, and a class of
+different texts under one doc_id are judged apart, and where a class has several of its smallest doc_id, the
+one with the smallest hash stays, whatever the order of the rows; a null doc_id comes after all others, and a class of
 null ids only has a null class_id; other columns are not looked at; empty tables give empty tables.
 """
 
@@ -57,7 +58,7 @@ LAST = (1 << 63) - 1
 
 
 def signatures(docs: DataFrame, text: str = "text", columns: list[str] | None = None) -> DataFrame:
-    """row, doc_id, doc (a struct of ``columns``; the text alone by default), digest, n_cells, keys (one
+    """row, doc_id, tie (a hash of the text), doc (a struct of ``columns``; the text alone by default), digest, n_cells, keys (one
     per band) and prints (16 bits per coordinate, packed). Write it before using row numbers twice."""
     ship_package(docs.sparkSession)
 
@@ -74,9 +75,9 @@ def signatures(docs: DataFrame, text: str = "text", columns: list[str] | None =
         return pd.DataFrame(rows, columns=["digest", "n_cells", "keys", "prints"])
 
     made = F.pandas_udf(run, "digest binary, n_cells int, keys array<long>, prints binary").asNondeterministic()
-    kept = F.struct(*[F.col(f"`{c}`") for c in columns or [text]])
+    kept, whole = F.struct(*[F.col(f"`{c}`") for c in columns or [text]]), F.col("doc").getField(text).cast("string")
     rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("long").alias("doc_id"), kept.alias("doc"))
-    return rows.select("row", "doc_id", "doc", made(F.col("doc").getField(text).cast("string")).alias("made")).select("row", "doc_id", "doc", "made.*")
+    return rows.select("row", "doc_id", F.xxhash64(whole).alias("tie"), "doc", made(whole).alias("made")).select("row", "doc_id", "tie", "doc", "made.*")
 
 
 def _same_texts(signed: DataFrame) -> DataFrame:
@@ -261,9 +262,9 @@ def _classes(signed: DataFrame, threshold: float, text: str, deviations: float |
                 search(_middle_pairs(_shared_cells(prefixes, labels)))
             search(_rest_pairs(_shared_cells(prefixes, labels), threshold))
 
-    placed = signed.select("row", "doc_id").join(same, "row", "left").withColumn("id", F.coalesce("id", "row")).join(labels, "id", "left")
-    placed = written(placed.select("row", "doc_id", F.coalesce("label", "id").alias("label")), "placed")
-    order = F.coalesce("doc_id", F.lit(LAST))
+    placed = signed.select("row", "doc_id", "tie").join(same, "row", "left").withColumn("id", F.coalesce("id", "row")).join(labels, "id", "left")
+    placed = written(placed.select("row", "doc_id", "tie", F.coalesce("label", "id").alias("label")), "placed")
+    order = F.struct(F.coalesce("doc_id", F.lit(LAST)), "tie", "row")
     names = written(placed.groupBy("label").agg(F.min("doc_id").alias("class_id"), F.min_by("row", order).alias("stays")), "names")
     classes = placed.join(names, "label").select("row", "doc_id", "class_id", (F.col("row") == F.col("stays")).alias("kept"))
     spanning = found[0].select("a", "b", "similarity")

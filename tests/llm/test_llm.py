@@ -13,7 +13,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from quantloom.llm import binomial, bpe, chat, dartminhash, decontaminate, neardup, ordinal, pii, quality_rules, token_file, toxicity, url_reputation
+from quantloom.llm import binomial, bpe, chat, dartminhash, decontaminate, hashed_text, neardup, ordinal, pii, quality_rules, token_file, toxicity, url_reputation
 from quantloom.session import written
 
 tokenizers = pytest.importorskip("tokenizers")
@@ -652,6 +652,13 @@ def test_toxicity_held_out_and_counterfactual(spark, odd, empty, no_labels):
     assert {x.predicted for x in toxicity.score(odd, blank).collect()} == {0} and toxicity.score(empty, blank).count() == 0
 
 
+def test_toxicity_swaps_are_those_of_its_words(spark):
+    texts = ["the _women_ are here", "women_only text", "die männer2 da", "nothing of the kind", None]
+    sampled = spark.createDataFrame([(i, t, 0) for i, t in enumerate(texts)], "doc_id long, text string, y int")
+    expected = [c for t in texts for c in toxicity.swapped(set(hashed_text.letter_words(t)))]
+    assert len(expected) == 3 and toxicity.swaps(sampled, 10) == expected
+
+
 def test_toxicity_fit_balances_its_residuals():
     r = np.random.default_rng(3)
     y = (np.arange(900) % 6 == 0).astype("i8")
@@ -810,6 +817,17 @@ def test_components_of_chains_stars_and_repeats(spark):
     assert neardup.components(spark.createDataFrame([], "a long, b long")).count() == 0
 
 
+def test_kept_text_does_not_depend_on_the_order_of_rows(spark):
+    base = [f"w{i}" for i in range(120)]
+    texts = [" ".join(base), " ".join(base[:-1] + ["end"]), " ".join(["start"] + base[1:]), " ".join(base).upper()]
+    kept = set()
+    for order in ([0, 1, 2, 3], [3, 2, 1, 0], [1, 3, 0, 2]):
+        docs = docs_of(spark, [texts[i] for i in order], [5] * 4).repartition(2 + order[0])
+        (one,) = neardup.keep_one(docs).collect()
+        kept.add(one.text)
+    assert len(kept) == 1
+
+
 def test_near_duplicates_of_large_buckets_equal_brute_force(spark):
     # Texts of one template, about 0.73 alike; pairs with words of their own are about 0.82 alike.
     r = random.Random(5)
