@@ -86,9 +86,9 @@ def permute_pair(key: Column, kind: str, left: Column, right: Column, radix_left
 
     def step(acc: Column, i: Column) -> Column:
         even = i % 2 == 0
-        moved_left = (acc["l"] + _number(_prf(key, kind, i, acc["r"].cast("string")), radix_left)) % radix_left
-        moved_right = (acc["r"] + _number(_prf(key, kind, i, acc["l"].cast("string")), radix_right)) % radix_right
-        return F.struct(F.when(even, moved_left).otherwise(acc["l"]).alias("l"), F.when(even, acc["r"]).otherwise(moved_right).alias("r"))
+        half, other, radix = F.when(even, acc["l"]).otherwise(acc["r"]), F.when(even, acc["r"]).otherwise(acc["l"]), F.when(even, radix_left).otherwise(radix_right)
+        moved = (half + _number(_prf(key, kind, i, other.cast("string")), radix)) % radix
+        return _bound(moved, lambda m: F.struct(F.when(even, m).otherwise(acc["l"]).alias("l"), F.when(even, acc["r"]).otherwise(m).alias("r")))
 
     return F.aggregate(F.sequence(F.lit(0), F.lit(ROUNDS - 1)), F.struct(left.cast("long").alias("l"), right.cast("long").alias("r")), step)
 
@@ -133,11 +133,10 @@ def permute_string(key: Column, kind: str, value: Column, hexadecimal: bool = Fa
 
     def step(acc: Column, i: Column) -> Column:
         even = i % 2 == 0
-        salt = F.concat(F.length(value).cast("string"), F.lit(":"), *([] if tweak is None else [tweak, F.lit(":")]))
-        stream = lambda half, other: _streams(key, kind, i, F.concat(salt, other), F.length(half))
-        left = F.when(even, _shifted(acc["l"], stream(acc["l"], acc["r"]), hexadecimal)).otherwise(acc["l"])
-        right = F.when(even, acc["r"]).otherwise(_shifted(acc["r"], stream(acc["r"], acc["l"]), hexadecimal))
-        return F.struct(left.alias("l"), right.alias("r"))
+        salt = F.concat(F.length(value).cast("string"), F.lit(":"), *([] if tweak is None else [tweak]))
+        half, other = F.when(even, acc["l"]).otherwise(acc["r"]), F.when(even, acc["r"]).otherwise(acc["l"])
+        moved = _bound(half, lambda h: _shifted(h, _streams(key, kind, i, F.concat(salt, other), F.length(h)), hexadecimal))
+        return _bound(moved, lambda m: F.struct(F.when(even, m).otherwise(acc["l"]).alias("l"), F.when(even, acc["r"]).otherwise(m).alias("r")))
 
     return F.aggregate(F.sequence(F.lit(0), F.lit(ROUNDS - 1)), start, step, lambda acc: F.concat(acc["l"], acc["r"]))
 
@@ -158,14 +157,12 @@ def _is_card(digits: Column) -> Column:
 
 def _card_digits(key: Column, digits: Column) -> Column:
     body = permute_string(key, "card", F.substring(digits, F.lit(1), F.length(digits) - 1))
-    return F.concat(body, ((10 - _luhn_sum(body, 0) % 10) % 10).cast("string"))
+    return _bound(body, lambda b: F.concat(b, ((10 - _luhn_sum(b, 0) % 10) % 10).cast("string")))
 
 
 def _card(key: Column, value: Column) -> Column:
     """The value with every run of digit groups that is a card replaced; null if there is none."""
-    digits = _digits(value)
-    one = F.when(_is_card(digits), _fill(value, _card_digits(key, digits)))
-    return F.coalesce(one, _bound(F.split(value, "(?<=[ -])"), lambda groups: _cards_of(key, groups)))
+    return _bound(F.split(value, "(?<=[ -])"), lambda groups: _cards_of(key, groups))
 
 
 def _cards_of(key: Column, groups: Column) -> Column:
@@ -179,8 +176,7 @@ def _cards_of(key: Column, groups: Column) -> Column:
         lengths = F.filter(F.sequence(F.least(F.size(groups) - i, F.lit(MOST_CARD_DIGITS)), F.lit(1), F.lit(-1)), lambda n: _is_card(plain(text(i, n))))
 
         def moved(n: Column) -> Column:
-            piece = text(i, F.greatest(n, F.lit(1)))
-            new = F.when(n > 0, _fill(piece, _card_digits(key, plain(piece)))).otherwise(piece)
+            new = _bound(text(i, F.greatest(n, F.lit(1))), lambda piece: F.when(n > 0, _fill(piece, _card_digits(key, plain(piece)))).otherwise(piece))
             return F.struct(F.concat(acc["text"], new).alias("text"), (i + F.greatest(n, F.lit(1))).alias("next"), (acc["cards"] + (n > 0).cast("int")).alias("cards"))
 
         return F.when(i < acc["next"], acc).otherwise(_bound(F.coalesce(F.get(lengths, F.lit(0)), F.lit(0)), moved))
@@ -197,11 +193,12 @@ def _cards_of(key: Column, groups: Column) -> Column:
 
 def _secret(key: Column, value: Column) -> Column:
     """A hexadecimal string permuted; a long one in pieces, so that its cost is linear."""
-    pieces = F.sequence(F.lit(0), F.floor((F.length(value) - 1) / SECRET_PIECE).cast("int"))
-    piece = lambda j: F.substring(value, j * SECRET_PIECE + 1, F.lit(SECRET_PIECE))
-    before = lambda j: F.concat(j.cast("string"), F.lit("."), F.when(j > 0, piece(j - 1)).otherwise(F.lit("")))
-    long = F.array_join(F.transform(pieces, lambda j: permute_string(key, "secret", piece(j), True, before(j))), "")
-    return F.when(F.length(value) <= 2 * SECRET_PIECE, permute_string(key, "secret", value, True)).otherwise(long)
+    short = F.length(value) <= 2 * SECRET_PIECE
+    size = F.when(short, 2 * SECRET_PIECE).otherwise(SECRET_PIECE)
+    piece = lambda j: F.substring(value, j * size + 1, size)
+    tweak = lambda j: F.when(short, F.lit("")).otherwise(F.concat(j.cast("string"), F.lit("."), F.when(j > 0, piece(j - 1)).otherwise(F.lit("")), F.lit(":")))
+    pieces = F.sequence(F.lit(0), F.floor((F.length(value) - 1) / size).cast("int"))
+    return F.array_join(F.transform(pieces, lambda j: _bound(piece(j), lambda p: permute_string(key, "secret", p, True, tweak(j)))), "")
 
 
 def _fill(value: Column, digits: Column) -> Column:
@@ -213,9 +210,9 @@ def _fill(value: Column, digits: Column) -> Column:
 def _phone(key: Column, value: Column) -> Column:
     digits = F.right(_digits(value), F.lit(10))
     area, rest = F.substring(digits, 1, 3).cast("long") - 200, (F.substring(digits, 4, 3).cast("long") - 200) * 10_000 + F.substring(digits, 7, 4).cast("long")
-    made = permute_pair(key, "phone", area, rest, 800, 8_000_000)
-    national = F.lpad((made["l"] + 200).cast("string"), 3, "0"), F.lpad((made["r"] + 2_000_000).cast("string"), 7, "0")
-    return _fill(value, F.concat(F.when(F.length(_digits(value)) == 11, F.lit("1")).otherwise(F.lit("")), *national))
+    national = lambda m: F.concat(F.lpad((m["l"] + 200).cast("string"), 3, "0"), F.lpad((m["r"] + 2_000_000).cast("string"), 7, "0"))
+    new = _bound(permute_pair(key, "phone", area, rest, 800, 8_000_000), national)
+    return _bound(F.concat(F.when(F.length(_digits(value)) == 11, F.lit("1")).otherwise(F.lit("")), new), lambda d: _fill(value, d))
 
 
 def _ipv4(key: Column, value: Column) -> Column:
@@ -225,7 +222,7 @@ def _ipv4(key: Column, value: Column) -> Column:
     index = lambda i: F.split(value, r"\.")[i].cast("long") - least(i)
     made = permute_pair(key, "ipv4", index(0) * count(1) + index(1), index(2) * count(3) + index(3), count(0) * count(1), count(2) * count(3))
     part = lambda x, i: F.concat_ws(".", (F.floor(x / count(i + 1)) + least(i)).cast("string"), (x % count(i + 1) + least(i + 1)).cast("string"))
-    return F.when(valid, F.concat(part(made["l"], 0), F.lit("."), part(made["r"], 2)))
+    return F.when(valid, _bound(made, lambda m: F.concat(part(m["l"], 0), F.lit("."), part(m["r"], 2))))
 
 
 def _date(key: Column, value: Column, *formats: str) -> Column:
@@ -235,7 +232,7 @@ def _date(key: Column, value: Column, *formats: str) -> Column:
         day = F.to_date(F.try_to_timestamp(value, F.lit(f)))
         at = F.date_diff(day, F.lit(FIRST_DAY).cast("date"))
         made = permute_pair(key, "date", F.floor(at / DAY_RADICES[1]), at % DAY_RADICES[1], *DAY_RADICES)
-        new = F.date_format(F.date_add(F.lit(FIRST_DAY).cast("date"), (made["l"] * DAY_RADICES[1] + made["r"]).cast("int")), f)
+        new = _bound(made, lambda m: F.date_format(F.date_add(F.lit(FIRST_DAY).cast("date"), (m["l"] * DAY_RADICES[1] + m["r"]).cast("int")), f))
         out = F.when(day.isNotNull() & at.between(0, DAYS - 1) & (F.date_format(day, f) == value), new).otherwise(out)
     return out
 
@@ -246,9 +243,9 @@ def _ssn(key: Column, value: Column) -> Column:
     place = F.when(area > 666, area - 2).otherwise(area - 1)
     valid = (area > 0) & (area != 666) & (area < 900) & (group > 0) & (serial > 0)
     made = permute_pair(key, "ssn", place, (group - 1) * 9999 + serial - 1, 898, 99 * 9999)
-    new_area = F.when(made["l"] >= 665, made["l"] + 2).otherwise(made["l"] + 1)
-    parts = F.lpad(new_area.cast("string"), 3, "0"), F.lpad((F.floor(made["r"] / 9999) + 1).cast("string"), 2, "0"), F.lpad((made["r"] % 9999 + 1).cast("string"), 4, "0")
-    return F.when(valid, F.concat_ws("-", *parts))
+    new_area = lambda m: F.when(m["l"] >= 665, m["l"] + 2).otherwise(m["l"] + 1)
+    parts = lambda m: (F.lpad(new_area(m).cast("string"), 3, "0"), F.lpad((F.floor(m["r"] / 9999) + 1).cast("string"), 2, "0"), F.lpad((m["r"] % 9999 + 1).cast("string"), 4, "0"))
+    return F.when(valid, _bound(made, lambda m: F.concat_ws("-", *parts(m))))
 
 
 def _email(key: Column, value: Column) -> Column:
