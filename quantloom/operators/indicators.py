@@ -28,11 +28,11 @@ def true_range(f: Frame, h: Column, low: Column, c: Column) -> Column:
 
 
 def highest(f: Frame, x: Column, p: int) -> Column:
-    return f.rolling(F.max, x, p)
+    return f.extreme(True, x, p)
 
 
 def lowest(f: Frame, x: Column, p: int) -> Column:
-    return f.rolling(F.min, x, p)
+    return f.extreme(False, x, p)
 
 
 def total(f: Frame, x: Column, p: int) -> Column:
@@ -183,7 +183,7 @@ def wad(f, x, p):
     h, low, c = inputs(f, x)
     before = f.lag(c)
     step = f.add(F.when(c > before, c - F.least(before, low)).when(c < before, c - F.greatest(before, h)).when(before.isNotNull(), F.lit(0.0)))
-    return f.running(F.sum, step)
+    return f.running("sum", step)
 
 
 def rvi(f, x, p):
@@ -241,7 +241,7 @@ def fisher(f, x, p):
     held = F.greatest(F.lit(-0.999), F.least(F.lit(0.999), value))
     raw = f.add(F.when(value.isNotNull(), 0.5 * F.log((1 + held) / (1 - held))))
     smooth = f.ema(raw, 0.5, seed=F.lit(0.0))
-    return F.when(top.isNotNull(), F.coalesce(f.add(F.last(smooth, ignorenulls=True).over(f.upto())), F.lit(0.0)))
+    return F.when(top.isNotNull(), F.coalesce(f.cumulative(("last", smooth))[0], F.lit(0.0)))
 
 
 def macd(f, x, p):
@@ -379,7 +379,7 @@ def _flow(h: Column, low: Column, c: Column, v: Column) -> Column:
 
 
 def ad(f, x, p):
-    return f.running(F.sum, f.add(_flow(*inputs(f, x))))
+    return f.running("sum", f.add(_flow(*inputs(f, x))))
 
 
 def adosc(f, x, p):
@@ -395,7 +395,7 @@ def kvo(f, x, p):
     before = f.lag(trend)
     flips = f.add(F.sum(F.when(before.isNotNull() & (trend != before), 1).otherwise(0)).over(f.upto()))
     range_ = f.add(h - low)
-    keys = [F.col(f.symbol)] + ([f.valid] if f.valid is not None else [])
+    keys = f.partition()
     cumulative = f.add(F.sum(range_).over(Window.partitionBy(*keys, flips).orderBy(f.ts).rowsBetween(Window.unboundedPreceding, 0)))
     force = f.add(F.when(cumulative > 0, 100 * v * trend * F.abs(2 * range_ / F.when(cumulative > 0, cumulative) - 1)).when(cumulative.isNotNull(), F.lit(0.0)))
     return ema(f, force, p["period_fast"]) - ema(f, force, p["period_slow"])
@@ -406,7 +406,7 @@ def _volume_index(f: Frame, x: list[Column], rises: bool) -> Column:
     c0, v0 = f.lag(c), f.lag(v)
     counts = (v > v0) if rises else (v < v0)
     factor = f.add(F.when(c.isNotNull(), F.when(counts & (c0 != 0), 1 + (c - c0) / F.when(c0 != 0, c0)).otherwise(F.lit(1.0))))
-    return 1000 * f.running(F.product, factor)
+    return 1000 * f.running("product", factor)
 
 
 def nvi(f, x, p):
@@ -419,7 +419,7 @@ def pvi(f, x, p):
 
 def obv(f, x, p):
     c, v = inputs(f, x)
-    return f.running(F.sum, f.add(F.when(c.isNotNull(), F.coalesce(F.signum(c - f.lag(c)) * v, F.lit(0.0)))))
+    return f.running("sum", f.add(F.when(c.isNotNull(), F.coalesce(F.signum(c - f.lag(c)) * v, F.lit(0.0)))))
 
 
 def mfi(f, x, p):
@@ -471,7 +471,7 @@ def vroc(f, x, p):
 def pvt(f, x, p):
     c, v = inputs(f, x)
     before = f.lag(c)
-    return f.running(F.sum, f.add(F.when(c.isNotNull(), F.coalesce(F.when(before != 0, (c - before) / F.when(before != 0, before) * v), F.lit(0.0)))))
+    return f.running("sum", f.add(F.when(c.isNotNull(), F.coalesce(F.when(before != 0, (c - before) / F.when(before != 0, before) * v), F.lit(0.0)))))
 
 
 def _op(name: str, group: str, arity: int, lower, outputs: str = "", kind: str = "window", interior: bool = False, required: tuple[str, ...] = (), **init) -> OpSpec:

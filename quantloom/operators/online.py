@@ -10,7 +10,7 @@ from quantloom.operators.spec import Frame, OpSpec, alpha_of, ratio
 
 
 def cma(f, x, p):
-    return f.running(F.avg, x[0])
+    return f.running("avg", x[0])
 
 
 def ema(f, x, p):
@@ -20,7 +20,7 @@ def ema(f, x, p):
 def _down(f: Frame, ret: Column, threshold: float) -> tuple[Column, Column]:
     """Mean and sample deviation of what lies below the threshold so far; null until there are two."""
     below = f.add(F.when(ret < threshold, ret - threshold))
-    n, mean, sd = f.add_many([F.count(below).over(f.upto()), F.avg(below).over(f.upto()), F.stddev_samp(below).over(f.upto())])
+    n, mean, sd = f.cumulative(("count", below), ("avg", below), ("stddev_samp", below))
     ok = ret.isNotNull() & (n >= 2)
     return F.when(ok, mean), F.when(ok, sd)
 
@@ -31,19 +31,19 @@ def down_stats(f, x, p):
 
 
 def sharpe(f, x, p):
-    n, mean, sd = f.row(x[0]), f.running(F.avg, x[0]), f.running(F.stddev_samp, x[0])
-    return F.when(n >= 2, ratio(mean - float(p["riskfree"]), sd))
+    n, mean, sd = f.cumulative(("count", x[0]), ("avg", x[0]), ("stddev_samp", x[0]))
+    return F.when(x[0].isNotNull() & (n >= 2), ratio(mean - float(p["riskfree"]), sd))
 
 
 def sortino(f, x, p):
-    mean, (_, sd) = f.running(F.avg, x[0]), _down(f, x[0], float(p["riskfree"]))
+    mean, (_, sd) = f.running("avg", x[0]), _down(f, x[0], float(p["riskfree"]))
     return F.when(sd.isNotNull(), ratio(mean - float(p["riskfree"]), sd))
 
 
 def _sides(f: Frame, x: Column, threshold: float) -> dict[str, Column]:
     gain, loss = f.add_many([F.when(x > threshold, x), F.when(x < threshold, x)])
-    up = f.upto()
-    n, wins, losses, gains, lost = f.add_many([F.count(x).over(up), F.count(gain).over(up), F.count(loss).over(up), F.coalesce(F.sum(gain).over(up), F.lit(0.0)), F.coalesce(F.sum(loss).over(up), F.lit(0.0))])
+    n, wins, losses, gains, lost = f.cumulative(("count", x), ("count", gain), ("count", loss), ("sum", gain), ("sum", loss))
+    gains, lost = f.add_many([F.coalesce(gains, F.lit(0.0)), F.coalesce(lost, F.lit(0.0))])
     return {"n": n, "wins": wins, "losses": losses, "gains": gains, "lost": lost, "avg_gain": F.when(wins > 0, gains / wins).otherwise(F.lit(0.0)), "avg_loss": F.when(losses > 0, lost / losses).otherwise(F.lit(0.0))}
 
 
@@ -68,7 +68,7 @@ def profit_factor(f, x, p):
 
 
 def _cumulative(f: Frame, x: Column) -> dict[str, Column]:
-    return moments(f, x, f.upto(), lambda v: F.when(x.isNotNull(), v))
+    return {k: F.when(x.isNotNull(), v) for k, v in moments(f, x).items()}
 
 
 def cu_skew(f, x, p):
@@ -81,8 +81,9 @@ def cu_kurt(f, x, p):
 
 
 def _variance(f: Frame, x: Column, ddof: int) -> tuple[Column, Column]:
-    n, mean, pop = f.row(x), f.running(F.avg, x), f.running(F.var_pop, x)
-    return F.when(n > ddof, mean), F.when(n > ddof, pop * n / (n - ddof) if ddof else pop)
+    n, mean, pop = f.cumulative(("count", x), ("avg", x), ("var_pop", x))
+    seen = x.isNotNull() & (n > ddof)
+    return F.when(seen, mean), F.when(seen, pop * n / (n - ddof) if ddof else pop)
 
 
 def cu_var(f, x, p):
@@ -98,9 +99,9 @@ def cu_stddev(f, x, p):
 def _co(*names: str):
     def lower(f, x, p):
         a, b = both(f, x[0], x[1])
-        ddof, n = int(p["ddof"]), f.row(a)
-        made = co_moments(f, a, b, f.upto(), lambda v: F.when(a.isNotNull(), v), ddof, n)
-        return {k: F.when(n > ddof, made[k]) for k in names}
+        ddof = int(p["ddof"])
+        made = co_moments(f, a, b, ddof)
+        return {k: F.when(a.isNotNull() & (made["n"] > ddof), made[k]) for k in names}
 
     return lower
 

@@ -7,7 +7,8 @@ from functools import reduce
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from quantloom.operators.spec import Frame, OpSpec, alpha_of, ratio
+from quantloom.operators import ordered
+from quantloom.operators.spec import LONG_WINDOW, Frame, OpSpec, alpha_of, ratio
 
 PERIOD = ("period",)
 PERIOD_OR_ALPHA = ("period|alpha",)
@@ -44,14 +45,21 @@ def sma(f, x, p):
 
 
 def ewma(f, x, p):
-    """Exponential weights within the window, normalised."""
+    """Exponential weights within the window, normalised: the average over all rows so far, without what is
+    older than the window."""
     n, decay = int(p["period"]), 1 - 2 / (int(p["period"]) + 1)
-    weights = [decay ** (n - 1 - i) for i in range(n)]
-    return F.aggregate(F.zip_with(items(f, x[0], n), F.array(*map(F.lit, weights)), lambda a, b: a * b), F.lit(0.0), lambda a, b: a + b) / sum(weights)
+    if n == 1:
+        return x[0]
+    whole = f.ema(x[0], 1 - decay, seed=F.lit(0.0))
+    f.reach += n
+    older = f.add(F.coalesce(F.last(whole, ignorenulls=True).over(f.rows_before(n)), F.lit(0.0)))
+    return f.ready(x[0], n, (whole - decay**n * older) / (1 - decay**n))
 
 
 def mean_abs_deviation(f, x, p):
     n = int(p["period"])
+    if n >= LONG_WINDOW:
+        return ordered.sliding(f, x[0], n, {"mean": ordered.WindowOrder.mean, "mad": ordered.WindowOrder.mean_deviation})
     window = items(f, x[0], n)
     mean = f.sma(x[0], n)
     mad = F.aggregate(F.transform(window, lambda e: F.abs(e - mean)), F.lit(0.0), lambda a, b: a + b) / n
@@ -60,25 +68,36 @@ def mean_abs_deviation(f, x, p):
 
 def median_abs_deviation(f, x, p):
     n = int(p["period"])
-    ordered = f.add(F.sort_array(items(f, x[0], n)))
-    median = f.add(middle(ordered, n))
-    away = f.add(F.sort_array(F.transform(ordered, lambda e: F.abs(e - median))))
+    if n >= LONG_WINDOW:
+        return ordered.sliding(f, x[0], n, {"median": ordered.WindowOrder.middle, "mad": ordered.WindowOrder.middle_deviation})
+    window = f.add(F.sort_array(items(f, x[0], n)))
+    median = f.add(middle(window, n))
+    away = f.add(F.sort_array(F.transform(window, lambda e: F.abs(e - median))))
     return {"median": median, "mad": middle(away, n)}
 
 
+def places(f: Frame, x: Column, period: int, at: list[int]) -> list[Column]:
+    """The values at some places of the sorted window."""
+    n = int(period)
+    if n >= LONG_WINDOW:
+        made = ordered.sliding(f, x, n, {str(k): ordered.kth(k) for k in dict.fromkeys(at)})
+        return [made[str(k)] for k in at]
+    window = f.add(F.sort_array(items(f, x, n)))
+    return [window[k] for k in at]
+
+
 def iqr(f, x, p):
     n = int(p["period"])
-    ordered = f.add(F.sort_array(items(f, x[0], n)))
-    q1, q3 = ordered[int((n - 1) * 0.25)], ordered[int((n - 1) * 0.75)]
+    q1, q3 = places(f, x[0], n, [int((n - 1) * 0.25), int((n - 1) * 0.75)])
     return {"q1": q1, "q3": q3, "iqr": q3 - q1}
 
 
 def min_(f, x, p):
-    return f.rolling(F.min, x[0], p["period"])
+    return f.extreme(False, x[0], p["period"])
 
 
 def max_(f, x, p):
-    return f.rolling(F.max, x[0], p["period"])
+    return f.extreme(True, x[0], p["period"])
 
 
 def min_max(f, x, p):
@@ -88,8 +107,8 @@ def min_max(f, x, p):
 def arg_extreme(f: Frame, x: Column, period: int, largest: bool) -> tuple[Column, Column]:
     """The extreme and how many bars ago it was; the newest of equal ones."""
     n = f.row(x)
-    key = F.struct(x.alias("v"), (n if largest else -n).alias("n"))
-    best = f.add(f.ready(x, period, (F.max if largest else F.min)(F.when(x.isNotNull(), key)).over(f.last(period))))
+    key = F.when(x.isNotNull(), F.struct(x.alias("v"), (n if largest else -n).alias("n")))
+    best = f.extreme(largest, key, period)
     return best["v"], (n - F.abs(best["n"])).cast("int")
 
 
@@ -109,31 +128,33 @@ def arg_min_max(f, x, p):
     return {"min": nested(low), "max": nested(high)}
 
 
-def moments(f: Frame, x: Column, w, ok) -> dict[str, Column]:
-    """mean, variance, skew and excess kurtosis of the population over a window; 0 without variance."""
-    mean, var, skew, kurt = f.add_many([ok(F.avg(x).over(w)), ok(F.var_pop(x).over(w)), ok(F.skewness(x).over(w)), ok(F.kurtosis(x).over(w))])
+def moments(f: Frame, x: Column, period: int | None = None) -> dict[str, Column]:
+    """mean, variance, skew and excess kurtosis of the population over the last or all rows; 0 without variance."""
+    mean, var, skew, kurt = f.aggregated(("avg", x), ("var_pop", x), ("skewness", x), ("kurtosis", x), period=period)
     flat = lambda v: F.when(var == 0, F.lit(0.0)).when(var.isNotNull(), F.coalesce(v, F.lit(0.0)))
     return {"mean": mean, "variance": var, "skew": flat(skew), "kurt": flat(kurt)}
 
 
 def skew(f, x, p):
-    made = moments(f, x[0], f.last(p["period"]), lambda v: f.ready(x[0], p["period"], v))
+    made = moments(f, x[0], p["period"])
     return {k: made[k] for k in ("mean", "variance", "skew")}
 
 
 def kurt(f, x, p):
-    return moments(f, x[0], f.last(p["period"]), lambda v: f.ready(x[0], p["period"], v))
+    return moments(f, x[0], p["period"])
 
 
 def median(f, x, p):
-    return f.add(middle(f.add(F.sort_array(items(f, x[0], p["period"]))), int(p["period"])))
+    n = int(p["period"])
+    high, *low = places(f, x[0], n, [n // 2] if n % 2 else [n // 2, n // 2 - 1])
+    return (low[0] + high) / 2 if low else high
 
 
 def quantile(f, x, p):
     """Elements of the sorted window at round(period * q), at most the last."""
     n = int(p["period"])
-    ordered = f.add(F.sort_array(items(f, x[0], n)))
-    return F.when(ordered.isNotNull(), F.array(*[ordered[min(int(n * q + 0.5), n - 1)] for q in p["quantiles"]]))
+    found = places(f, x[0], n, [min(int(n * q + 0.5), n - 1) for q in p["quantiles"]])
+    return F.when(found[0].isNotNull(), F.array(*found)) if found else F.array()
 
 
 def var(f, x, p):
@@ -152,14 +173,14 @@ def zscore(f, x, p):
     return {"mean": mean, "stddev": sd, "zscore": ratio(x[0] - mean, sd)}
 
 
-def co_moments(f: Frame, x: Column, y: Column, w, ok, ddof: int, n: Column | int) -> dict[str, Column]:
-    """Means, covariance, correlation and slope of y on x; 0 where a denominator is 0."""
-    a, b, c, va, vb = f.add_many([ok(F.avg(x).over(w)), ok(F.avg(y).over(w)), ok(F.covar_pop(x, y).over(w)), ok(F.var_pop(x).over(w)), ok(F.var_pop(y).over(w))])
-    n = n if isinstance(n, Column) else F.lit(n)
+def co_moments(f: Frame, x: Column, y: Column, ddof: int, period: int | None = None) -> dict[str, Column]:
+    """Number, means, covariance, correlation and slope of y on x; 0 where a denominator is 0."""
+    a, b, c, va, vb, n = f.aggregated(("avg", x), ("avg", y), ("covar_pop", x, y), ("var_pop", x), ("var_pop", y), ("count", x), period=period)
     return {
+        "n": n,
         "meanX": a,
         "meanY": b,
-        "cov": c * n / (n - ddof) if ddof else c,
+        "cov": c * n / F.when(n != ddof, n - ddof) if ddof else c,
         "corr": F.when(va * vb == 0, F.lit(0.0)).otherwise(c / F.sqrt(va * vb)),
         "beta": F.when(va <= 0, F.lit(0.0)).otherwise(c / va),
     }
@@ -168,7 +189,7 @@ def co_moments(f: Frame, x: Column, y: Column, w, ok, ddof: int, n: Column | int
 def _co(*names: str):
     def lower(f, x, p):
         a, b = both(f, x[0], x[1])
-        made = co_moments(f, a, b, f.last(p["period"]), lambda v: f.ready(a, p["period"], v), int(p["ddof"]), int(p["period"]))
+        made = co_moments(f, a, b, int(p["ddof"]), int(p["period"]))
         return {k: made[k] for k in names}
 
     return lower

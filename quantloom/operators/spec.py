@@ -11,6 +11,8 @@ from pyspark.sql import Column, DataFrame, WindowSpec
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+#: Windows from this length on take blocks instead of a frame that is worked out anew for every row.
+LONG_WINDOW = 64
 #: Weight below which the start of a block of the recurrence is dropped, and blocks carried over.
 BLOCK_WEIGHT, CARRIED = 1e-4, 5
 
@@ -83,15 +85,27 @@ class OpRegistry:
         return "\n".join(f"{s.name}({', '.join(f'{k}={v}' for k, v in s.init.items()) or ', '.join(s.required)}) inputs={'any' if s.arity is None else s.arity} -> {', '.join(s.outputs) or 'value'}" + (f": {s.doc}" if s.doc else "") for s in self._specs.values())
 
 
+#: Aggregates that can run over all rows so far, by name.
+AGGREGATES: dict[str, Callable[..., Column]] = {
+    "count": F.count, "sum": F.sum, "avg": F.avg, "var_pop": F.var_pop, "stddev_samp": F.stddev_samp, "skewness": F.skewness, "kurtosis": F.kurtosis,
+    "covar_pop": F.covar_pop, "min": F.min, "max": F.max, "product": F.product, "last": lambda x: F.last(x, ignorenulls=True),
+}
+
+
 class Frame:
     """A DataFrame of bars that grows by columns while operators are lowered into it.
 
     Window functions need plain columns as inputs, so intermediate results are added as columns of
     their own; Catalyst merges windows over the same partitions and order into one sort.
+
+    ``keys`` are the columns that rows are partitioned by, the symbol if nothing else. ``reach`` counts how
+    many rows back the windows asked for so far see, one after the other.
     """
 
-    def __init__(self, df: DataFrame, symbol: str = "symbol", ts: str = "ts"):
+    def __init__(self, df: DataFrame, symbol: str = "symbol", ts: str = "ts", keys: tuple[str, ...] = ()):
         self.df, self.symbol, self.ts = df, symbol, ts
+        self.keys = keys or (symbol,)
+        self.reach = 0
         self._n = 0
         self.valid: Column | None = None
         self._names: dict[str, str] = {}
@@ -116,33 +130,84 @@ class Frame:
             self.df = self.df.withColumns(new)
         return [F.col(n) for n in names]
 
+    def partition(self) -> list[Column]:
+        """Keys of windows: those of the frame, and whether inputs are valid, if some are interior nulls."""
+        return [F.col(k) for k in self.keys] + ([self.valid] if self.valid is not None else [])
+
+    def _ordered(self) -> WindowSpec:
+        return Window.partitionBy(*self.partition()).orderBy(self.ts)
+
     def over(self) -> WindowSpec:
-        """All rows of the symbol (of those with valid inputs, if some are interior nulls), in time order."""
-        keys = [F.col(self.symbol)] + ([self.valid] if self.valid is not None else [])
-        return Window.partitionBy(*keys).orderBy(self.ts)
+        """All rows of the symbol (of those with valid inputs, if some are interior nulls), in time order,
+        for looking at the row before."""
+        self.reach += 1
+        return self._ordered()
 
     def upto(self) -> WindowSpec:
-        return self.over().rowsBetween(Window.unboundedPreceding, 0)
+        return self._ordered().rowsBetween(Window.unboundedPreceding, 0)
+
+    def rows_before(self, n: int) -> WindowSpec:
+        """All rows but the last ``n``."""
+        return self._ordered().rowsBetween(Window.unboundedPreceding, -int(n))
 
     def last(self, period: int) -> WindowSpec:
-        return self.over().rowsBetween(-(int(period) - 1), 0)
+        self.reach += int(period) - 1
+        return self._ordered().rowsBetween(-(int(period) - 1), 0)
 
     def ready(self, x: Column, period: int, value: Column) -> Column:
-        """The value once ``period`` non-null inputs have been seen."""
-        return F.when(F.count(x).over(self.last(period)) == int(period), value)
+        """The value where all of the last ``period`` inputs are there."""
+        p = int(period)
+        if p < LONG_WINDOW:
+            return F.when(F.count(x).over(self.last(p)) == p, value)
+        self.reach += p
+        (seen,) = self.add_many([F.count(x).over(self._ordered().rowsBetween(Window.unboundedPreceding, 0))])
+        (earlier,) = self.add_many([F.coalesce(F.lag(seen, p).over(self._ordered()), F.lit(0))])
+        return F.when(seen - earlier == p, value)
 
     def rolling(self, agg: Callable[[Column], Column], x: Column, period: int) -> Column:
         return self.add(self.ready(x, period, agg(x).over(self.last(period))))
 
-    def running(self, agg: Callable[[Column], Column], x: Column) -> Column:
-        return self.add(F.when(x.isNotNull(), agg(x).over(self.upto())))
+    def extreme(self, largest: bool, x: Column, period: int) -> Column:
+        """The largest or smallest of the last ``period`` rows, once they are all there.
+
+        In a long window the work a row does not grow with it: rows are cut into blocks of its length, and a
+        window is the end of one block and the beginning of the next, whose extremes are running ones."""
+        agg, pick, p = (F.max, F.greatest, int(period)) if largest else (F.min, F.least, int(period))
+        if p < LONG_WINDOW:
+            return self.rolling(agg, x, p)
+        self.reach += p
+        (x,) = self.add_many([x])
+        (row,) = self.add_many([F.row_number().over(self._ordered())])
+        (block,) = self.add_many([F.floor((row - 1) / p)])
+        inside = Window.partitionBy(*self.partition(), block)
+        forth, back = (inside.orderBy(o).rowsBetween(Window.unboundedPreceding, 0) for o in (F.asc(self.ts), F.desc(self.ts)))
+        beginning, end = self.add_many([agg(x).over(forth), agg(x).over(back)])
+        (before,) = self.add_many([F.lag(end, p - 1).over(self._ordered())])
+        return self.add(self.ready(x, p, pick(beginning, before)))
+
+    def cumulative(self, *requests: tuple) -> list[Column]:
+        """(name of an aggregate, its columns) over all rows so far, for each request."""
+        return self.add_many([AGGREGATES[kind](*cols).over(self.upto()) for kind, *cols in requests])
+
+    def aggregated(self, *requests: tuple, period: int | None = None) -> list[Column]:
+        """The same over the last ``period`` rows, once they all have the first request's first column."""
+        if period is None:
+            return self.cumulative(*requests)
+        first = requests[0][1]
+        return self.add_many([self.ready(first, period, AGGREGATES[kind](*cols).over(self.last(period))) for kind, *cols in requests])
+
+    def running(self, kind: str, x: Column) -> Column:
+        (made,) = self.cumulative((kind, x))
+        return self.add(F.when(x.isNotNull(), made))
 
     def lag(self, x: Column, k: int = 1) -> Column:
-        return self.add(F.lag(x, int(k)).over(self.over()))
+        self.reach += int(k)
+        return self.add(F.lag(x, int(k)).over(self._ordered()))
 
     def row(self, x: Column) -> Column:
-        """Number of non-null inputs so far, from 1; null inputs have none."""
-        return self.add(F.when(x.isNotNull(), F.count(x).over(self.upto())))
+        """Number of non-null inputs so far, from 1; null inputs have none. Where a symbol is cut into slices
+        it counts from the slice's first row, so only differences and small numbers mean something."""
+        return self.add(F.when(x.isNotNull(), F.count(x).over(self._ordered().rowsBetween(Window.unboundedPreceding, 0))))
 
     def sma(self, x: Column, period: int) -> Column:
         return self.rolling(F.avg, x, period)
@@ -162,13 +227,14 @@ class Frame:
             raise ValueError("alpha must be in (0, 1]")
         decay = 1 - alpha
         size = max(2, int(math.log(BLOCK_WEIGHT) / math.log(decay)))
+        self.reach += (CARRIED + 1) * size
         n = first if first is not None else self.row(x)
         # Before the first input the value is the seed: that input's share is 1 instead of alpha.
         start = x if seed is None else alpha * x + decay * seed
         share = F.when(n == 1, start).otherwise(alpha * x)
         place, block = self.add_many([(n - 1) % size, F.floor((n - 1) / size)])
         (scaled,) = self.add_many([share * F.pow(F.lit(1 / decay), place)])
-        symbol = [F.col(self.symbol)] + ([self.valid] if self.valid is not None else [])
+        symbol = self.partition()
         inside = Window.partitionBy(*symbol, block).orderBy(self.ts).rowsBetween(Window.unboundedPreceding, 0)
         by_block = Window.partitionBy(*symbol).orderBy(block)
         sums = self.add_many([F.sum(scaled).over(inside), *(F.sum(scaled).over(by_block.rangeBetween(-k, -k)) for k in range(1, CARRIED + 1))])

@@ -186,20 +186,27 @@ def validate_recipe(recipe: dict) -> list[str]:
     return errors
 
 
-def compile_recipe(recipe: dict | None) -> Callable[[DataFrame], DataFrame]:
-    """A function from scores to weights: transforms, weighting, controls, in order."""
+def compile_recipe(recipe: dict | None, wide: bool = False) -> Callable[[DataFrame], DataFrame]:
+    """A function from scores to weights: transforms, weighting, controls, in order. ``wide`` takes the steps
+    that don't gather a date in one task (:mod:`quantloom.plans.wide`)."""
     recipe = DEFAULT_RECIPE if recipe is None else recipe
     if errors := validate_recipe(recipe):
         raise ValueError("; ".join(errors))
 
+    transforms, baskets, controls = {k: f for k, (f, _) in TRANSFORMS.items()}, dict(BASKETS), {k: f for k, (f, _) in CONTROLS.items()}
+    if wide:
+        from quantloom.plans import wide as steps
+
+        transforms, baskets, controls = transforms | steps.TRANSFORMS, baskets | steps.BASKETS, controls | steps.CONTROLS
+
     def apply(s: DataFrame) -> DataFrame:
         for step in recipe.get("scoredTransforms") or []:
             kind, params = _kind(step)
-            s = TRANSFORMS[kind][0](s, params)
-        w = BASKETS[_kind(recipe["basketCtor"])[0]](s)
+            s = transforms[kind](s, params)
+        w = baskets[_kind(recipe["basketCtor"])[0]](s)
         for step in recipe.get("riskControls") or []:
             kind, params = _kind(step)
-            w = CONTROLS[kind][0](w, params)
+            w = controls[kind](w, params)
         return w
 
     return apply
