@@ -15,6 +15,8 @@ import hashlib
 import json
 import re
 import struct
+from collections.abc import Iterator
+
 import ahocorasick
 import numpy as np
 import pandas as pd
@@ -25,7 +27,9 @@ from pyspark.sql import functions as F
 from quantloom.session import ship_package
 
 #: Entries of the pre-token cache in one Python worker; it is emptied when full.
-CACHE_ENTRIES = 600_000
+CACHE_ENTRIES = 200_000
+#: Documents whose ids and decoded texts a worker holds at a time.
+ROWS = 256
 
 _codecs: dict[str, "BpeCodec"] = {}
 
@@ -189,7 +193,13 @@ def codec(path: str) -> BpeCodec:
 def _per_text(docs: DataFrame, text: str, run, schema: str) -> DataFrame:
     """doc_id and the fields that ``run`` gives for each text; ids never pass through Python."""
     ship_package(docs.sparkSession)
-    fields = F.pandas_udf(run, schema).asNondeterministic()
+
+    def some_at_a_time(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        for texts in batches:
+            for at in range(0, len(texts), ROWS):
+                yield run(texts.iloc[at : at + ROWS])
+
+    fields = F.pandas_udf(some_at_a_time, schema).asNondeterministic()
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), fields(F.col(text).cast("string")).alias("made")).select("doc_id", "made.*")
 
 
