@@ -7,9 +7,9 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from quantloom.operators.kernels import parabolic_stop
+from quantloom.operators.kernels import ParabolicStop
 from quantloom.operators.rolling import arg_extreme, mean_abs_deviation
-from quantloom.operators.spec import Frame, OpSpec, ratio, strict, wilders
+from quantloom.operators.spec import Frame, OpSpec, ratio, stateful, strict, wilders
 
 
 def exp_alpha(period: float) -> float:
@@ -111,11 +111,6 @@ def adxr(f, x, p):
     return (ready + before) / 2
 
 
-def sar(f, x, p):
-    h, low = inputs(f, x)
-    return parabolic_stop(f, h, low, float(p["acceleration"]), float(p["maximum"]))
-
-
 def vi(f, x, p):
     h, low, c = inputs(f, x)
     n = int(p["period"])
@@ -488,7 +483,7 @@ OPS = [
     _op("DX", "trend", 3, dx, "", "scan", True, period=14),
     _op("ADX", "trend", 3, adx, "", "scan", True, period=14),
     _op("ADXR", "trend", 3, adxr, "", "scan", True, period=14),
-    _op("SAR", "trend", 2, sar, "", "scan", acceleration=0.02, maximum=0.2),
+    stateful("SAR", ParabolicStop, 2, (), "indicator.trend", acceleration=0.02, maximum=0.2),
     _op("VI", "trend", 3, vi, "vi_plus vi_minus", interior=True, period=14),
     _op("ICHIMOKU", "trend", 3, ichimoku, "tenkan kijun senkou_a senkou_b chikou", tenkan_period=9, kijun_period=26, senkou_b_period=52, displacement=26),
     _op("BOP", "momentum", 4, bop, "", "stateless"),

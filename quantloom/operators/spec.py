@@ -22,7 +22,8 @@ class OpSpec:
     """One operator. ``lower(frame, inputs, params)`` gives a column, or a dict of named columns.
 
     ``arity`` None is variadic. ``interior_nulls`` marks operators that can be null after values.
-    ``kind`` is stateless, window or scan.
+    ``kind`` is stateless, window or scan. An operator with a ``machine`` is no expression: it gives, for
+    the parameters, an object whose ``update`` takes the inputs of a bar and returns what the bar gets.
     """
 
     name: str
@@ -35,6 +36,7 @@ class OpSpec:
     required: tuple[str, ...] = ()
     interior_nulls: bool = False
     doc: str = ""
+    machine: Callable[[dict], object] | None = None
 
     def params(self, init: dict | None) -> dict:
         """Defaults, overridden field by field; missing required fields raise."""
@@ -46,6 +48,13 @@ class OpSpec:
         return merged
 
 
+def stateful(name: str, make: Callable[..., object], arity: int, outputs: tuple[str, ...] = (), group: str = "own", required: tuple[str, ...] = (), doc: str = "", **init) -> OpSpec:
+    """An operator that is a class: ``make`` takes the parameters by name, and the object's ``update`` one
+    number per input; it returns a number or None, or a tuple of as many as there are outputs. The class must
+    be importable by name in Python workers, or be defined where it is pickled by value, as in a main script."""
+    return OpSpec(name, group, arity, None, init, outputs, "scan", required, True, doc, lambda p: make(**p))
+
+
 class OpRegistry:
     """Operators by name."""
 

@@ -3,9 +3,11 @@
 import datetime as dt
 import math
 import random
+import sys
 
 import numpy as np
 import pytest
+from pyspark import cloudpickle
 from pyspark.sql import functions as F
 
 from quantloom.functions import large
@@ -18,6 +20,7 @@ from quantloom.plans.ranges import first_of_each, placed, with_totals
 from quantloom.plans.slices import HALO, SLICE, Slices, cut
 
 START = dt.datetime(2024, 1, 1)
+cloudpickle.register_pickle_by_value(sys.modules[__name__])  # workers can't import this module
 
 
 def bars_of(spark, n, symbols=("a", "b"), nulls=0.0, seed=3):
@@ -205,3 +208,61 @@ def test_large_groups_with_missing_values(spark):
     assert got == {("a", 1): 1.0, ("a", 2): None, ("a", 3): None, (None, 1): 0.0, (None, 2): 1.0}
     assert {r.symbol: r.m for r in large.quantiles(df, ["symbol"], "x", ["ts"], {"m": 0.5}).collect()} == {"a": 3.0, None: 3.0}
     assert large.winsorized(df.where("false"), ["symbol"], "x", ["ts"]).count() == 0
+
+
+class Crossings:
+    """How often two numbers have changed their order, and the last distance."""
+
+    def __init__(self, step):
+        self.step, self.above, self.n = step, None, 0
+
+    def update(self, a, b):
+        above = a > b
+        self.n += self.step * (self.above is not None and above != self.above)
+        self.above = above
+        return float(self.n), a - b
+
+
+class Peak:
+    """The highest so far."""
+
+    def __init__(self):
+        self.best = -math.inf
+
+    def update(self, x):
+        self.best = max(self.best, x)
+        return self.best
+
+
+def test_class_operators_equal_their_window_twins(spark):
+    """Three classes in one pass, one of them fed by another, between windows before and after."""
+    registry = spec.full_registry().register(spec.stateful("Crossings", Crossings, 2, ("n", "apart"), step=1)).register(spec.stateful("Peak", Peak, 1))
+    bars = bars_of(spark, 120, ("a", "b", "c"), nulls=0.1)
+    graph, outputs = graph_of([
+        ("fast", "SMA", ["bar.close"], {"period": 3}), ("x", "Crossings", ["fast", "bar.open"], {}), ("peak", "Peak", ["x.apart"], {}), ("top", "Peak", ["bar.high"], {}), ("stop", "SAR", ["bar.high", "bar.low"], {}),
+        ("sub", "Sub", ["fast", "bar.open"], {}), ("after", "RollingMax", ["peak"], {"period": 4}), ("cma", "CMA", ["top"], {}),
+    ])
+    df = compile_graph(graph, bars, registry, outputs=outputs)
+    assert df._jdf.queryExecution().executedPlan().toString().count("MapInArrow") == 2  # the stop and the top, which read bars only, and the two that wait for the average
+    got = values(df)
+    for symbol in ("a", "b", "c"):
+        rows = sorted((r for r in bars.where(F.col("symbol") == symbol).collect()), key=lambda r: r.ts)
+        n, above, peak, top = 0, None, -math.inf, -math.inf
+        for r in rows:
+            made = got[symbol, r.ts]
+            top = max(top, r.high)
+            assert made["top"] == top
+            if made["sub"] is None:
+                assert made["x"] == {"n": None, "apart": None} and made["peak"] is None
+                continue
+            n += above is not None and (made["sub"] > 0) != above
+            above, peak = made["sub"] > 0, max(peak, made["sub"])
+            assert made["x"]["n"] == n and near(made["x"]["apart"], made["sub"]) and near(made["peak"], peak)
+
+
+def test_undefined_fields_of_class_operators_raise(spark):
+    registry = spec.full_registry().register(spec.stateful("Crossings", Crossings, 2, ("n", "apart"), step=1)).register(spec.stateful("Peak", Peak, 1))
+    for path in ("x", "x.none"):
+        graph, _ = graph_of([("x", "Crossings", ["bar.close", "bar.open"], {}), ("y", "Peak", [path], {})])
+        with pytest.raises(ValueError, match="undefined"):
+            compile_graph(graph, bars_of(spark, 5), registry, outputs=["y"])
