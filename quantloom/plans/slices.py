@@ -82,9 +82,10 @@ class SlicedFrame(Frame):
         masked = dict(zip(columns, self.add_many([F.when(own, c) for c in columns.values()])))
         pairs = {(str(a), str(b)) for kind, *cols in requests if kind == "covar_pop" for a, b in [cols]}
         moments = {str(c) for kind, *cols in requests if kind not in ("count", "sum", "min", "max", "last") for c in cols}
-        self.df = written(self.df, "level")
+        self.df = self._level(self.df)
         tag = {c: f"_l{self._levels}_{i}" for i, c in enumerate(columns)}
         totals = self.df.groupBy(*self.keys).agg(*self._totals(masked, tag, moments, pairs))
+        totals = self._with_earlier(totals, tag, moments, pairs)
         carried = self._carried(totals, tag, moments, pairs, {kind for kind, *_ in requests})
         # Both sides meet by (symbol, slice), the keys of all windows.
         self.df = self.df.join(carried.hint("shuffle_hash"), list(self.keys))
@@ -103,6 +104,14 @@ class SlicedFrame(Frame):
         at = dict(zip(sums, made))
         return self.add_many([self._value(kind, [str(c) for c in cols], at, masked, tag, within) for kind, *cols in requests])
 
+    def _level(self, df: DataFrame) -> DataFrame:
+        """The rows written down before their totals are taken."""
+        return written(df, "level")
+
+    def _with_earlier(self, totals: DataFrame, tag: dict, moments: set, pairs: set) -> DataFrame:
+        """The totals of this table's slices, and of others before them, if there are any."""
+        return totals
+
     def _totals(self, masked: dict, tag: dict, moments: set, pairs: set) -> list[Column]:
         """Statistics of a slice's own rows."""
         out = []

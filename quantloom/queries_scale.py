@@ -1,4 +1,5 @@
-"""Registered queries of the plans for long symbols, long windows, wide dates and large groups."""
+"""Registered queries of the plans for long symbols, long windows, wide dates, large groups, dated universes,
+values of weights, and streams."""
 
 from __future__ import annotations
 
@@ -6,13 +7,18 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from quantloom.functions import large
 from quantloom.plans import portfolio as pf
 from quantloom.plans import wide
 from quantloom.plans.graph import compile_graph
+from quantloom.plans.nav import nav_of_weights
 from quantloom.plans.slices import Slices
-from quantloom.queries import bars_from_lineitem, layered, roll, rounded, shown, sma, w
+from quantloom.queries import bars_from_lineitem, ema, event_bars, layered, roll, rounded, shown, sma, w
+from quantloom.session import new_path, written
+from quantloom.sources import universes
+from quantloom.streaming.graphs import stream_graph
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -148,3 +154,86 @@ def large_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES["large_summary"] = large_summary
 ORACLE_SQL["large_summary"] = f"""WITH r AS (SELECT l_extendedprice AS x, rank() OVER (ORDER BY l_extendedprice) + (count(*) OVER (PARTITION BY l_extendedprice) - 1) / 2.0::DOUBLE AS rx, rank() OVER (ORDER BY l_quantity) + (count(*) OVER (PARTITION BY l_quantity) - 1) / 2.0::DOUBLE AS ry FROM lineitem)
 SELECT {', '.join(f'{shown(f"quantile_cont(x, {q})")} AS {n}' for n, q in (('p01', 0.01), ('median', 0.5), ('p999', 0.999)))}, {shown('corr(rx, ry)')} AS spearman FROM r"""
+
+# Customers that are in the universe of a month by their orders of the three months before
+
+
+def dated_universe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    orders = table(spark, sf_dir, "orders").select("o_orderkey", F.col("o_custkey").cast("string").alias("symbol"), F.col("o_orderdate").alias("ts"), "o_totalprice")
+    members = universes.trailing_members(orders, "symbol", "ts", "month", 3, (F.count("*") >= 2) & (F.sum("o_totalprice") > 300_000))
+    kept = universes.in_universe(orders, universes.spans(members, "month"), "quarter")
+    return rounded(kept.select("o_orderkey", "symbol", "ts", "o_totalprice"))
+
+
+QUERIES["dated_universe"] = dated_universe
+_MEMBERS = """m AS (SELECT symbol, period FROM (SELECT o_custkey AS symbol, CAST(date_trunc('month', o_orderdate) + to_months(CAST(k AS INTEGER)) AS TIMESTAMP) AS period, o_totalprice FROM orders, (SELECT unnest([1, 2, 3]) AS k)) GROUP BY 1, 2 HAVING count(*) >= 2 AND sum(o_totalprice) > 300000)"""
+ORACLE_SQL["dated_universe"] = f"WITH {_MEMBERS} SELECT o_orderkey, CAST(o_custkey AS VARCHAR) AS symbol, CAST(epoch(o_orderdate) AS BIGINT) AS ts, {shown('o_totalprice')} AS o_totalprice FROM orders JOIN m ON m.symbol = o_custkey AND m.period = date_trunc('month', o_orderdate)"
+
+
+def universe_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    orders = table(spark, sf_dir, "orders").select(F.col("o_custkey").cast("string").alias("symbol"), F.col("o_orderdate").alias("ts"), "o_totalprice")
+    members = universes.trailing_members(orders, "symbol", "ts", "month", 3, (F.count("*") >= 2) & (F.sum("o_totalprice") > 300_000))
+    return rounded(universes.spans(members, "month"), "symbol", "since", "until")
+
+
+QUERIES["universe_spans"] = universe_spans
+ORACLE_SQL["universe_spans"] = f"""WITH {_MEMBERS}, g AS (SELECT *, (year(period) * 12 + month(period)) - row_number() OVER (PARTITION BY symbol ORDER BY period) AS run FROM m)
+SELECT CAST(symbol AS VARCHAR) AS symbol, CAST(epoch(min(period)) AS BIGINT) AS since, CAST(epoch(max(period) + INTERVAL 1 MONTH) AS BIGINT) AS until FROM g GROUP BY symbol, run"""
+
+# The value of monthly baskets of supplier bars
+
+
+def monthly_weights(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    bars = bars_from_lineitem(table(spark, sf_dir, "lineitem")).where("open is not null")
+    last = bars.groupBy("symbol", F.date_trunc("month", "ts").alias("month")).agg(F.max_by("close", "ts").alias("score"), F.max("volume").alias("volume"))
+    dates = bars.groupBy(F.date_trunc("month", "ts").alias("month")).agg(F.max("ts").alias("ts"))
+    scored = last.join(dates, "month").select("ts", "symbol", F.col("score") / 1_000 + F.col("volume") / 100_000)
+    return pf.basket_rank(pf.filter_top_n(pf.scored(scored.toDF("ts", "symbol", "score")), 10)), bars
+
+
+def monthly_nav(spark: SparkSession, sf_dir: str) -> DataFrame:
+    weights, bars = monthly_weights(spark, sf_dir)
+    return rounded(nav_of_weights(weights, bars, cost_rate=0.001), "ts", "growth", "turnover", "nav")
+
+
+QUERIES["monthly_nav"] = monthly_nav
+ORACLE_SQL["monthly_nav"] = f"""WITH d AS (SELECT CAST(l_suppkey AS VARCHAR) AS symbol, l_shipdate AS ts, max(l_extendedprice / l_quantity) AS high, min(l_extendedprice / l_quantity) AS low, sum(l_extendedprice) / sum(l_quantity) AS close, sum(l_quantity) AS volume FROM lineitem WHERE l_quantity <> 0 GROUP BY 1, 2),
+b AS (SELECT symbol, ts, close, volume, least(high, greatest(low, coalesce(lag(close) OVER (PARTITION BY symbol ORDER BY ts), close))) AS open FROM d),
+t AS (SELECT ts, row_number() OVER (ORDER BY ts) AS no FROM (SELECT DISTINCT ts FROM b)), n AS (SELECT b.*, t.no FROM b JOIN t USING (ts)),
+l AS (SELECT symbol, date_trunc('month', ts) AS month, arg_max(close, ts) / 1000 + max(volume) / 100000 AS score FROM b GROUP BY 1, 2),
+e AS (SELECT date_trunc('month', ts) AS month, max(ts) AS ts FROM b GROUP BY 1),
+s AS (SELECT e.ts, l.symbol, l.score, row_number() OVER (PARTITION BY e.ts ORDER BY l.score DESC, l.symbol) AS k FROM l JOIN e USING (month)),
+w AS (SELECT ts, symbol, (c - k + 1) / (c * (c + 1) / 2.0::DOUBLE) AS weight, t.no FROM (SELECT *, count(*) OVER (PARTITION BY ts) AS c FROM s WHERE k <= 10) JOIN t USING (ts)),
+u AS (SELECT ts, no + 1 AS bought, coalesce(lead(no) OVER (ORDER BY no) + 1, (SELECT max(no) FROM t) + 1) AS sold, row_number() OVER (ORDER BY no) AS turn FROM (SELECT DISTINCT ts, no FROM w) WHERE no < (SELECT max(no) FROM t)),
+h AS (SELECT w.symbol, w.weight, u.* FROM w JOIN u USING (ts)),
+p AS (SELECT h.*, coalesce(nb.open, pb.close) AS price_bought, coalesce(ns.open, ps.close) AS price_sold FROM h
+  LEFT JOIN n nb ON nb.symbol = h.symbol AND nb.no = h.bought LEFT JOIN n ns ON ns.symbol = h.symbol AND ns.no = h.sold
+  ASOF LEFT JOIN n pb ON pb.symbol = h.symbol AND pb.no < h.bought ASOF LEFT JOIN n ps ON ps.symbol = h.symbol AND ps.no < h.sold),
+f AS (SELECT turn, ts, symbol, weight, coalesce(price_sold, price_bought) / price_bought AS factor FROM p WHERE price_bought IS NOT NULL),
+g AS (SELECT u.turn, u.ts, 1 + coalesce(sum(weight * (factor - 1)), 0) AS growth FROM u LEFT JOIN f USING (turn) GROUP BY 1, 2),
+o AS (SELECT f.turn + 1 AS turn, symbol, weight * factor / growth AS old FROM f JOIN g USING (turn)),
+x AS (SELECT coalesce(f.turn, o.turn) AS turn, sum(abs(coalesce(weight, 0) - coalesce(old, 0))) AS turnover FROM f FULL JOIN o ON f.turn = o.turn AND f.symbol = o.symbol GROUP BY 1),
+y AS (SELECT g.*, coalesce(turnover, 0) AS turnover FROM g LEFT JOIN x USING (turn)),
+z AS (SELECT *, product((1 - 0.001::DOUBLE * turnover) * growth) OVER (ORDER BY turn) AS nav FROM y)
+SELECT CAST(epoch(ts) AS BIGINT) AS ts, {shown('growth')} AS growth, {shown('turnover')} AS turnover, {shown('nav')} AS nav FROM z"""
+
+# Hourly bars of events, as a stream of three files
+
+
+def streamed_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The bars in three files in order of time, each a micro-batch; what the sink got."""
+    bars, base = event_bars(spark, sf_dir), new_path(spark, "stream")
+    placed = written(bars.join(bars.groupBy("ts").count().select("ts", F.ntile(3).over(Window.orderBy("ts")).alias("part")), "ts"), "bars")  # a row per hour
+    for part in (1, 2, 3):
+        placed.where(F.col("part") == part).drop("part").coalesce(1).write.mode("append").parquet(f"{base}/in")
+        stream = spark.readStream.schema(placed.drop("part").schema).parquet(f"{base}/in")
+        sink = lambda df, epoch: df.write.mode("overwrite").parquet(f"{base}/out/{epoch}")
+        stream_graph(STREAM_GRAPH, stream, sink, f"{base}/checkpoint", STREAM_OUTPUTS).trigger(availableNow=True).start().awaitTermination()
+    got = spark.read.parquet(*[f"{base}/out/{epoch}" for epoch in range(3)])
+    return rounded(got, "symbol", "ts", *STREAM_OUTPUTS)
+
+
+STREAM_OUTPUTS = ["mean", "top", "smooth", "cma"]
+STREAM_GRAPH = {"root": "bar", "nodes": [{"name": "mean", "type": "SMA", "inputs": ["bar.close"], "init": {"period": 10}}, {"name": "top", "type": "RollingMax", "inputs": ["mean"], "init": {"period": 4}}, {"name": "smooth", "type": "EMA", "inputs": ["bar.close"], "init": {"alpha": 0.2}}, {"name": "cma", "type": "CMA", "inputs": ["bar.close"]}]}
+QUERIES["streamed_graph"] = streamed_graph
+ORACLE_SQL["streamed_graph"] = layered([{"mean": sma("close", 10), "smooth": ema("close", "0.2"), "cma": f"avg(close) {_UPTO}"}, {"top": roll("max(mean)", "mean", 4)}], STREAM_OUTPUTS, {})
