@@ -12,6 +12,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from quantloom.session import written
+
 
 def _prices(points: DataFrame, bars: DataFrame) -> DataFrame:
     """points (symbol, no) with ``price``: the open of that date, else the last close before it, else null."""
@@ -31,15 +33,17 @@ def nav_of_weights(weights: DataFrame, bars: DataFrame, cost_rate: float = 0.0,
     may sum to less than 1, the rest is cash; several rows of a date and symbol add up."""
     # A row per date: these windows have as many rows as there are dates.
     dates = bars.select("ts").distinct().select("ts", F.row_number().over(Window.orderBy("ts")).alias("no"))
-    numbered = bars.join(dates, "ts")
+    numbered = written(bars.select("symbol", "ts", "open", "close").join(dates, "ts"), "numbered")
+    dates = numbered.select("ts", "no").distinct()
     chosen = weights.where("weight is not null").groupBy("ts", "symbol").agg(F.sum("weight").alias("weight")).join(dates, "ts")
     turns = chosen.select("ts", "no").distinct().join(dates.agg(F.max("no").alias("end")).hint("broadcast")).where("no < end")  # one row
     turns = turns.select("ts", (F.col("no") + 1).alias("bought"), F.coalesce(F.lead("no").over(Window.orderBy("no")) + 1, F.col("end") + 1).alias("sold"), F.row_number().over(Window.orderBy("no")).alias("turn"))
+    turns = written(turns, "turns")
     held = chosen.select("ts", "symbol", "weight").join(turns, "ts")
     prices = _prices(held.select("symbol", F.col("bought").alias("no")).union(held.select("symbol", F.col("sold").alias("no"))), numbered)
     side = lambda at: prices.select("symbol", F.col("no").alias(at), F.col("price").alias(f"price_{at}"))
     valued = held.join(side("bought"), ["symbol", "bought"], "left").join(side("sold"), ["symbol", "sold"], "left").where("price_bought is not null")
-    shares = valued.select("turn", "symbol", "weight", F.when(F.col("price_bought") != 0, F.coalesce("price_sold", "price_bought") / F.col("price_bought")).otherwise(F.lit(1.0)).alias("factor"))
+    shares = written(valued.select("turn", "symbol", "weight", F.when(F.col("price_bought") != 0, F.coalesce("price_sold", "price_bought") / F.col("price_bought")).otherwise(F.lit(1.0)).alias("factor")), "shares")
     growth = turns.join(shares.groupBy("turn").agg(F.sum(F.col("weight") * (F.col("factor") - 1)).alias("g")), "turn", "left").select("turn", "ts", (1 + F.coalesce("g", F.lit(0.0))).alias("growth"))
     # What is left of the weights before, as parts of the value then, against the new ones.
     drifted = shares.join(growth.select("turn", "growth"), "turn").select((F.col("turn") + 1).alias("turn"), "symbol", F.when(F.col("growth") != 0, F.col("weight") * F.col("factor") / F.col("growth")).alias("old"))

@@ -94,8 +94,10 @@ def cap_weight(w: DataFrame, maximum: float) -> DataFrame:
 
     In closed form: with weights in descending order, k of them are capped for the smallest k at which
     the rest, scaled to what is left, stays within the maximum."""
-    by_weight = _date().orderBy(F.desc("weight"), "universe_idx")
-    rows = w.withColumn("_k", F.row_number().over(by_weight) - 1).withColumn("_sum", F.sum("weight").over(_date())).withColumn("_rest", F.sum("weight").over(by_weight.rowsBetween(0, Window.unboundedFollowing)))
+    by_weight, lightest_first = _date().orderBy(F.desc("weight"), "universe_idx"), _date().orderBy(F.asc("weight"), F.desc("universe_idx"))
+    # sums from the light end on: a frame that reaches to the end would be summed anew for every row
+    rest = F.sum("weight").over(lightest_first.rowsBetween(Window.unboundedPreceding, 0))
+    rows = w.withColumn("_k", F.row_number().over(by_weight) - 1).withColumn("_sum", F.sum("weight").over(_date())).withColumn("_rest", rest)
     scale = (F.col("_sum") - F.col("_k") * maximum) / F.when(F.col("_rest") > 0, F.col("_rest"))
     fits = F.when(scale * F.col("weight") <= maximum + 1e-15, F.struct(F.col("_k"), scale.alias("c")))
     found = rows.withColumn("_c", F.min(fits).over(_date())["c"])

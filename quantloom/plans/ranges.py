@@ -39,9 +39,11 @@ def placed(df: DataFrame, by: list[str], order: list[Column], sums: dict[str, st
     )
     rows = joined(dealt, offsets, [*by, RANGE])
     inside = Window.partitionBy(*by, RANGE).orderBy(*order)
-    rest = inside.rowsBetween(Window.currentRow, Window.unboundedFollowing)
-    made = {PLACE: F.row_number().over(inside) + F.col("_before")} | {name: F.sum(c).over(rest) + F.col(f"_after_{name}") for name, c in sums.items()}
-    return rows.withColumns(made).drop("_before", *[f"_after_{name}" for name in sums])
+    rows = rows.withColumn(PLACE, F.row_number().over(inside) + F.col("_before"))
+    # from the end on: a frame that reaches to the end would be summed anew for every row
+    back = Window.partitionBy(*by, RANGE).orderBy(F.desc(PLACE)).rowsBetween(Window.unboundedPreceding, 0)
+    rows = rows.withColumns({name: F.sum(c).over(back) + F.col(f"_after_{name}") for name, c in sums.items()}) if sums else rows
+    return rows.drop("_before", *[f"_after_{name}" for name in sums])
 
 
 def joined(df: DataFrame, small: DataFrame, on: list[str]) -> DataFrame:

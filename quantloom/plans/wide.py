@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quantloom.plans.ranges import COUNT, PLACE, RANGE, first_of_each, joined, placed, with_totals
+from quantloom.session import written
 
 DATE = ["ts"]
 OWN = [PLACE, COUNT, RANGE]
@@ -83,6 +84,7 @@ def cap_weight(w: DataFrame, maximum: float) -> DataFrame:
     total, weight = F.col("_rest_all"), F.col("weight")
     scale = (total - F.col("_k") * maximum) / F.when(F.col("_rest") > 0, F.col("_rest"))
     fits = F.when(scale * weight <= maximum + 1e-15, F.struct(F.col("_k"), scale.alias("c")))
+    rows = written(rows, "weights")
     # A row per date and range: the least of the whole date, for each of its ranges.
     found = rows.groupBy(*DATE, RANGE).agg(F.min(fits).alias("_c"))
     least = found.groupBy(*DATE).agg(F.min("_c").alias("_c"))
