@@ -6,7 +6,8 @@ that is compatible with the stored last token of the prefix before it. The pre-t
 back-pointers followed from its end.
 
 Edge cases: null and empty text have no tokens; special token strings in a text become their id, as
-the tokenizers library does; repeated documents are each encoded; other columns are not looked at.
+the tokenizers library does; repeated documents are each encoded; texts of any length are encoded whole,
+a text in one task; an empty table gives an empty table; other columns are not looked at.
 """
 
 from __future__ import annotations

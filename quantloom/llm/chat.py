@@ -11,8 +11,10 @@ Turns are encoded one by one before the shuffle; then a conversation's turns str
 one task, without being held together: the digest of a whole conversation can't be made in parts. The
 result is a table whose rows say their place, so it can be written, split and read in any order.
 
-Edge cases: null role or text is empty; turns with the same number are ordered by role and text; a
-null conv_id is one conversation; a null turn comes first; other columns are not looked at.
+Edge cases: null role or text is empty; turns with the same number are ordered by role, then by a hash of
+the text, then by their ids, so repeated turns lie side by side; a null conv_id is one conversation; a null
+turn comes first; texts of any length are encoded whole, a turn in one task; an empty table gives an empty
+table; other columns are not looked at.
 """
 
 from __future__ import annotations
