@@ -18,6 +18,7 @@ from quantloom.plans.slices import Slices
 from quantloom.queries import bars_from_lineitem, ema, event_bars, layered, roll, rounded, shown, sma, w
 from quantloom.session import new_path, written
 from quantloom.sources import universes
+from quantloom.sources.bars import adjustment_snapshots, daily_bars
 from quantloom.streaming.graphs import stream_graph
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -237,3 +238,22 @@ STREAM_OUTPUTS = ["mean", "top", "smooth", "cma"]
 STREAM_GRAPH = {"root": "bar", "nodes": [{"name": "mean", "type": "SMA", "inputs": ["bar.close"], "init": {"period": 10}}, {"name": "top", "type": "RollingMax", "inputs": ["mean"], "init": {"period": 4}}, {"name": "smooth", "type": "EMA", "inputs": ["bar.close"], "init": {"alpha": 0.2}}, {"name": "cma", "type": "CMA", "inputs": ["bar.close"]}]}
 QUERIES["streamed_graph"] = streamed_graph
 ORACLE_SQL["streamed_graph"] = layered([{"mean": sma("close", 10), "smooth": ema("close", "0.2"), "cma": f"avg(close) {_UPTO}"}, {"top": roll("max(mean)", "mean", 4)}], STREAM_OUTPUTS, {})
+
+# Factors that change by quarter, as they were known on each date on which any changed
+
+
+def factor_snapshots(spark: SparkSession, sf_dir: str) -> DataFrame:
+    items = table(spark, sf_dir, "lineitem").where("l_shipdate is not null")
+    day = lambda ts: F.date_format(ts, "yyyyMMdd").alias("trade_date")
+    code = F.col("l_suppkey").cast("string").alias("ts_code")
+    daily = items.groupBy(code, day(F.col("l_shipdate"))).agg(*[F.max("l_extendedprice").alias(c) for c in ("open", "high", "low", "close", "vol", "amount")])
+    first = items.groupBy(code, F.date_trunc("quarter", "l_shipdate").alias("q")).agg(F.min("l_shipdate").alias("first"), F.count("*").alias("n"))
+    factors = first.select("ts_code", day(F.col("first")), (1 + F.col("n") % 4 / 10).alias("adj_factor"))
+    return rounded(adjustment_snapshots(daily_bars(daily), factors), "ts", "symbol", "adj")
+
+
+QUERIES["factor_snapshots"] = factor_snapshots
+ORACLE_SQL["factor_snapshots"] = f"""WITH f AS (SELECT CAST(l_suppkey AS VARCHAR) AS symbol, min(l_shipdate) AS first, 1 + count(*) % 4 / 10.0::DOUBLE AS adj FROM lineitem WHERE l_shipdate IS NOT NULL GROUP BY 1, date_trunc('quarter', l_shipdate)),
+c AS (SELECT symbol, date_trunc('day', first) + INTERVAL '9 hours 30 minutes' AS ts, adj FROM f QUALIFY adj IS DISTINCT FROM lag(adj) OVER (PARTITION BY symbol ORDER BY first)),
+d AS (SELECT DISTINCT ts FROM c), s AS (SELECT DISTINCT symbol FROM c), x AS (SELECT d.ts, s.symbol FROM d, s)
+SELECT CAST(epoch(x.ts) AS BIGINT) AS ts, x.symbol, {shown('c.adj')} AS adj FROM x ASOF JOIN c ON c.symbol = x.symbol AND c.ts <= x.ts"""
