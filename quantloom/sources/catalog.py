@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -18,11 +20,24 @@ def list_tables(spark: SparkSession) -> DataFrame:
     return out
 
 
+def key_columns(spark: SparkSession, table: str) -> list[str]:
+    """The columns of a table's primary key: of its constraint, in catalogues that have them, else those named
+    in its property ``primary_key`` (separated by commas). Views have none."""
+    for r in spark.sql(f"DESCRIBE TABLE EXTENDED {table}").collect():  # a row per column and detail
+        if found := re.search(r"PRIMARY KEY \(([^)]*)\)", r.data_type or ""):
+            return [c.strip(" `") for c in found.group(1).split(",")]
+    named = {r["key"]: r["value"] for r in spark.sql(f"SHOW TBLPROPERTIES {table}").collect()}
+    return [c.strip(" `") for c in named.get("primary_key", "").split(",") if c.strip(" `")]
+
+
 def describe_table(spark: SparkSession, table: str) -> DataFrame:
-    """(column, type, notnull) of a table; an unknown one raises."""
+    """(column, type, notnull, default, key) of a table; an unknown one raises. The default is the expression that
+    the catalogue has for the column, the key its place in the primary key, from 1, or 0."""
     if not spark.catalog.tableExists(table):
         raise ValueError(f'Unknown table "{table}"')
-    return spark.createDataFrame([(f.name, f.dataType.simpleString(), not f.nullable) for f in spark.table(table).schema], "column string, type string, notnull boolean")
+    keys = key_columns(spark, table)
+    rows = [(f.name, f.dataType.simpleString(), not f.nullable, (f.metadata or {}).get("CURRENT_DEFAULT"), keys.index(f.name) + 1 if f.name in keys else 0) for f in spark.table(table).schema]
+    return spark.createDataFrame(rows, "column string, type string, notnull boolean, default string, key int")
 
 
 def query_sql(spark: SparkSession, text: str, args: list | dict | None = None) -> DataFrame:

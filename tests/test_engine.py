@@ -81,6 +81,17 @@ def flat(spark, days=3, rise=(0, 0)):
 EQUAL = {"scoredTransforms": [], "basketCtor": "basket_equal"}
 
 
+def test_defaults_and_keys_of_tables(spark, tmp_path):
+    spark.sql(f"CREATE TABLE described (a INT DEFAULT 5, b STRING DEFAULT 'x', c DOUBLE) USING parquet LOCATION '{tmp_path}/t' TBLPROPERTIES ('other' = '1', 'primary_key' = 'b, a', 'zone' = 'u')")
+    try:
+        assert [tuple(r) for r in describe_table(spark, "described").collect()] == [("a", "int", False, "5", 2), ("b", "string", False, "'x'", 1), ("c", "double", False, None, 0)]
+    finally:
+        spark.sql("DROP TABLE described")
+    spark.range(3).createOrReplaceTempView("seen")
+    assert [tuple(r) for r in describe_table(spark, "seen").collect()] == [("id", "bigint", True, None, 0)]
+    spark.catalog.dropTempView("seen")
+
+
 def test_backtest_equal_basket(spark):
     ledger = run_backtest(flat(spark), CONST, ["A", "B"], "score", EQUAL, Options(cash=200_000, lot_size=0, threshold=0.05))
     points = equity(ledger).orderBy("ts").collect()
