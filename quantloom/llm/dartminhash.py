@@ -80,7 +80,7 @@ def cells(words: bytes) -> np.ndarray:
     new = np.concatenate([[True], h[1:] != h[:-1]])
     starts = np.flatnonzero(new)
     nth = np.arange(len(h)) - np.repeat(starts, np.diff(np.concatenate([starts, [len(h)]])))
-    return np.sort(mix(h + nth.astype("u8") * _GOLD)) if nth.any() else h
+    return np.sort(np.where(nth > 0, mix(h + nth.astype("u8") * _GOLD), h)) if nth.any() else h
 
 
 def signature(cell: np.ndarray, k: int = COORDINATES) -> np.ndarray:
