@@ -8,11 +8,13 @@ binomial tail tests whether the true share of rejected good documents can be abo
 tested in fixed sequence from the most lenient until one is not proven, which needs no correction; over
 strata the level is ``delta / strata`` (Bonferroni). So with probability 1 - delta every stratum loses at
 most ``alpha`` of its good documents to the learned rules. A stratum with too few labels to prove the
-first step (about 180 good ones for alpha 0.02 and four strata) has no rejections beyond the base.
+first step (about 180 good ones for alpha 0.02 and four strata) has no rejections beyond the base. Equal texts
+of a stratum count once in the holdout, as copies are no independent draws, so the promise is about different
+texts; near copies still count apart.
 
 Edge cases: null text has no words and fails the base; a null language is a stratum; documents without
 label are judged by the step of their stratum; of several labels of a document the best counts; a null
-label counts as none; repeated documents are each judged, and each counts if it is labelled; texts of any
+label counts as none; repeated documents are each judged, but count once if labelled; a text counts as good if any of its labels says so; texts of any
 length are taken whole, in one row; other columns are not looked at; empty tables give empty tables.
 """
 
@@ -62,13 +64,14 @@ def rules() -> dict[str, Column]:
 
 
 def features(docs: DataFrame, keep: list[Column] | None = None) -> DataFrame:
-    """doc_id, stratum, the counts of COUNTS, n_lines, n_upper and n_bangs, and the columns ``keep``."""
+    """doc_id, stratum, digest (a hash of the text), the counts of COUNTS, n_lines, n_upper and n_bangs, and the columns ``keep``."""
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     kept = list(keep or [])
-    names = ["_doc", "_stratum", *(f"_keep{i}" for i in range(len(kept)))]
+    names = ["_doc", "_stratum", "_digest", *(f"_keep{i}" for i in range(len(kept)))]
     rows = docs.select(
         F.col("doc_id").cast("long").alias("_doc"),
         F.coalesce(F.col("lang").cast("string"), F.lit("")).alias("_stratum"),
+        F.xxhash64(text).alias("_digest"),
         *[c.alias(f"_keep{i}") for i, c in enumerate(kept)],
         text.alias("_text"),
         F.filter(F.split(text, SPACE), lambda w: w != "").alias("_words"),
@@ -119,6 +122,7 @@ def features(docs: DataFrame, keep: list[Column] | None = None) -> DataFrame:
     return found.select(
         F.col("_doc").alias("doc_id"),
         F.col("_stratum").alias("stratum"),
+        F.col("_digest").alias("digest"),
         *[F.col(f"_keep{i}") for i in range(len(kept))],
         F.col("_n").cast("long").alias("n_words"),
         *plain,
@@ -138,10 +142,12 @@ def rejecting_step() -> Column:
 
 
 def fit(feats: DataFrame, labels: DataFrame, alpha: float = ALPHA, delta: float = DELTA) -> DataFrame:
-    """Steps: stratum, n_good, n_rejected (of those, by the step) and step (0: no rule set is proven)."""
+    """Steps: stratum, n_good (different good texts), n_rejected (of those, by the step) and step (0: no rule set is proven)."""
     best = labels.where("doc_id is not null and quality is not null").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max(F.col("quality").cast("int")).alias("quality"))
-    good = feats.where(~base_failed()).select("doc_id", "stratum", rejecting_step().alias("step")).join(best.where("quality >= 1").select("doc_id"), "doc_id")
+    good = feats.where(~base_failed()).select("doc_id", "stratum", "digest", rejecting_step().alias("step")).join(best.where("quality >= 1").select("doc_id"), "doc_id")
     rejected = F.array(*[F.sum((F.col("step") <= k).cast("long")) for k in range(1, STEPS + 1)])
+    # Copies of a text are one draw of it; the tail is that of independent draws.
+    good = good.dropDuplicates(["stratum", "digest"])
     per_stratum = written(good.groupBy("stratum").agg(F.count("*").alias("n_good"), rejected.alias("rejected")), "strata")
     level = delta / max(1, per_stratum.count())
     # What a step rejects, the next ones reject too, so the proven steps are the first ones.
