@@ -1,11 +1,15 @@
-"""DartMinHash signatures of word-shingle multisets.
-
-A text's elements are its five-word shingles, counted: the j-th occurrence of a shingle is a cell of
-unit weight of its own, so the weighted Jaccard similarity of two texts is the share of cells that
-they have in common. Darts are thrown, by hashing alone, into each cell's region over a rank axis cut
-into fixed intervals; how many fall into an interval is a Poisson draw, so a text with many cells needs
-a low part of the axis only. Each dart belongs to one coordinate of the signature, and a coordinate
-keeps its earliest dart. About k ln k + 2k darts are thrown for k coordinates, whatever the text's length.
+"""DartMinHash signatures of weighted sets, such as the word shingles of a text with their counts.
+
+An element with weight w is the region [0, w) of a weight axis, over a rank axis. The weight axis is cut into slots:
+[0, 1), [1, 2), [2, 4) and so on, each twice as wide as all before it reach. Darts are thrown, by hashing
+alone, into each slot over the rank axis, cut into fixed intervals (shorter ones for wider slots, so that all have
+the same few darts on average); how many fall into one is a Poisson draw, and those of the last slot that fall beyond
+w are left out. Each dart belongs to one coordinate of the signature, and a coordinate keeps its earliest dart. Two
+sets agree in a coordinate with the probability of their weighted Jaccard similarity, the sum of the smaller
+weights over that of the larger ones. About k ln k + 2k darts are thrown for k coordinates, however long the text and
+large the weights; an element of weight w has 1 + log2(w) slots. Weights below 1 cost as much as 1.
+
+For exact checks the same multiset is an array of *cells*: the j-th occurrence of a shingle is a cell of its own.
 """
 
 from __future__ import annotations
@@ -72,8 +76,13 @@ def shingle_hashes(words: bytes) -> np.ndarray:
     return mix(total + _U(n))
 
 
+def shingles(words: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted hashes of the different shingles, and how often each occurs."""
+    return np.unique(shingle_hashes(words), return_counts=True)
+
+
 def cells(words: bytes) -> np.ndarray:
-    """Sorted hashes of the (shingle, occurrence) cells."""
+    """Sorted hashes of the (shingle, occurrence) cells; the first occurrence has the shingle's own hash."""
     h = np.sort(shingle_hashes(words))
     if len(h) < 2:
         return h
@@ -83,23 +92,48 @@ def cells(words: bytes) -> np.ndarray:
     return np.sort(np.where(nth > 0, mix(h + nth.astype("u8") * _GOLD), h)) if nth.any() else h
 
 
-def signature(cell: np.ndarray, k: int = COORDINATES) -> np.ndarray:
-    """The id of the earliest dart of each coordinate."""
+def slots(element: np.ndarray, weight: np.ndarray) -> list[tuple[np.ndarray, np.ndarray, float, float]]:
+    """The slots of elements, those of one place together: hashes, the elements' weights, start and width."""
+    out, start, width = [], 0.0, 1.0
+    while len(element):
+        hashes = element if not out else mix(element + _U((len(out) * int(_GOLD)) % 2**64))
+        out.append((hashes, weight, start, width))
+        start, width = start + width, width if not start else 2 * width
+        more = weight > start
+        element, weight = element[more], weight[more]
+    return out
+
+
+def _intervals(reach: float) -> int:
+    """Number of rank intervals that begin below the reach."""
+    return int(_FIRST + 1 + math.ceil(reach - 1)) if reach > 1 else int(_FIRST + 1 - math.floor(-math.log2(max(reach, 2.0**-_FIRST))))
+
+
+def signature(element: np.ndarray, weight: np.ndarray | None = None, k: int = COORDINATES) -> np.ndarray:
+    """The id of the earliest dart of each coordinate. Elements are different 64-bit hashes, weights are real (1 without
+    any); those of weight 0 or less are left out, and a set without others raises an error."""
+    weight = np.ones(len(element)) if weight is None else np.asarray(weight, "f8")
+    element, weight = element[weight > 0], weight[weight > 0]
+    if not len(element) or not np.isfinite(weight).all():
+        raise ValueError("A signature needs elements with finite weights above 0")
     ids, rank = np.zeros(k, "u8"), np.full(k, np.inf)
-    n, done, reach = len(cell), 0, (k * math.log(k) + 2 * k) / len(cell)
+    parts = slots(element, weight)
+    done, reach = [0] * len(parts), (k * math.log(k) + 2 * k) / float(weight.sum())
     while True:
-        # all intervals that begin below the reach
-        upto = max(done + 1, int(_FIRST + 1 + math.ceil(reach - 1)) if reach > 1 else int(_FIRST + 1 - math.floor(-math.log2(max(reach, 2.0**-_FIRST)))))
-        for first in range(done, upto, step := max(1, 20_000 // n)):
-            _throw(cell, np.arange(first, min(upto, first + step)), k, ids, rank)
-        done = upto
-        if np.isfinite(rank).all():
+        for i, (hashes, whole, start, width) in enumerate(parts):
+            upto = max(done[i], _intervals(reach * width))
+            for first in range(done[i], upto, step := max(1, 20_000 // len(hashes))):
+                _throw(hashes, whole, start, width, np.arange(first, min(upto, first + step)), k, ids, rank)
+            done[i] = upto
+        # no dart is missing before the first interval that was not thrown
+        known = min(float(interval(np.array(n))[0]) / part[3] for n, part in zip(done, parts))
+        if rank.max() <= known:
             return ids
-        reach = reach * 1.5
+        reach = max(reach * 1.5, known)
 
 
-def _throw(cell: np.ndarray, numbers: np.ndarray, k: int, ids: np.ndarray, rank: np.ndarray) -> None:
-    """Throw the darts of some intervals; ids and rank keep the earliest of each coordinate."""
+def _throw(cell: np.ndarray, weight: np.ndarray, start: float, slot: float, numbers: np.ndarray, k: int, ids: np.ndarray, rank: np.ndarray) -> None:
+    """Throw the darts of some intervals of slots with this start and width; ids and rank keep the earliest of each coordinate."""
     low, width = interval(numbers)
     limits = _THRESHOLDS[np.minimum(numbers, _FIRST + 1)]
     seed = mix((numbers.astype("u8") + _U(1)) * _GOLD)
@@ -112,9 +146,15 @@ def _throw(cell: np.ndarray, numbers: np.ndarray, k: int, ids: np.ndarray, rank:
     which = np.repeat(np.arange(len(count)), count)
     nth = np.arange(len(which)) - np.repeat(np.cumsum(count) - count, count)
     dart = mix(value[which] + (nth.astype("u8") + _U(1)) * _GOLD)
+    if (weight < start + slot).any():
+        height = start + slot * ((mix(dart + _M1) >> _U(11)) * 2.0**-53)
+        inside = height < weight[at_cell[which]]
+        dart, which = dart[inside], which[inside]
+        if not len(dart):
+            return
     coordinate = ((dart >> _U(33)) % _U(k)).astype("i8")
     place = mix(dart ^ _GOLD)
-    ranks = low[at_interval[which]] + width[at_interval[which]] * ((place >> _U(11)) * 2.0**-53)
+    ranks = (low[at_interval[which]] + width[at_interval[which]] * ((place >> _U(11)) * 2.0**-53)) / slot
     order = np.lexsort((ranks, coordinate))
     c = coordinate[order]
     head = order[np.concatenate([[True], c[1:] != c[:-1]])]

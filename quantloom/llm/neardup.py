@@ -69,9 +69,9 @@ def signatures(docs: DataFrame, text: str = "text", columns: list[str] | None =
             if not words:
                 rows.append((None, 0, None, None))
                 continue
-            cell = dart.cells(words)
-            ids = dart.signature(cell)
-            rows.append((hashlib.md5(words).digest(), len(cell), dart.band_keys(ids).tolist(), (ids >> np.uint64(48)).astype("<u2").tobytes()))
+            element, count = dart.shingles(words)
+            ids = dart.signature(element, count)
+            rows.append((hashlib.md5(words).digest(), int(count.sum()), dart.band_keys(ids).tolist(), (ids >> np.uint64(48)).astype("<u2").tobytes()))
         return pd.DataFrame(rows, columns=["digest", "n_cells", "keys", "prints"])
 
     made = F.pandas_udf(run, "digest binary, n_cells int, keys array<long>, prints binary").asNondeterministic()

@@ -322,6 +322,18 @@ def test_quality_steps_hold_risk_and_keep_clean_rows(spark, odd, no_labels):
     assert stage.columns == odd.columns and {x.doc_id for x in stage.collect()} == {5, 6}
 
 
+def test_quality_steps_count_copies_once(spark):
+    """A holdout of 60 different texts proves nothing, however often each is labelled."""
+    r = random.Random(8)
+    few = [" ".join(f"w{r.randrange(9999)}" for _ in range(40)) for _ in range(60)]
+    many = [" ".join(f"w{r.randrange(9999)}" for _ in range(40)) for _ in range(250)]
+    docs = docs_of(spark, few * 8 + many * 2)
+    docs = docs.withColumn("lang", F.when(F.col("doc_id") < 480, "few").otherwise("many"))
+    labels = docs.select("doc_id", F.lit(1).alias("quality"), F.lit(0).alias("toxic"))
+    got = {x.stratum: (x.n_good, x.step) for x in quality_rules.fit(written(quality_rules.features(docs), "f"), labels).collect()}
+    assert got == {"few": (60, 0), "many": (250, quality_rules.STEPS)}
+
+
 # Personal data
 
 
@@ -732,10 +744,80 @@ def test_dartminhash_estimates_weighted_jaccard():
             w = [f"{r.randrange(10**6)}" for _ in range(n)]
             v = w[: n // 2] + w[: n // 3] + [f"{r.randrange(10**6)}" for _ in range(n // 4)]
             a, b = (dartminhash.cells(" ".join(x).encode()) for x in (w, v))
-            errors.append((dartminhash.signature(a) == dartminhash.signature(b)).mean() - dartminhash.similarity(a, b))
+            same = [dartminhash.signature(*dartminhash.shingles(" ".join(x).encode())) for x in (w, v)]
+            errors.append((same[0] == same[1]).mean() - dartminhash.similarity(a, b))
     assert abs(np.mean(errors)) < 0.02 and np.std(errors) < 0.07
 
 
+def test_dartminhash_of_real_weights():
+    r = np.random.default_rng(4)
+    deviations = []
+    for trial in range(300):
+        n = int(r.integers(1, 60))
+        elements = dartminhash.mix(np.arange(1, n + 1, dtype="u8") * np.uint64(7919 + trial))
+        scale = r.choice([0.3, 1.0, 7.5, 1e5][: 1 + trial % 4], n)
+        a, b = r.random(n) * scale + 1e-3, r.random(n) * scale + 1e-3
+        b = np.where(r.random(n) < 0.6, a, b)
+        exact = np.minimum(a, b).sum() / np.maximum(a, b).sum()
+        agreed = (dartminhash.signature(elements, a) == dartminhash.signature(elements, b)).mean()
+        if exact == 1:
+            assert agreed == 1
+        else:
+            deviations.append((agreed - exact) / (exact * (1 - exact) / dartminhash.COORDINATES) ** 0.5)
+    assert abs(np.mean(deviations)) < 0.2 and 0.7 < np.std(deviations) < 1.2
+
+
+def test_dartminhash_orders_zeros_and_heavy_elements():
+    r = np.random.default_rng(5)
+    elements, weights = dartminhash.mix(np.arange(1, 30, dtype="u8")), r.random(29) * 9
+    turned = r.permutation(29)
+    plain = dartminhash.signature(elements, weights)
+    assert (plain == dartminhash.signature(elements[turned], weights[turned])).all()
+    more = np.concatenate([elements, dartminhash.mix(np.arange(99, 102, dtype="u8"))])
+    assert (plain == dartminhash.signature(more, np.concatenate([weights, [0.0, -1.0, 0.0]]))).all()
+    assert (dartminhash.signature(elements) == dartminhash.signature(elements, np.ones(29))).all()
+    # A word 100,000 times is one element in a few slots.
+    element, count = dartminhash.shingles(b" ".join([b"ha"] * 100_004))
+    assert len(element) == 1 and count[0] == 100_000 and len(dartminhash.slots(element, count)) == 18
+    near = (dartminhash.signature(element, count) == dartminhash.signature(element, count * 0.9)).mean()
+    assert abs(near - 0.9) < 0.1
+    for some, w in ((elements[:0], None), (elements, weights * 0), (elements, weights * np.inf)):
+        with pytest.raises(ValueError):
+            dartminhash.signature(some, w)
+
+
+def test_cells_agree_where_only_one_text_repeats_itself():
+    words = [f"w{i}" for i in range(200)]
+    a, b = (" ".join(x) for x in (words, words + words[:6] + words[:6]))
+    bags = brute_shingles(a), brute_shingles(b)
+    exact = sum((bags[0] & bags[1]).values()) / sum((bags[0] | bags[1]).values())
+    x, y = (dartminhash.cells(t.encode()) for t in (a, b))
+    assert len(y) == sum(bags[1].values()) and dartminhash.similarity(x, y) == pytest.approx(exact, abs=1e-12) and exact > 0.9
+
+
+def test_near_duplicates_recall_just_above_the_threshold(spark):
+    """500 pairs of similarity 0.80 to 0.85, in half of which one text repeats a part of itself."""
+    r = random.Random(77)
+    texts = []
+    for k in range(500):
+        base = [f"p{k}x{r.randrange(10**6)}" for _ in range(r.choice([100, 150, 200]))]
+        other = list(base)
+        if k % 2:
+            other += base[: len(base) // 5]
+        else:
+            for at in range(len(base) // 50):
+                other[20 + at * 30] = f"z{r.randrange(10**9)}"
+        texts += [" ".join(base), " ".join(other)]
+    bags = [brute_shingles(t) for t in texts]
+    alike = [sum((a & b).values()) / sum((a | b).values()) for a, b in zip(bags[::2], bags[1::2])]
+    linked = [k for k, s in enumerate(alike) if s >= 0.8]
+    assert len(linked) == 500 and max(alike) < 0.85
+    found = {x.doc_id: x.class_id for x in neardup.near_duplicates(docs_of(spark, texts)).collect()}
+    caught = sum(found[2 * k] == found[2 * k + 1] for k in linked)
+    assert caught >= 0.99 * len(linked)  # bands of six miss about one in 1,500 at 0.8
+    assert all(found[i] // 2 == i // 2 for i in found)
+
+
 def brute_shingles(text):
     w = (text or "").lower().split()
     return Counter(tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))) if w else Counter()
@@ -884,6 +966,30 @@ def test_pipeline_equals_its_stages_by_brute_force(spark, tmp_path):
     assert [n for n, _ in corpus_pipeline.STAGES] == ["quality_rules", "near_dedup", "decontaminate", "pii", "bpe"]
 
 
+def test_pipeline_on_odd_tables(spark, tmp_path):
+    """Null, empty and repeated rows, columns with clashing names, and tables without rows."""
+    import corpus_pipeline
+
+    r = random.Random(14)
+    good = [" ".join(f"w{r.randrange(99999)}" for _ in range(40)) for _ in range(6)]
+    rows = [(1, good[0]), (1, good[0]), (1, good[1]), (2, good[2]), (None, good[3]), (3, None), (4, ""), (5, good[4]), (6, good[4].upper()), (7, good[5] + " " + "long " * 5)]
+    clashing = ("row", "doc", "digest", "tie", "key", "id", "label", "step", "stratum", "kept", "_keep0", "_doc", "ids", "n_words", "hit")
+    schema = "doc_id long, text string, lang string, source string, n_chars int"
+    docs = spark.createDataFrame([(i, t, None if i == 2 else "en", None, None) for i, t in rows], schema).select("*", *[F.lit("x").alias(c) for c in clashing])
+    empty = {"benchmark": "item_id int, text string", "labels": "doc_id long, quality int, toxic int"}
+    for name, table in (("odd", docs), ("none", docs.limit(0))):
+        table.write.parquet(f"{tmp_path}/{name}/documents.parquet")
+        for other, columns in empty.items():
+            spark.createDataFrame([], columns).write.parquet(f"{tmp_path}/{name}/{other}.parquet")
+        stage = table
+        for _, function in corpus_pipeline.STAGES[:-1]:
+            stage = function(spark, stage, f"{tmp_path}/{name}")
+            assert stage.columns == docs.columns
+    got = corpus_pipeline.run(spark, f"{tmp_path}/odd").collect()
+    assert sorted((x.doc_id for x in got), key=str) == sorted([1, 1, 2, None, 5, 7], key=str)
+    assert corpus_pipeline.run(spark, f"{tmp_path}/none").count() == 0
+
+
 def test_every_operator_is_registered():
     import __spark_entry__
 
