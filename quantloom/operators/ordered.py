@@ -1,17 +1,20 @@
-"""Order statistics of long sliding windows, in work that does not grow with the window.
+"""Order statistics of long sliding windows: all that a graph asks of its bars in one pass.
 
-Rows stream in order of symbol and time. A block of a symbol's rows, with the window's length of rows before it,
-becomes a wavelet matrix: ranks split bit by bit, with prefix counts at each level. The k-th smallest value of
+Rows stream in order of symbol and time, a block of them at a time, whichever symbols they are of. Up to some
+hundreds of rows a window costs least as a row of a matrix that is sorted in one go. For longer ones the work does
+not grow with the window: a block of a symbol's rows, with the window's length of rows before it, becomes a wavelet matrix: ranks split bit by bit, with prefix counts at each level. The k-th smallest value of
 every window of the block is then found at once, one level after the other, for all rows together; prefix sums
 give what lies below a bound. Memory is that of a block: at most some windows or a batch of rows.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -19,8 +22,10 @@ from pyspark.sql import types as T
 from quantloom.operators.spec import Frame
 from quantloom.session import ship_package
 
-#: Rows of a symbol that are worked on together at least, where there are so many.
+#: Rows that are worked on together at least, where there are so many.
 BLOCK = 16_384
+#: The longest windows that are laid side by side, and numbers in such a matrix.
+SIDE_BY_SIDE, CELLS = 512, 60_000
 
 
 class WindowOrder:
@@ -98,70 +103,152 @@ class WindowOrder:
         return high if n % 2 else (self._deviation(lo, hi, middle, n // 2) + high) / 2
 
 
-def kth(k: int) -> Callable[[WindowOrder, np.ndarray, np.ndarray], np.ndarray]:
-    return lambda w, lo, hi: w.kth(lo, hi, k)
+class Windows:
+    """All windows of one length that end at given places of a row of values, one beside the other: a matrix,
+    sorted once for all that is asked of it."""
+
+    def __init__(self, values: np.ndarray, ends: np.ndarray, period: int):
+        self.period = period
+        self.rows = np.lib.stride_tricks.sliding_window_view(values, period)[ends - period]
+
+    @cached_property
+    def sorted(self) -> np.ndarray:
+        return np.sort(self.rows, axis=1)
+
+    def kth(self, k: int) -> np.ndarray:
+        return self.sorted[:, k]
+
+    @cached_property
+    def _mean(self) -> np.ndarray:
+        return self.rows.mean(axis=1)
+
+    def mean(self) -> np.ndarray:
+        return self._mean
+
+    def mean_deviation(self) -> np.ndarray:
+        return np.abs(self.rows - self._mean[:, None]).mean(axis=1)
+
+    def _middle(self, ordered: np.ndarray) -> np.ndarray:
+        n = self.period
+        return ordered[:, n // 2] if n % 2 else (ordered[:, n // 2 - 1] + ordered[:, n // 2]) / 2
+
+    def middle(self) -> np.ndarray:
+        return self._middle(self.sorted)
+
+    def middle_deviation(self) -> np.ndarray:
+        return self._middle(np.sort(np.abs(self.rows - self.middle()[:, None]), axis=1))
+
+    def newest(self, k: int) -> np.ndarray:
+        """How many rows before a window's end the k-th smallest value was last seen."""
+        value, back = self.sorted[:, k, None], self.rows[:, ::-1]
+        return ((back == value) | (np.isnan(back) & np.isnan(value))).argmax(axis=1).astype("f8")
+
+    def weighted(self, decay: float) -> np.ndarray:
+        """Exponential weights, normalised."""
+        weights = decay ** np.arange(self.period - 1, -1, -1.0)
+        return (self.rows * weights).sum(axis=1) / weights.sum()
+
+
+def statistics(values: np.ndarray, ends: np.ndarray, period: int, wanted: list[tuple]) -> list[np.ndarray]:
+    """An array per wanted (method, its arguments) for the windows that end before ``ends``. Short windows are
+    laid side by side some at a time; for long ones the work is that of the wavelet matrix."""
+    if period > SIDE_BY_SIDE:
+        order = WindowOrder(values)
+        return [getattr(order, name)(ends - period, ends, *args) for name, *args in wanted]
+    made = [np.empty(len(ends)) for _ in wanted]
+    step = max(1, CELLS // period)
+    for at in range(0, len(ends), step):
+        windows = Windows(values, ends[at : at + step], period)
+        for out, (name, *args) in zip(made, wanted):
+            out[at : at + step] = getattr(windows, name)(*args)
+    return made
 
 
 class Sliding:
-    """The last values of one symbol, and the statistics of every full window as rows arrive."""
+    """The last values of a symbol, and the statistics of every full window as rows of symbols arrive."""
 
-    def __init__(self, period: int, wanted: list[Callable], gaps_reset: bool):
+    def __init__(self, period: int, wanted: list[tuple], gaps_reset: bool):
         self.period, self.wanted, self.gaps_reset = period, wanted, gaps_reset
         self.held = np.zeros(0)
 
-    def update(self, values: np.ndarray) -> list[np.ndarray]:
-        """One array per statistic, NaN where there is none; ``values`` are NaN-masked, missing as masked."""
-        missing = np.ma.getmaskarray(values)
-        out = [np.ma.masked_all(len(values)) for _ in self.wanted]
-        runs = np.split(np.arange(len(values)), np.flatnonzero(missing)) if self.gaps_reset else [np.arange(len(values))]
-        for at in runs:
-            if self.gaps_reset and len(at) and missing[at[0]]:
-                self.held = np.zeros(0)
-            at = at[~missing[at]]
-            if not len(at):
-                continue
-            whole = np.concatenate([self.held, np.ma.getdata(values)[at]])
-            hi = np.arange(len(self.held) + 1, len(whole) + 1)
-            full = hi >= self.period
-            if full.any():
-                order, ends = WindowOrder(whole), hi[full]
-                for made, make in zip(out, self.wanted):
-                    made[at[full]] = make(order, ends - self.period, ends)
-            self.held = whole[max(0, len(whole) - self.period + 1) :]
-        return out
-
-
-def sliding(frame: Frame, x: Column, period: int, wanted: dict[str, Callable]) -> dict[str, Column]:
-    """Adds the statistics of the last ``period`` inputs to the frame. Rows stream in order through one task
-    per partition of the frame, block by block; the other columns pass as they are."""
-    (value,) = frame.add_many([x.cast("double")])
-    frame.reach += int(period) - 1
-    names = {name: f"_c{frame._n + i + 1}" for i, name in enumerate(wanted)}
-    frame._n += len(wanted)
+    def update(self, values: np.ndarray, missing: np.ndarray, starts: np.ndarray) -> tuple[list[np.ndarray], np.ndarray]:
+        """One array per statistic, and where there is none. ``starts`` marks the first rows of symbols."""
+        run = np.cumsum(starts | missing if self.gaps_reset else starts)
+        kept = np.flatnonzero(~missing)
+        before = len(self.held)
+        whole, runs = np.concatenate([self.held, values[kept]]), np.concatenate([np.zeros(before, run.dtype), run[kept]])
+        edges = np.flatnonzero(np.diff(runs, prepend=-1))
+        since = np.arange(len(whole)) - np.repeat(edges, np.diff(edges, append=len(whole)))
+        since[:before] = 0
+        ends = np.flatnonzero(since >= self.period - 1) + 1
+        ends = ends[ends > before]
+        out, none = [np.zeros(len(values)) for _ in self.wanted], np.ones(len(values), bool)
+        if len(ends):
+            at = kept[ends - 1 - before]
+            none[at] = False
+            # a wavelet matrix has running sums: each run gets its own, so that none passes on its size or NaN
+            parts = [(whole, ends, at)] if self.period <= SIDE_BY_SIDE else [(whole[a:b], ends[(ends > a) & (ends <= b)] - a, at[(ends > a) & (ends <= b)]) for a, b in zip(edges, [*edges[1:], len(whole)]) if b - a >= self.period]
+            for values_, ends_, at_ in parts:
+                for made, found in zip(out, statistics(values_, ends_, self.period, self.wanted)):
+                    made[at_] = found
+        self.held = whole[runs == run[-1]][-(self.period - 1) :] if self.period > 1 else np.zeros(0)
+        return out, none
+
+
+def _starts(table: pa.Table, keys: list[int]) -> np.ndarray:
+    """Rows whose keys differ from the row before, without the first."""
+    differ = np.zeros(max(0, table.num_rows - 1), bool)
+    for i in keys:
+        column = table.column(i)
+        now, before = column.slice(1), column.slice(0, table.num_rows - 1)
+        differ |= pc.fill_null(pc.not_equal(now, before), False).to_numpy() | (now.is_null().to_numpy() != before.is_null().to_numpy())
+    return differ
+
+
+def found(frame: Frame, x: Column, period: int, stat: tuple) -> Column | None:
+    """A statistic that a pass has brought to the frame already."""
+    made = frame.slid.get((str(x), int(period), str(frame.valid), stat))
+    if made is not None:
+        frame.reach += int(period) - 1
+    return made
+
+
+def sliding(frame: Frame, x: Column, period: int, wanted: list[tuple]) -> list[Column]:
+    """The statistics of the last ``period`` inputs, from a pass of their own if none has brought them."""
+    (x,) = frame.add_many([x])
+    if any((str(x), int(period), str(frame.valid), stat) not in frame.slid for stat in wanted):
+        slide(frame, [(x, int(period), wanted)])
+    return [found(frame, x, period, stat) for stat in wanted]
+
+
+def slide(frame: Frame, requests: list[tuple[Column, int, list[tuple]]]) -> None:
+    """Adds to the frame what is asked of (input, period, statistics), in one pass. Rows stream in order through
+    one task per partition of the frame, block by block, symbols side by side; the other columns pass as they are."""
+    values = frame.add_many([x.cast("double") for x, _, _ in requests])
+    requests = [(x, period, list(dict.fromkeys(wanted))) for x, period, wanted in requests]
+    names = [f"_c{frame._n + i + 1}" for i in range(sum(len(wanted) for _, _, wanted in requests))]
+    frame._n += len(names)
     columns, keys = frame.df.columns, list(frame.keys)
-    places = [columns.index(c) for c in frame.df.select(*[F.col(k) for k in keys], value).columns]
-    schema = T.StructType([*frame.df.schema.fields, *(T.StructField(n, T.DoubleType()) for n in names.values())])
-    makers, period, resets, block = list(wanted.values()), int(period), frame.valid is None, max(BLOCK, int(period))
+    key_at, value_at = ([columns.index(c) for c in frame.df.select(*some).columns] for some in ([F.col(k) for k in keys], values))
+    schema = T.StructType([*frame.df.schema.fields, *(T.StructField(n, T.DoubleType()) for n in names)])
+    plans, resets, block = [(period, wanted) for _, period, wanted in requests], frame.valid is None, max(BLOCK, *(period for _, period, _ in requests))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key, state, kept, rows = None, None, [], 0
+        states, key, kept, rows = [Sliding(period, wanted, resets) for period, wanted in plans], None, [], 0
 
         def flush() -> Iterator[pa.RecordBatch]:
-            nonlocal key, state, kept, rows
+            nonlocal key, kept, rows
             table = pa.Table.from_batches(kept).combine_chunks()
             kept, rows = [], 0
-            groups = list(zip(*(table.column(i).to_pylist() for i in places[:-1])))
-            column = table.column(places[-1])
-            values = np.ma.masked_array(column.to_numpy(zero_copy_only=False).astype("f8"), column.is_null().to_numpy(zero_copy_only=False))
-            edges = [0, *(i for i in range(1, len(groups)) if groups[i] != groups[i - 1]), len(groups)]
-            made = [np.ma.masked_all(len(groups)) for _ in makers]
-            for a, b in zip(edges, edges[1:]):
-                if state is None or groups[a] != key:
-                    key, state = groups[a], Sliding(period, makers, resets)
-                for out, part in zip(made, state.update(values[a:b])):
-                    out[a:b] = part
-            arrays = [pa.array(np.ma.getdata(m), pa.float64(), mask=np.ma.getmaskarray(m)) for m in made]
-            for name, array in zip(names.values(), arrays):
+            first, last = (tuple(table.column(i)[at].as_py() for i in key_at) for at in (0, table.num_rows - 1))
+            starts = np.concatenate([[first != key], _starts(table, key_at)])
+            key = last
+            arrays = []
+            for state, at in zip(states, value_at):
+                column = table.column(at)
+                out, none = state.update(column.to_numpy().astype("f8"), column.is_null().to_numpy(), starts)
+                arrays += [pa.array(made, pa.float64(), mask=none) for made in out]
+            for name, array in zip(names, arrays):
                 table = table.append_column(name, array)
             yield from table.to_batches()
 
@@ -175,6 +262,6 @@ def sliding(frame: Frame, x: Column, period: int, wanted: dict[str, Callable]) -
             yield from flush()
 
     ship_package(frame.df.sparkSession)
-    dealt = frame.df.repartition(*keys).sortWithinPartitions(*keys, frame.ts)
-    frame.df = dealt.mapInArrow(run, schema)
-    return {name: F.col(c) for name, c in names.items()}
+    dealt = frame.df if frame.dealt else frame.df.repartition(*keys)
+    frame.dealt, frame.df = False, dealt.sortWithinPartitions(*keys, frame.ts).mapInArrow(run, schema)
+    frame.slid |= {(str(x), period, str(frame.valid), stat): F.col(c) for (x, period, stat), c in zip(((x, period, stat) for x, period, wanted in requests for stat in wanted), names)}

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column
@@ -21,6 +22,9 @@ def both(f: Frame, x: Column, y: Column) -> tuple[Column, Column]:
     return a, b
 
 
+MEAN_AWAY, MEDIAN_AWAY = [("mean",), ("mean_deviation",)], [("middle",), ("middle_deviation",)]
+
+
 def items(f: Frame, x: Column, period: int) -> Column:
     """The last inputs as an array, oldest first; null until there are enough."""
     return f.add(f.ready(x, period, F.collect_list(x).over(f.last(period))))
@@ -50,6 +54,8 @@ def ewma(f, x, p):
     n, decay = int(p["period"]), 1 - 2 / (int(p["period"]) + 1)
     if n == 1:
         return x[0]
+    if (beside := ordered.found(f, x[0], n, ("weighted", decay))) is not None:
+        return beside
     whole = f.ema(x[0], 1 - decay, seed=F.lit(0.0))
     f.reach += n
     older = f.add(F.coalesce(F.last(whole, ignorenulls=True).over(f.rows_before(n)), F.lit(0.0)))
@@ -59,7 +65,7 @@ def ewma(f, x, p):
 def mean_abs_deviation(f, x, p):
     n = int(p["period"])
     if n >= LONG_WINDOW:
-        return ordered.sliding(f, x[0], n, {"mean": ordered.WindowOrder.mean, "mad": ordered.WindowOrder.mean_deviation})
+        return dict(zip(("mean", "mad"), ordered.sliding(f, x[0], n, MEAN_AWAY)))
     window = items(f, x[0], n)
     mean = f.sma(x[0], n)
     mad = F.aggregate(F.transform(window, lambda e: F.abs(e - mean)), F.lit(0.0), lambda a, b: a + b) / n
@@ -69,7 +75,7 @@ def mean_abs_deviation(f, x, p):
 def median_abs_deviation(f, x, p):
     n = int(p["period"])
     if n >= LONG_WINDOW:
-        return ordered.sliding(f, x[0], n, {"median": ordered.WindowOrder.middle, "mad": ordered.WindowOrder.middle_deviation})
+        return dict(zip(("median", "mad"), ordered.sliding(f, x[0], n, MEDIAN_AWAY)))
     window = f.add(F.sort_array(items(f, x[0], n)))
     median = f.add(middle(window, n))
     away = f.add(F.sort_array(F.transform(window, lambda e: F.abs(e - median))))
@@ -80,24 +86,32 @@ def places(f: Frame, x: Column, period: int, at: list[int]) -> list[Column]:
     """The values at some places of the sorted window."""
     n = int(period)
     if n >= LONG_WINDOW:
-        made = ordered.sliding(f, x, n, {str(k): ordered.kth(k) for k in dict.fromkeys(at)})
-        return [made[str(k)] for k in at]
+        return ordered.sliding(f, x, n, [("kth", k) for k in at])
     window = f.add(F.sort_array(items(f, x, n)))
     return [window[k] for k in at]
 
 
+def _quarters(n: int) -> list[int]:
+    return [int((n - 1) * 0.25), int((n - 1) * 0.75)]
+
+
 def iqr(f, x, p):
     n = int(p["period"])
-    q1, q3 = places(f, x[0], n, [int((n - 1) * 0.25), int((n - 1) * 0.75)])
+    q1, q3 = places(f, x[0], n, _quarters(n))
     return {"q1": q1, "q3": q3, "iqr": q3 - q1}
 
 
+def extreme(f: Frame, x: Column, period: int, largest: bool) -> Column:
+    beside = ordered.found(f, x, period, ("kth", int(period) - 1 if largest else 0))
+    return beside if beside is not None else f.extreme(largest, x, period)
+
+
 def min_(f, x, p):
-    return f.extreme(False, x[0], p["period"])
+    return extreme(f, x[0], p["period"], False)
 
 
 def max_(f, x, p):
-    return f.extreme(True, x[0], p["period"])
+    return extreme(f, x[0], p["period"], True)
 
 
 def min_max(f, x, p):
@@ -106,6 +120,9 @@ def min_max(f, x, p):
 
 def arg_extreme(f: Frame, x: Column, period: int, largest: bool) -> tuple[Column, Column]:
     """The extreme and how many bars ago it was; the newest of equal ones."""
+    k = int(period) - 1 if largest else 0
+    if (ago := ordered.found(f, x, period, ("newest", k))) is not None:
+        return ordered.found(f, x, period, ("kth", k)), ago.cast("int")
     n = f.row(x)
     key = F.when(x.isNotNull(), F.struct(x.alias("v"), (n if largest else -n).alias("n")))
     best = f.extreme(largest, key, period)
@@ -144,16 +161,24 @@ def kurt(f, x, p):
     return moments(f, x[0], p["period"])
 
 
+def _middles(n: int) -> list[int]:
+    return [n // 2] if n % 2 else [n // 2, n // 2 - 1]
+
+
 def median(f, x, p):
     n = int(p["period"])
-    high, *low = places(f, x[0], n, [n // 2] if n % 2 else [n // 2, n // 2 - 1])
+    high, *low = places(f, x[0], n, _middles(n))
     return (low[0] + high) / 2 if low else high
 
 
+def _cuts(n: int, quantiles: list[float]) -> list[int]:
+    return [min(int(n * q + 0.5), n - 1) for q in quantiles]
+
+
 def quantile(f, x, p):
     """Elements of the sorted window at round(period * q), at most the last."""
     n = int(p["period"])
-    found = places(f, x[0], n, [min(int(n * q + 0.5), n - 1) for q in p["quantiles"]])
+    found = places(f, x[0], n, _cuts(n, p["quantiles"]))
     return F.when(found[0].isNotNull(), F.array(*found)) if found else F.array()
 
 
@@ -250,6 +275,42 @@ def _op(name: str, group: str, lower, outputs: tuple[str, ...] = (), arity: int
     return OpSpec(name, f"rolling.{group}", arity, lower, init, outputs, kind, required)
 
 
+def _kth(at: Callable[[int, dict], list[int]]):
+    return lambda n, p: [("kth", k) for k in at(n, p)]
+
+
+_LEAST, _MOST = (lambda n, p: [("kth", 0)]), (lambda n, p: [("kth", n - 1)])
+_WHEN_LEAST, _WHEN_MOST = (lambda n, p: [("kth", 0), ("newest", 0)]), (lambda n, p: [("kth", n - 1), ("newest", n - 1)])
+
+#: What operators ask of the sorted window, and whether they need it sorted: others take what is there.
+SORTED = {
+    "MeanAbsDeviation": (lambda n, p: MEAN_AWAY, True), "MedianAbsDeviation": (lambda n, p: MEDIAN_AWAY, True), "IQR": (_kth(lambda n, p: _quarters(n)), True),
+    "RollingMedian": (_kth(lambda n, p: _middles(n)), True), "RollingQuantile": (_kth(lambda n, p: _cuts(n, p["quantiles"])), True),
+    "RollingMin": (_LEAST, False), "RollingMax": (_MOST, False), "RollingMinMax": (lambda n, p: _LEAST(n, p) + _MOST(n, p), False),
+    "RollingArgMin": (_WHEN_LEAST, False), "RollingArgMax": (_WHEN_MOST, False), "RollingArgMinMax": (lambda n, p: _WHEN_LEAST(n, p) + _WHEN_MOST(n, p), False),
+    "EWMA": (lambda n, p: [("weighted", 1 - 2 / (n + 1))], False),
+}
+
+
+def slide_together(f: Frame, nodes: list[tuple[OpSpec, Column, dict]]) -> None:
+    """One pass for what nodes (operator, input, parameters) ask of sorted long windows, and with it what others
+    can take from a window that is there."""
+    asked: dict[tuple[str, int], list] = {}
+    for spec, x, p in nodes:
+        asked.setdefault((str(x), int(p["period"])), []).append((x, *SORTED[spec.name], p))
+    requests = []
+    for (text, n), some in asked.items():
+        if n < LONG_WINDOW or not any(needs for _, _, needs, _ in some):
+            continue
+        x = some[0][0]
+        double = dict(f.df.select(x.alias("x")).dtypes)["x"] == "double"
+        stats = [stat for _, make, needs, p in some if needs or (double and n <= ordered.SIDE_BY_SIDE) for stat in make(n, p)]
+        if any((text, n, str(f.valid), stat) not in f.slid for stat in stats):
+            requests.append((x, n, stats))
+    if requests:
+        ordered.slide(f, requests)
+
+
 OPS = [
     _op("RollingSum", "average", sum_),
     _op("SMA", "average", sma),

@@ -118,6 +118,10 @@ class Frame:
         self._n = 0
         self.valid: Column | None = None
         self._names: dict[str, str] = {}
+        #: Statistics of sorted windows by input, period, valid rows and what they are; see ``ordered.slide``.
+        self.slid: dict[tuple, Column] = {}
+        #: Whether the rows are dealt by the keys, and no window has been added since.
+        self.dealt = False
 
     def add(self, expr: Column) -> Column:
         """The expression as a column of the frame."""
@@ -141,6 +145,7 @@ class Frame:
 
     def partition(self) -> list[Column]:
         """Keys of windows: those of the frame, and whether inputs are valid, if some are interior nulls."""
+        self.dealt = False
         return [F.col(k) for k in self.keys] + ([self.valid] if self.valid is not None else [])
 
     def _ordered(self) -> WindowSpec:

@@ -10,6 +10,9 @@ from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
+#: Bytes of input files to a partition, where a task sorts all its rows for several windows.
+DEALT_BYTES = 8_000_000
+
 _shipped: dict[str, str] = {}
 _own_shared: dict[str, str] = {}
 
@@ -69,3 +72,24 @@ def written(df: DataFrame, tag: str) -> DataFrame:
     path = new_path(spark, tag)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def partitions_for(df: DataFrame) -> int:
+    """As many partitions as the files that a frame reads call for, so that a task's rows do not grow with them;
+    not fewer than ``spark.sql.shuffle.partitions``. Frames that read no files get those."""
+    spark = df.sparkSession
+    size, systems = 0, {}
+    for name in df.inputFiles():
+        path = spark._jvm.org.apache.hadoop.fs.Path(name)
+        root = tuple(name.split("/", 3)[:3])
+        if root not in systems:
+            systems[root] = path.getFileSystem(spark._jsc.hadoopConfiguration())
+        size += systems[root].getFileStatus(path).getLen()
+    return max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size // DEALT_BYTES))
+
+
+def dealt(df: DataFrame, *keys: str) -> DataFrame:
+    """Rows of a key in one partition; of partitions there are more for larger inputs."""
+    n = partitions_for(df)
+    # without a number Spark may put small partitions together
+    return df.repartition(n, *keys) if n > int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")) else df.repartition(*keys)

@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
+from quantloom.session import dealt
+
 BAR_SCHEMA = T.StructType(
     [T.StructField("symbol", T.StringType()), T.StructField("ts", T.TimestampType())]
     + [T.StructField(c, T.DoubleType()) for c in ("open", "high", "low", "close", "volume", "turnover")]
@@ -82,9 +84,12 @@ def bars_from_events(events: DataFrame, unit: str = "hour") -> DataFrame:
 
 
 def bars_from_lineitem(lineitem: DataFrame) -> DataFrame:
-    """Daily bars of a supplier's unit prices; the open is the close before, within the day's range."""
+    """Daily bars of a supplier's unit prices; the open is the close before, within the day's range.
+
+    Items are dealt by supplier, once for its days and for windows over them, to more tasks where there are more."""
     price = F.col("l_extendedprice") / F.col("l_quantity")
-    days = lineitem.where("l_quantity <> 0").groupBy(F.col("l_suppkey").cast("string").alias("symbol"), F.col("l_shipdate").alias("ts")).agg(
+    items = lineitem.where("l_quantity <> 0").select(F.col("l_suppkey").cast("string").alias("symbol"), F.col("l_shipdate").alias("ts"), "l_extendedprice", "l_quantity")
+    days = dealt(items, "symbol").groupBy("symbol", "ts").agg(
         F.max(price).alias("high"), F.min(price).alias("low"), (F.sum("l_extendedprice") / F.sum("l_quantity")).alias("close"), F.sum("l_quantity").alias("volume"), F.sum("l_extendedprice").alias("turnover"),
     )
     before = F.coalesce(F.lag("close").over(Window.partitionBy("symbol").orderBy("ts")), F.col("close"))

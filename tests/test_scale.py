@@ -10,6 +10,7 @@ import pytest
 from pyspark import cloudpickle
 from pyspark.sql import functions as F
 
+from quantloom import session
 from quantloom.functions import large
 from quantloom.functions.series import Series
 from quantloom.operators import ordered, rolling, spec
@@ -124,6 +125,35 @@ def test_long_windows_equal_short_ones(spark, monkeypatch, period):
     same(plain, values(compile_graph(graph, bars, outputs=outputs)), outputs)
 
 
+def test_long_windows_of_an_input_take_one_pass(spark, monkeypatch):
+    """However many operators ask for sorted windows, rows go to Python once; and those that take the wavelet
+    matrix get the same, with a NaN and a value of another size in one symbol only."""
+    bars = bars_of(spark, 150, ("a", "b", "c")).withColumn("close", F.when((F.col("symbol") == "b") & (F.hour("ts") == 3), F.lit(1e15)).otherwise(F.col("close")))
+    graph, outputs = graph_of([(n, t, ["bar.close"], {"period": 70}) for n, t, _ in LONG if t != "RollingSum"] + [("q", "RollingQuantile", ["bar.close"], {"period": 70, "quantiles": [0.1, 0.9]})])
+    made = compile_graph(graph, bars, outputs=outputs)
+    assert made._jdf.queryExecution().optimizedPlan().toString().count("MapInArrow") == 1
+    side_by_side = values(made)
+    monkeypatch.setattr(ordered, "SIDE_BY_SIDE", 60)
+    apart = values(compile_graph(graph, bars, outputs=outputs))
+    same({k: v for k, v in side_by_side.items() if k[0] != "b"}, {k: v for k, v in apart.items() if k[0] != "b"}, outputs)
+    assert {k: v["median"] for k, v in side_by_side.items()} == {k: v["median"] for k, v in apart.items()}
+    with_nan = bars.withColumn("close", F.when((F.col("symbol") == "b") & (F.hour("ts") == 3), F.lit(float("nan"))).otherwise(F.col("close")))
+    same({k: v for k, v in values(compile_graph(graph, with_nan, outputs=outputs)).items() if k[0] != "b"}, {k: v for k, v in side_by_side.items() if k[0] != "b"}, outputs)
+
+
+def test_partitions_follow_the_input(spark, tmp_path, monkeypatch):
+    """A task's rows do not grow with the files that are read."""
+    rows = spark.range(4000).select((F.col("id") % 97).cast("string").alias("symbol"), F.timestamp_seconds(F.col("id")).alias("ts"), F.rand(3).alias("close"))
+    rows.write.parquet(str(tmp_path / "bars"))
+    bars = spark.read.parquet(str(tmp_path / "bars"))
+    assert session.partitions_for(bars) == 4 == session.partitions_for(rows)
+    monkeypatch.setattr(session, "DEALT_BYTES", 2000)
+    n = session.partitions_for(bars)
+    assert n > 10 and session.dealt(bars, "symbol").rdd.getNumPartitions() == n
+    graph, outputs = graph_of([("m", "SMA", ["bar.close"], {"period": 3})])
+    assert compile_graph(graph, bars, outputs=outputs).rdd.getNumPartitions() == n
+
+
 def test_window_order_equals_brute_force():
     r = np.random.default_rng(4)
     for n, p, spread in [(1, 1, 3), (64, 5, 4), (200, 31, 1000), (333, 64, 3), (128, 128, 50)]:
