@@ -10,7 +10,7 @@ import pytest
 from pyspark import cloudpickle
 from pyspark.sql import functions as F
 
-from quantloom import session
+from quantloom import queries, session
 from quantloom.functions import large
 from quantloom.functions.series import Series
 from quantloom.operators import ordered, rolling, spec
@@ -154,6 +154,16 @@ def test_partitions_follow_the_input(spark, tmp_path, monkeypatch):
     assert compile_graph(graph, bars, outputs=outputs).rdd.getNumPartitions() == n
 
 
+def test_series_of_bars_keep_the_partitions_of_the_input(spark, tmp_path, monkeypatch):
+    """Bars and the windows over them are one exchange, into as many partitions as the files call for."""
+    items = spark.range(3000).selectExpr("id % 40 as l_suppkey", "timestamp_seconds(86400 * (id % 70)) as l_shipdate", "cast(1 + id % 5 as double) as l_quantity", "rand(5) * 100 as l_extendedprice")
+    items.write.parquet(str(tmp_path / "lineitem.parquet"))
+    monkeypatch.setattr(session, "DEALT_BYTES", 2000)
+    made = queries.series_transform(spark, str(tmp_path))
+    n = session.partitions_for(spark.read.parquet(str(tmp_path / "lineitem.parquet")))
+    assert n > 10 and made.rdd.getNumPartitions() == n and made.count() == made.select("symbol", "ts").distinct().count() > 2000
+
+
 def test_window_order_equals_brute_force():
     r = np.random.default_rng(4)
     for n, p, spread in [(1, 1, 3), (64, 5, 4), (200, 31, 1000), (333, 64, 3), (128, 128, 50)]:
