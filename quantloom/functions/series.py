@@ -237,39 +237,42 @@ class Series:
         per = weighted.groupBy(*self.by).agg(F.first("_m").alias("_m"), (F.sum(F.col("_w") * F.pow(self.x - F.col("_m"), 2)) / F.sum("_w")).alias("_v"))
         return per.select(*self.by, (F.col("_m") - F.sqrt("_v") * shape).alias(name))
 
-    def _movement(self, down: bool, relative: bool, name: str) -> DataFrame:
-        """struct<value, from, to> of the largest move from a running extreme; the first of equal ones.
+    def movements(self, **wanted: tuple[bool, bool]) -> DataFrame:
+        """For each name and (down, relative) a struct<value, from, to> of the largest move from a running extreme,
+        the first of equal ones; all of them from one pass over the rows.
 
         Relative moves leave out leading zeros."""
-        idx = F.row_number().over(self._w()) - 1
-        rows = self.with_("_i", idx.cast("int"))
-        if relative:
-            rows = rows.withColumn("_seen", F.max((self.x != 0).cast("int")).over(self._upto())).where("_seen = 1")
-        extreme = (F.max_by if down else F.min_by)(F.struct(self.x.alias("v"), F.col("_i").alias("i")), F.struct(self.x, -F.col("_i") if down else F.col("_i")))
-        rows = rows.withColumn("_e", extreme.over(self._upto()))
-        move = self.x - F.col("_e.v")
-        if relative:
-            move = F.when(F.col("_e.v") != 0, move / F.when(F.col("_e.v") != 0, F.col("_e.v"))).otherwise(move)
-        rows = rows.withColumn("_m", move)
-        best = F.struct(F.col("_m").alias("value"), F.col("_e.i").alias("from"), F.col("_i").alias("to"))
-        key = F.struct(F.col("_m") if down else -F.col("_m"), F.col("_i"))
-        moved = rows.where(F.col("_m") < 0 if down else F.col("_m") > 0).groupBy(*self.by).agg(F.min_by(best, key).alias("_b"))
-        first = rows.groupBy(*self.by).agg(F.min("_i").alias("_s"))
-        every = self.df.select(*self.by).distinct()
-        zero = F.coalesce("_s", F.lit(0))
-        return every.join(first, list(self.by), "left").join(moved, list(self.by), "left").select(*self.by, F.coalesce("_b", F.struct(F.lit(0.0).alias("value"), zero.alias("from"), zero.alias("to"))).alias(name))
+        rows = self.with_("_i", (F.row_number().over(self._w()) - 1).cast("int"))
+        rows = rows.withColumn("_seen", F.max((self.x != 0).cast("int")).over(self._upto()) == 1)
+        own = {name: F.col("_seen") if relative else F.lit(True) for name, (_, relative) in wanted.items()}
+        extremes = {}
+        for name, (down, _) in wanted.items():
+            extreme = (F.max if down else F.min)(F.when(own[name], F.struct(self.x.alias("v"), (-F.col("_i") if down else F.col("_i")).alias("i"))))
+            extremes[f"_e_{name}"] = extreme.over(self._upto())
+        rows = rows.withColumns(extremes)
+        made = []
+        for name, (down, relative) in wanted.items():
+            high = F.col(f"_e_{name}.v")
+            move = self.x - high
+            if relative:
+                move = F.when(high != 0, move / F.when(high != 0, high)).otherwise(move)
+            best = F.struct(move.alias("value"), F.abs(F.col(f"_e_{name}.i")).alias("from"), F.col("_i").alias("to"))
+            key = F.when(own[name] & (move < 0 if down else move > 0), F.struct(move if down else -move, F.col("_i")))
+            zero = F.coalesce(F.min(F.when(own[name], F.col("_i"))), F.lit(0))
+            made.append(F.coalesce(F.min_by(best, key), F.struct(F.lit(0.0).alias("value"), zero.alias("from"), zero.alias("to"))).alias(name))
+        return rows.groupBy(*self.by).agg(*made)
 
     def max_drawdown(self, name: str = "max_drawdown") -> DataFrame:
-        return self._movement(True, False, name)
+        return self.movements(**{name: (True, False)})
 
     def max_rel_drawdown(self, name: str = "max_rel_drawdown") -> DataFrame:
-        return self._movement(True, True, name)
+        return self.movements(**{name: (True, True)})
 
     def max_drawup(self, name: str = "max_drawup") -> DataFrame:
-        return self._movement(False, False, name)
+        return self.movements(**{name: (False, False)})
 
     def max_rel_drawup(self, name: str = "max_rel_drawup") -> DataFrame:
-        return self._movement(False, True, name)
+        return self.movements(**{name: (False, True)})
 
     def calmar(self, periods_per_year: float, name: str = "calmar") -> DataFrame:
         """Annual mean return over the deepest drawdown of the compounded returns, from 1."""

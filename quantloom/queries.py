@@ -288,7 +288,7 @@ SELECT symbol, round(avg(ret) FILTER (WHERE rn <= ceil(n * 0.05::DOUBLE)) + {SHI
 def series_drawdown(spark: SparkSession, sf_dir: str) -> DataFrame:
     s = returns_of(spark, sf_dir)
     s = s.on(s.df, "close")
-    out = s.max_drawdown("down").join(s.max_rel_drawdown("rel_down"), "symbol").join(s.max_drawup("up"), "symbol").join(s.max_rel_drawup("rel_up"), "symbol")
+    out = s.movements(down=(True, False), rel_down=(True, True), up=(False, False), rel_up=(False, True))
     return rounded(out.select("symbol", *[F.col(f"{c}.{f}").alias(f"{c}_{f}") for c in ("down", "rel_down", "up", "rel_up") for f in ("value", "from", "to")]))
 
 

@@ -164,6 +164,28 @@ def test_series_of_bars_keep_the_partitions_of_the_input(spark, tmp_path, monkey
     assert n > 10 and made.rdd.getNumPartitions() == n and made.count() == made.select("symbol", "ts").distinct().count() == 240
 
 
+def test_movements_read_the_rows_once(spark):
+    """All four from one scan, equal to brute force over series with zeros in front, ties and none but zeros."""
+    r = random.Random(8)
+    series = {"a": [0.0, 0.0, *(float(r.randrange(0, 6)) for _ in range(40))], "b": [1.0, 2.0, 3.0], "c": [0.0, 0.0], "d": [-2.0, -1.0, -4.0, -4.0, 0.0, 5.0]}
+    frame = spark.createDataFrame([(k, i, v) for k, vs in series.items() for i, v in enumerate(vs)], "k string, i int, x double").repartition(3)
+    wanted = {"down": (True, False), "rel_down": (True, True), "up": (False, False), "rel_up": (False, True)}
+    made = Series(frame, ("k",), "i", "x").movements(**wanted)
+    assert made._jdf.queryExecution().executedPlan().toString().count("Scan ExistingRDD") == 1
+    for row in made.collect():
+        for name, (down, relative) in wanted.items():
+            best, end = None, None
+            first = next((i for i, v in enumerate(series[row.k]) if v != 0), len(series[row.k])) if relative else 0
+            for i, v in enumerate(series[row.k][first:], first):
+                if end is None or (v > end[0] if down else v < end[0]):
+                    end = (v, i)
+                move = (v - end[0]) / (end[0] if relative and end[0] != 0 else 1)
+                if (move < 0 if down else move > 0) and (best is None or (move < best[0] if down else move > best[0])):
+                    best = (move, end[1], i)
+            none = first if first < len(series[row.k]) else 0
+            assert tuple(row[name]) == (best or (0.0, none, none)), (row.k, name)
+
+
 def test_window_order_equals_brute_force():
     r = np.random.default_rng(4)
     for n, p, spread in [(1, 1, 3), (64, 5, 4), (200, 31, 1000), (333, 64, 3), (128, 128, 50)]:
