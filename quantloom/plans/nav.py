@@ -16,12 +16,18 @@ from quantloom.session import written
 
 
 def _prices(points: DataFrame, bars: DataFrame) -> DataFrame:
-    """points (symbol, no) with ``price``: the open of that date, else the last close before it, else null."""
-    rows = bars.select("symbol", "no", F.col("open").cast("double").alias("open"), F.col("close").cast("double").alias("close"))
-    asked = points.select("symbol", "no").distinct().withColumn("asked", F.lit(True))
-    merged = rows.join(asked, ["symbol", "no"], "full")
-    before = F.last("close", ignorenulls=True).over(Window.partitionBy("symbol").orderBy("no").rowsBetween(Window.unboundedPreceding, -1))
-    return merged.withColumn("price", F.coalesce("open", before)).where("asked").select("symbol", "no", "price")
+    """points (symbol, no) with ``price``: the open of that date, else the last close before it, else null.
+
+    Bars of symbols that no point asks for are left where they are; the others meet their points by symbol, in one
+    exchange."""
+    asked = points.select("symbol", "no").distinct()
+    rows = bars.select("symbol", "no", F.col("open").cast("double").alias("open"), F.col("close").cast("double").alias("close"), F.lit(False).alias("asked"))
+    rows = rows.join(asked.select("symbol").distinct(), "symbol", "left_semi")
+    merged = rows.unionByName(asked.withColumn("asked", F.lit(True)), allowMissingColumns=True)
+    # by date and not by row: the close of the date itself is not before it
+    before = F.last("close", ignorenulls=True).over(Window.partitionBy("symbol").orderBy("no").rangeBetween(Window.unboundedPreceding, -1))
+    here = F.max("open").over(Window.partitionBy("symbol", "no"))
+    return merged.withColumn("price", F.coalesce(here, before)).where("asked").select("symbol", "no", "price")
 
 
 def nav_of_weights(weights: DataFrame, bars: DataFrame, cost_rate: float = 0.0, cash: float = 1.0) -> DataFrame:
@@ -30,16 +36,17 @@ def nav_of_weights(weights: DataFrame, bars: DataFrame, cost_rate: float = 0.0,
 
     Dates are those of ``bars`` (symbol, ts, open, close). A share that has no price at its purchase stays cash;
     one without a later price keeps its value. Weights of a date after which no bar comes are not bought. Weights
-    may sum to less than 1, the rest is cash; several rows of a date and symbol add up."""
+    may sum to less than 1, the rest is cash; several rows of a date and symbol add up.
+
+    Bars are read twice: where it takes work to make them, hand in a table of them (:func:`written`)."""
     # A row per date: these windows have as many rows as there are dates.
-    dates = bars.select("ts").distinct().select("ts", F.row_number().over(Window.orderBy("ts")).alias("no"))
-    numbered = written(bars.select("symbol", "ts", "open", "close").join(dates, "ts"), "numbered")
-    dates = numbered.select("ts", "no").distinct()
-    chosen = weights.where("weight is not null").groupBy("ts", "symbol").agg(F.sum("weight").alias("weight")).join(dates, "ts")
+    dates = written(bars.select("ts").distinct().select("ts", F.row_number().over(Window.orderBy("ts")).alias("no")), "dates")
+    numbered = bars.select("symbol", "ts", "open", "close").join(dates, "ts")
+    chosen = written(weights.where("weight is not null").groupBy("ts", "symbol").agg(F.sum("weight").alias("weight")).join(dates, "ts"), "chosen")
     turns = chosen.select("ts", "no").distinct().join(dates.agg(F.max("no").alias("end")).hint("broadcast")).where("no < end")  # one row
     turns = turns.select("ts", (F.col("no") + 1).alias("bought"), F.coalesce(F.lead("no").over(Window.orderBy("no")) + 1, F.col("end") + 1).alias("sold"), F.row_number().over(Window.orderBy("no")).alias("turn"))
     turns = written(turns, "turns")
-    held = chosen.select("ts", "symbol", "weight").join(turns, "ts")
+    held = written(chosen.select("ts", "symbol", "weight").join(turns, "ts"), "held")
     prices = _prices(held.select("symbol", F.col("bought").alias("no")).union(held.select("symbol", F.col("sold").alias("no"))), numbered)
     side = lambda at: prices.select("symbol", F.col("no").alias(at), F.col("price").alias(f"price_{at}"))
     valued = held.join(side("bought"), ["symbol", "bought"], "left").join(side("sold"), ["symbol", "sold"], "left").where("price_bought is not null")

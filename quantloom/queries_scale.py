@@ -185,7 +185,8 @@ SELECT CAST(symbol AS VARCHAR) AS symbol, CAST(epoch(min(period)) AS BIGINT) AS
 
 
 def monthly_weights(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    bars = bars_from_lineitem(table(spark, sf_dir, "lineitem")).where("open is not null")
+    # written once: scores, dates, and prices are three readers
+    bars = written(bars_from_lineitem(table(spark, sf_dir, "lineitem")).where("open is not null").select("symbol", "ts", "open", "close", "volume"), "bars")
     last = bars.groupBy("symbol", F.date_trunc("month", "ts").alias("month")).agg(F.max_by("close", "ts").alias("score"), F.max("volume").alias("volume"))
     dates = bars.groupBy(F.date_trunc("month", "ts").alias("month")).agg(F.max("ts").alias("ts"))
     scored = last.join(dates, "month").select("ts", "symbol", F.col("score") / 1_000 + F.col("volume") / 100_000)

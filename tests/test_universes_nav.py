@@ -6,6 +6,8 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from quantloom import queries_scale
+from quantloom.plans import nav
 from quantloom.plans.nav import nav_of_weights
 from quantloom.sources import universes
 
@@ -88,3 +90,20 @@ def test_nav_equals_brute_force(spark):
     assert got.keys() == expected.keys()
     assert all(abs(a - b) < 1e-9 for t in got for a, b in zip(got[t], expected[t]))
     assert nav_of_weights(spark.createDataFrame([], "ts timestamp, symbol string, weight double"), spark.createDataFrame(bars, "symbol string, ts timestamp, open double, close double")).count() == 0
+
+
+def test_bars_of_the_monthly_baskets_are_made_once(spark, tmp_path):
+    """Weights and prices read one table of bars, and not the line items each."""
+    items = spark.range(2000).selectExpr("id % 30 as l_suppkey", "timestamp_seconds(86400 * (id % 77)) as l_shipdate", "cast(1 + id % 5 as double) as l_quantity", "rand(5) * 100 as l_extendedprice")
+    items.write.parquet(str(tmp_path / "lineitem.parquet"))
+    weights, bars = queries_scale.monthly_weights(spark, str(tmp_path))
+    assert not [f for f in weights.inputFiles() + bars.inputFiles() if "lineitem" in f]
+    assert queries_scale.monthly_nav(spark, str(tmp_path)).count() > 0
+
+
+def test_prices_are_opens_or_closes_of_dates_before(spark):
+    """A missing or empty open takes the close of an earlier date, never that of its own."""
+    bars = spark.createDataFrame([("a", 1, 1.0, 2.0), ("a", 3, None, 5.0), ("a", 4, 7.0, None), ("b", 2, 1.5, 1.0), ("c", 1, 9.0, 9.0)], "symbol string, no int, open double, close double")
+    points = spark.createDataFrame([("a", 1), ("a", 2), ("a", 3), ("a", 4), ("a", 5), ("a", 5), ("b", 1), ("b", 9), ("d", 1)], "symbol string, no int")
+    found = {(r.symbol, r.no): r.price for r in nav._prices(points, bars).collect()}
+    assert found == {("a", 1): 1.0, ("a", 2): 2.0, ("a", 3): 2.0, ("a", 4): 7.0, ("a", 5): 5.0, ("b", 1): None, ("b", 9): 1.0, ("d", 1): None}
