@@ -13,12 +13,14 @@
    its totals and its rows are not two computations.
 
 Not sliced, because what they see has no bound in rows: operators on inputs that are null between values (such
-as gates), the parabolic stop, and the runs of KVO; they raise. A bucket is never cut.
+as gates), the parabolic stop, and the runs of KVO; they raise. A bucket with more rows than a slice is counted in
+finer units of time, down to microseconds; only rows of one microsecond are never cut.
 """
 
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -30,6 +32,9 @@ from quantloom.session import written
 SLICE, HALO = "_slice", "_halo"
 #: Share of the mean square below which a variance from power sums is rounding.
 ROUNDING = 1e-12
+#: Units that a bucket is cut into where it has too many rows, and rows (copies too) to a partition of slices.
+FINER = ("day", "hour", "minute", "second", "millisecond", "microsecond")
+TASK_ROWS = 100_000
 
 
 @dataclass(frozen=True)
@@ -40,9 +45,32 @@ class Slices:
     bucket: str = "day"
 
 
-def slice_map(bars: DataFrame, slices: Slices, halo: int, complete: Column, symbol: str, ts: str) -> DataFrame:
-    """(symbol, bucket, slice, halo): the slices that the rows of a bucket are part of."""
-    counts = bars.groupBy(F.col(symbol).alias("symbol"), F.date_trunc(slices.bucket, ts).alias("bucket")).agg(F.count("*").alias("n"), F.count(F.when(complete, 1)).alias("whole"))
+def with_buckets(bars: DataFrame, slices: Slices, symbol: str, ts: str) -> DataFrame:
+    """The bars with ``_bucket``: the unit of the slices, or where that holds more rows than a slice, the coarsest
+    finer unit in whose buckets there are not as many."""
+    coarse = F.date_trunc(slices.bucket, ts)
+    counts = bars.groupBy(F.col(symbol).alias("_of"), coarse.alias("_at")).agg(F.count("*").alias("n"))
+    heavy = written(counts.where(F.col("n") > slices.rows).select("_of", "_at"), "heavy")
+    units, finer = [], FINER[FINER.index(slices.bucket) + 1 :] if slices.bucket in FINER else FINER
+    for unit in finer:
+        if heavy.isEmpty():
+            break
+        within = bars.join(heavy, (F.col(symbol) == F.col("_of")) & (coarse == F.col("_at")))
+        most = within.groupBy("_of", "_at", F.date_trunc(unit, ts).alias("fine")).agg(F.count("*").alias("n")).groupBy("_of", "_at").agg(F.max("n").alias("n"))
+        most = written(most, "finer")
+        fits = F.lit(unit == finer[-1]) | (F.col("n") <= slices.rows)
+        units.append(most.where(fits).select("_of", "_at", F.lit(unit).alias("_unit")))
+        heavy = most.where(~fits).select("_of", "_at")
+    if not units:
+        return bars.withColumn("_bucket", coarse)
+    cut_up = bars.join(reduce(DataFrame.union, units), (F.col(symbol) == F.col("_of")) & (coarse == F.col("_at")), "left")
+    fine = reduce(lambda found, unit: F.when(F.col("_unit") == unit, F.date_trunc(unit, ts)).otherwise(found), finer, coarse)
+    return cut_up.withColumn("_bucket", fine).drop("_of", "_at", "_unit")
+
+
+def slice_map(bars: DataFrame, slices: Slices, halo: int, complete: Column, symbol: str) -> DataFrame:
+    """(symbol, bucket, slice, halo, n): the slices that the rows of a bucket are part of, and how many they are."""
+    counts = bars.groupBy(F.col(symbol).alias("symbol"), F.col("_bucket").alias("bucket")).agg(F.count("*").alias("n"), F.count(F.when(complete, 1)).alias("whole"))
     along = Window.partitionBy("symbol").orderBy("bucket")
     upto = along.rowsBetween(Window.unboundedPreceding, 0)
     placed = counts.withColumns({"after": F.sum("n").over(upto), "whole_after": F.sum("whole").over(upto)}).withColumn("slice", F.floor((F.col("after") - F.col("n")) / slices.rows))
@@ -55,22 +83,34 @@ def slice_map(bars: DataFrame, slices: Slices, halo: int, complete: Column, symb
     places = ranked.select("symbol", "slice", (F.col("place") + 1).alias("next"))
     later = placed.join(places, ["symbol", "slice"]).join(spans, ["symbol", "next"]).withColumn("place", F.explode(F.sequence("next", "upto")))
     halos = later.drop("slice").join(ranked, ["symbol", "place"]).where(F.col("whole_after") > F.col("start") - halo)
-    return placed.select("symbol", "bucket", "slice", F.lit(False).alias("halo")).union(halos.select("symbol", "bucket", "slice", F.lit(True)))
+    return placed.select("symbol", "bucket", "slice", F.lit(False).alias("halo"), "n").union(halos.select("symbol", "bucket", "slice", F.lit(True), "n"))
 
 
 def cut(bars: DataFrame, slices: Slices, halo: int, complete: Column, symbol: str, ts: str) -> DataFrame:
     """The bars with ``_slice`` and ``_halo``, dealt by symbol and slice; halo rows are copies."""
-    where = slice_map(bars, slices, halo, complete, symbol, ts).select(F.col("symbol").alias("_symbol"), F.col("bucket").alias("_bucket"), F.col("slice").alias(SLICE), F.col("halo").alias(HALO))
-    joined = bars.join(where, (F.col(symbol) == F.col("_symbol")) & (F.date_trunc(slices.bucket, ts) == F.col("_bucket")))
-    return joined.drop("_symbol", "_bucket").repartition(symbol, SLICE)
+    return cut_into(bars, slices, halo, complete, symbol, ts)[0]
+
+
+def cut_into(bars: DataFrame, slices: Slices, halo: int, complete: Column, symbol: str, ts: str) -> tuple[DataFrame, int | None]:
+    """The same, and how many partitions the number of rows calls for, if they are more than Spark's setting."""
+    # written once: the bars are counted, perhaps in several units, and then dealt
+    bars = with_buckets(written(bars, "bars"), slices, symbol, ts)
+    where = written(slice_map(bars, slices, halo, complete, symbol), "slices")
+    n = -(-(where.agg(F.sum("n")).first()[0] or 0) // TASK_ROWS)
+    where = where.select(F.col("symbol").alias("_symbol"), F.col("bucket").alias("_at"), F.col("slice").alias(SLICE), F.col("halo").alias(HALO))
+    joined = bars.join(where, (F.col(symbol) == F.col("_symbol")) & (F.col("_bucket") == F.col("_at"))).drop("_symbol", "_bucket", "_at")
+    # without a number Spark may put small partitions together
+    if n <= int(bars.sparkSession.conf.get("spark.sql.shuffle.partitions")):
+        return joined.repartition(symbol, SLICE), None
+    return joined.repartition(n, symbol, SLICE), n
 
 
 class SlicedFrame(Frame):
     """A frame whose windows stay within slices, halo included; cumulative values are carried over."""
 
-    def __init__(self, df: DataFrame, symbol: str, ts: str):
+    def __init__(self, df: DataFrame, symbol: str, ts: str, partitions: int | None = None):
         super().__init__(df, symbol, ts, (symbol, SLICE))
-        self._levels = 0
+        self._levels, self._partitions = 0, partitions
 
     def upto(self):
         raise ValueError("an operator looks at all rows so far in a way that slices don't offer")
@@ -88,7 +128,8 @@ class SlicedFrame(Frame):
         totals = self._with_earlier(totals, tag, moments, pairs)
         carried = self._carried(totals, tag, moments, pairs, {kind for kind, *_ in requests})
         # Both sides meet by (symbol, slice), the keys of all windows.
-        self.df = self.df.join(carried.hint("shuffle_hash"), list(self.keys))
+        rows = self.df.repartition(self._partitions, *self.keys) if self._partitions else self.df
+        self.df = rows.join(carried.hint("shuffle_hash"), list(self.keys))
         within = self._ordered().rowsBetween(Window.unboundedPreceding, 0)
         sums: dict[tuple, Column] = {}
         for c, t in tag.items():

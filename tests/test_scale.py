@@ -15,6 +15,7 @@ from quantloom.functions import large
 from quantloom.functions.series import Series
 from quantloom.operators import ordered, rolling, spec
 from quantloom.plans import portfolio as pf
+from quantloom.plans import slices as slices_module
 from quantloom.plans import wide
 from quantloom.plans.graph import compile_graph
 from quantloom.plans.ranges import first_of_each, placed, with_totals
@@ -95,6 +96,22 @@ def test_one_symbol_is_many_slices_with_whole_halos(spark):
     assert cut(bars.where("false"), Slices(60, "day"), 10, F.lit(True), "symbol", "ts").count() == 0
 
 
+def test_a_bucket_with_too_many_rows_is_cut(spark, monkeypatch):
+    """Days of one row, and one day with a row a second for 10 minutes: no slice has much more rows than asked for,
+    values are those of the plain plan, and partitions follow the number of rows."""
+    r = random.Random(2)
+    at = [START + dt.timedelta(days=d) for d in range(40)] + [START + dt.timedelta(days=20, hours=3, seconds=i) for i in range(600)]
+    bars = spark.createDataFrame([(s, t, 5 + r.random(), 5 + r.random()) for s in "ab" for t in at], "symbol string, ts timestamp, open double, close double")
+    rows = cut(bars, Slices(70, "day"), 15, F.lit(True), "symbol", "ts")
+    own = rows.where(~F.col(HALO)).groupBy("symbol", SLICE).count().collect()
+    assert sum(o["count"] for o in own) == 1280 and max(o["count"] for o in own) < 70 + 60
+    monkeypatch.setattr(slices_module, "TASK_ROWS", 100)
+    dealt, n = slices_module.cut_into(bars, Slices(70, "day"), 15, F.lit(True), "symbol", "ts")
+    assert n > 12 and dealt.rdd.getNumPartitions() == n
+    graph, outputs = graph_of([("sma", "SMA", ["bar.close"], {"period": 10}), ("cma", "CMA", ["bar.close"], {}), ("co", "CuCov", ["bar.open", "bar.close"], {})])
+    same(values(compile_graph(graph, bars, outputs=outputs)), values(compile_graph(graph, bars, outputs=outputs, slices=Slices(70, "day"))), outputs)
+
+
 @pytest.mark.parametrize("node", [("x", "SAR", ["bar.high", "bar.low"], {}), ("x", "KVO", ["bar.high", "bar.low", "bar.close", "bar.volume"], {}), ("x", "NVI", ["bar.close", "bar.volume"], {})])
 def test_what_slices_do_not_offer_raises(spark, node):
     with pytest.raises(ValueError):
