@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from quantloom.plans.ranges import COUNT, PLACE, RANGE, joined, placed
+from quantloom.session import written
 
 
 def _usable(value: str) -> Column:
@@ -60,8 +61,23 @@ def winsorized(df: DataFrame, by: list[str], value: str, order: list[str], lower
     return made.unionByName(df.where(~F.coalesce(_usable(value), F.lit(False))).withColumn(name, F.lit(None).cast("double")))
 
 
+def _value_ranks(values: DataFrame, by: list[str], value: str) -> DataFrame:
+    """Rows (by, value, _n ...) of distinct values and how many rows have them, with ``_d``: the rank of those rows,
+    ties averaged, less the group's mean rank."""
+    ranked = placed(values, by, [F.asc(value)], {"_rest": "_n"})
+    return ranked.withColumn("_d", F.col("_rest_all") - F.col("_rest") + (F.col("_n") - F.col("_rest_all")) / 2).drop("_rest", "_rest_all", PLACE, COUNT, RANGE)
+
+
 def spearman(df: DataFrame, by: list[str], x: str, y: str, order: list[str], name: str = "spearman") -> DataFrame:
-    """A row per group: the correlation of the ranks of two columns, over rows that have both."""
-    both = df.where(_usable(x) & _usable(y)).select(*by, x, y, *[c for c in order if c not in (x, y)])
-    ranked = ranks(ranks(both, by, x, order, "_rx"), by, y, order, "_ry")
-    return ranked.groupBy(*by).agg(F.corr("_rx", "_ry").alias(name))
+    """A row per group: the correlation of the ranks of two columns, over rows that have both; null without
+    variance. Ranks belong to distinct values, which partial aggregation makes: rows are never placed, and a
+    value's rows add up their ranks of ``y`` before the ranks of ``x`` are known."""
+    both = df.where(_usable(x) & _usable(y)).select(*by, F.col(x).alias("_x"), F.col(y).alias("_y"))
+    n = F.count("*").cast("double").alias("_n")
+    # written, so that Spark knows its size: few distinct values are broadcast
+    ry = written(_value_ranks(both.groupBy(*by, "_y").agg(n), by, "_y"), "ranks")
+    per_x = joined(both, ry.select(*by, "_y", "_d"), [*by, "_y"]).groupBy(*by, "_x").agg(n, F.sum("_d").alias("_s"))
+    rx = _value_ranks(per_x, by, "_x").groupBy(*by).agg(F.sum(F.col("_d") * F.col("_s")).alias("_xy"), F.sum(F.col("_n") * F.col("_d") * F.col("_d")).alias("_xx"))
+    yy = ry.groupBy(*by).agg(F.sum(F.col("_n") * F.col("_d") * F.col("_d")).alias("_yy"))
+    corr = F.col("_xy") / (F.sqrt(F.nullif(F.col("_xx"), F.lit(0.0))) * F.sqrt(F.nullif(F.col("_yy"), F.lit(0.0))))
+    return joined(rx, yy, by).select(*by, corr.alias(name))

@@ -181,6 +181,18 @@ def test_series_of_bars_keep_the_partitions_of_the_input(spark, tmp_path, monkey
     assert n > 10 and made.rdd.getNumPartitions() == n and made.count() == made.select("symbol", "ts").distinct().count() == 240
 
 
+def test_spearman_places_distinct_values_only(spark, monkeypatch):
+    """Rows with equal values are one row before they are placed; no variance is null."""
+    r = random.Random(6)
+    pairs = [("a", float(r.randrange(8)), float(r.randrange(5))) for _ in range(900)] + [("b", 1.0, float(i)) for i in range(4)] + [("c", float(i), -float(i)) for i in range(4)]
+    df, seen = spark.createDataFrame([(g, x, y, i) for i, (g, x, y) in enumerate(pairs)], "g string, x double, y double, i int"), []
+    monkeypatch.setattr(large, "placed", lambda rows, *a, **k: seen.append(rows.count()) or placed(rows, *a, **k))
+    found = {q.g: q.spearman for q in large.spearman(df, ["g"], "x", "y", ["i"]).collect()}
+    assert len(seen) == 2 and max(seen) <= 8 + 1 + 4 + 4
+    plain = {q.g: q.spearman for q in Series(df.where("g = 'a'"), ("g",), "i", "x").spearman("y").collect()}
+    assert near(found["a"], plain["a"]) and found["b"] is None and near(found["c"], -1.0)
+
+
 def test_movements_read_the_rows_once(spark):
     """All four from one scan, equal to brute force over series with zeros in front, ties and none but zeros."""
     r = random.Random(8)
