@@ -172,7 +172,8 @@ class Series:
     def rank(self, name: str = "rank") -> DataFrame:
         """Rank from 0 to 1, ties averaged; 1 for a single value."""
         by_value = Window.partitionBy(*self.by).orderBy(self.value)
-        ties = F.count("*").over(Window.partitionBy(*self.by, self.value))
+        # peers of the same order, so that rows are not sorted anew
+        ties = F.count("*").over(by_value.rangeBetween(Window.currentRow, Window.currentRow))
         n = F.count("*").over(self._all())
         return self.with_(name, F.when(n == 1, F.lit(1.0)).otherwise((F.rank().over(by_value) - 1 + (ties - 1) / 2) / F.when(n > 1, n - 1)))
 

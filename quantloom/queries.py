@@ -251,10 +251,13 @@ _agg("series_risk", lambda R, V, I: {"sharpe": fs.sharpe(R), "sortino": fs.sorti
 def series_transform(spark: SparkSession, sf_dir: str) -> DataFrame:
     s = returns_of(spark, sf_dir)
     df = s.df
-    for make in (Series.argsort, Series.rank, Series.norm, Series.sign, Series.cumsum, Series.diff, Series.winsorize, Series.locf, Series.coalesce):
+    # those by time first, as the returns are, then those by value: every other order sorts the rows anew
+    for make in (Series.sign, Series.coalesce, Series.cumsum, Series.diff, Series.locf):
         df = make(s.on(df))
     df = s.on(df, "close").log_returns()
     df = s.on(s.on(df).lag("lag2", 2)).lead("lead1", 1)
+    for make in (Series.argsort, Series.rank, Series.norm, Series.winsorize):
+        df = make(s.on(df))
     nulls = [F.nanvl(c, F.lit(None).cast("double")).alias(c) for c in ("diff", "log_returns", "lag2", "lead1")]
     return rounded(df.select("symbol", "ts", "argsort", "rank", "norm", "sign", "cumsum", "winsorize", "locf", "coalesce", *nulls))
 

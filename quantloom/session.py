@@ -74,9 +74,8 @@ def written(df: DataFrame, tag: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def partitions_for(df: DataFrame) -> int:
-    """As many partitions as the files that a frame reads call for, so that a task's rows do not grow with them;
-    not fewer than ``spark.sql.shuffle.partitions``. Frames that read no files get those."""
+def _called_for(df: DataFrame) -> int:
+    """Partitions of ``DEALT_BYTES`` that the files which a frame reads call for."""
     spark = df.sparkSession
     size, systems = 0, {}
     for name in df.inputFiles():
@@ -85,11 +84,21 @@ def partitions_for(df: DataFrame) -> int:
         if root not in systems:
             systems[root] = path.getFileSystem(spark._jsc.hadoopConfiguration())
         size += systems[root].getFileStatus(path).getLen()
-    return max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size // DEALT_BYTES))
+    return -(-size // DEALT_BYTES)
+
+
+def partitions_for(df: DataFrame) -> int:
+    """As many partitions as the files that a frame reads call for, so that a task's rows do not grow with them;
+    not fewer than ``spark.sql.shuffle.partitions``. Frames that read no files get those."""
+    return max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), _called_for(df))
 
 
 def dealt(df: DataFrame, *keys: str) -> DataFrame:
-    """Rows of a key in one partition; of partitions there are more for larger inputs."""
-    n = partitions_for(df)
-    # without a number Spark may put small partitions together
-    return df.repartition(n, *keys) if n > int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")) else df.repartition(*keys)
+    """Rows of a key in one partition; of partitions there are more for larger inputs.
+
+    Their number is given, however many shuffle partitions are set: without it Spark puts partitions together up
+    to 64 MB of shuffled bytes, which are millions of rows. Only files that are one partition's are left to Spark."""
+    spark, n = df.sparkSession, _called_for(df)
+    if n <= 1:
+        return df.repartition(*keys)
+    return df.repartition(max(n, min(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)), *keys)

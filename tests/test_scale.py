@@ -181,6 +181,37 @@ def test_series_of_bars_keep_the_partitions_of_the_input(spark, tmp_path, monkey
     assert n > 10 and made.rdd.getNumPartitions() == n and made.count() == made.select("symbol", "ts").distinct().count() == 240
 
 
+def test_partitions_of_the_input_are_not_put_together(spark, tmp_path, monkeypatch):
+    """Also where more shuffle partitions are set than the files call for, Spark does not merge those it is given,
+    and the windows of a series sort a task's rows twice: by time and by value."""
+    items = spark.range(3000).selectExpr("id % 40 as l_suppkey", "timestamp_seconds(86400 * (id % 70)) as l_shipdate", "cast(1 + id % 5 as double) as l_quantity", "rand(5) * 100 as l_extendedprice")
+    items.write.parquet(str(tmp_path / "lineitem.parquet"))
+    monkeypatch.setattr(session, "DEALT_BYTES", 2000)
+    n, before = session.partitions_for(spark.read.parquet(str(tmp_path / "lineitem.parquet"))), spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", 500)
+    try:
+        made = queries.series_transform(spark, str(tmp_path))
+        assert 10 < n < 500 and made.rdd.getNumPartitions() == n
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    plan = queries.series_transform(spark, str(tmp_path))._jdf.queryExecution().executedPlan().toString()
+    assert sum(line.strip(" +-:").startswith("Sort [") for line in plan.splitlines()) == 2
+
+
+def test_rank_of_series_with_ties_and_odd_values(spark):
+    """Equal values are peers, also nulls, NaN and zeros of both signs."""
+    nan = float("nan")
+    series = {"a": [3.0, 1.0, 3.0, 3.0, -2.0, 1.0], "b": [0.0, -0.0, 5.0, 0.0], "c": [nan, 1.0, nan, None, None, 2.0], "d": [7.0]}
+    frame = spark.createDataFrame([(k, i, v) for k, vs in series.items() for i, v in enumerate(vs)], "k string, i int, x double").repartition(3)
+    key = lambda v: (0, 0) if v is None else (2, 0) if v != v else (1, v)
+    made = Series(frame, ("k",), "i", "x").rank().collect()
+    for row in made:
+        others = [key(v) for v in series[row.k]]
+        less, same = sum(o < key(row.x) for o in others), sum(o == key(row.x) for o in others)
+        assert near(row["rank"], 1.0 if len(others) == 1 else (less + (same - 1) / 2) / (len(others) - 1)), row
+    assert len(made) == sum(map(len, series.values()))
+
+
 def test_spearman_places_distinct_values_only(spark, monkeypatch):
     """Rows with equal values are one row before they are placed; no variance is null."""
     r = random.Random(6)
