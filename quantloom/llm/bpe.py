@@ -16,21 +16,18 @@ import hashlib
 import json
 import re
 import struct
-from collections.abc import Iterator
 
 import ahocorasick
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quantloom.session import ship_package
+from quantloom.session import by_slices, ship_package
 
-#: Entries of the pre-token cache in one Python worker; it is emptied when full.
+#: Entries of the pre-token cache in one Python worker; it is emptied when full, and dropped with a task.
 CACHE_ENTRIES = 200_000
-#: Documents whose ids and decoded texts a worker holds at a time.
-ROWS = 256
 
 _codecs: dict[str, "BpeCodec"] = {}
 
@@ -185,48 +182,45 @@ class BpeCodec:
 
 
 def codec(path: str) -> BpeCodec:
-    """The worker's codec for a vocabulary file, built once per process."""
+    """The worker's codec for a vocabulary file, built once per task."""
     if path not in _codecs:
         _codecs[path] = BpeCodec(path)
     return _codecs[path]
 
 
-def _per_text(docs: DataFrame, text: str, run, schema: str) -> DataFrame:
-    """doc_id and the fields that ``run`` gives for each text; ids never pass through Python."""
+def forget(path: str) -> None:
+    """Drop the worker's codec with its caches; to build it again takes a second."""
+    _codecs.pop(path, None)
+
+
+def _per_text(docs: DataFrame, text: str, vocabulary: str | None, run, schema: str, *types: pa.DataType) -> DataFrame:
+    """doc_id and the fields of the schema, whose values ``run`` gives for a codec and some texts; ids never pass through Python."""
     ship_package(docs.sparkSession)
+    path, names = vocabulary or default_vocabulary(), [x.split()[0] for x in schema.split(", ")]
 
-    def some_at_a_time(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        for texts in batches:
-            for at in range(0, len(texts), ROWS):
-                yield run(texts.iloc[at : at + ROWS])
+    def structs(texts: list[str | None]) -> pa.Array:
+        columns = run(codec(path), texts)
+        return pa.StructArray.from_arrays([pa.array(x, t) for x, t in zip(columns, types, strict=True)], names)
 
-    fields = F.pandas_udf(some_at_a_time, schema).asNondeterministic()
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), fields(F.col(text).cast("string")).alias("made")).select("doc_id", "made.*")
+    made = F.arrow_udf(by_slices(structs, lambda: forget(path)), schema).asNondeterministic()
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), made(F.col(text).cast("string")).alias("made")).select("doc_id", "made.*")
 
 
 def encode_documents(docs: DataFrame, text: str = "text", vocabulary: str | None = None) -> DataFrame:
     """(doc_id, n_tokens, ids, decoded): ids as little-endian unsigned 32-bit integers."""
-    path = vocabulary or default_vocabulary()
 
-    def run(texts: pd.Series) -> pd.DataFrame:
-        c = codec(path)
+    def run(c: BpeCodec, texts: list[str | None]) -> tuple[list, ...]:
         ids = [c.encode(t) for t in texts]
-        return pd.DataFrame({"n_tokens": [len(x) // 4 for x in ids], "ids": ids, "decoded": [c.decode(x) for x in ids]})
+        return [len(x) // 4 for x in ids], ids, [c.decode(x) for x in ids]
 
-    return _per_text(docs, text, run, "n_tokens long, ids binary, decoded string")
+    return _per_text(docs, text, vocabulary, run, "n_tokens long, ids binary, decoded string", pa.int64(), pa.binary(), pa.string())
 
 
 def encode_digests(docs: DataFrame, text: str = "text", vocabulary: str | None = None) -> DataFrame:
     """The same work as :func:`encode_documents`, with digests instead of ids and decoded text."""
-    path = vocabulary or default_vocabulary()
 
-    def run(texts: pd.Series) -> pd.DataFrame:
-        c = codec(path)
+    def run(c: BpeCodec, texts: list[str | None]) -> tuple[list, ...]:
         ids = [c.encode(t) for t in texts]
-        return pd.DataFrame({
-            "n_tokens": [len(x) // 4 for x in ids],
-            "ids_sha256": [hashlib.sha256(x).hexdigest() for x in ids],
-            "decoded_sha256": [hashlib.sha256(c.decode(x).encode()).hexdigest() for x in ids],
-        })
+        return [len(x) // 4 for x in ids], [hashlib.sha256(x).hexdigest() for x in ids], [hashlib.sha256(c.decode(x).encode()).hexdigest() for x in ids]
 
-    return _per_text(docs, text, run, "n_tokens long, ids_sha256 string, decoded_sha256 string")
+    return _per_text(docs, text, vocabulary, run, "n_tokens long, ids_sha256 string, decoded_sha256 string", pa.int64(), pa.string(), pa.string())

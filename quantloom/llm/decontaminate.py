@@ -24,11 +24,12 @@ from typing import NamedTuple
 import ahocorasick
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.broadcast import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quantloom.session import ship_package, written
+from quantloom.session import by_slices, ship_package, written
 
 WINDOW = 10
 #: Characters of item text whose windows one automaton holds (about 60 times as many bytes).
@@ -124,11 +125,11 @@ def _hits_udf(shard: Shard, window: int):
 
 
 def _touched_udf(shard: Shard, window: int):
-    def run(texts: pd.Series) -> pd.Series:
+    def run(texts: list[str | None]) -> pa.Array:
         automaton = automaton_of(shard, window)
-        return pd.Series([bool(scan(automaton, t)[1]) for t in texts], dtype=bool)
+        return pa.array([bool(scan(automaton, t)[1]) for t in texts], pa.bool_())
 
-    return F.pandas_udf(run, "boolean").asNondeterministic()
+    return F.arrow_udf(by_slices(run), "boolean").asNondeterministic()
 
 
 def benchmark_shards(benchmark: DataFrame, item: str = "item_id", text: str = "text", shard_chars: int = SHARD_CHARS) -> list[Shard]:

@@ -38,11 +38,12 @@ import math
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quantloom.llm import dartminhash as dart
-from quantloom.session import ship_package, written
+from quantloom.session import by_slices, ship_package, written
 
 THRESHOLD = 0.8
 #: Standard deviations that the agreement of prints may lie below the threshold.
@@ -62,7 +63,7 @@ def signatures(docs: DataFrame, text: str = "text", columns: list[str] | None =
     per band) and prints (16 bits per coordinate, packed). Write it before using row numbers twice."""
     ship_package(docs.sparkSession)
 
-    def run(texts: pd.Series) -> pd.DataFrame:
+    def run(texts: list[str | None]) -> pa.Array:
         rows = []
         for t in texts:
             words = dart.normalised(t)
@@ -71,10 +72,11 @@ def signatures(docs: DataFrame, text: str = "text", columns: list[str] | None =
                 continue
             element, count = dart.shingles(words)
             ids = dart.signature(element, count)
-            rows.append((hashlib.md5(words).digest(), int(count.sum()), dart.band_keys(ids).tolist(), (ids >> np.uint64(48)).astype("<u2").tobytes()))
-        return pd.DataFrame(rows, columns=["digest", "n_cells", "keys", "prints"])
+            rows.append((hashlib.md5(words).digest(), int(count.sum()), dart.band_keys(ids), (ids >> np.uint64(48)).astype("<u2").tobytes()))
+        types = (pa.binary(), pa.int32(), pa.list_(pa.int64()), pa.binary())
+        return pa.StructArray.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows), types)], ["digest", "n_cells", "keys", "prints"])
 
-    made = F.pandas_udf(run, "digest binary, n_cells int, keys array<long>, prints binary").asNondeterministic()
+    made = F.arrow_udf(by_slices(run), "digest binary, n_cells int, keys array<long>, prints binary").asNondeterministic()
     kept, whole = F.struct(*[F.col(f"`{c}`") for c in columns or [text]]), F.col("doc").getField(text).cast("string")
     rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("long").alias("doc_id"), kept.alias("doc"))
     return rows.select("row", "doc_id", F.xxhash64(whole).alias("tie"), "doc", made(whole).alias("made")).select("row", "doc_id", "tie", "doc", "made.*")
@@ -230,12 +232,12 @@ def _classes(signed: DataFrame, threshold: float, text: str, deviations: float |
     members = written(banded.join(buckets, "key"), "members")
     nodes = written(members.select("id").distinct(), "nodes")
 
-    def cells(texts: pd.Series) -> pd.Series:
-        return pd.Series([dart.cells(dart.normalised(t)).view("i8") for t in texts])
+    def cells(texts: list[str | None]) -> pa.Array:
+        return pa.array([dart.cells(dart.normalised(t)).view("i8") for t in texts], pa.list_(pa.int64()))
 
     # The number of texts with a partner has no bound, so they are never broadcast.
     partners = signed.select(F.col("row").alias("id"), F.col("doc").getField(text).cast("string").alias("text")).join(nodes.hint("merge"), "id", "left_semi")
-    cut = written(partners.select("id", F.pandas_udf(cells, "array<long>").asNondeterministic()("text").alias("cells")), "cells")
+    cut = written(partners.select("id", F.arrow_udf(by_slices(cells), "array<long>").asNondeterministic()("text").alias("cells")), "cells")
     prints = written(signed.select(F.col("row").alias("id"), F.col("n_cells").alias("n"), "prints").join(nodes.hint("merge"), "id", "left_semi"), "prints")
 
     tried = written(members.where("id <> head").groupBy(F.col("id").alias("b")).agg(F.min("head").alias("a")).select("a", "b"), "pairs")

@@ -2,16 +2,22 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import os
 import tempfile
 import uuid
 import zipfile
+from collections.abc import Callable, Iterator
 from pathlib import Path
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 #: Bytes of input files to a partition, where a task sorts all its rows for several windows.
 DEALT_BYTES = 8_000_000
+#: Texts that a Python worker holds as Python objects at a time, with what is made of them.
+SLICE_ROWS = 256
 
 _shipped: dict[str, str] = {}
 _own_shared: dict[str, str] = {}
@@ -31,6 +37,33 @@ def ship_package(spark: SparkSession) -> None:
     _shipped[sc.applicationId] = target
 
 
+def by_slices(run: Callable[[list], pa.Array], forget: Callable[[], None] | None = None):
+    """A function for ``arrow_udf``: ``run`` gets the values of few rows at a time, and ``forget`` runs at a task's end.
+
+    Spark's tasks take their Python workers in turn, and workers that wait count as an executor's memory, too. So a
+    worker keeps neither a batch's values as Python objects nor, when its task is over, what would only save time."""
+
+    def some_at_a_time(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for values in batches:
+            for at in range(0, len(values), SLICE_ROWS):
+                yield run(values.slice(at, SLICE_ROWS).to_pylist())
+            del values
+        if forget:
+            forget()
+        _give_back()
+
+    return some_at_a_time
+
+
+def _give_back() -> None:
+    """Return what this process has freed to the system, where its C library can."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder in ``spark.checkpoint.dir``, or the one given to ``setCheckpointDir``. Where neither is
     set, as in tests, a single machine gets a folder of its own; a cluster is refused, as its machines do
