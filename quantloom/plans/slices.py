@@ -9,8 +9,9 @@
    whole symbol. Halo rows leave the result.
 3. What looks at all rows so far is a prefix scan of two levels: totals of each slice, their exclusive sums
    along the symbol (a row per slice), and sums within the slice on top. Means, variances, skews and
-   covariances come from power sums about the symbol's mean. The table is written before each scan, so that
-   its totals and its rows are not two computations.
+   covariances come from power sums about the symbol's mean. Only the bars and what slices carry over, a row per
+   slice, are written: rows with all that windows have added to them would take many times the input's disk. The
+   totals of a scan are a pass of their own, over the rows that are not copies and the columns that they ask for.
 
 Not sliced, because what they see has no bound in rows: operators on inputs that are null between values (such
 as gates), the parabolic stop, and the runs of KVO; they raise. A bucket with more rows than a slice is counted in
@@ -92,16 +93,19 @@ def cut(bars: DataFrame, slices: Slices, halo: int, complete: Column, symbol: st
 
 
 def cut_into(bars: DataFrame, slices: Slices, halo: int, complete: Column, symbol: str, ts: str) -> tuple[DataFrame, int | None]:
-    """The same, and how many partitions the number of rows calls for, if they are more than Spark's setting."""
+    """The same, and how many partitions the number of rows calls for, not fewer than cores (or than Spark's setting,
+    if that is less); None where they are one partition's."""
     # written once: the bars are counted, perhaps in several units, and then dealt
     bars = with_buckets(written(bars, "bars"), slices, symbol, ts)
     where = written(slice_map(bars, slices, halo, complete, symbol), "slices")
     n = -(-(where.agg(F.sum("n")).first()[0] or 0) // TASK_ROWS)
     where = where.select(F.col("symbol").alias("_symbol"), F.col("bucket").alias("_at"), F.col("slice").alias(SLICE), F.col("halo").alias(HALO))
     joined = bars.join(where, (F.col(symbol) == F.col("_symbol")) & (F.col("_bucket") == F.col("_at"))).drop("_symbol", "_bucket", "_at")
-    # without a number Spark may put small partitions together
-    if n <= int(bars.sparkSession.conf.get("spark.sql.shuffle.partitions")):
+    # without a number Spark puts partitions together up to 64 MB of narrow rows, which windows then widen and spill
+    if n <= 1:
         return joined.repartition(symbol, SLICE), None
+    spark = bars.sparkSession
+    n = max(n, min(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism))
     return joined.repartition(n, symbol, SLICE), n
 
 
@@ -110,7 +114,7 @@ class SlicedFrame(Frame):
 
     def __init__(self, df: DataFrame, symbol: str, ts: str, partitions: int | None = None):
         super().__init__(df, symbol, ts, (symbol, SLICE))
-        self._levels, self._partitions = 0, partitions
+        self._levels, self._partitions, self._slid = 0, partitions, 0
 
     def upto(self):
         raise ValueError("an operator looks at all rows so far in a way that slices don't offer")
@@ -122,14 +126,13 @@ class SlicedFrame(Frame):
         masked = dict(zip(columns, self.add_many([F.when(own, c) for c in columns.values()])))
         pairs = {(str(a), str(b)) for kind, *cols in requests if kind == "covar_pop" for a, b in [cols]}
         moments = {str(c) for kind, *cols in requests if kind not in ("count", "sum", "min", "max", "last") for c in cols}
-        self.df = self._level(self.df)
+        self._settle()
         tag = {c: f"_l{self._levels}_{i}" for i, c in enumerate(columns)}
-        totals = self.df.groupBy(*self.keys).agg(*self._totals(masked, tag, moments, pairs))
+        totals = self.df.where(~F.col(HALO)).groupBy(*self.keys).agg(*self._totals(masked, tag, moments, pairs))
         totals = self._with_earlier(totals, tag, moments, pairs)
-        carried = self._carried(totals, tag, moments, pairs, {kind for kind, *_ in requests})
-        # Both sides meet by (symbol, slice), the keys of all windows.
-        rows = self.df.repartition(self._partitions, *self.keys) if self._partitions else self.df
-        self.df = rows.join(carried.hint("shuffle_hash"), list(self.keys))
+        carried = self._kept(self._carried(totals, tag, moments, pairs, {kind for kind, *_ in requests}))
+        # Both sides meet by (symbol, slice), the keys of all windows, so only what is carried moves.
+        self.df = self.df.join(carried.hint("shuffle_hash"), list(self.keys))
         within = self._ordered().rowsBetween(Window.unboundedPreceding, 0)
         sums: dict[tuple, Column] = {}
         for c, t in tag.items():
@@ -145,9 +148,15 @@ class SlicedFrame(Frame):
         at = dict(zip(sums, made))
         return self.add_many([self._value(kind, [str(c) for c in cols], at, masked, tag, within) for kind, *cols in requests])
 
-    def _level(self, df: DataFrame) -> DataFrame:
-        """The rows written down before their totals are taken."""
-        return written(df, "level")
+    def _settle(self) -> None:
+        """After a pass through Arrow, which no scan should repeat, the rows are written and dealt again."""
+        if len(self.slid) > self._slid:
+            rows, self._slid = written(self.df, "slid"), len(self.slid)
+            self.df = rows.repartition(*([self._partitions] if self._partitions else []), *self.keys)
+
+    def _kept(self, carried: DataFrame) -> DataFrame:
+        """What slices carry over, written once: later scans, and the rows, read it."""
+        return written(carried, "carried")
 
     def _with_earlier(self, totals: DataFrame, tag: dict, moments: set, pairs: set) -> DataFrame:
         """The totals of this table's slices, and of others before them, if there are any."""
@@ -164,7 +173,7 @@ class SlicedFrame(Frame):
         return out + [F.covar_pop(masked[a], masked[b]).alias(f"{tag[a]}_cov{tag[b]}") for a, b in pairs]
 
     def _carried(self, totals: DataFrame, tag: dict, moments: set, pairs: set, kinds: set) -> DataFrame:
-        """What the slices before each slice add up to: power sums about the symbol's mean, and extremes."""
+        """What the slices before each slice add up to: power sums about the symbol's mean, and what else the kinds need."""
         symbol = Window.partitionBy(self.symbol)
         before = symbol.orderBy(SLICE).rowsBetween(Window.unboundedPreceding, -1)
         zero = lambda c: F.coalesce(c, F.lit(0.0))
@@ -172,8 +181,8 @@ class SlicedFrame(Frame):
         out = []
         for c, t in tag.items():
             n = F.col(f"{t}_n")
-            out += [F.coalesce(F.sum(n).over(before), F.lit(0)).alias(f"{t}_s0"), F.sum(f"{t}_sum").over(before).alias(f"{t}_before")]
-            out += [F.min(f"{t}_min").over(before).alias(f"{t}_least"), F.max(f"{t}_max").over(before).alias(f"{t}_most"), F.last(f"{t}_last", ignorenulls=True).over(before).alias(f"{t}_latest")]
+            ends = {"sum": F.sum(f"{t}_sum").over(before).alias(f"{t}_before"), "min": F.min(f"{t}_min").over(before).alias(f"{t}_least"), "max": F.max(f"{t}_max").over(before).alias(f"{t}_most"), "last": F.last(f"{t}_last", ignorenulls=True).over(before).alias(f"{t}_latest")}
+            out += [F.coalesce(F.sum(n).over(before), F.lit(0)).alias(f"{t}_s0"), *(end for kind, end in ends.items() if kind in kinds)]
             if c in moments:
                 d, v = zero(F.col(f"{t}_m") - F.col(f"{t}_c")), zero(F.col(f"{t}_v"))
                 m3, m4 = zero(F.col(f"{t}_sk")) * F.pow(v, 1.5), F.when(v > 0, zero(F.col(f"{t}_ku")) + 3).otherwise(F.lit(0.0)) * v * v

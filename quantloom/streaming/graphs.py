@@ -38,10 +38,10 @@ class _StreamFrame(SlicedFrame):
         super().__init__(df, symbol, ts)
         self.epoch, self.before, self.here = epoch, before, here
 
-    def _level(self, df: DataFrame) -> DataFrame:
+    def _kept(self, carried: DataFrame) -> DataFrame:
         path = f"{self.here}/work{self._levels}"
-        df.write.mode("overwrite").parquet(path)
-        return df.sparkSession.read.schema(df.schema).parquet(path)
+        carried.write.mode("overwrite").parquet(path)
+        return carried.sparkSession.read.schema(carried.schema).parquet(path)
 
     def _with_earlier(self, totals: DataFrame, tag: dict, moments: set, pairs: set) -> DataFrame:
         both = totals

@@ -112,6 +112,45 @@ def test_a_bucket_with_too_many_rows_is_cut(spark, monkeypatch):
     same(values(compile_graph(graph, bars, outputs=outputs)), values(compile_graph(graph, bars, outputs=outputs, slices=Slices(70, "day"))), outputs)
 
 
+def written_by(monkeypatch):
+    """(tag, columns, rows) of what the slices write, as they write it."""
+    tables, write = [], slices_module.written
+
+    def recorded(df, tag):
+        made = write(df, tag)
+        tables.append((tag, sorted(made.columns), made.count()))
+        return made
+
+    monkeypatch.setattr(slices_module, "written", recorded)
+    return tables
+
+
+def test_scans_of_slices_write_a_row_per_slice(spark, monkeypatch):
+    """The bars are written once, with the columns that are read; what windows and scans add to them is not."""
+    bars, tables = bars_of(spark, 260, nulls=0.05), written_by(monkeypatch)
+    graph, outputs = graph_of([("ew", "RollingVarEW", ["bar.close"], {"alpha": 0.3}), *TOTALS[:4], ("sma", "SMA", ["bar.close"], {"period": 10}), ("cma_sma", "CMA", ["sma"], {}), ("fisher", "Fisher", ["bar.high", "bar.low"], {"period": 5})])
+    got = compile_graph(graph, bars, outputs=outputs, slices=Slices(40, "day"))
+    assert [(columns, n) for tag, columns, n in tables if n >= 260] == [(["close", "high", "low", "open", "symbol", "ts"], 527)]
+    slices = {n for tag, _, n in tables if tag == "carried"}
+    assert len(slices) == 1 and max(slices) < 20
+    same(values(compile_graph(graph, bars, outputs=outputs)), values(got), outputs)
+
+
+def test_a_pass_through_arrow_is_written_once_for_all_scans(spark, monkeypatch):
+    bars, tables = bars_of(spark, 260), written_by(monkeypatch)
+    graph, outputs = graph_of([("median", "RollingMedian", ["bar.close"], {"period": 70}), ("cma", "CMA", ["median"], {}), ("cu", "CuVar", ["median"], {}), ("obv", "OBV", ["bar.close", "bar.volume"], {})])
+    got = compile_graph(graph, bars, outputs=outputs, slices=Slices(90, "day"))
+    assert [tag for tag, *_ in tables].count("slid") == 1
+    same(values(compile_graph(graph, bars, outputs=outputs)), values(got), outputs)
+
+
+def test_few_partitions_of_slices_are_given_too(spark, monkeypatch):
+    """Fewer than Spark's setting: left to Spark, they would be put together."""
+    monkeypatch.setattr(slices_module, "TASK_ROWS", 600)
+    rows, n = slices_module.cut_into(bars_of(spark, 260), Slices(40, "day"), 10, F.lit(True), "symbol", "ts")
+    assert n == 4 and rows.rdd.getNumPartitions() == 4
+
+
 @pytest.mark.parametrize("node", [("x", "SAR", ["bar.high", "bar.low"], {}), ("x", "KVO", ["bar.high", "bar.low", "bar.close", "bar.volume"], {}), ("x", "NVI", ["bar.close", "bar.volume"], {})])
 def test_what_slices_do_not_offer_raises(spark, node):
     with pytest.raises(ValueError):
