@@ -51,14 +51,14 @@ def with_buckets(bars: DataFrame, slices: Slices, symbol: str, ts: str) -> DataF
     finer unit in whose buckets there are not as many."""
     coarse = F.date_trunc(slices.bucket, ts)
     counts = bars.groupBy(F.col(symbol).alias("_of"), coarse.alias("_at")).agg(F.count("*").alias("n"))
-    heavy = written(counts.where(F.col("n") > slices.rows).select("_of", "_at"), "heavy")
+    heavy = written(counts.where(F.col("n") > slices.rows).select("_of", "_at"), "heavy", tidy=True)
     units, finer = [], FINER[FINER.index(slices.bucket) + 1 :] if slices.bucket in FINER else FINER
     for unit in finer:
         if heavy.isEmpty():
             break
         within = bars.join(heavy, (F.col(symbol) == F.col("_of")) & (coarse == F.col("_at")))
         most = within.groupBy("_of", "_at", F.date_trunc(unit, ts).alias("fine")).agg(F.count("*").alias("n")).groupBy("_of", "_at").agg(F.max("n").alias("n"))
-        most = written(most, "finer")
+        most = written(most, "finer", tidy=True)
         fits = F.lit(unit == finer[-1]) | (F.col("n") <= slices.rows)
         units.append(most.where(fits).select("_of", "_at", F.lit(unit).alias("_unit")))
         heavy = most.where(~fits).select("_of", "_at")
@@ -75,7 +75,7 @@ def slice_map(bars: DataFrame, slices: Slices, halo: int, complete: Column, symb
     along = Window.partitionBy("symbol").orderBy("bucket")
     upto = along.rowsBetween(Window.unboundedPreceding, 0)
     placed = counts.withColumns({"after": F.sum("n").over(upto), "whole_after": F.sum("whole").over(upto)}).withColumn("slice", F.floor((F.col("after") - F.col("n")) / slices.rows))
-    placed = written(placed, "buckets")
+    placed = written(placed, "buckets", tidy=True)
     starts = placed.groupBy("symbol", "slice").agg(F.min(F.col("whole_after") - F.col("whole")).alias("start"))
     ranked = starts.withColumn("place", F.row_number().over(Window.partitionBy("symbol").orderBy("slice")))
     # A slice's rows can be in the halos of the slices from the next one on that start within the halo's length of it.
@@ -96,8 +96,8 @@ def cut_into(bars: DataFrame, slices: Slices, halo: int, complete: Column, symbo
     """The same, and how many partitions the number of rows calls for, not fewer than cores (or than Spark's setting,
     if that is less); None where they are one partition's."""
     # written once: the bars are counted, perhaps in several units, and then dealt
-    bars = with_buckets(written(bars, "bars"), slices, symbol, ts)
-    where = written(slice_map(bars, slices, halo, complete, symbol), "slices")
+    bars = with_buckets(written(bars, "bars", tidy=True), slices, symbol, ts)
+    where = written(slice_map(bars, slices, halo, complete, symbol), "slices", tidy=True)
     n = -(-(where.agg(F.sum("n")).first()[0] or 0) // TASK_ROWS)
     where = where.select(F.col("symbol").alias("_symbol"), F.col("bucket").alias("_at"), F.col("slice").alias(SLICE), F.col("halo").alias(HALO))
     joined = bars.join(where, (F.col(symbol) == F.col("_symbol")) & (F.col("_bucket") == F.col("_at"))).drop("_symbol", "_bucket", "_at")
@@ -151,12 +151,12 @@ class SlicedFrame(Frame):
     def _settle(self) -> None:
         """After a pass through Arrow, which no scan should repeat, the rows are written and dealt again."""
         if len(self.slid) > self._slid:
-            rows, self._slid = written(self.df, "slid"), len(self.slid)
+            rows, self._slid = written(self.df, "slid", tidy=True), len(self.slid)
             self.df = rows.repartition(*([self._partitions] if self._partitions else []), *self.keys)
 
     def _kept(self, carried: DataFrame) -> DataFrame:
         """What slices carry over, written once: later scans, and the rows, read it."""
-        return written(carried, "carried")
+        return written(carried, "carried", tidy=True)
 
     def _with_earlier(self, totals: DataFrame, tag: dict, moments: set, pairs: set) -> DataFrame:
         """The totals of this table's slices, and of others before them, if there are any."""

@@ -18,6 +18,8 @@ from pyspark.sql import DataFrame, SparkSession
 DEALT_BYTES = 8_000_000
 #: Texts that a Python worker holds as Python objects at a time, with what is made of them.
 SLICE_ROWS = 256
+#: Spark's setting by which a query's shuffle files are removed at its end.
+SHUFFLES_GO = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 _shipped: dict[str, str] = {}
 _own_shared: dict[str, str] = {}
@@ -95,15 +97,21 @@ def clear_written(spark: SparkSession) -> None:
     path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
-def written(df: DataFrame, tag: str) -> DataFrame:
+def written(df: DataFrame, tag: str, tidy: bool = False) -> DataFrame:
     """Cut lineage: write ``df`` as Parquet into the shared folder and read it again.
 
     Unlike a cached or locally checkpointed frame the table outlives lost executors. It stays until
-    :func:`clear_written`.
+    :func:`clear_written`. With ``tidy`` the shuffle files behind it go as soon as it is there; else Spark removes
+    them when the driver happens to collect garbage.
     """
     spark = df.sparkSession
     path = new_path(spark, tag)
-    df.write.parquet(path)
+    before = spark.conf.get(SHUFFLES_GO, "false")
+    spark.conf.set(SHUFFLES_GO, "true" if tidy else before)
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(SHUFFLES_GO, before)
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -4,6 +4,7 @@ import datetime as dt
 import math
 import random
 import sys
+import time
 
 import numpy as np
 import pytest
@@ -116,8 +117,8 @@ def written_by(monkeypatch):
     """(tag, columns, rows) of what the slices write, as they write it."""
     tables, write = [], slices_module.written
 
-    def recorded(df, tag):
-        made = write(df, tag)
+    def recorded(df, tag, **how):
+        made = write(df, tag, **how)
         tables.append((tag, sorted(made.columns), made.count()))
         return made
 
@@ -144,6 +145,23 @@ def test_a_pass_through_arrow_is_written_once_for_all_scans(spark, monkeypatch):
     same(values(compile_graph(graph, bars, outputs=outputs)), values(got), outputs)
 
 
+def test_shuffle_files_behind_a_table_go_at_once(spark):
+    """Not when the driver happens to collect garbage; the session's setting stays as it was."""
+    manager, before = spark._jsc.sc().env().blockManager().diskBlockManager(), spark.conf.get(session.SHUFFLES_GO, "false")
+
+    def kept():
+        files = manager.getAllFiles()
+        return {name for name in (files.apply(i).getName() for i in range(files.length())) if name.startswith("shuffle_")}
+
+    counts, earlier = bars_of(spark, 260).groupBy("ts").count(), kept()
+    table = session.written(counts, "counts", tidy=True)
+    until = time.time() + 20
+    while kept() - earlier and time.time() < until:
+        time.sleep(0.2)
+    assert not kept() - earlier and spark.conf.get(session.SHUFFLES_GO, "false") == before
+    assert table.count() == counts.count() == 267
+
+
 def test_few_partitions_of_slices_are_given_too(spark, monkeypatch):
     """Fewer than Spark's setting: left to Spark, they would be put together."""
     monkeypatch.setattr(slices_module, "TASK_ROWS", 600)
